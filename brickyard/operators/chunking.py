@@ -6,6 +6,7 @@ end at tables and headings, so an array is as long as a run, never a corpus.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -255,8 +256,6 @@ def tag_chunks(chunks: DataFrame, region: Column, source_type: Column, period: C
 
 def embed(chunks: DataFrame, function, column: str = "content") -> DataFrame:
     """Adds embedding: ``function`` gets a list of texts and gives a list of vectors, batch by batch."""
-    import pandas as pd
-
     @F.pandas_udf("array<float>")
     def vectors(texts: pd.Series) -> pd.Series:
         return pd.Series(function(texts.tolist()), dtype=object)

@@ -14,11 +14,11 @@ PHRASES = ["Xin chào!", "Giá xây nhà 120,5 m2 ở Hà Nội, ngân sách 1.5
 
 def labelled(s, d):
     m = A.messages(s, d)
-    i = F.crc32(F.col("message_id").cast("binary")) % 12
+    i = (F.col("conversation_id") + F.col("turn")) % 12
     return m.withColumn("content", F.coalesce(F.get(F.array(*map(F.lit, PHRASES)), i.cast("int")), F.col("content")))
 
 
-register("small_talk", lambda s, d: labelled(s, d).groupBy(M.small_talk(F.col("content")).alias("kind")).agg(F.count(F.lit(1)).alias("n")), None)
+register("small_talk", lambda s, d: labelled(s, d).groupBy(M.small_talk(F.col("content")).alias("kind")).agg(F.count(F.lit(1)).alias("n")), "SELECT CASE (conv_id + turn) % 12 WHEN 0 THEN 'greeting' WHEN 4 THEN 'thanks' END AS kind, count(*) AS n FROM conversations GROUP BY 1")
 register("intent", lambda s, d: A.table(s, d, "documents").select("doc_id", M.intent(F.concat(F.when(F.col("doc_id") % 3 == 0, "Xây nhà giá ").otherwise("xây giá "), "text")).alias("intent")), "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'construction_cost' END AS intent FROM documents")
 register("regions", lambda s, d: A.table(s, d, "documents").select("doc_id", F.array_join(M.regions(F.concat(F.element_at(F.array(F.lit("ĐÀ NẴNG và hà nội "), F.lit("Sai Gon "), F.lit("hn ")), (F.col("doc_id") % 3 + 1).cast("int")), "source")), ",").alias("regions"), M.single_region(F.concat(F.lit("hcm "), F.when(F.col("doc_id") % 2 == 0, "da nang").otherwise(""))).alias("one")),
          "SELECT doc_id, ['HN,DN', 'HCM', 'HN'][doc_id % 3 + 1] AS regions, CASE WHEN doc_id % 2 = 1 THEN 'HCM' END AS one FROM documents")

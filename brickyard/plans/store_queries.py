@@ -59,4 +59,4 @@ def transitions(s, d):
 register("latest_status", lambda s, d: H.latest_status(transitions(s, d)), "SELECT user_id AS doc_id, arg_max(['pending', 'processing', 'done'][event_id % 3 + 1], {'at': ts, 'stage': event_id % 3}) AS status FROM events GROUP BY 1")
 register("project_kbs", lambda s, d: H.project_kbs(A.table(s, d, "nation").select(F.col("n_nationkey").alias("project_id")), A.table(s, d, "supplier").select(F.col("s_nationkey").alias("project_id"), F.col("s_suppkey").alias("kb_id")), A.table(s, d, "supplier").select(F.col("s_suppkey").alias("kb_id"), F.col("s_name").alias("name"))).select("project_id", F.array_join(F.col("kb_ids").cast("array<string>"), ",").alias("kb_ids"), F.array_join("kb_names", ",").alias("kb_names")), "SELECT n_nationkey AS project_id, coalesce(string_agg(s_suppkey::VARCHAR, ',' ORDER BY s_suppkey), '') AS kb_ids, coalesce(string_agg(s_name, ',' ORDER BY s_suppkey), '') AS kb_names FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1")
 register("live_buckets", lambda s, d: X.live_buckets(A.table(s, d, "events").select("event_type", (F.col("value") / 10).alias("seconds"), "ts"), ["event_type"], "1 hour", "30 minutes", [1.0, 5.0]).select("event_type", F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), F.col("le").cast("string").alias("le"), "n"),
-         "WITH w AS (SELECT event_type, value / 10 AS s, unnest([time_bucket(INTERVAL 30 minutes, ts), time_bucket(INTERVAL 30 minutes, ts) - INTERVAL 30 minutes]) AS st FROM events), b AS (SELECT unnest([1.0, 5.0, 'inf']::DOUBLE[]) AS le) SELECT event_type, strftime(st, '%Y-%m-%d %H:%M') AS start, CASE WHEN isinf(le) THEN 'Infinity' ELSE le::VARCHAR END AS le, count(*) FILTER (s <= le) AS n FROM w, b GROUP BY ALL")
+         "WITH w AS (SELECT event_type, value / 10 AS s, unnest([time_bucket(INTERVAL 30 minutes, ts), time_bucket(INTERVAL 30 minutes, ts) - INTERVAL 30 minutes]) AS st FROM events), b AS (SELECT unnest([1.0, 5.0, 'inf'::DOUBLE]::DOUBLE[]) AS le) SELECT event_type, strftime(st, '%Y-%m-%d %H:%M') AS start, CASE WHEN isinf(le) THEN 'Infinity' ELSE le::VARCHAR END AS le, count(*) FILTER (s <= le) AS n FROM w, b GROUP BY ALL")

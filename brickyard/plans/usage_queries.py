@@ -31,7 +31,7 @@ def latencies(s, d):
     return A.table(s, d, "events").select("event_type", (F.col("value") / 10).alias("seconds"), "ts")
 
 
-HIST = "bd AS (SELECT unnest([0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0, 'inf']::DOUBLE[]) AS le), hg AS (SELECT event_type, le, count(*) FILTER (value / 10 <= le) AS n FROM events, bd GROUP BY ALL)"
+HIST = "bd AS (SELECT unnest([0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0, 'inf'::DOUBLE]::DOUBLE[]) AS le), hg AS (SELECT event_type, le, count(*) FILTER (value / 10 <= le) AS n FROM events, bd GROUP BY ALL)"
 register("histogram", lambda s, d: U.histogram(latencies(s, d), ["event_type"]).withColumn("le", F.col("le").cast("string")), f"WITH {HIST} SELECT event_type, CASE WHEN isinf(le) THEN 'Infinity' ELSE le::VARCHAR END AS le, n FROM hg")
 register("histogram_quantile", lambda s, d: U.histogram_quantile(U.histogram(latencies(s, d), ["event_type"]), ["event_type"], 0.95).withColumn("quantile", F.round("quantile", 6)), f"""WITH {HIST}, b AS (SELECT *, coalesce(lag(n) OVER w, 0) AS below, coalesce(lag(le) OVER w, 0) AS lo, max(n) OVER (PARTITION BY event_type) * 0.95::DOUBLE AS target FROM hg WINDOW w AS (PARTITION BY event_type ORDER BY le))
 SELECT event_type, round(CASE WHEN isinf(le) THEN lo ELSE lo + (le - lo) * (target - below) / (n - below) END, 6) AS quantile FROM b WHERE n >= target QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY le) = 1""")

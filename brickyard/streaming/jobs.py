@@ -38,13 +38,18 @@ def new_transitions(status: DataFrame) -> DataFrame:
     return status.withWatermark("at", LATE).dropDuplicatesWithinWatermark(["doc_id", "stage"])
 
 
+def _timed(events: DataFrame) -> DataFrame:
+    """With a watermark; a time without zone is read in the session's zone."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", LATE)
+
+
 def live_rates(events: DataFrame, keys: list[str], width: str = "1 minute") -> DataFrame:
-    return usage.rate_per_minute(events.withWatermark("ts", LATE), keys, width)
+    return usage.rate_per_minute(_timed(events), keys, width)
 
 
 def live_buckets(events: DataFrame, keys: list[str], width: str = "5 minutes", slide: str = "1 minute", bounds: list[float] = usage.BOUNDS) -> DataFrame:
     """Bucket counts over sliding windows: (keys, start, le, n)."""
     counts = [F.count_if(F.col("seconds") <= b).alias(f"b{i}") for i, b in enumerate(bounds)]
-    wide = events.withWatermark("ts", LATE).groupBy(F.window("ts", width, slide).alias("w"), *keys).agg(*counts, F.count("seconds").alias("every"))
+    wide = _timed(events).groupBy(F.window("ts", width, slide).alias("w"), *keys).agg(*counts, F.count("seconds").alias("every"))
     rows = F.array(*[F.struct(F.lit(b).alias("le"), F.col(f"b{i}").alias("n")) for i, b in enumerate(bounds)], F.struct(F.lit(float("inf")).alias("le"), F.col("every").alias("n")))
     return wide.select(*keys, F.col("w.start").alias("start"), F.explode(rows).alias("r")).select(*keys, "start", "r.*")
