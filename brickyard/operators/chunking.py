@@ -226,25 +226,36 @@ def _table_rows(html: Column) -> Column:
     return F.transform(F.regexp_extract_all(html, F.lit("(?s)<tr>.*?</tr>"), 0), html_cells)
 
 
+def _bound(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def table_to_prose(html: Column) -> Column:
     """Each data row as "label: value, ..."; empty cells and rows are left out."""
-    rows = _table_rows(html)
-    head = F.get(rows, F.lit(0))
 
-    def cell(c: Column, i: Column) -> Column:
-        label = F.coalesce(F.get(head, i), F.lit(""))
-        return F.when(c == "", c).when(label == "", c).otherwise(F.concat(label, F.lit(": "), c))
+    def lines(rows: Column) -> Column:
+        head = F.get(rows, F.lit(0))
+
+        def cell(c: Column, i: Column) -> Column:
+            label = F.coalesce(F.get(head, i), F.lit(""))
+            return F.when((c == "") | (label == ""), c).otherwise(F.concat(label, F.lit(": "), c))
 
-    lines = F.transform(F.slice(rows, 2, F.greatest(F.size(rows) - 1, F.lit(0))), lambda r: F.array_join(F.filter(F.transform(r, cell), lambda c: c != ""), ", "))
-    text = F.array_join(F.filter(lines, lambda x: x != ""), "\n")
-    return F.when(text == "", F.regexp_replace(html, "<[^>]+>", " ")).otherwise(text)
+        each = F.transform(F.slice(rows, 2, F.greatest(F.size(rows) - 1, F.lit(0))), lambda r: F.array_join(F.filter(F.transform(r, cell), lambda c: c != ""), ", "))
+        return F.array_join(F.filter(each, lambda x: x != ""), "\n")
+
+    text = _bound(_table_rows(html), lines)
+    return F.coalesce(F.nullif(text, F.lit("")), F.regexp_replace(html, "<[^>]+>", " "))
 
 
 def table_to_plain(html: Column) -> Column:
     """Rows of cells joined by bars, without labels."""
-    rows = _table_rows(html)
-    lines = F.transform(rows, lambda r: F.array_join(F.filter(r, lambda c: c != ""), " | "))
-    return F.when(F.size(rows) == 0, F.regexp_replace(html, "<[^>]+>", " ")).otherwise(F.array_join(F.filter(lines, lambda x: x != ""), "\n"))
+
+    def lines(rows: Column) -> Column:
+        each = F.transform(rows, lambda r: F.array_join(F.filter(r, lambda c: c != ""), " | "))
+        return F.when(F.size(rows) > 0, F.array_join(F.filter(each, lambda x: x != ""), "\n"))
+
+    return F.coalesce(_bound(_table_rows(html), lines), F.regexp_replace(html, "<[^>]+>", " "))
 
 
 def tag_chunks(chunks: DataFrame, region: Column, source_type: Column, period: Column) -> DataFrame:

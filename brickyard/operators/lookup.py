@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from brickyard.functions.dims import REGION_NAMES
+from brickyard.functions.joins import in_blocks
 from brickyard.functions.text import match_words, name_tokens, trigram_similarity, trigrams
 
 MIN_KEPT = 2
@@ -95,7 +96,7 @@ def lookup(requests: DataFrame, prices: DataFrame) -> DataFrame:
     last = texts.join(raw, "anchor").filter("asked_region IS NULL OR asked_region = region").filter(F.size(F.array_except("words", "raw_tokens")) == 0).withColumn("tier", F.lit(2)).withColumn("need", F.lit(0))
     bare = plan.filter(F.size("words") == 0).select("request_id", F.col("region").alias("asked_region"), F.col("material_name").alias("asked_name"), F.col("manufacturer").alias("asked_maker"), "k")
     inside = F.contains(F.lower("material_name"), F.lower("asked_name")) & (F.col("asked_region").isNull() | (F.col("asked_region") == F.col("region")))
-    whole = stored.join(bare, inside).withColumn("tier", F.lit(1)).withColumn("need", F.lit(0))
+    whole = in_blocks(stored, bare, "request_id", inside).withColumn("tier", F.lit(1)).withColumn("need", F.lit(0))
     every = named.select(*base).unionByName(last.select(*base)).unionByName(whole.select(*base))
     # a row of tier 0 also counts in tier 1 at its own level
     best = every.groupBy("request_id", "tier").agg(F.min("need").alias("level"))
@@ -104,9 +105,10 @@ def lookup(requests: DataFrame, prices: DataFrame) -> DataFrame:
 
 
 def lookup_substring(requests: DataFrame, prices: DataFrame, k: int = 1) -> DataFrame:
-    """The older lookup: the whole name as a substring, newest first. requests must be a small table."""
+    """The older lookup: the whole name as a substring, newest first."""
     asked = requests.select("request_id", F.col("region").alias("asked_region"), F.lower("material_name").alias("asked"))
-    found = prices.join(F.broadcast(asked), F.contains(F.lower("material_name"), F.col("asked")) & (F.col("asked_region").isNull() | (F.col("asked_region") == F.col("region"))))
+    inside = F.contains(F.lower("material_name"), F.col("asked")) & (F.col("asked_region").isNull() | (F.col("asked_region") == F.col("region")))
+    found = in_blocks(prices, asked, "request_id", inside)
     order = Window.partitionBy("request_id").orderBy(F.desc_nulls_last("price_period"), F.desc("created_at"), "price_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("request_id", "rank", "price_id", "material_name")
 
@@ -141,9 +143,10 @@ def price_quality(prices: DataFrame) -> DataFrame:
 
 
 def price_spread(prices: DataFrame, phrases: DataFrame) -> DataFrame:
-    """(phrase, n, least, most) over names that contain the phrase; phrases is a short list."""
-    found = phrases.join(prices, F.contains(F.lower("material_name"), F.lower("phrase")), "left")
-    return found.groupBy("phrase").agg(F.count("price_id").alias("n"), F.min("price_ex_vat").alias("least"), F.max("price_ex_vat").alias("most"))
+    """(phrase, n, least, most) over names that contain the phrase."""
+    found = in_blocks(prices, phrases.withColumnRenamed("phrase", "found"), "found", F.contains(F.lower("material_name"), F.lower("found")))
+    spread = found.groupBy("found").agg(F.count("price_id").alias("n"), F.min("price_ex_vat").alias("least"), F.max("price_ex_vat").alias("most"))
+    return phrases.join(spread, F.col("phrase") == F.col("found"), "left").select("phrase", F.coalesce("n", F.lit(0)).alias("n"), "least", "most")
 
 
 def region_name(c: Column) -> Column:

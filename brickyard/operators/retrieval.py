@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from brickyard.functions.joins import in_blocks
 from brickyard.functions.text import count_tokens
 
 DEFAULT_K, DEFAULT_THRESHOLD = 5, 0.5
@@ -84,7 +85,8 @@ def search_regions(queries: DataFrame, chunks: DataFrame) -> DataFrame:
 
 def resolve_scope(requests: DataFrame, kbs: DataFrame, project_kbs: DataFrame) -> DataFrame:
     """(request_id, kb_id, place): all (system bases, then own), a project's bases, or one base."""
-    every = requests.filter("scope = 'all'").join(kbs, (F.col("owner") == "system") | (F.col("owner") == F.col("user_id"))).select("request_id", "kb_id", F.when(F.col("owner") == "system", 0).otherwise(1).alias("tier"))
+    owners = F.explode(F.array_distinct(F.array(F.lit("system"), "user_id")))
+    every = requests.filter("scope = 'all'").withColumn("owner", owners).join(kbs, "owner").select("request_id", "kb_id", F.when(F.col("owner") == "system", 0).otherwise(1).alias("tier"))
     project = requests.filter("scope = 'project'").join(project_kbs, "project_id").select("request_id", "kb_id", F.lit(0).alias("tier"))
     one = requests.filter("scope = 'kb'").select("request_id", F.col("one_kb").alias("kb_id"), F.lit(0).alias("tier"))
     rows = every.unionByName(project).unionByName(one).groupBy("request_id", "kb_id").agg(F.min("tier").alias("tier"))
@@ -104,8 +106,8 @@ def drop_documents(chunks: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def gold(chunks: DataFrame, cases: DataFrame) -> DataFrame:
-    """(query_id, chunk_id): chunks that contain the case's target; cases is a short list."""
-    return chunks.select("chunk_id", "content").join(F.broadcast(cases), F.contains(F.lower("content"), F.lower("target"))).select("query_id", "chunk_id")
+    """(query_id, chunk_id): chunks that contain the case's target."""
+    return in_blocks(chunks.select("chunk_id", "content"), cases, "query_id", F.contains(F.lower("content"), F.lower("target"))).select("query_id", "chunk_id")
 
 
 def eval_retrieval(queries: DataFrame, ranked: DataFrame, gold_pairs: DataFrame) -> DataFrame:

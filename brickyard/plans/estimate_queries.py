@@ -86,8 +86,9 @@ def picked(s, d):
 
 def fixed_prices(s, d):
     """One price for each (region, slug) but stone in Asia, from the region table."""
-    slugs = s.createDataFrame([(x, float(i + 1) * 1000) for i, x in enumerate(["be_tong", "thep", "gach", "xi_mang", "cat", "son", "gach_lat", "da", "cat_san_lap", "thep_hinh", "ton_lop"])], "slug string, base double")
-    r = A.table(s, d, "region").crossJoin(F.broadcast(slugs)).filter("NOT (r_name = 'ASIA' AND slug = 'da')")
+    slugs = ["be_tong", "thep", "gach", "xi_mang", "cat", "son", "gach_lat", "da", "cat_san_lap", "thep_hinh", "ton_lop"]
+    each = F.explode(F.array(*[F.struct(F.lit(x).alias("slug"), F.lit((i + 1) * 1000.0).alias("base")) for i, x in enumerate(slugs)]))
+    r = A.table(s, d, "region").select("r_name", "r_regionkey", each.alias("x")).select("r_name", "r_regionkey", "x.*").filter("NOT (r_name = 'ASIA' AND slug = 'da')")
     return r.select(F.col("r_name").alias("region"), "slug", F.concat_ws("-", "r_name", "slug").alias("price_id"), (F.col("base") + F.col("r_regionkey")).alias("unit_price"))
 
 
@@ -103,7 +104,7 @@ def lines(s, d):
 
 register("cost_candidates", lambda s, d: E.candidates(E.demands(projects(s, d)), vn_prices(s, d)), None)
 register("cost_pick", picked, None)
-register("cost_lines", lambda s, d: lines(s, d).select("project_id", "slug", F.round("qty", 1).alias("qty"), "unit_price", F.round("subtotal", -1).alias("subtotal")), f"WITH {PROJECTS}, {FIXED} SELECT project_id, slug, round(qty, 1) AS qty, unit_price, round(subtotal, -1) AS subtotal FROM lines")
+register("cost_lines", lambda s, d: lines(s, d).select("project_id", "slug", "unit_price", F.round("subtotal", -1).alias("subtotal")), f"WITH {PROJECTS}, {FIXED} SELECT project_id, slug, unit_price, round(subtotal, -1) AS subtotal FROM lines")
 register("cost_totals", lambda s, d: E.estimate(lines(s, d)).select("project_id", F.round("total", -2).alias("total"), F.size("missing").alias("n_missing"), F.col("low").isNotNull().alias("whole")), f"WITH {PROJECTS}, {FIXED} SELECT project_id, round(total, -2) AS total, n_missing::INTEGER AS n_missing, n_missing = 0 AS whole FROM est")
 register("cost_budget", lambda s, d: E.area_for_budget(E.estimate(lines(s, d)), projects(s, d)).select("project_id", F.round("budget_area", 0).alias("budget_area")), f"WITH {PROJECTS}, {FIXED} SELECT p.project_id, CASE WHEN n_missing = 0 AND total > 0 AND area > 0 AND budget > 0 THEN round(round_even(budget / (total / area), 1), 0) END AS budget_area FROM projects p JOIN est USING (project_id)")
 register("cost_fallback", lambda s, d: E.with_fallback(fixed_prices(s, d).filter("slug <> 'thep'"), fixed_prices(s, d).filter("region <> 'AFRICA'").withColumn("unit_price", F.col("unit_price") * 10), E.demands(projects(s, d)).filter("slug IS NOT NULL")).select("region", "slug", "unit_price", "from_secondary"),

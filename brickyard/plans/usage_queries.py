@@ -23,7 +23,7 @@ register("usage_recent", lambda s, d: U.usage_recent(A.usage_records(s, d), 5).s
 register("usage_daily", lambda s, d: U.usage_daily(costs(s, d)).withColumn("cost_usd", F.round("cost_usd", 8)).withColumn("day", F.date_format("day", "yyyy-MM-dd")), f"WITH {DAILY} SELECT user_id, strftime(day, '%Y-%m-%d') AS day, round(cost_usd, 8) AS cost_usd, n_calls FROM d14")
 register("model_mix", lambda s, d: U.model_mix(costs(s, d), 3).select("user_id", "model", F.round("share", 4).alias("share")), f"WITH {COST}, m AS (SELECT user_id, model, sum(cost_usd) AS k FROM c GROUP BY ALL) SELECT user_id, model, round(k / CASE WHEN sum(k) OVER (PARTITION BY user_id) = 0 THEN 1 ELSE sum(k) OVER (PARTITION BY user_id) END * 100, 4) AS share FROM m QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY k DESC, model) <= 3")
 register("daily_delta", lambda s, d: U.daily_delta(U.usage_daily(costs(s, d))).select("user_id", F.date_format("day", "yyyy-MM-dd").alias("day"), F.round("change", 3).alias("change")), f"WITH {DAILY}, p AS (SELECT *, lag(cost_usd) OVER (PARTITION BY user_id ORDER BY day) AS prev FROM d14) SELECT user_id, strftime(day, '%Y-%m-%d') AS day, round(CASE WHEN prev > 0 THEN (cost_usd - prev) / prev * 100 WHEN prev IS NULL THEN NULL WHEN cost_usd > 0 THEN 100 ELSE 0 END, 3) AS change FROM p")
-register("daily_scale", lambda s, d: U.daily_scale(U.usage_daily(costs(s, d))).select("user_id", F.date_format("day", "yyyy-MM-dd").alias("day"), F.round("average", 7).alias("average"), F.round("of_max", 5).alias("of_max")), f"WITH {DAILY} SELECT user_id, strftime(day, '%Y-%m-%d') AS day, round(avg(cost_usd) OVER (PARTITION BY user_id), 7) AS average, round(CASE WHEN max(cost_usd) OVER (PARTITION BY user_id) > 0 THEN cost_usd / max(cost_usd) OVER (PARTITION BY user_id) ELSE 0 END, 5) AS of_max FROM d14")
+register("daily_scale", lambda s, d: U.daily_scale(U.usage_daily(costs(s, d))).select("user_id", F.date_format("day", "yyyy-MM-dd").alias("day"), F.round("average", 10).alias("average"), F.round("of_max", 5).alias("of_max")), f"WITH {DAILY} SELECT user_id, strftime(day, '%Y-%m-%d') AS day, round(avg(cost_usd) OVER (PARTITION BY user_id), 10) AS average, round(CASE WHEN max(cost_usd) OVER (PARTITION BY user_id) > 0 THEN cost_usd / max(cost_usd) OVER (PARTITION BY user_id) ELSE 0 END, 5) AS of_max FROM d14")
 register("request_counts", lambda s, d: U.request_counts(A.table(s, d, "events").select(F.col("event_type").alias("method"), (F.col("user_id") % 5).alias("endpoint"), F.when(F.col("event_id") % 9 == 0, 500).otherwise(200).alias("status"))), "SELECT event_type AS method, user_id % 5 AS endpoint, CASE WHEN event_id % 9 = 0 THEN 500 ELSE 200 END AS status, count(*) AS n FROM events GROUP BY ALL")
 
 
