@@ -7,9 +7,11 @@ templates generalises one run to ``<*>``: lines that differ in a few neighbourin
 fields share a template. A shorter line has one template, its masked tokens.
 
 A template recurs if at least ``min_docs`` documents hold it and no group of copies
-explains it: documents whose signature (the least md5 of their other lines) is the
-same are taken for copies of one, and no signature may account for more than half
-of the documents. All lines of a recurring template are dropped. Lines of fewer
+explains it: a document's signature is the least md5 of the leading eight tokens of
+its other lines, which edits of single words seldom touch. Documents of the same
+signature are taken for copies of one, and no signature may account for more than
+half of the documents; so groups of exact or near copies keep their text here, for
+a later near-duplicate stage to judge. All lines of a recurring template are dropped. Lines of fewer
 than ``min_tokens`` tokens have no template and stay.
 
 Templates travel as 64-bit hashes. Counting is two map-side combined aggregations,
@@ -32,11 +34,13 @@ from brickyard.llm.common import materialize, small_side
 LEAD, RUNS = 3, 4
 MIN_TOKENS, LONG_TOKENS = 4, 16
 MIN_DOCS = 5
+SIGNATURE_TOKENS = 8
 
 
 def _tokens(line: Column) -> Column:
     masked = F.when(line.rlike("[0-9]"), F.regexp_replace(line, "[^ ]*[0-9][^ ]*", "<*>")).otherwise(line)
-    return F.split(F.trim(masked), " +")
+    single = F.when(masked.contains("  "), F.regexp_replace(masked, " +", " ")).otherwise(masked)
+    return F.split(F.trim(single), " ")
 
 
 def template_keys(tokens: Column) -> Column:
@@ -54,7 +58,7 @@ def keyed_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, pos, keys, signature): one row for each line that has a template."""
     text = F.col("text").cast("string")
     rows = docs.filter(text.isNotNull()).select("doc_id", F.xxhash64(text).alias("text_hash"), F.split(text, "\n").alias("lines"))
-    rows = rows.withColumn("marks", F.transform("lines", lambda x: F.substring(F.md5(x.cast("binary")), 1, 15)))
+    rows = rows.withColumn("marks", F.transform("lines", lambda x: F.substring(F.md5(F.substring_index(x, " ", SIGNATURE_TOKENS).cast("binary")), 1, 15)))
     rows = rows.withColumn("least", F.slice(F.array_sort(F.array_distinct("marks")), 1, 2))
     rows = rows.select("doc_id", "text_hash", "marks", "least", F.posexplode("lines").alias("pos", "line"))
     own = F.get("marks", F.col("pos"))

@@ -77,7 +77,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 LINE_DEDUP_SQL = """
 WITH l AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos
            FROM documents WHERE text IS NOT NULL),
-marks AS (SELECT *, substr(md5(line), 1, 15) AS mark FROM l),
+marks AS (SELECT *, substr(md5(array_to_string(string_split(line, ' ')[1:8], ' ')), 1, 15) AS mark FROM l),
 leasts AS (SELECT doc_id, text, list_sort(list(DISTINCT mark))[1:2] AS least FROM marks GROUP BY ALL),
 toks AS (SELECT m.doc_id, m.text, m.pos, CASE WHEN m.mark = least[1] THEN least[2] ELSE least[1] END AS signature,
                 string_split_regex(trim(regexp_replace(line, '[^ ]*[0-9][^ ]*', '<*>', 'g'), ' '), ' +') AS t

@@ -78,6 +78,19 @@ def test_line_dedup_templates(spark):
         assert got[i].text == text and got[i].n_dropped == 0
 
 
+def test_line_dedup_keeps_near_copies(spark):
+    rnd = random.Random(3)
+    lines = [[f"w{chr(97 + rnd.randrange(26))}{chr(97 + rnd.randrange(26))}" for _ in range(60)] for _ in range(2)]
+    rows = []
+    for i in range(80):
+        own = [list(x) for x in lines]
+        for _ in range(2):
+            own[rnd.randrange(2)][rnd.randrange(60)] = f"edit{chr(97 + i % 26)}"
+        rows.append((i, "\n".join(map(" ".join, own))))
+    got = line_dedup.drop_recurring(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got.filter("n_dropped > 0").count() == 0
+
+
 def test_line_dedup_edges(spark):
     got = line_dedup.drop_recurring(edge_docs(spark)).collect()
     assert sorted(str((r.doc_id, r.text)) for r in got) == sorted(str((r.doc_id, r.text)) for r in edge_docs(spark).collect())
