@@ -34,8 +34,10 @@ ARTICLE_TAGS = frozenset("article main".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Words in class, id or role that name boilerplate.
 BOILER_NAMES = re.compile(
-    r"(?<![a-z])(?:nav\w*|menu\w*|header|masthead|footer|sidebars?|aside|ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner\w*|cookies?|consent|gdpr|notices?|popups?|modal|overlay|newsletter|subscri\w*|comments?|disqus|replies|reply|respond|share|sharing|social|related|recommend\w*|breadcrumbs?|pagination|pager|widgets?|login|signup|search|toolbar|copyright|complementary|contentinfo|navigation)(?![a-z])"
+    r"(?<![a-z])(?:nav\w*|menu\w*|header|masthead|foot\w*|side-?bar\w*|aside|ad(?:s|box|slot|unit|wrap\w*)?|advert\w*|adsense|sponsor\w*|promo\w*|banner\w*|cookie\w*|consent\w*|gdpr|notices?|popup\w*|modal\w*|overlay\w*|newsletter\w*|subscri\w*|comment\w*|disqus|replies|reply|respond|share\w*|sharing|social\w*|related\w*|recommend\w*|breadcrumb\w*|pagination|pager|widget\w*|login|signup|search\w*|toolbar|copyright|complementary|contentinfo)(?![a-z])"
 )
+#: Prefixes of names that only say what stands beside an element.
+BESIDE = re.compile(r"(?:with|has|no|without)[-_]")
 ARTICLE_NAMES = re.compile(r"(?<![a-z])(?:article\w*|post|entry|main|content|story|body)(?![a-z])")
 TAG = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*?)/?>|<(/?)([a-zA-Z][^\s/>]*)[^>]*>", re.DOTALL)
 CUT_TAG = re.compile(r"<[a-zA-Z/!?]")
@@ -59,6 +61,14 @@ LABELLED = [
 ]
 
 
+def names_boilerplate(name: str) -> bool:
+    """Whether one class, id or role names boilerplate; the header of a post does not."""
+    if BESIDE.match(name):
+        return False
+    found = BOILER_NAMES.findall(name)
+    return bool(found) and not (set(found) == {"header"} and ARTICLE_NAMES.search(name))
+
+
 def blocks(html: str) -> list[tuple[str, int, int, bool, bool, bool]]:
     """(text, words, linked words, boiler, control, article) of every flat block."""
     out: list[tuple[str, int, int, bool, bool, bool]] = []
@@ -110,7 +120,14 @@ def blocks(html: str) -> list[tuple[str, int, int, bool, bool, bool]]:
                             depth[k] -= x[k + 1]
                     del open_[i:]
                     break
-        elif name in RAW_TAGS:
+        elif open_ and (open_[-1][0] == "p" and name in BLOCK_TAGS or open_[-1][0] == name == "li"):
+            # an open paragraph or list item ends where the next block starts
+            for k in range(4):
+                depth[k] -= open_[-1][k + 1]
+            open_.pop()
+        if closing:
+            continue
+        if name in RAW_TAGS:
             end = re.compile(rf"</{name}[^>]*>", re.IGNORECASE).search(html, at)
             at = end.end() if end else size
         elif name not in VOID_TAGS and name not in ("p", "li", "td", "th", "tr", "option", "dd", "dt", "a", "b", "i", "em", "strong", "span") or (name in ("p", "li", "span") and m[3] and NAMED.search(m[3])):
@@ -119,7 +136,7 @@ def blocks(html: str) -> list[tuple[str, int, int, bool, bool, bool]]:
                 depth = [0, 0, 0, 0]
             named = " ".join(x for g in NAMED.findall(m[3] or "") for x in g if x).lower()
             article = name in ARTICLE_TAGS or bool(named and ARTICLE_NAMES.search(named))
-            boiler = name in BOILER_TAGS or name == "header" and not depth[2] or bool(named and name not in ("html", "body") and not article and BOILER_NAMES.search(named))
+            boiler = name in BOILER_TAGS or name == "header" and not depth[2] or name not in ("html", "body", "article", "main") and any(map(names_boilerplate, named.split()))
             mark = (name, boiler, name in FORM_TAGS, article, name in HIDDEN_TAGS)
             if any(mark[1:]):
                 flush()

@@ -43,6 +43,9 @@ def raw(name):
     ("<article><p>Kept.</p><section class=comments><p>Nice words by a reader</p></section></article><aside>More to read on this site</aside>", "Kept."),
     ("<head><title>t</title></head><script>var t='<p>x</p>'</script><article><p>A<br>b</p><!-- <p>no</p> --><style>p{}</style></article>", "A b"),
     ("<article><p>cut off <a href='x", "cut off"),
+    ("<article><p class=ad>Buy this<p>Text.</article><div class='main-nav'>Go</div>", "Text."),
+    ("<div class='content with-sidebar'><p>Body of it.</p><div class='post-header'>Title</div><ol class=commentlist><li>Nice</li></ol></div>", "Body of it.\nTitle"),
+    ("<article><div class='comment-content'>I agree</div><p>Said.</p></article>", "Said."),
     ("<div id=cookie-notice>We use cookies</div><header>Site</header><main><p>Main words.</p></main>", "Main words."),
 ])
 def test_html(html, text):
