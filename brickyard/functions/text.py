@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 #: Words of a price question that never narrow it down.
@@ -96,3 +96,8 @@ def parse_price(c: Column) -> Column:
 def strip(c: Column) -> Column:
     """Without white space at the ends."""
     return F.regexp_replace(c, r"^\s+|\s+$", "")
+
+
+def register_sql(spark: SparkSession) -> None:
+    """Makes ``fold(s)`` a temporary SQL function of the session."""
+    spark.sql(rf"CREATE OR REPLACE TEMPORARY FUNCTION fold(s STRING) RETURNS STRING RETURN regexp_replace(translate(lower(s), '{FOLD_FROM}', '{FOLD_TO}'), r'\p{{M}}+', '')")

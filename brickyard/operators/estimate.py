@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -14,6 +14,11 @@ MAX_CANDIDATES = 15
 LOW, HIGH = 0.85, 1.20
 
 
+def form_area(area_per_floor: Column, floors: Column) -> Column:
+    """The area of a form: one floor's area times its floors, one if not given."""
+    return area_per_floor * F.coalesce(floors, F.lit(1))
+
+
 def demands(projects: DataFrame) -> DataFrame:
     """(project_id, region, slug, qty, error): area times coefficient, finish included; bad areas give an error row."""
     c = coefficients(projects.sparkSession)

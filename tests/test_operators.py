@@ -6,7 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from brickyard.functions.text import clip_tokens, count_tokens, fold, match_words, parse_price
+from brickyard.functions.text import clip_tokens, count_tokens, fold, match_words, parse_price, register_sql
 from brickyard.operators import chunking, estimate, grids, hygiene, lookup, messages, prices, retrieval, takeoff, usage
 from brickyard.sources import files
 from brickyard.streaming import jobs
@@ -23,6 +23,11 @@ def test_text_functions(spark):
     assert values(spark, [("one, two three!",)], "t string", count_tokens(F.col("t")), clip_tokens(F.col("t"), 3)) == [(5, "one, two")]
 
 
+def test_fold_in_sql(spark):
+    register_sql(spark)
+    assert spark.sql("SELECT fold('Đường Bút Sơn') AS f").first().f == "duong but son"
+
+
 @pytest.mark.parametrize("text, value", [("1.234.567", 1234567.0), ("1 8.000", 18000.0), ("1.234,56", 1234.56), ("1,234.56", 1.23456), ("12,5", 12.5), ("12,500", 12500.0), ("0", None), ("liên hệ", None), ("", None), (None, None), ("1.2.3", None), ("giá 95.000 đ", 95000.0)])
 def test_parse_price(spark, text, value):
     assert values(spark, [(text,)], "t string", parse_price(F.col("t"))) == [(value,)]
@@ -242,3 +247,22 @@ def test_chunk_and_price_sinks(spark, tmp_path):
     prices.write_prices(spark.createDataFrame([price("a", "n" * 600)], PRICES), str(tmp_path / "prices"))
     row = spark.read.parquet(str(tmp_path / "prices")).first()
     assert len(row.material_name) == 512 and str(row.price_ex_vat) == "1000.00"
+
+
+def test_name_without_words_matches_by_substring(spark):
+    table = spark.createDataFrame([price("a", "Ống D Ø 6"), price("b", "Thép")], PRICES)
+    ask = spark.createDataFrame([("1", None, None, "Ø", None, None, [], 5), ("2", None, None, "ø 7", None, None, [], 5)], REQUESTS)
+    assert [(r.request_id, r.price_id) for r in lookup.lookup(ask, table).collect()] == [("1", "a")]
+
+
+def test_candidates_convert_units(spark):
+    table = spark.createDataFrame([price("t", "Xi măng rời", unit="tấn", amount=1500000.0), price("u", "Xi măng bao", unit="tấn", amount=9000000.0), price("o", "ống thép mạ", amount=20000.0), price("k", "thép thanh", amount=15000.0)], PRICES)
+    needs = spark.createDataFrame([("p", "HN", "xi_mang", 10.0, None), ("p", "HN", "thep", 5.0, None), ("p", "HN", "son", 1.0, None)], "project_id string, region string, slug string, qty double, error string")
+    found = estimate.candidates(needs, table)
+    assert {(r.slug, r.price_id, r.unit_no, r.unit_price) for r in found.collect()} == {("xi_mang", "t", 1, 1500.0), ("thep", "k", 0, 15000.0)}
+    lines = {r.slug: (r.unit_price, r.subtotal) for r in estimate.line_items(needs, estimate.pick(found)).collect()}
+    assert lines == {"xi_mang": (1500.0, 15000.0), "thep": (15000.0, 75000.0), "son": (None, None)}
+
+
+def test_form_area(spark):
+    assert values(spark, [(50.0, 3), (50.0, None)], "a double, n int", estimate.form_area(F.col("a"), F.col("n"))) == [(150.0,), (50.0,)]
