@@ -19,22 +19,23 @@ import hashlib
 import json
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brickyard.llm import pretokens
-from brickyard.llm.common import text_or_empty
+from brickyard.llm.common import small_batches, text_or_empty
 
 #: Words that a worker keeps; the cache is emptied beyond it.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 #: Characters of text that are encoded together.
-GROUP_CHARS = 2_000_000
+GROUP_CHARS = 1_000_000
 #: Lower-case mappings that later Unicode versions add to Python's.
 NEW_LOWER = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
 NEW_LOWER |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
@@ -178,7 +179,7 @@ class WordCache:
         return b"".join(ids), self.glue.join(decoded)
 
 
-def _groups(texts: pd.Series) -> Iterator[list[str]]:
+def _groups(texts: Iterable[str]) -> Iterator[list[str]]:
     group, chars = [], 0
     for t in texts:
         group.append(t)
@@ -190,7 +191,7 @@ def _groups(texts: pd.Series) -> Iterator[list[str]]:
         yield group
 
 
-def cached_blocks(model: BpeModel, texts: pd.Series, learn) -> Iterator[Iterator[tuple[bool, list[str]]]]:
+def cached_blocks(model: BpeModel, texts: Iterable[str], learn) -> Iterator[Iterator[tuple[bool, list[str]]]]:
     """For each text its blocks of pre-tokens; ``learn`` meets the words of a block before it is given out."""
     for group in _groups(texts):
         if len(group) == 1 and len(group[0]) > pretokens.LONG_TEXT:
@@ -212,6 +213,7 @@ def read_model(path: str) -> dict:
 
 
 def broadcast_model(spark: SparkSession, path: str):
+    small_batches(spark)
     return spark.sparkContext.broadcast(BpeModel(read_model(path)))
 
 
@@ -243,11 +245,14 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     """``docs`` with the columns ids (array of int) and n_tokens; columns of those names are replaced."""
     model = broadcast_model(docs.sparkSession, path)
 
-    @F.pandas_udf("array<int>")
-    def ids_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<int>")
+    def ids_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         cache = WordCache(model.value)
         for texts in batches:
-            yield pd.Series([np.frombuffer(b"".join(cache.parts(*b)[0] for b in blocks), "<u4").astype(np.int32) for blocks in cached_blocks(model.value, texts, cache.learn)])
+            each = [b"".join(cache.parts(*b)[0] for b in blocks) for blocks in cached_blocks(model.value, texts.to_pylist(), cache.learn)]
+            ends = np.cumsum([0, *map(len, each)]) // 4
+            flat = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(each))])
+            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
 
     return docs.withColumn("ids", ids_of(text_or_empty())).withColumn("n_tokens", F.size("ids").cast("long"))
 

@@ -53,3 +53,10 @@ def small_side(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFra
 
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Lower Spark's default of 10,000 rows an Arrow batch, which bounds a worker's memory on long texts."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) == 10_000:
+        spark.conf.set(name, str(rows))

@@ -28,6 +28,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from brickyard.llm.common import small_batches
+
 TRAIN_DOCS = 12_000
 MAX_WORDS = 80_000
 MAX_GRAMS = 120_000
@@ -35,8 +37,8 @@ ORDERS = (4, 3, 2, 1)
 UNKNOWN = "und"
 #: Added to every count.
 SMOOTH = 0.5
-CACHE_WORDS = 300_000
-GROUP_CHARS = 2_000_000
+CACHE_WORDS = 150_000
+GROUP_CHARS = 1_000_000
 
 letters = re.compile(r"[^\W\d_]+").findall
 
@@ -61,7 +63,9 @@ class LanguageModel:
     table: np.ndarray
     prior: np.ndarray
     cache: dict[str, int] = field(default_factory=dict)
-    extra: list[np.ndarray] = field(default_factory=list)
+    #: The table with the rows of cached unseen words after it, and how many rows are in use.
+    full: np.ndarray | None = None
+    used: int = 0
 
     def evidence(self, word: str) -> np.ndarray:
         """The row of a word that the table lacks."""
@@ -83,17 +87,26 @@ class LanguageModel:
         yield from self._judge(group)
 
     def _judge(self, group: list[list[str]]) -> Iterator[tuple[str, float]]:
+        if self.full is None:
+            self.full, self.used = self.table, len(self.table)
         new = set().union(*group) - self.cache.keys()
         if len(self.cache) + len(new) > CACHE_WORDS:
-            self.cache, self.extra = {}, []
+            self.cache, self.full, self.used = {}, self.table, len(self.table)
             new = set().union(*group)
-        base = len(self.table)
+        unseen = []
         for w in new:
             if (at := self.words.get(w)) is None:
-                at = base + len(self.extra)
-                self.extra.append(self.evidence(w))
+                at = self.used + len(unseen)
+                unseen.append(self.evidence(w))
             self.cache[w] = at
-        full = np.vstack([self.table, *self.extra]) if self.extra else self.table
+        end = self.used + len(unseen)
+        if end > len(self.full):
+            grown = np.empty((end + end // 4, len(self.languages)), np.float32)
+            grown[: self.used] = self.full[: self.used]
+            self.full = grown
+        if unseen:
+            self.full[self.used : end] = unseen
+        self.used, full = end, self.full
         for words in group:
             if not words or not self.languages:
                 yield UNKNOWN, 0.0
@@ -163,6 +176,7 @@ def fit(labelled: DataFrame, train_docs: int = TRAIN_DOCS, max_words: int = MAX_
 
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """``docs`` with lang_pred and score, from the text alone."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")
