@@ -63,8 +63,15 @@ def detect_header(grid: Column) -> Column:
     that follow belong to it.
     """
     cells = F.transform(F.slice(grid, 1, HEADER_ROWS), lambda r: F.transform(r, norm))
-    rows = F.transform(cells, lambda r: F.struct((F.size(F.filter(r, lambda c: c != "")) > 1).alias("row"), *[find_col(r, words).alias(k) for k, words in KEYWORDS.items()]))
     nothing = [F.lit(None).cast("int").alias(k) for k in COLUMNS]
+    any_word = "|".join(w for words in KEYWORDS.values() for w in words)
+
+    def hits(r: Column) -> Column:
+        # most rows hold no keyword at all, which one pattern over the whole row tells
+        row = (F.size(F.filter(r, lambda c: c != "")) > 1).alias("row")
+        return F.when(F.array_join(r, "\n").rlike(any_word), F.struct(row, *[find_col(r, words).alias(k) for k, words in KEYWORDS.items()])).otherwise(F.struct(row, *nothing))
+
+    rows = F.transform(cells, hits)
     start = F.struct(F.lit(0).alias("i"), F.lit(-1).alias("end"), F.lit(False).alias("over"), *nothing)
 
     def step(acc: Column, x: Column) -> Column:

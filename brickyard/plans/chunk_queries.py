@@ -52,7 +52,8 @@ ch AS (SELECT doc_id, i, closed AS txt, c_origin AS origin FROM f WHERE closed <
 st AS (SELECT doc_id, i, regexp_replace(txt, '^\\s+|\\s+$', '', 'g') AS content, origin FROM ch)
 SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INTEGER AS chunk_no, content, origin::INTEGER AS origin, {tok('content')}::INTEGER AS token_count FROM st WHERE content <> ''"""
 register("merge_sections", lambda s, d: C.merge_sections(sections(s, d)), MERGE)
-register("merge_by_run", lambda s, d: C.merge_sections(C.section_runs(sections(s, d).withColumn("chunk_id", (F.col("pos") / 8).cast("int"))), run="run"), None)
+BY_RUN = MERGE.replace("o AS (SELECT doc_id, chr(10) || section AS sec, row_number() OVER (PARTITION BY doc_id ORDER BY pos)", "o AS (SELECT doc_id * 100000 + dense_rank() OVER (PARTITION BY doc_id ORDER BY pos // 8) - 1 AS doc_id, chr(10) || section AS sec, row_number() OVER (PARTITION BY doc_id, pos // 8 ORDER BY pos)").replace("SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)", "SELECT doc_id // 100000 AS doc_id, doc_id % 100000 AS run, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)")
+register("merge_by_run", lambda s, d: C.merge_sections(C.section_runs(sections(s, d).withColumn("chunk_id", (F.col("pos") / 8).cast("int"))), run="run"), BY_RUN)
 
 
 def items(s, d):

@@ -54,7 +54,7 @@ register("extract_prices", lambda s, d: P.extract_prices(price_tables(s, d))[0].
          EXTRACT + "SELECT doc_id, table_no, material_category, material_name, unit, price_ex_vat, 'khong_ro' AS price_basis, manufacturer FROM f WHERE is_data AND price_ex_vat IS NOT NULL")
 register("extraction_warnings", lambda s, d: P.extract_prices(price_tables(s, d))[1].groupBy("doc_id", F.substring("warning", 1, 8).alias("kind")).agg(F.count(F.lit(1)).alias("n")),
          EXTRACT + "SELECT doc_id, 'no price' AS kind, count(*) AS n FROM f WHERE is_data AND price_ex_vat IS NULL GROUP BY 1 UNION ALL SELECT doc_id, 'no heade', count(*) FROM mp WHERE mapped = 0 GROUP BY 1")
-register("fill_unit", lambda s, d: P.fill_unit(P.numbered_rows(price_tables(s, d))).select("doc_id", "table_no", "row_no", "unit"), None)
+register("fill_unit", lambda s, d: P.fill_unit(P.numbered_rows(price_tables(s, d))).select("doc_id", "table_no", "row_no", "unit"), EXTRACT + "SELECT doc_id, table_no, ((table_no % 3 = 1)::INT + CASE WHEN table_no % 10 = 7 THEN rn ELSE rn - 1 END)::INTEGER AS row_no, unit FROM u")
 register("fill_category", lambda s, d: P.fill_groups(P.fill_unit(P.numbered_rows(price_tables(s, d)))).filter("is_data").groupBy("category").agg(F.count(F.lit(1)).alias("n")), EXTRACT + "SELECT material_category AS category, count(*) AS n FROM f WHERE is_data GROUP BY 1")
 register("detect_header", lambda s, d: price_tables(s, d).select("table_no", P.detect_header(F.col("grid")).alias("m")).select("table_no", "m.end", "m.name", "m.unit", "m.generic", "m.maker"), "SELECT DISTINCT l_orderkey AS table_no, CASE WHEN l_orderkey % 3 = 1 THEN 0 END::INTEGER AS \"end\", CASE WHEN l_orderkey % 3 = 1 THEN 1 END::INTEGER AS name, CASE WHEN l_orderkey % 3 = 1 THEN 2 END::INTEGER AS unit, CASE WHEN l_orderkey % 3 = 1 THEN 3 END::INTEGER AS generic, CASE WHEN l_orderkey % 3 = 1 THEN 4 END::INTEGER AS maker FROM lineitem")
 register("carry_mapping", lambda s, d: P.carry_mapping(price_tables(s, d)).select("doc_id", "table_no", F.col("mapping.name").alias("name")), "WITH t AS (SELECT DISTINCT l_orderkey // 10 AS doc_id, l_orderkey AS table_no FROM lineitem) SELECT doc_id, table_no, CASE WHEN max(CASE WHEN table_no % 3 = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY table_no) = 1 THEN 1 END::INTEGER AS name FROM t")
