@@ -116,5 +116,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that hold no test item."""
-    bad = contaminated(docs.select("doc_id", "text"), benchmark, **options).select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("bad_id")), "left_anti")
+    bad = materialize(contaminated(docs.select("doc_id", "text"), benchmark, **options).select(F.col("doc_id").alias("bad_id")).distinct(), "decontam-bad")
+    return docs.join(small_side(bad, bad.count()), F.col("doc_id").eqNullSafe(F.col("bad_id")), "left_anti")

@@ -260,5 +260,5 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     Rows without a doc_id stay; a repeated doc_id keeps each of its rows.
     """
     found = near_duplicates(docs.select("doc_id", "text"), **options)
-    others = found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    others = materialize(found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "simhash-others")
+    return docs.join(small_side(others, others.count()), "doc_id", "left_anti").select(*docs.columns)
