@@ -169,6 +169,14 @@ def test_token_counts(spark):
     assert token_count.count_tokens(empty_docs(spark), queries.BYTE_BPE).collect() == []
 
 
+def test_token_counts_of_a_repeated_long_run(spark):
+    run = "".join(random.Random(2).choices("bcdfghjklmnpqrstvwxz", k=120_000))
+    tok = tokenizers.Tokenizer.from_file(queries.BYTE_BPE)
+    n = len(tok.encode(run, add_special_tokens=False).ids)
+    docs = spark.createDataFrame([(i, run) for i in range(3)], "doc_id long, text string")
+    assert n > 65_535 and {r.n_tokens for r in token_count.count_tokens(docs, queries.BYTE_BPE).collect()} == {n}
+
+
 # --- 5 top-k
 
 
