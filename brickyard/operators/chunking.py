@@ -136,18 +136,22 @@ def _take(texts: Column, budget: int, above: bool) -> Column:
     return F.aggregate(texts, F.struct(F.lit("").alias("t"), F.lit(budget).alias("left")), text_step)["t"]
 
 
-def add_table_context(chunks: DataFrame, budget: int = CONTEXT_TOKENS, reach: int = 64) -> DataFrame:
+def add_table_context(chunks: DataFrame, budget: int = CONTEXT_TOKENS) -> DataFrame:
     """Adds context_above and context_below to table chunks, empty elsewhere; other tables are skipped.
 
-    At most ``budget`` texts can be needed on a side, since a non-empty text has a
-    token; ``reach`` bounds the frame that is held for a row.
+    A text is wanted while the texts between it and the table have less than ``budget``
+    tokens, so each side is a range of the document's running token count, however
+    many chunks lie in it. At most ``budget`` texts with a token are in a range.
     """
-    w = Window.partitionBy("doc_id").orderBy("place")
-    text = F.when(F.col("chunk_type") == "text", F.col("content"))
-    above = F.collect_list(text).over(w.rowsBetween(-reach, -1))
-    below = F.collect_list(text).over(w.rowsBetween(1, reach))
-    table = F.col("chunk_type") == "table"
-    out = chunks.withColumn("a", above).withColumn("b", below)
+    own = Window.partitionBy("doc_id")
+    is_text, table = F.col("chunk_type") == "text", F.col("chunk_type") == "table"
+    n = F.when(is_text, count_tokens(F.col("content"))).otherwise(0)
+    text = F.when(is_text & F.col("content").isNotNull(), F.struct(F.col("place"), F.col("content")))
+    out = chunks.withColumn("n", n).withColumn("last", F.sum("n").over(own.orderBy("place"))).withColumn("first", F.col("last") - F.col("n"))
+    out = out.withColumn("a", F.collect_list(text).over(own.orderBy("last").rangeBetween(min(1 - budget, 0), 0)))
+    out = out.withColumn("b", F.collect_list(text).over(own.orderBy("first").rangeBetween(0, max(budget - 1, 0))))
+    nearby = lambda c, wanted: F.transform(F.array_sort(F.filter(c, wanted)), lambda x: x["content"])
+    out = out.withColumn("a", nearby("a", lambda x: x["place"] < F.col("place"))).withColumn("b", nearby("b", lambda x: x["place"] > F.col("place"))).drop("n", "last", "first")
     return out.withColumn("context_above", F.when(table, _take(F.reverse("a"), budget, True)).otherwise("")).withColumn("context_below", F.when(table, _take(F.col("b"), budget, False)).otherwise("")).drop("a", "b")
 
 

@@ -59,6 +59,15 @@ def test_table_context_and_split(spark):
     assert chunking.split_oversized(c, 5).filter("place = 2").count() == 0
 
 
+def test_table_context_reaches_the_budget(spark):
+    kinds = [("text", f"word{i} ") for i in range(200)] + [("table", "<table></table>")] * 100 + [("text", " ")] + [("text", f"word{i} ") for i in range(200, 400)]
+    rows = [(1, i, kind, content) for i, (kind, content) in enumerate(kinds)]
+    got = chunking.add_table_context(spark.createDataFrame(rows, "doc_id long, place int, chunk_type string, content string"))
+    above, below = "".join(f"word{i} " for i in range(72, 200)), " " + "".join(f"word{i} " for i in range(200, 328))
+    assert {(r.context_above, r.context_below) for r in got.filter("chunk_type = 'table'").collect()} == {(above, below)}
+    assert got.columns == ["doc_id", "place", "chunk_type", "content", "context_above", "context_below"]
+
+
 def test_merged_and_ditto_cells(spark):
     cells = [(1, r, 1, raw, cov) for r, (raw, cov) in enumerate([("A", False), ("", True), ("-nt-", False), ("", False), ("-", False)], 1)]
     got = grids.fill_merged(spark.createDataFrame(cells, "table_no long, row_no int, col_no int, raw string, covered boolean")).orderBy("row_no").collect()
