@@ -12,7 +12,9 @@ its other lines, which edits of single words seldom touch. Documents of the same
 signature are taken for copies of one, and no signature may account for more than
 half of the documents; so groups of exact or near copies keep their text here, for
 a later near-duplicate stage to judge. All lines of a recurring template are dropped. Lines of fewer
-than ``min_tokens`` tokens have no template and stay.
+than ``min_tokens`` tokens have no template and stay. LINE_DEDUP_SQL counts a document
+once for each line that has the template; ``by_document``, as in the pipeline, counts
+it once.
 
 Templates travel as 64-bit hashes. Counting is two map-side combined aggregations,
 first by template and signature, so a template that a third of all lines shares
@@ -67,18 +69,20 @@ def keyed_lines(docs: DataFrame) -> DataFrame:
     return rows.filter(F.size("tokens") >= MIN_TOKENS).select("doc_id", "text_hash", "pos", "signature", template_keys(F.col("tokens")).alias("keys"))
 
 
-def recurring(lines: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """(key, n_docs): the templates to drop."""
-    each = lines.select("signature", F.explode("keys").alias("key"))
+def recurring(lines: DataFrame, min_docs: int = MIN_DOCS, by_document: bool = False) -> DataFrame:
+    """(key, n_docs): the templates to drop. ``by_document`` counts a document once for a template, else each of its lines."""
+    each = lines.select("doc_id", "text_hash", "signature", F.explode("keys").alias("key"))
+    if by_document:
+        each = each.groupBy("key", "doc_id", "text_hash").agg(F.min("signature").alias("signature"))
     counted = each.groupBy("key", "signature").agg(F.count(F.lit(1)).alias("n"))
     total = counted.groupBy("key").agg(F.sum("n").alias("n_docs"), F.max("n").alias("most"))
     return total.filter((F.col("n_docs") >= min_docs) & (F.col("most") * 2 <= F.col("n_docs"))).select("key", "n_docs")
 
 
-def drop_recurring(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """``docs`` without recurring lines, with n_lines and n_dropped."""
+def drop_recurring(docs: DataFrame, min_docs: int = MIN_DOCS, by_document: bool = False) -> DataFrame:
+    """``docs`` without recurring lines, with n_lines and n_dropped; ``by_document`` as in :func:`recurring`."""
     lines = materialize(keyed_lines(docs.select("doc_id", "text")), "dedup-lines")
-    found = materialize(recurring(lines, min_docs), "dedup-templates")
+    found = materialize(recurring(lines, min_docs, by_document), "dedup-templates")
     each = lines.select("doc_id", "text_hash", "pos", F.explode("keys").alias("key"))
     hits = each.join(small_side(found.select("key"), found.count()), "key", "left_semi")
     dropped = materialize(hits.groupBy("doc_id", "text_hash").agg(F.collect_set("pos").alias("dropped_at")), "dedup-hits")

@@ -100,6 +100,15 @@ def test_line_dedup_edges(spark):
     assert line_dedup.drop_recurring(empty_docs(spark)).collect() == []
 
 
+def test_line_stage_counts_documents(spark):
+    table = "\n".join(f"row {i} of the table with {i} parts" for i in range(3))
+    rows = [(i, f"own words of text {c * 4} stand here\n" + table) for i, c in enumerate("ab")]
+    rows += [(10 + i, f"other words {c * 5} begin another text\nthis line stands in five documents") for i, c in enumerate("cdefg")]
+    docs = spark.createDataFrame([(i, text, "en", "s", len(text)) for i, text in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.text for r in corpus_pipeline.line_dedup_stage(spark, docs, SF).collect()}
+    assert got == {i: text if i < 10 else text.split("\n")[0] for i, text in rows}
+
+
 # --- 3, 4 tokens
 
 tokenizers = pytest.importorskip("tokenizers")
