@@ -1,18 +1,26 @@
 """Main-text extraction from HTML by a decision tree over flat text blocks.
 
-A page is cut into flat text blocks at block-level tags. Each block has its word
-count and link density, those of the blocks before and after it, and three marks
-from its open tags: inside a boilerplate container, inside a form control or
-list of links, inside an article. A small decision tree, trained on the labelled
-table below, keeps or drops the block.
-
-Null html gives empty text, as does a page without a main block; malformed or cut
-markup never fails; repeated rows each give a row; extra columns are ignored.
+A page is cut into flat text blocks at block-level tags. A block's features are its
+word count and link density, those of the blocks before and after it, and where it
+stands: in a boilerplate element, a form, a container named as boilerplate, an
+article, a heading. A decision tree trained on the labelled table of
+:mod:`brickyard.llm.html_labelled` keeps or drops it. A name is a weak feature: it
+counts only if all of its words say so (``cookie-notice``, not ``share-of-wealth``).
+
+The scan is linear in the page: a tag ends at ``>``, and a ``<`` that meets another
+``<`` first is text; a quote matters only after ``=``; closing tags pop what they
+close and are ignored when nothing of their name is open.
+
+Null html gives empty text, as does a page without a main block; broken or cut
+markup never fails, and a tag cut off at the end of the page is dropped; repeated
+rows each give a row; null ids and urls stay; an empty table gives no rows; extra
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from html import unescape
@@ -22,158 +30,215 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brickyard.llm.common import small_batches
+from brickyard.llm.html_labelled import PAGES
+
 #: Elements that start and end a text block.
 BLOCK_TAGS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements whose content is no text of the page.
-HIDDEN_TAGS = frozenset("script style noscript template svg math iframe object canvas audio video head".split())
+HIDDEN_TAGS = frozenset("script style noscript template svg math iframe object canvas audio video head title".split())
 RAW_TAGS = frozenset("script style".split())
 #: Containers that never hold main text, and form controls.
 BOILER_TAGS = frozenset("nav footer aside menu dialog".split())
 FORM_TAGS = frozenset("form button select textarea label fieldset input".split())
 ARTICLE_TAGS = frozenset("article main".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Words in class, id or role that name boilerplate.
-BOILER_NAMES = re.compile(
-    r"(?<![a-z])(?:nav\w*|menu\w*|header|masthead|foot\w*|side-?bar\w*|aside|ad(?:s|box|slot|unit|wrap\w*)?|advert\w*|adsense|sponsor\w*|promo\w*|banner\w*|cookie\w*|consent\w*|gdpr|notices?|popup\w*|modal\w*|overlay\w*|newsletter\w*|subscri\w*|comment\w*|disqus|replies|reply|respond|share\w*|sharing|social\w*|related\w*|recommend\w*|breadcrumb\w*|pagination|pager|widget\w*|login|signup|search\w*|toolbar|copyright|complementary|contentinfo)(?![a-z])"
-)
-#: Prefixes of names that only say what stands beside an element.
-BESIDE = re.compile(r"(?:with|has|no|without)[-_]")
-ARTICLE_NAMES = re.compile(r"(?<![a-z])(?:article\w*|post|entry|main|content|story|body)(?![a-z])")
-TAG = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*?)/?>|<(/?)([a-zA-Z][^\s/>]*)[^>]*>", re.DOTALL)
-CUT_TAG = re.compile(r"<[a-zA-Z/!?]")
-NAMED = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
-FEATURES = ("words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "boiler", "control", "article")
-
-#: The labelled table: pages whose blocks are labelled in order, m for main text and b for boilerplate.
-LABELLED = [
-    ("<body><nav><ul><li><a href=/>Home</a></li><li><a href=/n>News of the day</a></li></ul></nav><article><h1>A title</h1><p>The first sentence of a text that goes on for a while and says something.</p><p>Short.</p></article><footer>&copy; 2020 Some Site. All rights reserved by the owners of it.</footer></body>", "bbmmmb"),
-    ("<div class=ad>Buy now, only today and only here.</div><article><h1>Name of the page</h1><p>Yes.</p><p>Another paragraph with <a href=x>one link</a> and many more plain words around it to read.</p></article><aside><p>Related stories that you may like to read next on this site</p></aside>", "bmmmb"),
-    ("<header><p>The Daily Paper, all the news since 1900</p></header><main><p>Long ago there was a town in the hills where nobody had a clock and all were on time.</p><p><a href=x>Linked line</a></p><div class='comments'><p>I liked this text a lot, thank you for writing it down for all of us.</p></div></main>", "bmmb"),
-    ("<article><p>Words before the form that belong to the main text of the page.</p><form><label>Your mail address</label><button>Subscribe to our letter</button></form><p>Words after it.</p></article>", "mbbm"),
-    ("<div id=cookie-notice>We use cookies to make this site work and to learn how it is used by readers.</div><div><p>There is no article tag here but this paragraph is long enough to be read as the main text of the page, with some thirty words in all to say so.</p><p>And a second long paragraph follows it, which again has rather many words and no link at all in any place of it.</p></div><div><a href=a>One</a> <a href=b>Two</a> <a href=c>Three</a></div>", "bmmb"),
-    ("<div class='sidebar'><p>Popular this week: a long list of titles which fills many lines of text in the margin of the page.</p></div><article><p>Main.</p><ul><li>First point of the list</li><li>Second point</li></ul><div class='advert'>Sponsored: the best shoes that money can buy are on sale now.</div><blockquote>Quoted words in the text.</blockquote></article>", "bmmmbm"),
-    ("<ul><li><a href=a>Sports</a></li><li><a href=b>Weather today</a></li></ul><div><p>Plain pages without any sign of structure still have long blocks of running text, and those are what a reader came for in the first place.</p></div><p>Terms apply</p>", "bbmb"),
-    ("<article><h1>Only a title</h1><p>x</p><nav><a href=1>1</a> <a href=2>2</a></nav></article><footer><p>Contact</p></footer>", "mmbb"),
-    ("<p>Skip to the text</p><article><h1>On long and short blocks</h1><p>A long block of an article has rather more words than the blocks that stand around the text, so that its word count alone would tell it from them.</p><p>Yes.</p><p>No.</p><p>Another long block follows the two short ones in this article, and it too has more than thirty words, as the blocks of running text in an article do in most cases that we have met so far.</p><p>It ends.</p><p><a href=x>See the second part</a></p></article><p>Terms apply</p><p>Imprint and contact</p>", "bmmmmmmmbb"),
-    ("<article><p>So.</p></article><p>Log in</p>", "mb"),
-    ("<section class='comments'><p>First!</p><p>A very long remark by a reader who has a great deal to say about the text above and who says it at length, twice, with many words.</p></section>", "bb"),
-    ("<form><p>Please tell us what you think of our pages so that we can make them better for you and for all.</p><select><option>Good</option></select></form>", "bb"),
-]
-
-
-def names_boilerplate(name: str) -> bool:
-    """Whether one class, id or role names boilerplate; the header of a post does not."""
-    if BESIDE.match(name):
-        return False
-    found = BOILER_NAMES.findall(name)
-    return bool(found) and not (set(found) == {"header"} and ARTICLE_NAMES.search(name))
-
-
-def blocks(html: str) -> list[tuple[str, int, int, bool, bool, bool]]:
-    """(text, words, linked words, boiler, control, article) of every flat block."""
-    out: list[tuple[str, int, int, bool, bool, bool]] = []
-    open_: list[tuple[str, bool, bool, bool, bool]] = []  # tag, boiler, control, article, hidden
-    depth = [0, 0, 0, 0]
+#: Elements that are containers only if they have a class, id or role.
+LEAF_TAGS = frozenset("p li span td th tr option dd dt".split())
+INLINE_TAGS = frozenset("a b i em strong u s small big sub sup font code".split())
+#: Words that name boilerplate, words that name an article, and words that say nothing by themselves.
+BOILER_WORDS = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promos promoted nav navbar navigation menu menus header masthead footer sidebar aside banner cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe comment comments commentlist disqus reply replies respond share sharing social related recommended breadcrumb breadcrumbs pagination pager login signup search toolbar copyright complementary contentinfo".split())
+ARTICLE_WORDS = frozenset("article post entry story content body main text".split())
+GLUE_WORDS = frozenset("site page top bottom left right upper lower primary secondary global inner outer wrapper wrap container box block area section slot unit bar list item items row column col group panel widget widgets link links button buttons icon icons form title the of in for by".split())
+NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+TAG_NAME = re.compile(r"</?+([a-zA-Z][^\s/><]*+)")
+#: The rest of a tag: quotes bind only after an equals sign.
+TAG_REST = re.compile(r"""[^<>"'=]*+(?:(?:=\s*+(?:"[^"]*+"|'[^']*+')?+|["'])[^<>"'=]*+)*+""")
+ATTRIBUTE = re.compile(r"""([^\s=/"'<>]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]*+)))?+""")
+NAMING = re.compile(r"class|id|role", re.IGNORECASE)
+FEATURES = ("words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "boiler", "control", "named", "article", "heading")
+DEPTH, LEAST = 9, 2
+
+
+def name_says(name: str) -> tuple[bool, bool]:
+    """(boilerplate, article) of one class, id or role: all its words must agree."""
+    parts = {p.lower() for p in NAME_PARTS.findall(name)}
+    if not parts <= BOILER_WORDS | ARTICLE_WORDS | GLUE_WORDS:
+        return False, False
+    boiler = parts & BOILER_WORDS
+    own = bool(boiler) and not (boiler == {"header"} and parts & ARTICLE_WORDS)
+    return own, not boiler and bool(parts & ARTICLE_WORDS)
+
+
+@lru_cache(10_000)
+def naming(attributes: str) -> tuple[bool, bool]:
+    """(boilerplate, article) by the class, id and role among the attributes of a tag."""
+    names = [n for a in ATTRIBUTE.finditer(attributes) if a[1].lower() in ("class", "id", "role") for n in (a[2] or a[3] or a[4] or "").split()]
+    says = [name_says(n) for n in names]
+    return any(s[0] for s in says), any(s[1] for s in says)
+
+
+def tags(html: str) -> Iterator[tuple[str, str, bool, str]]:
+    """(text before it, tag name, closing, attributes) of each tag; the last has no name."""
+    at, size, last = 0, len(html), html.rfind(">")
+    text_from = 0
+    while True:
+        at = html.find("<", at)
+        if at < 0:
+            break
+        second = html[at + 1 : at + 2]
+        if second in ("!", "?") or second == "/" and not html[at + 2 : at + 3].isalpha():
+            comment = html.startswith("<!--", at)
+            end = html.find("-->" if comment else ">", at + 4 if comment else at)
+            yield html[text_from:at], "!", False, ""
+            at = text_from = size if end < 0 else end + (3 if comment else 1)
+            continue
+        named = TAG_NAME.match(html, at)
+        if not named:
+            at += 1
+            continue
+        if at > last:
+            yield html[text_from:at], "", False, ""
+            return
+        rest = TAG_REST.match(html, named.end())
+        if rest.end() == size:
+            yield html[text_from:at], "", False, ""
+            return
+        if html[rest.end()] == "<":
+            at += 1
+            continue
+        name = named[1].lower()
+        yield html[text_from:at], name, second == "/", rest[0]
+        at = text_from = rest.end() + 1
+        if name in RAW_TAGS and second != "/":
+            end = re.compile(f"</{name}", re.IGNORECASE).search(html, at)
+            at = text_from = end.start() if end else size
+    yield html[text_from:], "", False, ""
+
+
+def blocks(html: str) -> list[tuple]:
+    """(text, words, linked words, boiler, control, named, article, entry, heading) of every flat block."""
+    out: list[tuple] = []
+    open_: list[tuple] = []  # name, boiler, control, named, article, entry, hidden
+    names: Counter = Counter()
+    depth = [0] * 6
     text: list[str] = []
     links: list[str] = []
-    in_link = 0
+    in_link = heading = False
 
     def flush() -> None:
         if text:
             words = " ".join(unescape("".join(text)).split())
             if words:
-                out.append((words, words.count(" ") + 1, len(" ".join(links).split()), depth[0] > 0, depth[1] > 0, depth[2] > 0))
+                out.append((words, words.count(" ") + 1, len("".join(links).split()), *(d > 0 for d in depth[:5]), heading))
             text.clear()
             links.clear()
 
-    def put(part: str) -> None:
-        if part and not depth[3]:
-            text.append(part)
+    def pop() -> None:
+        gone = open_.pop()
+        names[gone[0]] -= 1
+        if any(gone[1:]):
+            flush()
+        for k in range(6):
+            depth[k] -= gone[k + 1]
+
+    for before, name, closing, attributes in tags(html):
+        if before and not depth[5]:
+            text.append(before)
             if in_link:
-                links.append(unescape(part))
-
-    at, size = 0, len(html)
-    while at < size:
-        m = TAG.search(html, at)
-        if not m:
-            cut = CUT_TAG.search(html, at)
-            put(html[at : cut.start()] if cut else html[at:])
-            break
-        put(html[at : m.start()])
-        at = m.end()
-        name = (m[2] or m[5] or "").lower()
-        if not name:
-            continue
-        closing = (m[1] or m[4]) == "/"
+                links.append(unescape(before))
         if name == "br":
-            put(" ")
+            text.append(" ")
+            links.append(" ")
         elif name == "a":
-            in_link = 0 if closing else 1
-        if name in BLOCK_TAGS or name in FORM_TAGS:
+            in_link = not closing
+            links.append(" ")
+        elif name in BLOCK_TAGS or name in FORM_TAGS:
             flush()
+            heading = not closing and name in HEADINGS
         if closing:
-            for i in range(len(open_) - 1, -1, -1):
-                if open_[i][0] == name:
-                    flush()
-                    for x in open_[i:]:
-                        for k in range(4):
-                            depth[k] -= x[k + 1]
-                    del open_[i:]
-                    break
-        elif open_ and (open_[-1][0] == "p" and name in BLOCK_TAGS or open_[-1][0] == name == "li"):
-            # an open paragraph or list item ends where the next block starts
-            for k in range(4):
-                depth[k] -= open_[-1][k + 1]
-            open_.pop()
-        if closing:
+            if names[name]:
+                while open_[-1][0] != name:
+                    pop()
+                pop()
+            continue
+        if open_ and (open_[-1][0] == "p" and name in BLOCK_TAGS or open_[-1][0] == name == "li"):
+            pop()  # an open paragraph or list item ends where the next block starts
+        if name in VOID_TAGS or name in INLINE_TAGS or not name or name == "!":
             continue
-        if name in RAW_TAGS:
-            end = re.compile(rf"</{name}[^>]*>", re.IGNORECASE).search(html, at)
-            at = end.end() if end else size
-        elif name not in VOID_TAGS and name not in ("p", "li", "td", "th", "tr", "option", "dd", "dt", "a", "b", "i", "em", "strong", "span") or (name in ("p", "li", "span") and m[3] and NAMED.search(m[3])):
-            if name == "body" and depth[3]:
-                open_.clear()
-                depth = [0, 0, 0, 0]
-            named = " ".join(x for g in NAMED.findall(m[3] or "") for x in g if x).lower()
-            article = name in ARTICLE_TAGS or bool(named and ARTICLE_NAMES.search(named))
-            boiler = name in BOILER_TAGS or name == "header" and not depth[2] or name not in ("html", "body", "article", "main") and any(map(names_boilerplate, named.split()))
-            mark = (name, boiler, name in FORM_TAGS, article, name in HIDDEN_TAGS)
-            if any(mark[1:]):
-                flush()
-            open_.append(mark)
-            for k in range(4):
-                depth[k] += mark[k + 1]
+        boiler_name, article_name = naming(attributes) if NAMING.search(attributes) else (False, False)
+        if name in LEAF_TAGS and not (boiler_name or article_name):
+            continue
+        if name == "body":
+            while open_ and depth[5]:
+                pop()
+        container = name not in ("html", "body", "article", "main")
+        mark = (
+            name,
+            name in BOILER_TAGS or name == "header" and not depth[3] and not depth[4],
+            name in FORM_TAGS,
+            container and boiler_name,
+            name in ARTICLE_TAGS,
+            container and article_name,
+            name in HIDDEN_TAGS,
+        )
+        if any(mark[1:]):
+            flush()
+        open_.append(mark)
+        names[name] += 1
+        for k in range(6):
+            depth[k] += mark[k + 1]
     flush()
     return out
 
 
-def features(found: list[tuple[str, int, int, bool, bool, bool]]) -> np.ndarray:
-    """A row of FEATURES for each block."""
-    n = len(found)
-    words = np.array([b[1] for b in found], float)
-    density = np.array([b[2] for b in found], float) / words
-    padded = np.pad(words, 1), np.pad(density, 1)
-    marks = np.array([b[3:6] for b in found], float).reshape(n, 3)
-    return np.column_stack([words, density, padded[0][:-2], padded[1][:-2], padded[0][2:], padded[1][2:], marks])
+def features(found: list[tuple]) -> np.ndarray:
+    """A row of FEATURES for each block of one page.
 
+    ``article`` is 1 inside article or main, -1 outside on a page that has one; on a
+    page without, a half inside a container named as an article and else 0.
+    """
+    table = np.array([b[1:] for b in found], float)
+    words, density = table[:, 0], table[:, 1] / table[:, 0]
+    w, d = np.pad(words, 1), np.pad(density, 1)
+    inside, entry = table[:, 5], table[:, 6]
+    article = np.where(inside > 0, 1.0, -1.0) if inside.any() else entry / 2
+    return np.column_stack([words, density, w[:-2], d[:-2], w[2:], d[2:], table[:, 2:5], article, table[:, 7]])
 
-def train(rows: np.ndarray, labels: np.ndarray, depth: int = 5) -> tuple:
-    """A binary tree of (feature, cut, left, right), with a truth value for a leaf, by Gini impurity."""
-    if depth == 0 or labels.all() or not labels.any():
-        return (bool(labels.mean() >= 0.5),)
+
+def labelled(pages: str = PAGES) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels (true for main text) of the labelled table."""
+    rows, labels = [], []
+    for line in pages.strip().split("\n"):
+        items = [re.fullmatch(r"([mb])(\d+)(?:/(\d+))?([nfcaoeh]*)", item) for item in line.split()]
+        rows.append(features([("", int(m[2]), int(m[3] or 0), "n" in m[4], "f" in m[4], "c" in m[4], "a" in m[4], "e" in m[4], "h" in m[4]) for m in items]))
+        labels += [m[1] == "m" for m in items]
+    return np.vstack(rows), np.array(labels)
+
+
+def train(rows: np.ndarray, labels: np.ndarray, depth: int = DEPTH, least: int = LEAST) -> tuple:
+    """A binary tree of (feature, cut, left, right), with a truth value for a leaf, by Gini impurity.
+
+    Both sides of a split keep ``least`` rows; of equal splits the first feature wins.
+    """
     best = None
-    for f in (6, 7, 8, 1, 0, 2, 3, 4, 5):
-        values = np.unique(rows[:, f])
-        for cut in (values[1:] + values[:-1]) / 2:
-            left = rows[:, f] <= cut
-            p, q = labels[left].mean(), labels[~left].mean()
-            cost = left.sum() * p * (1 - p) + (~left).sum() * q * (1 - q)
-            if best is None or cost < best[0] - 1e-12:
-                best = cost, f, cut, left
-    if best is None:
+    if depth and labels.any() and not labels.all():
+        for f in range(rows.shape[1]):
+            values = np.unique(rows[:, f])
+            for cut in (values[1:] + values[:-1]) / 2:
+                left = rows[:, f] <= cut
+                if min(left.sum(), (~left).sum()) < least:
+                    continue
+                p, q = labels[left].mean(), labels[~left].mean()
+                cost = left.sum() * p * (1 - p) + (~left).sum() * q * (1 - q)
+                if best is None or cost < best[0] - 1e-12:
+                    best = cost, f, cut, left
+    if best is None or best[0] >= len(labels) * labels.mean() * (1 - labels.mean()) - 1e-12:
         return (bool(labels.mean() >= 0.5),)
     _, f, cut, left = best
-    return f, float(cut), train(rows[left], labels[left], depth - 1), train(rows[~left], labels[~left], depth - 1)
+    low, high = train(rows[left], labels[left], depth - 1, least), train(rows[~left], labels[~left], depth - 1, least)
+    return low if low == high else (f, float(cut), low, high)
 
 
 def judge(tree: tuple, rows: np.ndarray) -> np.ndarray:
@@ -188,31 +253,26 @@ def judge(tree: tuple, rows: np.ndarray) -> np.ndarray:
 
 @lru_cache
 def trained() -> tuple:
-    rows, labels = [], []
-    for html, marks in LABELLED:
-        found = blocks(html)
-        if len(found) != len(marks):
-            raise ValueError(f"{len(found)} blocks, {len(marks)} labels: {found}")
-        rows.append(features(found))
-        labels += [m == "m" for m in marks]
-    return train(np.vstack(rows), np.array(labels))
+    return train(*labelled())
 
 
-def main_text(html: str | None, tree: tuple) -> str:
-    found = blocks(html or "")
-    if not found:
-        return ""
-    return "\n".join(b[0] for b, keep in zip(found, judge(tree, features(found)), strict=True) if keep)
+def main_texts(htmls: list[str | None], tree: tuple) -> list[str]:
+    """The main text of each page; all their blocks are judged at once."""
+    found = [blocks(h or "") for h in htmls]
+    rows = [features(page) for page in found if page]
+    keep = iter(judge(tree, np.vstack(rows)).tolist() if rows else [])
+    return ["\n".join([b[0] for b in page if next(keep)]) for page in found]
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every row."""
     tree = trained()
+    small_batches(pages.sparkSession)
 
     @F.pandas_udf("string")
     def text_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for htmls in batches:
-            yield pd.Series([main_text(h, tree) for h in htmls], dtype=object)
+            yield pd.Series(main_texts(htmls.tolist(), tree), dtype=object)
 
     out = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", text_of(F.col("html").cast("string")).alias("text"))
     return out.withColumn("n_chars", F.length("text").cast("long"))

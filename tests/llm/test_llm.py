@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -49,7 +50,57 @@ def raw(name):
     ("<div id=cookie-notice>We use cookies</div><header>Site</header><main><p>Main words.</p></main>", "Main words."),
 ])
 def test_html(html, text):
-    assert html_extract.main_text(html, html_extract.trained()) == text
+    assert html_extract.main_texts([html], html_extract.trained()) == [text]
+
+
+WORDS = "it was a long day in the hills and the sun went down late".split()
+
+
+def prose(n, start=0):
+    return " ".join(WORDS[(start + i) % len(WORDS)] for i in range(n))
+
+
+#: Pages without article or main, and the blocks that are main text.
+HELD_OUT = [
+    (f"<body><div><h1>Title</h1><p>{prose(10)}</p></div></body>", ["Title", prose(10)]),
+    (f"<div><a href=/>Home</a></div><div><a href=/n>News</a></div><h1>A heading</h1><p>{prose(40)}</p><p>Short one.</p><p>{prose(30)}</p><h3>Related</h3><div><a href=a>another story to read</a></div><div><a href=b>and more</a></div>", ["A heading", prose(40), "Short one.", prose(30)]),
+    (f"<table><tr><td><a href=a>Start</a><td><a href=b>Contact</a></tr></table><div>{prose(60)}</div><div>{prose(25, 3)}</div><div><a href=c>Imprint</a></div>", [prose(60), prose(25, 3)]),
+    (f"<div id='share-of-wealth'><p>{prose(27)}</p></div>", [prose(27)]),
+    (f"<div class=content><h2>On it</h2><p>{prose(33)}</p></div><div class='share-buttons'><p>{prose(12)}</p></div>", ["On it", prose(33)]),
+    (f"<ul><li><a href=1>Sports</a></li><li><a href=2>Weather today</a></li></ul><p>{prose(50)}</p><form><label>Your mail</label><button>Subscribe</button></form>", [prose(50)]),
+    (f"<article><section class='modal-verbs'><p>{prose(20)}</p></section><p id=search-algorithms>{prose(3)}</p><section data-url='/x?id=related'><p>{prose(8)}</p></section></article>", [prose(20), prose(3), prose(8)]),
+    (f"<article><p>{prose(30)}</p><ul><li><a href=1>one two</a></li><li><a href=2>three four</a></li><li><a href=3>five</a></li></ul></article>", [prose(30)]),
+    ("<p>x <y and stay so all the week and then for most of the year</p>", ["x <y and stay so all the week and then for most of the year"]),
+]
+
+
+def test_html_held_out():
+    got = html_extract.main_texts([h for h, _ in HELD_OUT], html_extract.trained())
+    assert got == ["\n".join(t) for _, t in HELD_OUT]
+
+
+def test_html_tree_uses_neighbours():
+    used = set()
+
+    def walk(tree):
+        if len(tree) > 1:
+            used.add(html_extract.FEATURES[tree[0]])
+            walk(tree[2])
+            walk(tree[3])
+
+    tree = html_extract.trained()
+    walk(tree)
+    assert used >= {"words", "link_density", "link_density_before", "words_after", "link_density_after"}
+    assert html_extract.FEATURES[tree[0]] == "link_density"
+    rows, labels = html_extract.labelled()
+    assert (html_extract.judge(tree, rows) == labels).mean() > 0.97
+
+
+@pytest.mark.parametrize("html", ["<a " * 350_000, ("<div>" * 5 + "</i>" * 5) * 20_000, '<a ="' * 200_000, '<a "' * 200_000 + ">", "<!--" * 250_000, "<a =" + "= " * 500_000 + "<", "<p class=" + "a" * 1_000_000 + ">", "<script>" * 120_000, "<p class=" * 100_000])
+def test_html_is_linear(html):
+    began = time.time()
+    html_extract.main_texts([html], html_extract.trained())
+    assert time.time() - began < 4
 
 
 def test_html_pages(spark):
