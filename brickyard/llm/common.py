@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows below which a keyed side table is broadcast; beyond it a shuffled join runs.
-BROADCAST_ROWS = 500_000
+#: Bytes up to which a side table is broadcast; beyond it a shuffled join runs.
+BROADCAST_BYTES = 64 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -46,9 +46,9 @@ def discard(df: DataFrame) -> None:
     target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def small_side(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if its counted ``rows`` are within ``limit``."""
-    return F.broadcast(df) if rows <= limit else df
+def small_side(df: DataFrame, size: int, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if its ``size`` in bytes, from a count of its rows, is within ``limit``."""
+    return F.broadcast(df) if size <= limit else df
 
 
 def text_or_empty(column: str = "text") -> Column:

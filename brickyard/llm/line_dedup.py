@@ -1,29 +1,35 @@
 """Line deduplication with a log-template tree, in DataFrame functions only.
 
-A line is parsed at a fixed depth: its token count, then its first three tokens.
+A line is parsed at a fixed depth: its token count, then its two leading tokens.
 Tokens that hold a digit are variable fields and count as ``<*>`` everywhere. Below
-that path the rest of a long line is cut into four runs of tokens, and each of its
-templates generalises one run to ``<*>``: lines that differ in a few neighbouring
-fields share a template. A shorter line has one template, its masked tokens.
-
-A template recurs if at least ``min_docs`` documents hold it and no group of copies
-explains it: a document's signature is the least md5 of the leading eight tokens of
-its other lines, which edits of single words seldom touch. Documents of the same
-signature are taken for copies of one, and no signature may account for more than
-half of the documents; so groups of exact or near copies keep their text here, for
-a later near-duplicate stage to judge. All lines of a recurring template are dropped. Lines of fewer
-than ``min_tokens`` tokens have no template and stay. LINE_DEDUP_SQL counts a document
-once for each line that has the template; ``by_document``, as in the pipeline, counts
-it once.
-
-Templates travel as 64-bit hashes. Counting is two map-side combined aggregations,
-first by template and signature, so a template that a third of all lines shares
-leaves each task as a few rows. Recurring templates, and the hit list of affected
-documents, are broadcast only if a count shows them small; otherwise joins shuffle.
-
-Null text stays null with no lines; empty text is one empty line and stays; a
-document whose lines all recur gets empty text; rows keep their number and extra
-columns (columns named n_lines or n_dropped are replaced).
+that node the rest of the line is cut into four runs of tokens, and each of the
+line's templates generalises one run to ``<*>``: lines that differ in one field
+share a template, whatever the field's place behind the leading tokens. A line of
+fewer than five tokens has too few fixed tokens for that; it has one template, its
+masked tokens. A line without a token has none and stays.
+
+Counting is over texts, so exact copies of a document count once, and so do several
+lines of one text. A template is common if ``min_docs`` texts hold it. A text is
+independent if one of its lines is its own, or if it is a single line. A line is its
+text's own if none of its templates is common and, for a line of 16 tokens or more,
+none of its rough templates is, which keep one run and generalise the other three: so
+an edited copy of a common line is not. A common template recurs, and all its lines
+are dropped, if at least ``min_docs`` independent texts hold it and these are at least
+half of the texts that do. The other common templates are those of groups of near
+copies, whose texts have no line of their own; they stay for a near-duplicate stage to
+judge, which would otherwise find all of the group empty. Near copies of a single line
+are dropped: they cannot be told from a filled-in form.
+
+Templates and texts travel as 96-bit hashes, at which collisions between a trillion
+templates are unlikely (one in 100,000). Counts combine map-side, first by template and text, so a template
+that a third of all lines share leaves each task as a few rows. The common and the
+recurring templates and the texts to change are broadcast only if their counted bytes
+are few; else joins shuffle, the last one salted against texts with very many copies.
+
+Null text stays null with no lines; empty text is one empty line and stays; a text
+whose lines all recur becomes empty; an empty table gives no rows; rows keep their
+number, null and repeated ids included, and extra columns keep their values, but for
+columns named n_lines or n_dropped, which are replaced.
 """
 
 from __future__ import annotations
@@ -31,12 +37,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brickyard.llm.common import materialize, small_side
+from brickyard.llm.common import discard, materialize, small_side
 
-LEAD, RUNS = 3, 4
-MIN_TOKENS, LONG_TOKENS = 4, 16
+LEAD, RUNS = 2, 4
+#: Tokens from which a line has templates with a generalised run.
+GENERAL_TOKENS = 5
+#: Tokens from which a line has rough templates, so that they fix six tokens or so.
+ROUGH_TOKENS = 16
 MIN_DOCS = 5
-SIGNATURE_TOKENS = 8
+#: Bytes of a row of two hashes, and the parts that a shuffled join deals one text's copies to.
+KEY_BYTES = 32
+SALTS = 16
+KEY, TEXT = ["key", "check"], ["text_hash", "text_check"]
 
 
 def _tokens(line: Column) -> Column:
@@ -46,49 +58,75 @@ def _tokens(line: Column) -> Column:
 
 
 def template_keys(tokens: Column) -> Column:
-    """The hashes of a line's templates; empty for a short line."""
+    """The hashes of a line's templates, an array of (key, check, rough)."""
     n = F.size(tokens)
     rest = n - F.lit(LEAD)
     cuts = [F.lit(LEAD) + F.floor(rest * i / RUNS).cast("int") for i in range(RUNS + 1)]
     path = [n, *[F.get(tokens, F.lit(i)) for i in range(LEAD)]]
-    runs = [F.xxhash64(F.slice(tokens, cuts[i] + 1, cuts[i + 1] - cuts[i])) for i in range(RUNS)]
-    general = F.array(*[F.xxhash64(F.lit(i), *path, *[runs[j] for j in range(RUNS) if j != i]) for i in range(RUNS)])
-    return F.when(n >= LONG_TOKENS, general).when(n >= MIN_TOKENS, F.array(F.xxhash64(F.lit(-1), tokens))).otherwise(F.array().cast("array<bigint>"))
+    runs = [F.slice(tokens, cuts[i] + 1, cuts[i + 1] - cuts[i]) for i in range(RUNS)]
+
+    def fixing(number: int, kept: list[int]) -> Column:
+        key, check = (hash_of(F.lit(number), hash_of(*path), *[hash_of(runs[i]) for i in kept]) for hash_of in (F.xxhash64, F.hash))
+        return F.struct(key.alias("key"), check.alias("check"), F.lit(number >= RUNS).alias("rough"))
+
+    general = [fixing(i, [j for j in range(RUNS) if j != i]) for i in range(RUNS)]
+    rough = [fixing(RUNS + i, [i]) for i in range(RUNS)]
+    whole = F.struct(F.xxhash64(F.lit(-1), tokens).alias("key"), F.hash(F.lit(-1), tokens).alias("check"), F.lit(False).alias("rough"))
+    return F.when(n >= ROUGH_TOKENS, F.array(*general, *rough)).when(n >= GENERAL_TOKENS, F.array(*general)).otherwise(F.array(whole))
+
+
+def _text_keys(text: Column) -> list[Column]:
+    return [F.xxhash64(text).alias(TEXT[0]), F.hash(text).alias(TEXT[1])]
 
 
 def keyed_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, pos, keys, signature): one row for each line that has a template."""
+    """(text_hash, text_check, worded, pos, keys): one row for each line with a token; ``worded`` counts those of the text."""
     text = F.col("text").cast("string")
-    rows = docs.filter(text.isNotNull()).select("doc_id", F.xxhash64(text).alias("text_hash"), F.split(text, "\n").alias("lines"))
-    rows = rows.withColumn("marks", F.transform("lines", lambda x: F.substring(F.md5(F.substring_index(x, " ", SIGNATURE_TOKENS).cast("binary")), 1, 15)))
-    rows = rows.withColumn("least", F.slice(F.array_sort(F.array_distinct("marks")), 1, 2))
-    rows = rows.select("doc_id", "text_hash", "marks", "least", F.posexplode("lines").alias("pos", "line"))
-    own = F.get("marks", F.col("pos"))
-    signature = F.when(own == F.get("least", F.lit(0)), F.get("least", F.lit(1))).otherwise(F.get("least", F.lit(0)))
-    rows = rows.select("doc_id", "text_hash", "pos", F.conv(signature, 16, 10).cast("long").alias("signature"), _tokens(F.col("line")).alias("tokens"))
-    return rows.filter(F.size("tokens") >= MIN_TOKENS).select("doc_id", "text_hash", "pos", "signature", template_keys(F.col("tokens")).alias("keys"))
-
-
-def recurring(lines: DataFrame, min_docs: int = MIN_DOCS, by_document: bool = False) -> DataFrame:
-    """(key, n_docs): the templates to drop. ``by_document`` counts a document once for a template, else each of its lines."""
-    each = lines.select("doc_id", "text_hash", "signature", F.explode("keys").alias("key"))
-    if by_document:
-        each = each.groupBy("key", "doc_id", "text_hash").agg(F.min("signature").alias("signature"))
-    counted = each.groupBy("key", "signature").agg(F.count(F.lit(1)).alias("n"))
-    total = counted.groupBy("key").agg(F.sum("n").alias("n_docs"), F.max("n").alias("most"))
-    return total.filter((F.col("n_docs") >= min_docs) & (F.col("most") * 2 <= F.col("n_docs"))).select("key", "n_docs")
-
-
-def drop_recurring(docs: DataFrame, min_docs: int = MIN_DOCS, by_document: bool = False) -> DataFrame:
-    """``docs`` without recurring lines, with n_lines and n_dropped; ``by_document`` as in :func:`recurring`."""
-    lines = materialize(keyed_lines(docs.select("doc_id", "text")), "dedup-lines")
-    found = materialize(recurring(lines, min_docs, by_document), "dedup-templates")
-    each = lines.select("doc_id", "text_hash", "pos", F.explode("keys").alias("key"))
-    hits = each.join(small_side(found.select("key"), found.count()), "key", "left_semi")
-    dropped = materialize(hits.groupBy("doc_id", "text_hash").agg(F.collect_set("pos").alias("dropped_at")), "dedup-hits")
+    rows = docs.filter(text.isNotNull()).select(*_text_keys(text), F.split(text, "\n").alias("lines"))
+    rows = rows.withColumn("worded", F.size(F.filter("lines", lambda x: F.trim(x) != "")))
+    rows = rows.select(*TEXT, "worded", F.posexplode("lines").alias("pos", "line")).filter(F.trim("line") != "")
+    return rows.select(*TEXT, "worded", "pos", template_keys(_tokens(F.col("line"))).alias("keys"))
+
+
+def _each(lines: DataFrame) -> DataFrame:
+    return lines.select(*TEXT, "worded", "pos", F.explode("keys").alias("k")).select(*TEXT, "worded", "pos", "k.key", "k.check", "k.rough")
+
+
+def common_lines(lines: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    """(text_hash, text_check, worded, pos, key, check, rough): the lines of every common template."""
+    each = _each(lines)
+    counted = each.select(*KEY, *TEXT).distinct().groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"))
+    common = materialize(counted.filter(F.col("n") >= min_docs).select(*KEY), "dedup-common")
+    return each.join(small_side(common, common.count() * KEY_BYTES), KEY, "left_semi").distinct()
+
+
+def recurring(hits: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    """(key, check, n_texts): the templates to drop, of the frame from :func:`common_lines`."""
+    of_text = hits.groupBy(*TEXT).agg(F.size(F.collect_set("pos")).alias("n_common"), F.max("worded").alias("worded"))
+    alone = of_text.select(*TEXT, ((F.col("n_common") < F.col("worded")) | (F.col("worded") == 1)).cast("int").alias("alone"))
+    held = hits.filter("not rough").select(*TEXT, *KEY).distinct().join(alone, TEXT)
+    counted = held.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_texts"), F.sum("alone").alias("n_alone"))
+    return counted.filter((F.col("n_alone") >= min_docs) & (F.col("n_alone") * 2 >= F.col("n_texts"))).select(*KEY, "n_texts")
+
+
+def drop_recurring(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    """``docs`` without recurring lines, with n_lines and n_dropped."""
+    lines = materialize(keyed_lines(docs.select("text")), "dedup-lines")
+    hits = materialize(common_lines(lines, min_docs), "dedup-hits")
+    found = materialize(recurring(hits, min_docs).select(*KEY), "dedup-templates")
+    places = hits.join(small_side(found, found.count() * KEY_BYTES), KEY, "left_semi")
+    dropped = materialize(places.groupBy(*TEXT).agg(F.collect_set("pos").alias("dropped_at")), "dedup-places")
+    discard(lines)
+    discard(hits)
+    size = dropped.agg(F.sum(F.lit(KEY_BYTES) + 8 * F.size("dropped_at"))).first()[0] or 0
     text = F.col("d.text").cast("string")
-    same = F.col("d.doc_id").eqNullSafe(F.col("h.doc_id")) & (F.xxhash64(text) == F.col("h.text_hash"))
-    joined = docs.alias("d").join(small_side(dropped, dropped.count()).alias("h"), same, "left")
+    keys = _text_keys(text)
+    same = [keys[i] == F.col(f"h.{TEXT[i]}") for i in range(2)]
+    side = small_side(dropped, size)
+    if side is dropped:
+        side = dropped.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        same.append(F.pmod(F.xxhash64("d.doc_id"), F.lit(SALTS)).cast("int") == F.col("h.salt"))
+    joined = docs.alias("d").join(side.alias("h"), same, "left")
     all_lines = F.split(text, "\n")
     kept = F.array_join(F.filter(all_lines, lambda x, i: ~F.array_contains("h.dropped_at", i)), "\n")
     clean = F.when(F.col("h.dropped_at").isNull(), text).otherwise(kept)

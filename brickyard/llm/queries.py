@@ -75,27 +75,27 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 LINE_DEDUP_SQL = """
-WITH l AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos
-           FROM documents WHERE text IS NOT NULL),
-marks AS (SELECT *, substr(md5(array_to_string(string_split(line, ' ')[1:8], ' ')), 1, 15) AS mark FROM l),
-leasts AS (SELECT doc_id, text, list_sort(list(DISTINCT mark))[1:2] AS least FROM marks GROUP BY ALL),
-toks AS (SELECT m.doc_id, m.text, m.pos, CASE WHEN m.mark = least[1] THEN least[2] ELSE least[1] END AS signature,
-                string_split_regex(trim(regexp_replace(line, '[^ ]*[0-9][^ ]*', '<*>', 'g'), ' '), ' +') AS t
-         FROM marks m JOIN leasts USING (doc_id, text)),
-sized AS (SELECT *, len(t) AS n, (len(t) - 3) AS r FROM toks WHERE len(t) >= 4),
-keyed AS (
-  SELECT doc_id, text, pos, signature, 'x' || array_to_string(t, ' ') AS key FROM sized WHERE n < 16
+WITH texts AS (SELECT DISTINCT text FROM documents WHERE text IS NOT NULL),
+l AS (SELECT text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM texts),
+t AS (SELECT text, pos, string_split_regex(trim(regexp_replace(line, '[^ ]*[0-9][^ ]*', '<*>', 'g'), ' '), ' +') AS w FROM l WHERE trim(line, ' ') <> ''),
+templates AS (
+  SELECT text, pos, false AS rough, array_to_string(w, ' ') AS template FROM t WHERE len(w) < 5
   UNION ALL
-  SELECT doc_id, text, pos, signature, i || '|' || n || '|' || array_to_string(t[1:3 + (r * i) // 4], ' ') || '<*>' || array_to_string(t[4 + (r * (i + 1)) // 4:], ' ') AS key
-  FROM sized, (SELECT unnest([0, 1, 2, 3]) AS i) WHERE n >= 16),
-per AS (SELECT key, signature, count(*) AS n FROM keyed GROUP BY ALL),
-rec AS (SELECT key FROM per GROUP BY key HAVING sum(n) >= 5 AND max(n) * 2 <= sum(n)),
-hit AS (SELECT DISTINCT doc_id, text, pos FROM keyed WHERE key IN (SELECT key FROM rec)),
-kept AS (SELECT l.doc_id, l.text, count(*) AS n_lines, count(h.pos) AS n_dropped,
-                coalesce(string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (h.pos IS NULL), '') AS clean
-         FROM l LEFT JOIN hit h ON h.doc_id = l.doc_id AND h.text = l.text AND h.pos = l.pos GROUP BY l.doc_id, l.text)
+  SELECT text, pos, false AS rough, concat(len(w), ' ', i, ' ', array_to_string(w[1:2 + ((len(w) - 2) * i) // 4], ' '), ' <> ', array_to_string(w[3 + ((len(w) - 2) * (i + 1)) // 4:], ' ')) AS template
+  FROM t, (SELECT unnest([0, 1, 2, 3]) AS i) WHERE len(w) >= 5
+  UNION ALL
+  SELECT text, pos, true AS rough, concat(len(w), ' rough ', i, ' ', array_to_string(w[1:2], ' '), ' <> ', array_to_string(w[3 + ((len(w) - 2) * i) // 4:2 + ((len(w) - 2) * (i + 1)) // 4], ' ')) AS template
+  FROM t, (SELECT unnest([0, 1, 2, 3]) AS i) WHERE len(w) >= 16),
+common AS (SELECT template FROM templates GROUP BY template HAVING count(DISTINCT text) >= 5),
+hit AS (SELECT DISTINCT text, pos, rough, template FROM templates SEMI JOIN common USING (template)),
+independent AS (SELECT text, (SELECT count(*) FROM t WHERE t.text = h.text) AS n, count(DISTINCT pos) < n OR n = 1 AS yes FROM hit h GROUP BY text),
+recurring AS (SELECT template FROM (SELECT DISTINCT text, template FROM hit WHERE NOT rough) JOIN independent USING (text) GROUP BY template
+              HAVING count(*) FILTER (yes) >= 5 AND 2 * count(*) FILTER (yes) >= count(*)),
+gone AS (SELECT DISTINCT text, pos FROM hit SEMI JOIN recurring USING (template)),
+kept AS (SELECT l.text, count(*) AS n_lines, count(g.pos) AS n_dropped, coalesce(string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (g.pos IS NULL), '') AS clean
+         FROM l LEFT JOIN gone g ON g.text = l.text AND g.pos = l.pos GROUP BY l.text)
 SELECT d.doc_id, k.clean AS text, coalesce(k.n_lines, 0) AS n_lines, coalesce(k.n_dropped, 0) AS n_dropped
-FROM documents d LEFT JOIN kept k ON k.doc_id = d.doc_id AND k.text = d.text
+FROM documents d LEFT JOIN kept k ON k.text = d.text
 """
 
 TOPK_SQL = """

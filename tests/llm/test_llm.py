@@ -121,43 +121,103 @@ def test_html_edges(spark):
 # --- 2 lines
 
 
-def test_line_dedup_templates(spark):
-    boiler = "Copyright 2020 by the Example Company, all rights reserved worldwide and in every country of the known world today"
-    docs = [(i, f"Own words number {chr(97 + i) * 5} of the {chr(98 + i) * 4} text\n" + boiler.replace("2020", str(2000 + i)).replace("Example", f"Ex{chr(97 + i)}mple")) for i in range(6)]
-    copies = [(100 + i, "A line that stands in a group of copies alone\nand another line of that group of copies") for i in range(50)]
-    got = {r.doc_id: r for r in line_dedup.drop_recurring(spark.createDataFrame(docs + copies, "doc_id long, text string")).collect()}
-    for i, text in docs:
-        assert got[i].text == text.split("\n")[0] and got[i].n_dropped == 1
-    for i, text in copies:
-        assert got[i].text == text and got[i].n_dropped == 0
+def brute_templates(line):
+    w = [x if not re.search("[0-9]", x) else "<*>" for x in line.split(" ") if x]
+    if len(w) < 5:
+        return {tuple(w)} if w else set()
+    cuts = [2 + (len(w) - 2) * i // 4 for i in range(5)]
+    return {(len(w), i, *w[: cuts[i]], None, *w[cuts[i + 1] :]) for i in range(4)}
+
+
+def brute_rough(line):
+    w = [x if not re.search("[0-9]", x) else "<*>" for x in line.split(" ") if x]
+    cuts = [2 + (len(w) - 2) * i // 4 for i in range(5)]
+    return {(len(w), i, *w[:2], *w[cuts[i] : cuts[i + 1]]) for i in range(4)} if len(w) >= 16 else set()
+
+
+def brute_line_dedup(texts, least=5):
+    """Clean text by text."""
+    lines = {t: [brute_templates(x) for x in t.split("\n")] for t in texts if t is not None}
+    rough = {t: [brute_rough(x) for x in t.split("\n")] for t in lines}
+
+    def common_of(found):
+        holders = {}
+        for t, each in found.items():
+            for k in set().union(*each):
+                holders.setdefault(k, set()).add(t)
+        return holders, {k for k, h in holders.items() if len(h) >= least}
 
+    (holders, common), (_, roughly) = common_of(lines), common_of(rough)
+    alone = {t for t in lines if any(k and not k & common and not r & roughly for k, r in zip(lines[t], rough[t])) or sum(map(bool, lines[t])) == 1}
+    recurring = {k for k in common if len(holders[k] & alone) >= least and 2 * len(holders[k] & alone) >= len(holders[k])}
+    return {t: "\n".join(x for x, k in zip(t.split("\n"), each) if not k & recurring) for t, each in lines.items()}
 
-def test_line_dedup_keeps_near_copies(spark):
+
+def check_line_dedup(spark, texts):
+    got = line_dedup.drop_recurring(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    clean = {r.doc_id: r.text for r in got.collect()}
+    want = brute_line_dedup(texts)
+    assert clean == {i: want.get(t) for i, t in enumerate(texts)}
+    return [clean[i] for i in range(len(texts))]
+
+
+def test_line_dedup_rule(spark):
     rnd = random.Random(3)
-    lines = [[f"w{chr(97 + rnd.randrange(26))}{chr(97 + rnd.randrange(26))}" for _ in range(60)] for _ in range(2)]
-    rows = []
+
+    def own(n=12):
+        return " ".join("".join(rnd.choices("abcdefghij", k=6)) for _ in range(n))
+
+    boiler = "Copyright 2020 by the Example Company, all rights reserved worldwide and in every country of the known world today"
+    fields = [own() + "\n" + boiler.replace("2020", str(2000 + i)).replace("Example", own(1)) for i in range(6)]
+    two = ["\n".join([own(), *["the same line stands here thrice"] * 3]) for _ in range(2)]
+    tickets = [f"Ticket {i} was closed by the system on day {i % 7}" for i in range(1000)]
+    mixed = ["a line of eleven documents in all"] * 6 + [own() + "\na line of eleven documents in all" for _ in range(5)]
+    posted = [f"Posted by {n} in the news" for n in "Ann Bob Cem Dan Eva Fay Gil".split()]
+    licence = ["\n".join([own(), "first line of the licence text", "second line of it here", "and a third line"]) for _ in range(7)]
+    passage = own(60)
+    shared = [own(20) + "\n" + passage for _ in range(9)] + [own(20) + "\n" + passage] * 30
+    lines = [own(60).split() for _ in range(2)]
+    near = []
     for i in range(80):
-        own = [list(x) for x in lines]
+        each = [list(x) for x in lines]
         for _ in range(2):
-            own[rnd.randrange(2)][rnd.randrange(60)] = f"edit{chr(97 + i % 26)}"
-        rows.append((i, "\n".join(map(" ".join, own))))
-    got = line_dedup.drop_recurring(spark.createDataFrame(rows, "doc_id long, text string"))
-    assert got.filter("n_dropped > 0").count() == 0
+            each[rnd.randrange(2)][rnd.randrange(60)] = f"edit{i}x"
+        near.append("\n".join(map(" ".join, each)))
+    copies = ["A line that stands in a group of copies alone\nand another line of that group of copies"] * 50
+    parts = [fields, two, tickets, mixed, posted, licence, shared, near, copies, EDGE]
+    clean = iter(check_line_dedup(spark, [t for p in parts for t in p]))
+    fields_, two_, tickets_, mixed_, posted_, licence_, shared_, near_, copies_, edge_ = ([next(clean) for _ in p] for p in parts)
+    assert fields_ == [t.split("\n")[0] for t in fields] and two_ == two
+    assert set(tickets_) == {""} and set(posted_) == {""}
+    assert mixed_ == [""] * 6 + [t.split("\n")[0] for t in mixed[6:]]
+    assert licence_ == [t.split("\n")[0] for t in licence] and shared_ == [t.split("\n")[0] for t in shared]
+    assert near_ == near and copies_ == copies and edge_ == EDGE
+
+
+def test_line_dedup_documents(spark, monkeypatch):
+    texts = [r["text"] for r in raw("documents")] + [None, ""]
+    check_line_dedup(spark, texts)
+    monkeypatch.setattr("brickyard.llm.common.small_side", lambda df, size: df)
+    monkeypatch.setattr(line_dedup, "small_side", lambda df, size: df)
+    check_line_dedup(spark, texts + texts[:40] * 3)
 
 
 def test_line_dedup_edges(spark):
-    got = line_dedup.drop_recurring(edge_docs(spark)).collect()
-    assert sorted(str((r.doc_id, r.text)) for r in got) == sorted(str((r.doc_id, r.text)) for r in edge_docs(spark).collect())
+    docs = edge_docs(spark).withColumn("n_lines", F.lit("own")).withColumn("key", F.lit(1)).withColumn("dropped_at", F.lit(2)).withColumn("text_hash", F.lit(3))
+    got = line_dedup.drop_recurring(docs)
+    assert sorted(got.columns) == sorted([*docs.columns, "n_dropped"]) and got.filter("key = 1 and dropped_at = 2 and text_hash = 3").count() == docs.count()
+    assert sorted(str((r.doc_id, r.text)) for r in got.collect()) == sorted(str((r.doc_id, r.text)) for r in docs.collect())
+    assert got.agg(F.sum(F.expr("int(text is null and n_lines = 0)")), F.sum(F.expr("int(text = '' and n_lines = 1)"))).first() == (1, 1)
     assert line_dedup.drop_recurring(empty_docs(spark)).collect() == []
 
 
-def test_line_stage_counts_documents(spark):
-    table = "\n".join(f"row {i} of the table with {i} parts" for i in range(3))
-    rows = [(i, f"own words of text {c * 4} stand here\n" + table) for i, c in enumerate("ab")]
-    rows += [(10 + i, f"other words {c * 5} begin another text\nthis line stands in five documents") for i, c in enumerate("cdefg")]
-    docs = spark.createDataFrame([(i, text, "en", "s", len(text)) for i, text in rows], "doc_id long, text string, lang string, source string, n_chars long")
-    got = {r.doc_id: r.text for r in corpus_pipeline.line_dedup_stage(spark, docs, SF).collect()}
-    assert got == {i: text if i < 10 else text.split("\n")[0] for i, text in rows}
+def test_line_stage(spark):
+    texts = [r["text"] for r in raw("documents")]
+    docs = spark.createDataFrame([(i, t, "en", "s", -1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    want = brute_line_dedup(texts)
+    for r in corpus_pipeline.line_dedup_stage(spark, docs, SF).collect():
+        clean = want[texts[r.doc_id]]
+        assert r.text == clean and r.n_chars == (-1 if clean == texts[r.doc_id] else len(clean))
 
 
 # --- 3, 4 tokens
