@@ -88,7 +88,7 @@ templates AS (
   FROM t, (SELECT unnest([0, 1, 2, 3]) AS i) WHERE len(w) >= 16),
 common AS (SELECT template FROM templates GROUP BY template HAVING count(DISTINCT text) >= 5),
 hit AS (SELECT DISTINCT text, pos, rough, template FROM templates SEMI JOIN common USING (template)),
-independent AS (SELECT text, (SELECT count(*) FROM t WHERE t.text = h.text) AS n, count(DISTINCT pos) < n OR n = 1 AS yes FROM hit h GROUP BY text),
+independent AS (SELECT text, count(DISTINCT pos) < max(n) OR max(n) = 1 AS yes FROM hit JOIN (SELECT text, count(*) AS n FROM t GROUP BY text) USING (text) GROUP BY text),
 recurring AS (SELECT template FROM (SELECT DISTINCT text, template FROM hit WHERE NOT rough) JOIN independent USING (text) GROUP BY template
               HAVING count(*) FILTER (yes) >= 5 AND 2 * count(*) FILTER (yes) >= count(*)),
 gone AS (SELECT DISTINCT text, pos FROM hit SEMI JOIN recurring USING (template)),
