@@ -1,18 +1,25 @@
 """Language identification by word-first backoff.
 
-A known word adds its log frequency in every language. An unseen word falls back
-to its character n-grams, longest first: the first length with a known n-gram
-adds the mean log frequency of the known ones. The language with the highest sum
-wins; the score is its posterior.
-
-The model is fitted on at most about ``train_docs`` labelled rows (a hash
-threshold on doc_id, from the count of labelled rows), and keeps at most
-``max_words`` words and ``max_grams`` n-grams over all languages, so what is
-broadcast has a fixed bound. Every text is judged whole.
-
-Null texts and texts without a letter are ``und`` with score 0; so is every text
-when nothing was learned. Ties go to the first language by name. Repeated rows
-each give a row; columns named ``lang_pred`` or ``score`` are replaced.
+A known word adds, for every language that holds it, its log frequency there over that
+of a word the language lacks. An unseen word falls back to its character n-grams,
+longest first: the first length with a known n-gram adds the mean of the known ones.
+The language with the highest sum wins; the score is its posterior.
+
+The frequency of a word or n-gram in a language is ``n / (total + SHRINK) + FLOOR``: the
+floor, which is all that an unseen one has, is the same in every language, so a language
+with little training text gains nothing from what it has never held, and ``SHRINK`` keeps
+its few words from weighing more than the words of a large one.
+
+The model is fitted on a bounded sample of labelled rows: the ``max_languages`` most
+frequent labels, and of each an equal part of ``train_docs`` distinct texts, about,
+by a hash threshold on the text, so that null or repeated ids and copies do not
+swell it. All words and n-grams of the sample are kept; what is broadcast grows with
+the sample only. Every text is judged whole.
+
+Null texts and texts without a letter are ``und`` with score 0; so is every text when
+nothing was learned. Ties go to the first language by name. An empty table gives no
+rows; repeated rows and null ids each keep their row; columns named ``lang_pred`` or
+``score`` are replaced and other columns kept.
 """
 
 from __future__ import annotations
@@ -20,32 +27,33 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from brickyard.llm.common import small_batches
+from brickyard.llm.common import discard, materialize, small_batches
 
 TRAIN_DOCS = 12_000
-MAX_WORDS = 80_000
-MAX_GRAMS = 120_000
+MAX_LANGUAGES = 200
 ORDERS = (4, 3, 2, 1)
 UNKNOWN = "und"
-#: Added to every count.
-SMOOTH = 0.5
+SHRINK, FLOOR = 1000.0, 1e-7
 CACHE_WORDS = 150_000
 GROUP_CHARS = 1_000_000
 
-letters = re.compile(r"[^\W\d_]+").findall
+runs_of = re.compile(r"[^\W\d_]+").findall
 
 
 def words_of(text: str) -> list[str]:
-    """The letter runs of a text, lower-cased."""
-    return [w for w in letters(text.lower()) if w.isalpha()] if not text.isascii() else letters(text.lower())
+    """The letter runs of a text, lower-cased; a sign such as a raised digit ends a run."""
+    runs = runs_of(text.lower())
+    if text.isascii():
+        return runs
+    return [w for run in runs for w in ((run,) if run.isalpha() else "".join(c if c.isalpha() else " " for c in run).split())]
 
 
 def held_out(doc_id: Column) -> Column:
@@ -55,66 +63,101 @@ def held_out(doc_id: Column) -> Column:
 
 @dataclass
 class LanguageModel:
-    """Log frequencies: a row of ``table`` for each word and n-gram."""
+    """Gains of words and n-grams: row i is ``columns`` and ``gains`` from ``ends[i - 1]`` to ``ends[i]``."""
 
     languages: list[str]
+    prior: np.ndarray
     words: dict[str, int]
     grams: dict[str, int]
-    table: np.ndarray
-    prior: np.ndarray
-    cache: dict[str, int] = field(default_factory=dict)
-    #: The table with the rows of cached unseen words after it, and how many rows are in use.
-    full: np.ndarray | None = None
-    used: int = 0
-
-    def evidence(self, word: str) -> np.ndarray:
-        """The row of a word that the table lacks."""
-        padded = f"_{word}_"
+    ends: np.ndarray
+    columns: np.ndarray
+    gains: np.ndarray
+
+
+class Judge:
+    """Predictions of one worker, with a bounded cache of the rows of words it has met."""
+
+    def __init__(self, model: LanguageModel, limit: int = CACHE_WORDS):
+        self.model, self.limit = model, limit
+        self.starts = np.concatenate(([0], model.ends[:-1])).astype(np.int64)
+        self.forget()
+
+    def forget(self) -> None:
+        self.rows: dict[str, int] = {}
+        self.first, self.last = [self.starts], [self.model.ends]
+        self.columns, self.gains = [self.model.columns], [self.model.gains]
+        self.size, self.n_rows = len(self.model.gains), len(self.starts)
+
+    def spread(self, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(how many, which) entries the rows from ``first`` to ``last`` have."""
+        counts = last - first
+        ends = np.cumsum(counts)
+        return counts, np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - ends + counts, counts)
+
+    def known_grams(self, word: str) -> list[int]:
+        """The rows of the longest known n-grams of a word."""
+        padded, grams = f"_{word}_", self.model.grams
         for n in ORDERS:
-            known = [self.grams[g] for i in range(len(padded) - n + 1) if (g := padded[i : i + n]) in self.grams]
-            if known:
-                return self.table[known].mean(axis=0)
-        return np.zeros(len(self.languages), np.float32)
-
-    def predict(self, texts: pd.Series) -> Iterator[tuple[str, float]]:
+            if known := [grams[g] for i in range(len(padded) - n + 1) if (g := padded[i : i + n]) in grams]:
+                return known
+        return []
+
+    def learn(self, words: set[str]) -> None:
+        new = list(words - self.rows.keys())
+        if len(self.rows) + len(new) > self.limit:
+            self.forget()
+            new = list(words)
+        unseen = []
+        for w in new:
+            at = self.model.words.get(w)
+            if at is None:
+                at = self.n_rows + len(unseen)
+                unseen.append(self.known_grams(w))
+            self.rows[w] = at
+        if not unseen:
+            return
+        sizes = np.fromiter(map(len, unseen), np.int64, len(unseen))
+        grams = np.fromiter(chain.from_iterable(unseen), np.int64, int(sizes.sum()))
+        counts, at = self.spread(self.starts[grams], self.model.ends[grams])
+        share = np.repeat(np.repeat(1 / np.maximum(sizes, 1), sizes), counts)
+        owner = np.repeat(np.repeat(np.arange(len(unseen)), sizes), counts)
+        last = self.size + np.cumsum(np.bincount(owner, minlength=len(unseen)))
+        self.first.append(np.concatenate(([self.size], last[:-1])))
+        self.last.append(last)
+        self.columns.append(self.model.columns[at])
+        self.gains.append((self.model.gains[at] * share).astype(np.float32))
+        for parts in (self.first, self.last, self.columns, self.gains):
+            while len(parts) > 2 and len(parts[-2]) <= 2 * len(parts[-1]):  # each entry is copied a few times at most
+                parts[-2:] = [np.concatenate(parts[-2:])]
+        self.size, self.n_rows = int(last[-1]), self.n_rows + len(unseen)
+
+    def predict(self, texts: list[str | None]) -> Iterator[tuple[str, float]]:
         group, chars = [], 0
         for t in texts:
             group.append(words_of(t) if t is not None else [])
             chars += len(t or "")
             if chars > GROUP_CHARS:
-                yield from self._judge(group)
+                yield from self.judge(group)
                 group, chars = [], 0
-        yield from self._judge(group)
-
-    def _judge(self, group: list[list[str]]) -> Iterator[tuple[str, float]]:
-        if self.full is None:
-            self.full, self.used = self.table, len(self.table)
-        new = set().union(*group) - self.cache.keys()
-        if len(self.cache) + len(new) > CACHE_WORDS:
-            self.cache, self.full, self.used = {}, self.table, len(self.table)
-            new = set().union(*group)
-        unseen = []
-        for w in new:
-            if (at := self.words.get(w)) is None:
-                at = self.used + len(unseen)
-                unseen.append(self.evidence(w))
-            self.cache[w] = at
-        end = self.used + len(unseen)
-        if end > len(self.full):
-            grown = np.empty((end + end // 4, len(self.languages)), np.float32)
-            grown[: self.used] = self.full[: self.used]
-            self.full = grown
-        if unseen:
-            self.full[self.used : end] = unseen
-        self.used, full = end, self.full
-        for words in group:
-            if not words or not self.languages:
-                yield UNKNOWN, 0.0
-                continue
-            at = np.fromiter(map(self.cache.__getitem__, words), np.int64, len(words))
-            sums = full[at].sum(axis=0, dtype=np.float64) + self.prior
-            best = int(np.argmax(sums))
-            yield self.languages[best], float(1 / np.exp(sums - sums[best]).sum())
+        yield from self.judge(group)
+
+    def judge(self, group: list[list[str]]) -> Iterator[tuple[str, float]]:
+        languages = self.model.languages
+        if not languages:
+            yield from [(UNKNOWN, 0.0)] * len(group)
+            return
+        self.learn(set().union(*group))
+        first, last, columns, gains = (np.concatenate(x) if len(x) > 1 else x[0] for x in (self.first, self.last, self.columns, self.gains))
+        sizes = np.fromiter(map(len, group), np.int64, len(group))
+        rows = np.fromiter(map(self.rows.__getitem__, chain.from_iterable(group)), np.int64, int(sizes.sum()))
+        counts, at = self.spread(first[rows], last[rows])
+        doc = np.repeat(np.repeat(np.arange(len(group)), sizes), counts)
+        sums = np.bincount(doc * len(languages) + columns[at], weights=gains[at], minlength=len(group) * len(languages)).reshape(len(group), -1)
+        sums = sums + np.log(self.model.prior)
+        best = sums.argmax(axis=1)
+        scores = 1 / np.exp(sums - sums.max(axis=1)[:, None]).sum(axis=1)
+        for n, b, score in zip(sizes.tolist(), best.tolist(), scores.tolist(), strict=True):
+            yield (languages[b], score) if n else (UNKNOWN, 0.0)
 
 
 def _grams(word: Column, n: int) -> Column:
@@ -123,16 +166,22 @@ def _grams(word: Column, n: int) -> Column:
     return F.transform(starts, lambda i: F.substring(word, i, F.lit(n)))
 
 
-def fit(labelled: DataFrame, train_docs: int = TRAIN_DOCS, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> LanguageModel:
-    """Learn from the columns doc_id, text and lang; rows where text or lang is null teach nothing."""
-    usable = labelled.select("doc_id", "text", "lang").filter("text is not null and lang is not null")
-    per_lang = {r.lang: r.n for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    languages = sorted(per_lang)
-    if not languages:
-        return LanguageModel([], {}, {}, np.zeros((0, 0), np.float32), np.zeros(0))
-    slots = 1 << 20
-    kept = min(slots, slots * train_docs // sum(per_lang.values()) + 1)
-    sample = usable.filter(F.pmod(F.xxhash64("doc_id"), F.lit(slots)) < kept)
+def sample_of(labelled: DataFrame, train_docs: int = TRAIN_DOCS, max_languages: int = MAX_LANGUAGES) -> tuple[DataFrame, dict[str, int]]:
+    """The training sample, (lang, text), and the number of labelled rows of each of its languages."""
+    usable = labelled.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).filter("text is not null and lang is not null")
+    counted = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()
+    per_lang = {r.lang: r.n for r in sorted(counted, key=lambda r: r.lang)}
+    slots = 1 << 40
+    part = train_docs // max(1, len(per_lang)) + 1
+    kept = F.create_map(*chain.from_iterable((F.lit(x), F.lit(min(slots, slots * part // n + 1))) for x, n in per_lang.items())) if per_lang else None
+    chosen = usable.filter(F.pmod(F.xxhash64("text"), F.lit(slots)) < F.coalesce(kept[F.col("lang")], F.lit(0))) if per_lang else usable.limit(0)
+    return chosen.distinct(), per_lang
+
+
+def fit(labelled: DataFrame, train_docs: int = TRAIN_DOCS, max_languages: int = MAX_LANGUAGES) -> LanguageModel:
+    """Learn from the columns text and lang; rows where one is null teach nothing."""
+    sample, per_lang = sample_of(labelled, train_docs, max_languages)
+    languages = list(per_lang)
 
     def counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -142,36 +191,32 @@ def fit(labelled: DataFrame, train_docs: int = TRAIN_DOCS, max_words: int = MAX_
                     seen.update(words_of(t))
                 yield pd.DataFrame({"lang": pd.Series([lang] * len(seen), dtype=object), "word": pd.Series(list(seen), dtype=object), "n": pd.Series(list(seen.values()), dtype="int64")})
 
-    words = sample.select("lang", "text").mapInPandas(counts, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).cache()
-    padded = F.concat(F.lit("_"), "word", F.lit("_"))
-    grams = F.flatten(F.array(*[_grams(padded, n) for n in ORDERS]))
-    of_grams = words.select("lang", "n", F.explode(grams).alias("gram")).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-
-    def tops(df: DataFrame, key: str, most: int) -> list:
-        ranked = df.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), key)))
-        return ranked.filter(F.col("r") <= max(1, most // len(languages))).select("lang", key, "n").collect()
-
+    words = materialize(sample.mapInPandas(counts, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "language-words")
+    grams = F.flatten(F.array(*[_grams(F.concat(F.lit("_"), "word", F.lit("_")), n) for n in ORDERS]))
+    of_grams = words.select("lang", "n", F.explode(grams).alias("word")).groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    tables = [df.select("word", "lang", "n").toArrow().to_pandas() for df in (words, of_grams)]
+    discard(words)
     column = {lang: i for i, lang in enumerate(languages)}
-
-    def rows(found: list, totals: np.ndarray) -> tuple[dict[str, int], np.ndarray]:
-        names = {k: i for i, k in enumerate(dict.fromkeys(r[1] for r in found))}
-        table = np.zeros((len(names), len(languages)))
-        for lang, k, n in found:
-            table[names[k], column[lang]] = n
-        return names, np.log((table + SMOOTH) / (totals + SMOOTH * max(1, len(names))))
-
-    totals = np.ones(len(languages))
-    for r in words.groupBy("lang").agg(F.sum("n").alias("n")).collect():
-        totals[column[r.lang]] = max(1, r.n)
-    of_word, word_rows = rows(tops(words, "word", max_words), totals)
-    gram_totals = totals * 0 + 1
-    for r in of_grams.groupBy("lang").agg(F.sum("n").alias("n")).collect():
-        gram_totals[column[r.lang]] = max(1, r.n)
-    of_gram, gram_rows = rows(tops(of_grams, "gram", max_grams), gram_totals)
-    words.unpersist()
-    table = np.vstack([word_rows, gram_rows]).astype(np.float32)
-    prior = np.log(np.array([per_lang[x] for x in languages]) / sum(per_lang.values()))
-    return LanguageModel(languages, of_word, {g: i + len(of_word) for g, i in of_gram.items()}, table, prior)
+    found: list[tuple[dict[str, int], np.ndarray, np.ndarray, np.ndarray]] = []
+    for table in tables:
+        names, keys = pd.factorize(table["word"])
+        lang, n = table["lang"].map(column).to_numpy(np.int64), table["n"].to_numpy(float)
+        totals = np.bincount(lang, n, len(languages)) if len(n) else np.zeros(len(languages))
+        gain = np.log1p(n / (totals[lang] + SHRINK) / FLOOR)
+        order = np.lexsort((lang, names))
+        found.append((dict(zip(keys, range(len(keys)), strict=True)), np.cumsum(np.bincount(names, minlength=len(keys))), lang[order], gain[order]))
+    (of_word, word_ends, *word_rows), (of_gram, gram_ends, *gram_rows) = found
+    entries = word_ends[-1] if len(word_ends) else 0
+    prior = np.array([per_lang[x] for x in languages], float)
+    return LanguageModel(
+        languages,
+        prior / prior.sum() if languages else prior,
+        of_word,
+        {g: i + len(of_word) for g, i in of_gram.items()},
+        np.concatenate([word_ends, gram_ends + entries]).astype(np.int64),
+        np.concatenate([word_rows[0], gram_rows[0]]).astype(np.int16),
+        np.concatenate([word_rows[1], gram_rows[1]]).astype(np.float32),
+    )
 
 
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
@@ -181,9 +226,9 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
     @F.pandas_udf("lang_pred string, score double")
     def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        own = LanguageModel(**{k: getattr(shared.value, k) for k in ("languages", "words", "grams", "table", "prior")})
+        own = Judge(shared.value)
         for texts in batches:
-            yield pd.DataFrame(list(own.predict(texts)), columns=["lang_pred", "score"]).astype({"lang_pred": object, "score": float})
+            yield pd.DataFrame(list(own.predict(texts.tolist())), columns=["lang_pred", "score"]).astype({"lang_pred": object, "score": float})
 
     out = docs.withColumn("lang_judged", judge(F.col("text").cast("string")))
     return out.withColumn("lang_pred", F.col("lang_judged.lang_pred")).withColumn("score", F.col("lang_judged.score")).drop("lang_judged")

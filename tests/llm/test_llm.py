@@ -379,11 +379,83 @@ def test_language_edges(spark):
     model = lang_id.fit(spark.createDataFrame([(1, "the cat and the dog", "en"), (2, "der hund und die katze", "de"), (3, None, "fr"), (4, "x", None)], "doc_id long, text string, lang string"))
     got = lang_id.identify(edge_docs(spark).withColumn("score", F.lit("own")), model).collect()
     assert {r.doc_id: r.lang_pred for r in got if r.doc_id in (0, 1, 2, 5)} == {0: "und", 1: "und", 2: "und", 5: "und"}
-    one = lang_id.identify(spark.createDataFrame([(1, "und der"), (2, "hunde")], "doc_id long, text string"), model).collect()
-    assert [r.lang_pred for r in one] == ["de", "de"]
+    one = lang_id.identify(spark.createDataFrame([(1, "und der"), (2, "hunde"), (3, "x\u00b2 y\u00b2"), (4, "H\u2082O"), (5, "a\u2167"), (6, "\u00b2 12 \u2167")], "doc_id long, text string"), model).collect()
+    assert [r.lang_pred for r in one[:2]] == ["de", "de"] and all(r.lang_pred != "und" for r in one[2:5]) and one[5].lang_pred == "und"
     none = lang_id.identify(edge_docs(spark), lang_id.fit(empty_docs(spark))).collect()
     assert {r.lang_pred for r in none} == {"und"}
     assert lang_id.keep_identified(empty_docs(spark)).collect() == []
+    assert lang_id.identify(empty_docs(spark), model).collect() == []
+
+
+def brute_language(train, texts):
+    """(language, score) of each text by the rule, in plain dictionaries."""
+    def words(t):
+        return re.findall("[a-z\u00df-\u00f6\u00f8-\u00ff\u0153]+", (t or "").lower())
+
+    def grams(w, n):
+        w = f"_{w}_"
+        return [w[i : i + n] for i in range(max(1, len(w) - n + 1))]
+
+    langs = sorted({lang for _, lang in train})
+    of_word, of_gram = ({x: {} for x in langs} for _ in range(2))
+    for t, lang in set(train):
+        for w in words(t):
+            of_word[lang][w] = of_word[lang].get(w, 0) + 1
+            for n in (4, 3, 2, 1):
+                for g in grams(w, n):
+                    of_gram[lang][g] = of_gram[lang].get(g, 0) + 1
+    totals = {id(d[x]): sum(d[x].values()) for d in (of_word, of_gram) for x in langs}
+
+    def gain(table, lang, k):
+        own = table[lang]
+        return np.log((own.get(k, 0) / (totals[id(own)] + lang_id.SHRINK) + lang_id.FLOOR) / lang_id.FLOOR)
+
+    for t in texts:
+        sums = np.log([sum(x == lang for _, x in train) / len(train) for lang in langs])
+        for w in words(t):
+            if any(w in of_word[x] for x in langs):
+                sums += [gain(of_word, x, w) for x in langs]
+                continue
+            for n in (4, 3, 2, 1):
+                known = [g for i in range(len(w) + 3 - n) if any((g := f"_{w}_"[i : i + n]) in of_gram[x] for x in langs)]
+                if known:
+                    sums += [sum(gain(of_gram, x, g) for g in known) / len(known) for x in langs]
+                    break
+        yield (langs[int(np.argmax(sums))], 1 / np.exp(sums - sums.max()).sum()) if words(t) else ("und", 0.0)
+
+
+def test_language_brute_force(spark, monkeypatch):
+    rows = [(r["doc_id"], (r["text"] or "")[:400], r["lang"]) for r in raw("documents") if r["lang"]]
+    open_, shut = rows[:80], rows[80:]
+    docs = spark.createDataFrame(open_ + open_[:9], "doc_id long, text string, lang string")
+    model = lang_id.fit(docs, train_docs=10**9)
+    texts = [t for _, t, _ in shut] + ["", "unknownword", "qqq"]
+    want = list(brute_language([(t, x) for _, t, x in open_ + open_[:9]], texts))
+    for limit in (lang_id.CACHE_WORDS, 40):
+        got = list(lang_id.Judge(model, limit).predict(texts))
+        assert [g[0] for g in got] == [w[0] for w in want] and np.allclose([g[1] for g in got], [w[1] for w in want], rtol=1e-3, atol=1e-6)
+    monkeypatch.setattr(lang_id, "GROUP_CHARS", 500)
+    assert [g[0] for g in lang_id.Judge(model, 300).predict(texts)] == [w[0] for w in want]
+
+
+def test_language_of_unequal_parts(spark):
+    rnd = random.Random(1)
+    common, rare = ([f"{p}{''.join(rnd.choices('abcdefghij', k=5))}" for _ in range(n)] for p, n in (("e", 50), ("e", 2000)))
+    tiny = [f"z{''.join(rnd.choices('klmnopqr', k=4))}" for _ in range(30)]
+    rows = [(i, " ".join(rnd.choices(common, k=20) + rnd.choices(rare, k=5)), "en") for i in range(3000)]
+    rows += [(5000 + i, " ".join(rnd.choices(tiny, k=3)), "zz") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for train_docs in (400, 10**9):
+        judge = lang_id.Judge(lang_id.fit(docs, train_docs=train_docs))
+        texts = [" ".join(rnd.choices(rare, k=k)) for k in (10, 20) for _ in range(30)] + [" ".join(rnd.choices(tiny, k=3)) for _ in range(30)]
+        assert [x for x, _ in judge.predict(texts)] == ["en"] * 60 + ["zz"] * 30
+
+
+def test_language_sample_is_bounded(spark):
+    rows = [(None, "the very same text", "en")] * 900 + [(None, f"text of a number {chr(97 + i % 26)}{i}", "en") for i in range(3000)] + [(i, f"label {i}", f"x{i:04}") for i in range(300)]
+    sample, langs = lang_id.sample_of(spark.createDataFrame(rows, "doc_id long, text string, lang string"), train_docs=1000, max_languages=10)
+    n = {r.lang: r["count"] for r in sample.groupBy("lang").count().collect()}
+    assert len(langs) == 10 and n["en"] <= 140 and all(v == 1 for k, v in n.items() if k != "en")
 
 
 # --- 8 URLs
