@@ -466,17 +466,29 @@ def test_url_rules_and_edges(spark):
     pages = spark.createDataFrame(rows, "page_id long, url string").withColumn("host", F.lit("own"))
     listed = spark.createDataFrame([("notcom",), ("elsewhere",)], "key string")
     want = {1: ("a.example.org", "/es/x", "example.org/es/", "block"), 2: ("", "", None, "allow"), 3: ("", "", None, "allow"), 4: ("example.org", "/en/12", "example.org/en/1", "block"), 5: ("com", "/de/", "com/de/", "block"), 6: ("org", "", None, "allow"), 7: ("notcom", "/fr/", None, "block"), 8: ("b.com", "/fr/", "com/fr/", "allow"), 9: ("b:", "//c/d", None, "allow")}
-    for bits in (url_filter.MAX_BITS, 0):
+    for bits in (url_filter.PART_BITS, 7):
         got = url_filter.judge(pages, listed, queries.URL_RULES, bits).collect()
         assert len(got) == len(rows) and {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in got} == want
     assert url_filter.judge(pages.limit(0), listed, queries.URL_RULES).collect() == []
 
 
-def test_cascade_is_exact(spark):
-    keys = spark.range(5000).select(F.col("id").cast("string").alias("key"), (F.xxhash64("id") % 7 == 0).alias("listed"))
-    levels = url_filter.cascade(keys)
-    assert len(levels) > 2
-    assert keys.filter(url_filter.listed_by(levels, F.col("key")) != F.col("listed")).count() == 0
+@pytest.mark.parametrize("part_bits, broadcast", [(url_filter.PART_BITS, 1 << 20), (1000, 1 << 20), (1000, 0)])
+def test_cascade_is_exact(spark, monkeypatch, part_bits, broadcast):
+    monkeypatch.setattr(url_filter, "BROADCAST_BYTES", broadcast)
+    keys = spark.range(5000).select(F.concat(F.lit("k"), F.col("id")).alias("key"), (F.xxhash64("id") % 7 == 0).alias("listed"))
+    levels = url_filter.cascade(keys, part_bits)
+    assert len(levels) > 2 and levels[0].parts == (1 if part_bits > 1000 else 5)
+    rows = keys.withColumnRenamed("listed", "want")
+    got = url_filter.listed_by(levels, rows.unionByName(rows.filter("key = 'k7'")), "key", F.xxhash64("key"))
+    assert got.count() == 5001 and got.filter("listed <> want").count() == 0
+
+
+def test_urls_very_long_and_clashing(spark):
+    long = "http://" + "a" * 1_000_000 + ".example.net/" + "p/" * 100_000
+    pages = spark.createDataFrame([(1, long, "x", 1), (1, long, "x", 1), (None, "http://b.net", "y", 2)], "page_id long, url string, path string, part int")
+    listed = spark.createDataFrame([("a" * 1_000_000 + ".example.net",), (None,)], "key string")
+    got = url_filter.judge(pages, listed, queries.URL_RULES).collect()
+    assert sorted(r.verdict for r in got) == ["allow", "block", "block"] and sum(r.page_id is None for r in got) == 1
 
 
 # --- 9 benchmark
