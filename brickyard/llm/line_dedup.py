@@ -49,6 +49,7 @@ MIN_DOCS = 5
 KEY_BYTES = 32
 SALTS = 16
 KEY, TEXT = ["key", "check"], ["text_hash", "text_check"]
+HASHES = {"key": F.xxhash64, "check": F.hash}
 
 
 def _tokens(line: Column) -> Column:
@@ -57,22 +58,30 @@ def _tokens(line: Column) -> Column:
     return F.split(F.trim(single), " ")
 
 
-def template_keys(tokens: Column) -> Column:
-    """The hashes of a line's templates, an array of (key, check, rough)."""
-    n = F.size(tokens)
-    rest = n - F.lit(LEAD)
+def with_keys(rows: DataFrame) -> DataFrame:
+    """``rows`` with keys, the hashes of their templates as an array of (key, check, rough), in place of tokens.
+
+    Each run is hashed once, in a projection of its own, and the templates hash those.
+    """
+    n, others = F.size("tokens"), [c for c in rows.columns if c != "tokens"]
+    rest = F.greatest(n - F.lit(LEAD), F.lit(0))
     cuts = [F.lit(LEAD) + F.floor(rest * i / RUNS).cast("int") for i in range(RUNS + 1)]
-    path = [n, *[F.get(tokens, F.lit(i)) for i in range(LEAD)]]
-    runs = [F.slice(tokens, cuts[i] + 1, cuts[i + 1] - cuts[i]) for i in range(RUNS)]
+    lead = [F.get("tokens", F.lit(i)) for i in range(LEAD)]
+    hashed = []
+    for name, hash_of in HASHES.items():
+        hashed.append(hash_of(n, *lead).alias(f"{name}_path"))
+        hashed += [hash_of(F.slice("tokens", cuts[i] + 1, cuts[i + 1] - cuts[i])).alias(f"{name}_{i}") for i in range(RUNS)]
+    parsed = rows.select(*others, "tokens", *hashed)
 
     def fixing(number: int, kept: list[int]) -> Column:
-        key, check = (hash_of(F.lit(number), hash_of(*path), *[hash_of(runs[i]) for i in kept]) for hash_of in (F.xxhash64, F.hash))
-        return F.struct(key.alias("key"), check.alias("check"), F.lit(number >= RUNS).alias("rough"))
+        of = [hash_of(F.lit(number), f"{name}_path", *[f"{name}_{i}" for i in kept]).alias(name) for name, hash_of in HASHES.items()]
+        return F.struct(*of, F.lit(number >= RUNS).alias("rough"))
 
     general = [fixing(i, [j for j in range(RUNS) if j != i]) for i in range(RUNS)]
     rough = [fixing(RUNS + i, [i]) for i in range(RUNS)]
-    whole = F.struct(F.xxhash64(F.lit(-1), tokens).alias("key"), F.hash(F.lit(-1), tokens).alias("check"), F.lit(False).alias("rough"))
-    return F.when(n >= ROUGH_TOKENS, F.array(*general, *rough)).when(n >= GENERAL_TOKENS, F.array(*general)).otherwise(F.array(whole))
+    whole = F.struct(*[hash_of(F.lit(-1), "tokens").alias(name) for name, hash_of in HASHES.items()], F.lit(False).alias("rough"))
+    keys = F.when(n >= ROUGH_TOKENS, F.array(*general, *rough)).when(n >= GENERAL_TOKENS, F.array(*general)).otherwise(F.array(whole))
+    return parsed.select(*others, keys.alias("keys"))
 
 
 def _text_keys(text: Column) -> list[Column]:
@@ -85,7 +94,7 @@ def keyed_lines(docs: DataFrame) -> DataFrame:
     rows = docs.filter(text.isNotNull()).select(*_text_keys(text), F.split(text, "\n").alias("lines"))
     rows = rows.withColumn("worded", F.size(F.filter("lines", lambda x: F.trim(x) != "")))
     rows = rows.select(*TEXT, "worded", F.posexplode("lines").alias("pos", "line")).filter(F.trim("line") != "")
-    return rows.select(*TEXT, "worded", "pos", template_keys(_tokens(F.col("line"))).alias("keys"))
+    return with_keys(rows.select(*TEXT, "worded", "pos", _tokens(F.col("line")).alias("tokens")))
 
 
 def _each(lines: DataFrame) -> DataFrame:
