@@ -4,11 +4,15 @@ Finds the documents that hold at least ``threshold`` of a test item's word
 shingles. Items are partitioned by size, by doubling shingle counts. The sketch
 of an item is its least hashes, as many as its partition needs: an item of q
 shingles has a document at the threshold miss at most q - ceil(t q) of them, so
-one hash more than that cannot all be missing, and no document is lost. A
-document is searched in the partitions whose items it is large enough to hold;
-its shingle hashes above the partition's largest sketch hash are dropped before
-anything is exploded or joined. Candidates are verified by exact containment of
-the shingle texts.
+one hash more than that cannot all be missing, and no document is lost. A document's
+shingle hashes are tested against a bit set of the sketch where they are made, so only
+those in the sketch, and a few that share their bits, are exploded and joined with it.
+Documents are read once for all shingle widths, and once more to verify the candidates
+by exact containment of the shingle texts.
+
+The bit set is a constant of at most ``MAX_BITS`` bits, sixteen for each hash of the
+sketch. With more hashes it lets more pass and the join with the sketch drops them, so
+its size never changes a result.
 
 Words are runs of letters and digits, lower-cased; shingles are five words, and an
 item of fewer words is one shingle of its own width. Items and documents without
@@ -17,10 +21,9 @@ item with the shingles of all its rows. Null texts match nothing; rows with a nu
 id form one document or item. Extra columns are ignored; an empty table on either
 side gives no pairs.
 
-Skew: documents are exploded where they are read, into the few sketched hashes; a
-passage that very many documents hold gives one row for each, and pairs are only
+Skew: documents are exploded where they are read; a passage that very many documents hold gives one row for each, and pairs are only
 of a document and an item. The sketch, the item shingles and the candidate ids are
-broadcast if a count shows them small and joined by shuffling otherwise.
+broadcast if their counted bytes are few and joined by shuffling otherwise.
 """
 
 from __future__ import annotations
@@ -34,8 +37,8 @@ from brickyard.llm.common import materialize, small_side
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
 NOT_WORDS = r"[^\p{L}\p{N}]+"
-#: Item shingles up to which the side is broadcast.
-SMALL_SHINGLES = 200_000
+#: Most bits of the sketch's bit set, and bytes of a row of a few numbers.
+MAX_BITS, ROW_BYTES = 1 << 23, 40
 
 
 def words_of(text: Column) -> Column:
@@ -47,7 +50,7 @@ def hashes_of(words: Column, width: int) -> Column:
     """The hashes of all runs of ``width`` words."""
     last = F.size(words) - F.lit(width)
     at = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(width)]))
+    return F.transform(at, lambda i: F.xxhash64(F.lit(width), *[F.get(words, i + j) for j in range(width)]))
 
 
 def texts_of(words: Column, width: int) -> Column:
@@ -56,8 +59,29 @@ def texts_of(words: Column, width: int) -> Column:
     return F.transform(at, lambda i: F.array_join(F.slice(words, i + 1, F.lit(width)), " "))
 
 
-def _at_most(hashes: Column, cut: Column) -> Column:
-    return F.filter(hashes, lambda h: h <= cut)
+class BitSet:
+    """A set of hashes as bits: no hash of the set fails the test, and few others pass it."""
+
+    def __init__(self, hashes: DataFrame, n: int, max_bits: int = MAX_BITS):
+        self.bits = 64
+        while self.bits < min(16 * n, max_bits):
+            self.bits *= 2
+        self.probes = 2 if self.bits >= 8 * n else 1
+        at = hashes.select(F.explode(F.array(*self._positions(F.col("hash")))).alias("at"))
+        rows = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(at & 63 AS INT))")).alias("set")).collect()
+        words = [0] * (self.bits // 64)
+        for r in rows:
+            words[r.word] = r.set
+        self.words = ",".join(map(str, words))
+
+    def _positions(self, h: Column) -> list[Column]:
+        return [F.shiftrightunsigned(h, 32 * i).bitwiseAND(F.lit(self.bits - 1)) for i in range(self.probes)]
+
+    def holds(self, h: Column) -> Column:
+        words, out = F.split(F.lit(self.words), ",").cast("array<bigint>"), F.lit(True)
+        for p in self._positions(h):
+            out = out & (F.getbit(F.get(words, F.shiftright(p, 6).cast("int")), p.bitwiseAND(F.lit(63)).cast("int")) == 1)
+        return out
 
 
 def item_shingles(benchmark: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
@@ -79,36 +103,34 @@ def sketches(items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return items.withColumn("place", place).filter(F.col("place") <= need).select("item_id", "width", "q", F.floor(F.log2("q")).cast("int").alias("size_class"), "hash")
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, width: int = SHINGLE_WORDS) -> DataFrame:
+def _of_widths(each, widths: list[int], name: str) -> Column:
+    """All (width, value) of the arrays ``each`` gives by width, as one array."""
+
+    def marked(w: int) -> Column:
+        return F.transform(each(w), lambda v: F.struct(F.lit(w).alias("width"), v.alias(name)))
+
+    return F.flatten(F.array(*map(marked, widths)))
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, width: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
     """(doc_id, item_id, n_shared, n_shingles, containment): the pairs at or above the threshold."""
     items = materialize(item_shingles(benchmark.select("item_id", "text"), width), "decontam-items")
-    n_items = items.count()
     sketch = materialize(sketches(items, threshold), "decontam-sketch")
+    widths = sorted(r.width for r in sketch.select("width").distinct().collect())  # at most ``width`` of them
+    if not widths:
+        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, n_shared long, n_shingles long, containment double")
     n_sketch = sketch.count()
-    # a partition for each width and size class: at most five times sixty-four rows
-    parts = sketch.groupBy("width", "size_class").agg(F.max("hash").alias("cut"), F.min("q").alias("least_q")).collect()
+    sketched = BitSet(sketch, n_sketch, max_bits)
     worded = docs.select("doc_id", words_of(F.col("text")).alias("words"))
-    wanted = []
-    for w in sorted({p.width for p in parts}):
-        cuts = [(p.cut, max(1, int(p.least_q * threshold - 1e-9))) for p in parts if p.width == w]
-        size = F.size("words") - F.lit(w - 1)
-        cut = F.greatest(*[F.when(size >= least, F.lit(c)).otherwise(F.lit(-(2**63))) for c, least in cuts], F.lit(-(2**63)))
-        wanted.append((w, cut))
-    if not wanted:
-        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, n_shared long, n_shingles long, containment double")
-    low = None
-    for w, cut in wanted:
-        some = worded.select("doc_id", F.lit(w).alias("width"), F.explode(_at_most(hashes_of(F.col("words"), w), cut)).alias("hash"))
-        low = some if low is None else low.unionByName(some)
-    pairs = low.join(small_side(sketch.select("width", "hash", "item_id"), n_sketch, SMALL_SHINGLES), ["width", "hash"])
+    wanted = _of_widths(lambda w: F.filter(hashes_of(F.col("words"), w), sketched.holds), widths, "hash")
+    low = worded.select("doc_id", F.explode(wanted).alias("s")).select("doc_id", "s.*")
+    pairs = low.join(small_side(sketch.select("width", "hash", "item_id"), n_sketch * ROW_BYTES), ["width", "hash"])
     candidates = materialize(pairs.select("doc_id", "width", "item_id").distinct(), "decontam-candidates")
     ids = candidates.select(F.col("doc_id").alias("id")).distinct()
-    again = worded.join(small_side(ids, candidates.count()), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
-    texts = None
-    for w, _ in wanted:
-        some = again.select("doc_id", F.lit(w).alias("width"), F.explode(F.array_distinct(texts_of(F.col("words"), w))).alias("shingle"))
-        texts = some if texts is None else texts.unionByName(some)
-    shared = texts.join(small_side(items.select("width", "shingle", "item_id", "n"), n_items, SMALL_SHINGLES), ["width", "shingle"]).distinct()
+    again = worded.join(small_side(ids, candidates.count() * ROW_BYTES), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
+    texts = again.select("doc_id", F.explode(_of_widths(lambda w: F.array_distinct(texts_of(F.col("words"), w)), widths, "shingle")).alias("s")).select("doc_id", "s.*")
+    sizes = items.agg(F.sum(F.octet_length("shingle") + ROW_BYTES)).first()[0]
+    shared = texts.join(small_side(items.select("width", "shingle", "item_id", "n"), sizes), ["width", "shingle"]).distinct()
     found = shared.groupBy("doc_id", "item_id", F.col("n").alias("n_shingles")).agg(F.count(F.lit(1)).alias("n_shared"))
     contained = F.col("n_shared") / F.col("n_shingles")
     return found.filter(contained >= threshold - 1e-9).select("doc_id", "item_id", "n_shared", "n_shingles", contained.alias("containment"))
@@ -117,4 +139,4 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that hold no test item."""
     bad = materialize(contaminated(docs.select("doc_id", "text"), benchmark, **options).select(F.col("doc_id").alias("bad_id")).distinct(), "decontam-bad")
-    return docs.join(small_side(bad, bad.count()), F.col("doc_id").eqNullSafe(F.col("bad_id")), "left_anti")
+    return docs.join(small_side(bad, bad.count() * ROW_BYTES), F.col("doc_id").eqNullSafe(F.col("bad_id")), "left_anti")

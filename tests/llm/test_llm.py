@@ -516,13 +516,29 @@ def test_decontamination(spark):
     docs += [(9000, "before " + items[0][1].upper() + " after"), (9001, " ".join(items[1][1].split()[:-3])), (9002, " ".join(items[2][1].split()[: len(items[2][1].split()) // 2])), (9003, "short one here"), (9004, None), (9005, "")]
     items += [(900, "short one"), (901, None), (902, ""), (903, "!!!")]
     frame = spark.createDataFrame(docs, "doc_id long, text string").withColumn("containment", F.lit("own"))
-    got = decontam.contaminated(frame, spark.createDataFrame(items, "item_id long, text string"))
     want = set(brute_contained(docs, items))
-    assert {(r.doc_id, r.item_id) for r in got.collect()} == want and (9000, 0) in want and (9003, 900) in want
+    assert (9000, 0) in want and (9003, 900) in want
+    for bits in (decontam.MAX_BITS, 64):
+        got = decontam.contaminated(frame, spark.createDataFrame(items, "item_id long, text string"), max_bits=bits)
+        assert {(r.doc_id, r.item_id) for r in got.collect()} == want
     kept = {r.doc_id for r in decontam.drop_contaminated(frame, spark.createDataFrame(items, "item_id long, text string")).collect()}
     assert kept == {d for d, _ in docs} - {d for d, _ in want}
 
 
+def test_decontamination_joins_rows_of_an_id(spark):
+    item = " ".join(f"word{i}" for i in range(40))
+    halves = [(1, " ".join(item.split()[:24])), (1, " ".join(item.split()[20:])), (2, " ".join(item.split()[:24])), (None, item)]
+    got = decontam.contaminated(spark.createDataFrame(halves, "doc_id long, text string"), spark.createDataFrame([(7, item)], "item_id long, text string"))
+    assert {(r.doc_id, r.n_shared, r.n_shingles) for r in got.collect()} == {(1, 36, 36), (None, 36, 36)}
+
+
+def test_bit_set_prunes(spark):
+    hashes = spark.range(2000).select(F.xxhash64("id").alias("hash"))
+    bits = decontam.BitSet(hashes, 2000)
+    assert hashes.filter(bits.holds(F.col("hash"))).count() == 2000
+    assert spark.range(10**6, 10**6 + 20000).filter(bits.holds(F.xxhash64("id"))).count() < 800
+
+
 def test_decontamination_edges(spark):
     items = spark.read.parquet(f"{SF}/benchmark.parquet")
     assert decontam.contaminated(empty_docs(spark), items).collect() == []
