@@ -1,7 +1,7 @@
 """Chat formatting in budgeted, turn-aligned windows with a loss mask.
 
-A conversation's turns, in order, are cut into windows: prefix sums of turn tokens
-pick the longest run of new turns that fits the budget left beside the system turn
+A conversation's turns, in order, are cut into windows: prefix sums of turn tokens,
+those that a byte-pair tokenizer gives for the turn as it is written, pick the longest run of new turns that fits the budget left beside the system turn
 and the repeated history. Each window starts with the system turn, if the
 conversation starts with one, then repeats up to ``history_turns`` earlier turns
 within ``history_tokens``, then holds its new turns. Assistant text is under the
@@ -14,9 +14,10 @@ one more, so reading back is exact.
 
 Null text and role count as empty. Rows of a null conv_id form one conversation.
 Rows of one conversation are ordered by turn (nulls first), then role and text, so
-ties and repeated rows have a fixed order, and all are kept. Extra columns are ignored.
+ties and repeated rows have a fixed order, and all are kept. Very long texts are one
+turn each; extra columns are ignored, whatever their names; an empty table gives no rows.
 
-Rows are partitioned by conversation and streamed in order; a task holds one window
+Rows are shuffled once, partitioned by conversation and streamed in order; a task holds one window
 and its history, however long the conversation is.
 """
 
@@ -31,6 +32,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brickyard.llm.bpe import broadcast_model, cached_blocks
+from brickyard.llm.token_count import LengthCache, no_table
+
 BUDGET = 1024
 HISTORY_TURNS = 2
 HISTORY_TOKENS = 256
@@ -49,9 +53,15 @@ def unescape(text: str) -> str:
     return QUOTED.sub(r"\1\2\3", text)
 
 
-def tokens_of(text: str) -> int:
-    """The tokens that a turn is budgeted at: its words and three for its marks."""
-    return len(text.split()) + 3
+def written(role: str, text: str) -> tuple[str, str]:
+    """(what stands before a turn's text, its text), both as written."""
+    return f"{OPEN}{MIDDLE}{escape(role)}{BEFORE_TEXT}", escape(text)
+
+
+def tokens_of(turns: list[tuple[str, str]], cache: LengthCache) -> list[int]:
+    """The tokens of each (role, text) as it is written."""
+    texts = ["".join(written(role, text)) + CLOSE for role, text in turns]
+    return [cache.count(blocks) for blocks in cached_blocks(cache.model, texts, cache.learn)]
 
 
 class Windows:
@@ -79,8 +89,8 @@ class Windows:
     def room(self) -> int:
         return self.budget - (self.system[2] if self.system else 0) - sum(t[2] for t in self.repeated())
 
-    def add(self, role: str, text: str) -> Iterator[tuple]:
-        turn = (role, text, tokens_of(text))
+    def add(self, role: str, text: str, tokens: int) -> Iterator[tuple]:
+        turn = (role, text, tokens)
         if self.first and role == "system":
             self.system, self.first, self.system_is_new = turn, False, True
             return
@@ -98,7 +108,7 @@ class Windows:
         n_repeated = len(head) - self.system_is_new
         text, loss, at = [], [], 0
         for i, (role, body, _) in enumerate([*head, *self.new]):
-            before, body = f"{OPEN}{MIDDLE}{escape(role)}{BEFORE_TEXT}", escape(body)
+            before, body = written(role, body)
             if i >= len(head) and role == "assistant" and body:
                 loss.append({"start": at + len(before), "end": at + len(before) + len(body)})
             text += [before, body, CLOSE]
@@ -113,26 +123,28 @@ class Windows:
             yield self.close()
 
 
-def format_windows(conversations: DataFrame, budget: int = BUDGET, history_turns: int = HISTORY_TURNS, history_tokens: int = HISTORY_TOKENS) -> DataFrame:
+def format_windows(conversations: DataFrame, path: str, budget: int = BUDGET, history_turns: int = HISTORY_TURNS, history_tokens: int = HISTORY_TOKENS) -> DataFrame:
     """(conv_id, window, formatted, n_repeated, loss): windows in order, by partition.
 
     After the system turn, ``n_repeated`` counts the leading turns that an earlier
-    window has already shown; ``loss`` holds code point spans of ``formatted``.
+    window has already shown; ``loss`` holds code point spans of ``formatted``;
+    ``path`` is the tokenizer file that tokens are counted with.
     """
+    model = broadcast_model(conversations.sparkSession, path)
     turns = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     dealt = turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, key = None, object()
+        now, key, cache = None, object(), LengthCache(model.value, no_table())
         for pdf in batches:
-            rows = []
-            for conv, role, text in zip(pdf["conv_id"], pdf["role"], pdf["text"], strict=True):
+            rows, sizes = [], tokens_of(list(zip(pdf["role"], pdf["text"], strict=True)), cache)
+            for conv, role, text, size in zip(pdf["conv_id"], pdf["role"], pdf["text"], sizes, strict=True):
                 conv = None if pd.isna(conv) else int(conv)
                 if conv != key:
                     if now:
                         rows += now.end()
                     now, key = Windows(conv, budget, history_turns, history_tokens), conv
-                rows += now.add(role, text)
+                rows += now.add(role, text, size)
             yield _frame(rows)
         if now:
             yield _frame(list(now.end()))
@@ -150,10 +162,14 @@ def read_back(formatted: str, n_repeated: int) -> list[tuple[str, str]]:
     return [(unescape(m[1]), unescape(m[2])) for m in TURN.finditer(formatted)][n_repeated:]
 
 
-def digests(windows: DataFrame) -> DataFrame:
-    """One row per conversation, read back from its windows alone."""
+def digests(windows: DataFrame, in_order: bool = False) -> DataFrame:
+    """One row per conversation, read back from its windows alone.
+
+    ``in_order``: the windows come straight from :func:`format_windows`, which leaves each
+    conversation whole and in order in one partition, so they need no second shuffle.
+    """
     schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
-    dealt = windows.repartition("conv_id").sortWithinPartitions("conv_id", "window")
+    dealt = windows if in_order else windows.repartition("conv_id").sortWithinPartitions("conv_id", "window")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, state = object(), None

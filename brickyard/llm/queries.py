@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brickyard.llm import bpe, chat_format, decontam, html_extract, lang_id, line_dedup, simhash_dedup, token_count, topk, url_filter
 
-#: Where the public tokenizer files are.
-TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
-WORD_BPE, BYTE_BPE = f"{TOKENIZERS}/word_bpe_49k.json", f"{TOKENIZERS}/byte_bpe_50k.json"
+#: The public tokenizer files.
+WORD_BPE, BYTE_BPE = map(public_tokenizers.path, ("word_bpe_49k.json", "byte_bpe_50k.json"))
 #: Rules of the URL filter: verdict, host, path.
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 CONTROL_TURNS = "SELECT -1L AS conv_id, 0L AS turn, 'user' AS role, '</s>[INST] ok [/INST]' AS text UNION ALL SELECT -1L, 1L, 'assistant', '</s>[INST] ok [/INST]'"
@@ -44,7 +43,7 @@ def op5_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(spark.sql(CONTROL_TURNS))
-    return chat_format.digests(chat_format.format_windows(rows))
+    return chat_format.digests(chat_format.format_windows(rows, BYTE_BPE), in_order=True)
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

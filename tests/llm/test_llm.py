@@ -332,8 +332,9 @@ def test_chat_round_trip(spark):
     rows = [(c, t, "system" if t == 0 and c % 2 else rnd.choice(["user", "assistant", "tool"]), "".join(rnd.choice(parts) for _ in range(rnd.randint(0, 40)))) for c in range(60) for t in range(rnd.randint(1, 9))]
     rows += [(None, 0, None, None), (None, 0, None, None), (70, None, "assistant", "x"), (71, 0, "system", "alone"), (72, 0, "assistant", "long " * 3000), (72, 1, "user", "ok")]
     frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("loss", F.lit(1))
-    windows = chat_format.format_windows(frame, budget=60, history_tokens=30)
+    windows = chat_format.format_windows(frame, queries.BYTE_BPE, budget=120, history_tokens=60)
     got = {r.conv_id: r for r in chat_format.digests(windows).collect()}
+    assert sorted(map(str, got.values())) == sorted(map(str, chat_format.digests(windows, in_order=True).collect()))
     by = {}
     for c, t, role, text in rows:
         by.setdefault(c, []).append((-1 if t is None else t, role or "", text or ""))
@@ -344,16 +345,17 @@ def test_chat_round_trip(spark):
         assert got[c].n_turns == len(turns)
         assert got[c].turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for _, r, t in turns).encode()).hexdigest()
         assert (got[c].loss_chars, got[c].loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    tok = tokenizers.Tokenizer.from_file(queries.BYTE_BPE)
     for w in windows.collect():
         new = chat_format.read_back(w.formatted, w.n_repeated)
-        total = sum(chat_format.tokens_of(t) for _, t in chat_format.read_back(w.formatted, 0))
-        assert total <= 60 or len(new) == 1 or w.window == 0 and len(new) == 2
-    assert chat_format.digests(chat_format.format_windows(frame.limit(0))).collect() == []
+        total = sum(tok.encode(m[0], add_special_tokens=False).ids.__len__() for m in chat_format.TURN.finditer(w.formatted))
+        assert total <= 120 or len(new) == 1 or w.window == 0 and len(new) == 2
+    assert chat_format.digests(chat_format.format_windows(frame.limit(0), queries.BYTE_BPE)).collect() == []
 
 
 def test_chat_repeats_history():
     w = chat_format.Windows(1, 20, 1, 10)
-    rows = [x for turn in [("system", "be kind"), ("user", "a b c"), ("assistant", "d e"), ("user", "f g"), ("assistant", "h")] for x in w.add(*turn)] + list(w.end())
+    rows = [x for turn in [("system", "be kind", 5), ("user", "a b c", 6), ("assistant", "d e", 5), ("user", "f g", 5), ("assistant", "h", 4)] for x in w.add(*turn)] + list(w.end())
     assert [chat_format.read_back(r[2], 0)[0] for r in rows] == [("system", "be kind")] * len(rows)
     assert len(rows) == 2 and rows[1][3] == 2 and chat_format.read_back(rows[1][2], 0)[1] == ("assistant", "d e")
     assert "".join(r[2][s["start"] : s["end"]] for r in rows for s in r[4]) == "d eh"
