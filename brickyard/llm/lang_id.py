@@ -152,7 +152,7 @@ class Judge:
         rows = np.fromiter(map(self.rows.__getitem__, chain.from_iterable(group)), np.int64, int(sizes.sum()))
         counts, at = self.spread(first[rows], last[rows])
         doc = np.repeat(np.repeat(np.arange(len(group)), sizes), counts)
-        sums = np.bincount(doc * len(languages) + columns[at], weights=gains[at], minlength=len(group) * len(languages)).reshape(len(group), -1)
+        sums = np.bincount(doc * len(languages) + columns[at], weights=gains[at], minlength=len(group) * len(languages)).reshape(len(group), len(languages))
         sums = sums + np.log(self.model.prior)
         best = sums.argmax(axis=1)
         scores = 1 / np.exp(sums - sums.max(axis=1)[:, None]).sum(axis=1)

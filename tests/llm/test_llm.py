@@ -437,6 +437,7 @@ def test_language_brute_force(spark, monkeypatch):
         got = list(lang_id.Judge(model, limit).predict(texts))
         assert [g[0] for g in got] == [w[0] for w in want] and np.allclose([g[1] for g in got], [w[1] for w in want], rtol=1e-3, atol=1e-6)
     monkeypatch.setattr(lang_id, "GROUP_CHARS", 500)
+    assert list(lang_id.Judge(model).predict([])) == [] and len(list(lang_id.Judge(model).predict(["a b " * 200]))) == 1
     assert [g[0] for g in lang_id.Judge(model, 300).predict(texts)] == [w[0] for w in want]
 
 
