@@ -5,8 +5,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of a condition side that go out at a time.
-BLOCK_ROWS = 2000
+#: Rows of a condition side that go out at a time, bytes up to which a side is broadcast, and bytes a row of it is counted at.
+BLOCK_ROWS, BROADCAST_BYTES, ROW_BYTES = 2000, 64 << 20, 1000
+
+
+def small_side(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` with a broadcast hint if its counted ``rows`` are small; else the join shuffles."""
+    return F.broadcast(df) if rows * ROW_BYTES <= BROADCAST_BYTES else df
+
+
+def contains_join(rows: DataFrame, text: Column, asked: DataFrame, needle: str, key: str) -> DataFrame:
+    """The pairs of ``rows`` and ``asked`` whose lower-case ``text`` contains the column ``needle``, in lower case.
+
+    Every needle joins on one of its three-letter runs; rows join on all of theirs, once
+    each, and ``contains`` verifies. Needles of fewer letters go out in blocks.
+    """
+    runs = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda i: F.substr(c, i, F.lit(3))))
+    size = F.length(needle)
+    long = asked.filter(size >= 3).withColumn("run__", F.element_at(runs(F.col(needle)), -1))
+    found = rows.withColumn("text__", text).withColumn("run__", F.explode(runs(F.col("text__")))).join(small_side(long, long.count()), "run__")
+    found = found.filter(F.contains("text__", F.col(needle))).drop("run__", "text__")
+    short = asked.filter(size.between(1, 2))
+    if short.isEmpty():
+        return found
+    return found.unionByName(in_blocks(rows.withColumn("text__", text), short, key, F.contains("text__", F.col(needle))).drop("text__"))
 
 
 def in_blocks(rows: DataFrame, asked: DataFrame, key: str, condition: Column, how: str = "inner", block_rows: int = BLOCK_ROWS) -> DataFrame:

@@ -14,8 +14,13 @@ from pyspark.sql.window import Window
 from brickyard.functions.text import count_tokens, strip
 
 CHUNK_TOKENS, OVERLAP_PERCENT, CONTEXT_TOKENS, MAX_EMBED_TOKENS = 512, 15, 128, 8000
-CHUNK_MARK = r"<!--\s*chunk_id:\s*(\S+?)\s*-->"
+# The marker that names a section's chunk.
+CHUNK_MARK = r"(?U)<!--\s*chunk_id:\s*([\w-]+)\s*-->"
 BOX_MARGIN = 2.0
+# Patterns of HTML cells, tables and rows.
+CELL = r"(?is)<t([dh])\b[^>]*>(.*?)</t\1>"
+TABLE = r"(?is)<table\b.*?</table>"
+ROW = r"(?is)<tr\b[^>]*>.*?</tr>"
 
 
 def split_paragraphs(docs: DataFrame, separator: str = r"\n\s*\n") -> DataFrame:
@@ -110,8 +115,8 @@ def assemble_items(items: DataFrame, budget: int = CHUNK_TOKENS, overlap_percent
     return every.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("at")).alias("place"), "chunk_type", "content")
 
 
-#: Marks that end a sentence; pieces are cut around them.
-SENTENCE_END = "([" + "".join(map(chr, (0x3002, 0x21, 0x3F, 0xFF1F, 0xFF1B, 0xFF01, 0x0A))) + "]|[.] )"
+# Marks that end a sentence; pieces are cut around them.
+SENTENCE_END = r"([。!?？；！\n]|\. )"
 CUT = chr(1)
 
 
@@ -209,21 +214,21 @@ def grid_to_html(grid: Column, header: Column | None = None) -> Column:
 
 def html_cells(row: Column) -> Column:
     """The cell texts of one <tr>, tags removed and white space collapsed."""
-    raw = F.regexp_extract_all(row, F.lit(r"(?is)<t([dh])\b[^>]*>(.*?)</t\1>"), 2)
+    raw = F.regexp_extract_all(row, F.lit(CELL), 2)
     return F.transform(raw, lambda c: strip(F.regexp_replace(F.regexp_replace(c, "<[^>]+>", ""), r"\s+", " ")))
 
 
 def html_tables(docs: DataFrame) -> DataFrame:
     """(doc_id, table_no, grid) of every HTML table of at least two rows."""
-    found = docs.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"(?is)<table\b.*?</table>"), 0)).alias("table_no", "html"))
-    rows = F.regexp_extract_all("html", F.lit(r"(?is)<tr\b[^>]*>.*?</tr>"), 0)
+    found = docs.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(TABLE), 0)).alias("table_no", "html"))
+    rows = F.regexp_extract_all("html", F.lit(ROW), 0)
     grids = found.select("doc_id", "table_no", F.filter(F.transform(rows, html_cells), lambda r: F.size(r) > 0).alias("grid"))
     return grids.filter(F.size("grid") >= 2)
 
 
 def html_prose(text: Column) -> Column:
     """What is left of a page without its tables and tags."""
-    return strip(F.regexp_replace(F.regexp_replace(text, r"(?is)<table\b.*?</table>", ""), "<[^>]+>", ""))
+    return strip(F.regexp_replace(F.regexp_replace(text, TABLE, ""), "<[^>]+>", ""))
 
 
 def _table_rows(html: Column) -> Column:

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from brickyard.functions.dims import REGION_NAMES
-from brickyard.functions.joins import in_blocks
+from brickyard.functions.joins import contains_join, small_side
+from brickyard.functions.stored import materialize
 from brickyard.functions.text import match_words, name_tokens, trigram_similarity, trigrams
 
 MIN_KEPT = 2
@@ -34,37 +35,57 @@ def word_frequency(prices: DataFrame) -> DataFrame:
 
 
 def request_plan(requests: DataFrame, prices: DataFrame) -> DataFrame:
-    """``requests`` with words, pinned, ordered (first dropped first) and anchor."""
-    own = requests.withColumn("words", F.array_distinct(match_words(F.col("material_name"))))
+    """``requests`` with words, maker_words, pinned, ordered (first dropped first) and anchor."""
+    blank = F.array().cast("array<string>")
+    words = lambda c: F.coalesce(F.array_distinct(match_words(F.col(c))), blank)
+    own = requests.withColumn("words", words("material_name")).withColumn("maker_words", words("manufacturer"))
     each = own.select("request_id", "region", F.posexplode("words").alias("pos", "word"))
-    freq = word_frequency(prices).withColumnRenamed("region", "of_region")
+    known = prices.select("region", F.explode(name_tokens(F.col("material_name"))).alias("word")).join(small_side(each.select("word").distinct(), requests.count()), "word", "left_semi")
+    by_region = known.groupBy("region", "word").agg(F.count(F.lit(1)).alias("n"))
+    freq = by_region.unionByName(by_region.groupBy("word").agg(F.sum("n").alias("n")).withColumn("region", F.lit(None).cast("string"))).withColumnRenamed("region", "of_region")
     counted = each.join(freq, (each.word == freq.word) & each.region.eqNullSafe(freq.of_region), "left").select("request_id", each.word, "pos", F.coalesce("n", F.lit(0)).alias("n"))
     items = F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("f"), (-F.length("word")).alias("l"), "pos", "word")))
     plan = counted.groupBy("request_id").agg(items.alias("items"))
     names = lambda cond: F.transform(F.filter("items", cond), lambda x: x["word"])
     plan = plan.select("request_id", names(lambda x: x["word"].rlike("[0-9]")).alias("pinned"), names(lambda x: ~x["word"].rlike("[0-9]")).alias("ordered"))
-    anchor = F.coalesce(F.try_element_at("pinned", F.lit(-1)), F.try_element_at("ordered", F.lit(-1)))
-    return own.join(plan, "request_id", "left").withColumn("anchor", anchor)
+    out = own.join(plan, "request_id", "left").withColumns({c: F.coalesce(c, blank) for c in ("pinned", "ordered")})
+    return out.withColumn("anchor", F.coalesce(F.try_element_at("pinned", F.lit(-1)), F.try_element_at("ordered", F.lit(-1))))
 
 
 def _ranked(found: DataFrame, k: Column) -> DataFrame:
-    name = trigram_similarity(trigrams(F.col("material_name")), trigrams(F.col("asked_name")))
-    maker = F.when(F.col("asked_maker").isNull(), 0.0).otherwise(trigram_similarity(trigrams(F.col("manufacturer")), trigrams(F.col("asked_maker"))))
+    """The k first of each request; by name only where its words were matched."""
+    name = F.when(F.col("scored"), trigram_similarity(trigrams(F.col("material_name")), trigrams(F.col("asked_name"))))
+    maker = F.when(F.col("asked_maker").isNull() | (F.col("tier") == 2), 0.0).otherwise(trigram_similarity(trigrams(F.col("manufacturer")), trigrams(F.col("asked_maker"))))
     order = Window.partitionBy("request_id").orderBy(F.desc("name_score"), F.desc("maker_score"), F.desc_nulls_last("price_period"), F.desc("created_at"), "price_id")
     scored = found.withColumn("name_score", name).withColumn("maker_score", maker)
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def _candidates(plan: DataFrame, prices: DataFrame) -> DataFrame:
-    """Rows that hold the anchor and pass the region, unit, maker and exclusion filters."""
-    asked = plan.select("request_id", F.col("region").alias("asked_region"), match_words(F.coalesce("material_category", F.lit(""))).alias("asked_category"), F.col("material_name").alias("asked_name"), F.col("manufacturer").alias("asked_maker"), F.lower("unit").alias("asked_unit"), "exclude", "k", "words", "pinned", "ordered", "anchor")
-    rows = prices.withColumn("anchor", F.explode("name_tokens"))
-    found = rows.join(asked, "anchor").filter("asked_region IS NULL OR asked_region = region")
+def _asked(plan: DataFrame) -> DataFrame:
+    return plan.select("request_id", F.col("region").alias("asked_region"), match_words(F.coalesce("material_category", F.lit(""))).alias("asked_category"), F.col("material_name").alias("asked_name"), F.col("manufacturer").alias("asked_maker"), F.lower("unit").alias("asked_unit"), "exclude", "k", "words", "maker_words", "pinned", "ordered", "anchor")
+
+
+def _in_region() -> Column:
+    return F.col("asked_region").isNull() | (F.col("asked_region") == F.col("region"))
+
+
+def _passes() -> Column:
+    """Region, unit, exclusion and maker filters."""
     lower = F.lower("material_name")
-    keep = F.col("asked_unit").isNull() | F.contains(F.lower("unit"), F.col("asked_unit"))
+    keep = _in_region() & (F.col("asked_unit").isNull() | F.contains(F.lower("unit"), F.col("asked_unit")))
     keep = keep & ~F.exists(F.coalesce("exclude", F.array().cast("array<string>")), lambda x: F.contains(lower, F.lower(x)))
-    keep = keep & (F.col("asked_maker").isNull() | (F.size(F.array_except(match_words(F.coalesce("asked_maker", F.lit(""))), F.col("maker_tokens"))) == 0))
-    return found.filter(keep)
+    return keep & (F.size(F.array_except("maker_words", "maker_tokens")) == 0)
+
+
+def _candidates(plan: DataFrame, prices: DataFrame, n_requests: int) -> DataFrame:
+    """Rows that hold the anchor and pass the filters; few requests are broadcast, so prices stay where they are."""
+    asked = small_side(_asked(plan), n_requests)
+    return prices.withColumn("anchor", F.explode("name_tokens")).join(asked, "anchor").filter(_passes())
+
+
+def _longest(words: Column) -> Column:
+    """The first of the longest words."""
+    return F.array_max(F.transform(words, lambda w, i: F.struct(F.length(w).alias("n"), (-i).alias("i"), w.alias("w"))))["w"]
 
 
 OUT = ["request_id", "rank", "tier", "price_id", "material_name", "unit", "price_ex_vat", "price_basis", "source_type", "price_period", "manufacturer", "region", "name_score"]
@@ -72,32 +93,67 @@ OUT = ["request_id", "rank", "tier", "price_id", "material_name", "unit", "price
 
 def lookup_exact(requests: DataFrame, prices: DataFrame) -> DataFrame:
     """The k best rows that hold every word of the request, category words included."""
-    found = _candidates(request_plan(requests, prices), indexed(prices))
+    found = _candidates(request_plan(requests, prices), indexed(prices), requests.count())
     every = (F.size(F.array_except("words", "name_tokens")) == 0) & (F.size(F.array_except("asked_category", "category_tokens")) == 0)
-    return _ranked(found.filter(every).withColumn("tier", F.lit(0)), F.col("k")).select(*OUT)
+    return _ranked(found.filter(every).withColumn("tier", F.lit(0)).withColumn("scored", F.lit(True)), F.col("k")).select(*OUT)
+
+
+BASE = ["request_id", "k", "tier", "need", "scored", "price_id", "material_name", "unit", "price_ex_vat", "price_basis", "source_type", "price_period", "manufacturer", "region", "created_at", "asked_name", "asked_maker"]
+
+
+def _without_words(plan: DataFrame, prices: DataFrame) -> DataFrame | None:
+    """Requests without a usable name word: by the maker's words, by substring of the name, or both."""
+    bare = materialize(plan.filter(F.size("words") == 0), "lookup-bare")
+    if bare.isEmpty():
+        return None
+    named = F.coalesce(F.col("asked_name"), F.lit("")) != ""
+    inside = ~named | F.contains(F.lower("material_name"), F.lower("asked_name"))
+    made = _asked(bare).filter(F.size("maker_words") > 0).withColumn("anchor", _longest(F.col("maker_words")))
+    rows = prices.withColumn("anchor", F.explode("maker_tokens")).join(small_side(made, made.count()), "anchor").filter(inside & _passes())
+    plain = _asked(bare).filter((F.size("maker_words") == 0) & named)
+    if not plain.isEmpty():
+        needle = plain.drop("anchor").withColumn("needle", F.lower("asked_name"))
+        rows = rows.drop("anchor").unionByName(contains_join(prices, F.lower("material_name"), needle, "needle", "request_id").drop("needle").filter(_passes()))
+    return rows.withColumn("need", F.lit(0)).withColumn("scored", F.lit(False))
+
+
+def _by_raw_text(plan: DataFrame, prices: DataFrame, named: DataFrame) -> DataFrame | None:
+    """The last resort of requests that no tier answered: every word of the maker, else the name, in the raw row."""
+    term = F.coalesce(F.nullif("manufacturer", F.lit("")), "material_name")
+    words = F.coalesce(F.array_distinct(match_words(term)), F.array().cast("array<string>"))
+    left = plan.withColumn("words", words).filter(F.size("words") >= RAW_MIN_WORDS).join(named.select("request_id").distinct(), "request_id", "left_anti")
+    left = materialize(left, "lookup-raw")
+    if left.isEmpty():
+        return None
+    asked = small_side(_asked(left.withColumn("anchor", _longest(F.col("words")))), left.count())
+    texts = prices.withColumn("raw_tokens", name_tokens(F.col("raw_row_text"))).withColumn("anchor", F.explode("raw_tokens"))
+    rows = texts.join(asked, "anchor").filter(_in_region()).filter(F.size(F.array_except("words", "raw_tokens")) == 0)
+    return rows.withColumn("tier", F.lit(2)).withColumn("need", F.lit(0)).withColumn("scored", F.lit(False))
 
 
 def lookup(requests: DataFrame, prices: DataFrame) -> DataFrame:
     """The k best rows of the best tier: with the category, without it, then by raw row text.
 
-    Inside a tier only rows at its first successful drop level count. A request
-    without usable words matches by substring of the name.
+    Inside a tier only rows at its first successful drop level count. A request without
+    usable words matches by its maker and by substring of the name. The raw-text tier
+    takes the manufacturer, else the name, needs three words, ignores unit and
+    exclusions, and gives the newest rows first. Tiers that no request needs are not run.
     """
-    plan = request_plan(requests, prices)
+    plan = materialize(request_plan(requests, prices), "lookup-plan")
     stored = indexed(prices)
-    found = _candidates(plan, stored).filter(F.size(F.array_except("pinned", "name_tokens")) == 0)
+    found = _candidates(plan, stored, plan.count()).filter(F.size(F.array_except("pinned", "name_tokens")) == 0)
     need = F.array_max(F.concat(F.array(F.lit(0)), F.transform("ordered", lambda w, i: F.when(F.array_contains("name_tokens", w), 0).otherwise(i + 1))))
-    found = found.withColumn("need", need).filter((F.col("need") == 0) | ((F.size("words") >= MIN_KEPT) & (F.size("words") - F.col("need") >= MIN_KEPT)))
+    found = found.withColumn("need", need).withColumn("scored", F.lit(True)).filter((F.col("need") == 0) | ((F.size("words") >= MIN_KEPT) & (F.size("words") - F.col("need") >= MIN_KEPT)))
     in_category = F.size(F.array_except("asked_category", "category_tokens")) == 0
-    named = found.withColumn("tier", F.when((F.size("asked_category") > 0) & in_category, 0).otherwise(1))
-    base = ["request_id", "k", "tier", "need", "price_id", "material_name", "unit", "price_ex_vat", "price_basis", "source_type", "price_period", "manufacturer", "region", "created_at", "asked_name", "asked_maker"]
-    raw = plan.filter(F.size("words") >= RAW_MIN_WORDS).select("request_id", F.col("region").alias("asked_region"), F.col("material_name").alias("asked_name"), F.col("manufacturer").alias("asked_maker"), "k", "words", "anchor")
-    texts = stored.withColumn("raw_tokens", name_tokens(F.col("raw_row_text"))).withColumn("anchor", F.explode("raw_tokens"))
-    last = texts.join(raw, "anchor").filter("asked_region IS NULL OR asked_region = region").filter(F.size(F.array_except("words", "raw_tokens")) == 0).withColumn("tier", F.lit(2)).withColumn("need", F.lit(0))
-    bare = plan.filter(F.size("words") == 0).select("request_id", F.col("region").alias("asked_region"), F.col("material_name").alias("asked_name"), F.col("manufacturer").alias("asked_maker"), "k")
-    inside = F.contains(F.lower("material_name"), F.lower("asked_name")) & (F.col("asked_region").isNull() | (F.col("asked_region") == F.col("region")))
-    whole = in_blocks(stored, bare, "request_id", inside).withColumn("tier", F.lit(1)).withColumn("need", F.lit(0))
-    every = named.select(*base).unionByName(last.select(*base)).unionByName(whole.select(*base))
+    tier = F.when((F.size("asked_category") > 0) & in_category, 0).otherwise(1)
+    every = found.withColumn("tier", tier).select(*BASE)
+    bare = _without_words(plan, stored)
+    if bare is not None:
+        every = every.unionByName(bare.withColumn("tier", tier).select(*BASE))
+    every = materialize(every, "lookup-found")
+    raw = _by_raw_text(plan, stored, every)
+    if raw is not None:
+        every = every.unionByName(raw.select(*BASE))
     # a row of tier 0 also counts in tier 1 at its own level
     best = every.groupBy("request_id", "tier").agg(F.min("need").alias("level"))
     best = best.groupBy("request_id").agg(F.min(F.struct("tier", "level")).alias("b")).select("request_id", F.col("b.tier").alias("tier"), F.col("b.level").alias("need"))
@@ -107,8 +163,7 @@ def lookup(requests: DataFrame, prices: DataFrame) -> DataFrame:
 def lookup_substring(requests: DataFrame, prices: DataFrame, k: int = 1) -> DataFrame:
     """The older lookup: the whole name as a substring, newest first."""
     asked = requests.select("request_id", F.col("region").alias("asked_region"), F.lower("material_name").alias("asked"))
-    inside = F.contains(F.lower("material_name"), F.col("asked")) & (F.col("asked_region").isNull() | (F.col("asked_region") == F.col("region")))
-    found = in_blocks(prices, asked, "request_id", inside)
+    found = contains_join(prices, F.lower("material_name"), asked, "asked", "request_id").filter(_in_region())
     order = Window.partitionBy("request_id").orderBy(F.desc_nulls_last("price_period"), F.desc("created_at"), "price_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("request_id", "rank", "price_id", "material_name")
 
@@ -144,7 +199,7 @@ def price_quality(prices: DataFrame) -> DataFrame:
 
 def price_spread(prices: DataFrame, phrases: DataFrame) -> DataFrame:
     """(phrase, n, least, most) over names that contain the phrase."""
-    found = in_blocks(prices, phrases.withColumnRenamed("phrase", "found"), "found", F.contains(F.lower("material_name"), F.lower("found")))
+    found = contains_join(prices, F.lower("material_name"), phrases.select(F.col("phrase").alias("found"), F.lower("phrase").alias("needle")), "needle", "found")
     spread = found.groupBy("found").agg(F.count("price_id").alias("n"), F.min("price_ex_vat").alias("least"), F.max("price_ex_vat").alias("most"))
     return phrases.join(spread, F.col("phrase") == F.col("found"), "left").select("phrase", F.coalesce("n", F.lit(0)).alias("n"), "least", "most")
 

@@ -31,7 +31,7 @@ def similarity_sql(a: str, b: str) -> str:
 
 
 register("fold_accents", lambda s, d: A.table(s, d, "documents").select("doc_id", fold(F.col("text")).alias("folded")), f"SELECT doc_id, {FOLDED.format('text')} AS folded FROM documents")
-register("match_words", lambda s, d: A.price_requests(s, d).select("request_id", F.array_join(match_words(F.col("material_name")), " ").alias("words")), f"WITH {A.REQUESTS} SELECT request_id, array_to_string({words_sql('material_name')}, ' ') AS words FROM requests")
+register("match_words", lambda s, d: A.table(s, d, "part").select("p_partkey", F.array_join(match_words(F.concat_ws(" ", "p_name", F.lit("giá CỦA a đá"), "p_type")), " ").alias("words")), f"SELECT p_partkey, array_to_string({words_sql("(p_name || ' giá CỦA a đá ' || p_type)")}, ' ') AS words FROM part")
 register("has_word", lambda s, d: A.material_prices(s, d).filter(has_word(name_tokens(F.col("material_name")), F.lit("ring"))).groupBy("region").agg(F.count(F.lit(1)).alias("n")), f"WITH {A.PRICES} SELECT region, count(*) AS n FROM prices WHERE list_contains({tokens_sql('material_name')}, 'ring') GROUP BY 1")
 register(
     "trigram_similarity",
@@ -46,19 +46,21 @@ register(
 register("word_frequency", lambda s, d: L.word_frequency(A.material_prices(s, d)), f"WITH {A.PRICES}, w AS (SELECT region, unnest({tokens_sql('material_name')}) AS word FROM prices) SELECT region, word, count(*) AS n FROM w GROUP BY ALL UNION ALL SELECT NULL, word, count(*) FROM w GROUP BY word")
 
 MATCH = f"""{A.PRICES}, {A.REQUESTS},
-p AS (SELECT *, {tokens_sql('material_name')} AS nt, {tokens_sql('material_category')} AS ct, {tokens_sql('raw_row_text')} AS rt, {grams_sql('material_name')} AS ng FROM prices),
-r AS (SELECT request_id, region AS ar, material_name AS asked, unit AS au, exclude, k, {words_sql('material_name')} AS words,
-             {words_sql("coalesce(material_category, '')")} AS cw, {grams_sql('material_name')} AS ag FROM requests),
+p AS (SELECT *, {tokens_sql('material_name')} AS nt, {tokens_sql('material_category')} AS ct, {tokens_sql('raw_row_text')} AS rt, {tokens_sql('manufacturer')} AS mt, {grams_sql('material_name')} AS ng, {grams_sql('manufacturer')} AS mg FROM prices),
+r AS (SELECT request_id, region AS ar, material_name AS asked, manufacturer AS maker, unit AS au, exclude, k, {words_sql("coalesce(material_name, '')")} AS words,
+             {words_sql("coalesce(manufacturer, '')")} AS mw, {words_sql("coalesce(manufacturer, material_name, '')")} AS rw,
+             {words_sql("coalesce(material_category, '')")} AS cw, {grams_sql('material_name')} AS ag, {grams_sql('manufacturer')} AS am FROM requests),
 ok AS (SELECT * FROM r JOIN p ON (ar IS NULL OR ar = region) AND (au IS NULL OR contains(lower(unit), lower(au)))
-         AND len([x for x in exclude if contains(lower(material_name), lower(x))]) = 0)"""
+         AND len([x for x in exclude if contains(lower(material_name), lower(x))]) = 0 AND list_has_all(mt, mw))"""
 SCORE = "len(list_intersect(ng, ag)) / (len(ng) + len(ag) - len(list_intersect(ng, ag)))"
-RANK = "row_number() OVER (PARTITION BY request_id ORDER BY name_score DESC, price_period DESC NULLS LAST, created_at DESC, price_id)::INTEGER"
+MAKER = "CASE WHEN maker IS NULL THEN 0 ELSE len(list_intersect(mg, am)) / (len(mg) + len(am) - len(list_intersect(mg, am))) END"
+RANK = "row_number() OVER (PARTITION BY request_id ORDER BY name_score DESC, maker_score DESC, price_period DESC NULLS LAST, created_at DESC, price_id)::INTEGER"
 COLS = "request_id, rank, tier, price_id, material_name, unit, price_ex_vat, price_basis, source_type, price_period, manufacturer, region, name_score"
 EXACT = f"""WITH {MATCH},
-m AS (SELECT *, 0 AS tier, {SCORE} AS name_score FROM ok WHERE list_has_all(nt, words) AND list_has_all(ct, cw)),
+m AS (SELECT *, 0 AS tier, {SCORE} AS name_score, {MAKER} AS maker_score FROM ok WHERE len(words) > 0 AND list_has_all(nt, words) AND list_has_all(ct, cw)),
 q AS (SELECT *, {RANK} AS rank FROM m) SELECT {COLS} FROM q WHERE rank <= k"""
 register("lookup_topk", lambda s, d: L.lookup_exact(A.price_requests(s, d), A.material_prices(s, d)), EXACT)
-register("lookup_all_words", lambda s, d: L.lookup_exact(A.price_requests(s, d).withColumn("k", F.lit(1000)), A.material_prices(s, d)).groupBy("request_id").agg(F.count(F.lit(1)).alias("n")), f"WITH {MATCH} SELECT request_id, least(count(*), 1000) AS n FROM ok WHERE list_has_all(nt, words) AND list_has_all(ct, cw) GROUP BY 1")
+register("lookup_all_words", lambda s, d: L.lookup_exact(A.price_requests(s, d).withColumn("k", F.lit(1000)), A.material_prices(s, d)).groupBy("request_id").agg(F.count(F.lit(1)).alias("n")), f"WITH {MATCH} SELECT request_id, least(count(*), 1000) AS n FROM ok WHERE len(words) > 0 AND list_has_all(nt, words) AND list_has_all(ct, cw) GROUP BY 1")
 register("lookup_exclude", lambda s, d: L.lookup_exact(A.price_requests(s, d).withColumn("exclude", F.array(F.lit("BRAND#1"))), A.material_prices(s, d)).select("request_id", "rank", "price_id"), EXACT.replace("THEN ['brand#1'] ELSE []::VARCHAR[] END AS exclude", "THEN ['brand#1'] ELSE ['brand#1'] END AS exclude").replace(f"SELECT {COLS} FROM q", "SELECT request_id, rank, price_id FROM q"))
 TIERS = f"""WITH {MATCH},
 fq AS (SELECT region, word, count(*) AS n FROM (SELECT region, unnest(nt) AS word FROM p) GROUP BY ALL),
@@ -72,11 +74,13 @@ g AS (SELECT ok.*, len(list_distinct(words)) AS nw, coalesce(list_max([CASE WHEN
 """
 TIERS = TIERS.replace("list_max([CASE WHEN list_contains(nt, w) THEN 0 ELSE i END for w, i in coalesce(ordered, []::VARCHAR[])])", "list_max(list_transform(coalesce(ordered, []::VARCHAR[]), lambda w, i: CASE WHEN list_contains(nt, w) THEN 0 ELSE i END))")
 TIERS += f"""e AS (
-  SELECT request_id, price_id, CASE WHEN len(cw) > 0 AND list_has_all(ct, cw) THEN 0 ELSE 1 END AS tier, need FROM g WHERE need = 0 OR (nw >= 2 AND nw - need >= 2)
-  UNION ALL SELECT request_id, price_id, 2, 0 FROM r JOIN p ON (ar IS NULL OR ar = region) AND len(list_distinct(words)) >= 3 AND list_has_all(rt, words)),
+  SELECT request_id, price_id, CASE WHEN len(cw) > 0 AND list_has_all(ct, cw) THEN 0 ELSE 1 END AS tier, need, true AS scored FROM g WHERE need = 0 OR (nw >= 2 AND nw - need >= 2)
+  UNION ALL SELECT request_id, price_id, CASE WHEN len(cw) > 0 AND list_has_all(ct, cw) THEN 0 ELSE 1 END, 0, false FROM ok
+    WHERE len(words) = 0 AND (len(mw) > 0 OR coalesce(asked, '') <> '') AND contains(lower(material_name), lower(coalesce(asked, '')))
+  UNION ALL SELECT request_id, price_id, 2, 0, false FROM r JOIN p ON (ar IS NULL OR ar = region) AND len(list_distinct(rw)) >= 3 AND list_has_all(rt, rw)),
 b AS (SELECT request_id, min({{'tier': tier, 'need': need}}) AS b FROM e GROUP BY 1),
-m AS (SELECT r.request_id, k, e.tier, p.*, {SCORE} AS name_score FROM e JOIN b ON b.request_id = e.request_id AND b.b.tier = e.tier AND b.b.need = e.need
-      JOIN r ON r.request_id = e.request_id JOIN p ON p.price_id = e.price_id),
+m AS (SELECT r.request_id, k, e.tier, p.*, CASE WHEN scored THEN {SCORE} END AS name_score, CASE WHEN e.tier < 2 THEN {MAKER} ELSE 0 END AS maker_score
+      FROM e JOIN b ON b.request_id = e.request_id AND b.b.tier = e.tier AND b.b.need = e.need JOIN r ON r.request_id = e.request_id JOIN p ON p.price_id = e.price_id),
 q AS (SELECT *, {RANK} AS rank FROM m) SELECT {COLS} FROM q WHERE rank <= k"""
 register("lookup_tiers", lambda s, d: L.lookup(A.price_requests(s, d), A.material_prices(s, d)), TIERS)
 register("lookup_relaxed", lambda s, d: L.lookup(A.price_requests(s, d), A.material_prices(s, d)).groupBy("request_id").agg(F.count(F.lit(1)).alias("n"), F.max("name_score").alias("best")), TIERS.replace(f"SELECT {COLS} FROM q WHERE rank <= k", "SELECT request_id, count(*) AS n, max(name_score) AS best FROM q WHERE rank <= k GROUP BY 1"))
@@ -85,11 +89,11 @@ SUB = f"""WITH {A.PRICES}, {A.REQUESTS}, m AS (SELECT request_id, price_id, p.ma
 
 
 def _short(s, d):
-    return A.price_requests(s, d).withColumn("material_name", F.split("material_name", " ")[1])
+    return A.price_requests(s, d).withColumn("material_name", F.get(F.split("material_name", " "), 1))
 
 
 register("lookup_substring", lambda s, d: L.lookup_substring(_short(s, d), A.material_prices(s, d)), SUB + " SELECT request_id, rank, price_id, material_name FROM m WHERE rank = 1")
-register("eval_lookup", lambda s, d: L.eval_lookup(A.price_requests(s, d).withColumn("expect", F.split("material_name", " ")[0]), L.lookup_substring(_short(s, d), A.material_prices(s, d))), SUB + " SELECT count(*) AS n_cases, coalesce(sum(CASE WHEN contains(lower(m.material_name), lower(string_split(q.material_name, ' ')[1])) THEN 1 ELSE 0 END), 0)::BIGINT AS n_right FROM requests q LEFT JOIN m ON m.request_id = q.request_id AND m.rank = 1")
+register("eval_lookup", lambda s, d: L.eval_lookup(A.price_requests(s, d).withColumn("expect", F.get(F.split("material_name", " "), 0)), L.lookup_substring(_short(s, d), A.material_prices(s, d))), SUB + " SELECT count(*) AS n_cases, coalesce(sum(CASE WHEN contains(lower(m.material_name), lower(string_split(q.material_name, ' ')[1])) THEN 1 ELSE 0 END), 0)::BIGINT AS n_right FROM requests q LEFT JOIN m ON m.request_id = q.request_id AND m.rank = 1")
 register("lookup_labels", lambda s, d: L.format_lookup(A.price_requests(s, d), L.lookup_exact(A.price_requests(s, d), A.material_prices(s, d))), EXACT.replace(f"SELECT {COLS} FROM q WHERE rank <= k", """, z AS (SELECT * FROM q WHERE rank <= k)
   SELECT r.request_id, coalesce(rank, 0) AS rank, CASE WHEN price_id IS NULL THEN 'not found' ELSE material_name || ' | ' || format('{:,}', price_ex_vat::BIGINT) || ' VND/' || unit || ' | ' ||
     CASE price_basis WHEN 'tai_mo' THEN 'tại mỏ/nơi sản xuất' WHEN 'tai_chan_cong_trinh' THEN 'tại chân công trình' ELSE 'không rõ điều kiện giao' END || ' | ' || price_period || ' | ' || manufacturer END AS line

@@ -47,28 +47,32 @@ PRICES = """prices AS (
 
 
 def price_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every 50th part: its name's words turned round, size last, with a noise word on some."""
-    p, r = table(spark, sf_dir, "part").filter("p_partkey % 50 = 0"), table(spark, sf_dir, "region")
+    """Every 20th part: its name's words turned round, size last; some with a maker, noise, no usable word or no name."""
+    p, r = table(spark, sf_dir, "part").filter("p_partkey % 20 = 0"), table(spark, sf_dir, "region")
+    n = F.floor(F.col("p_partkey") / 20)
     words = F.split("p_name", " ")
     name = F.concat_ws(" ", F.reverse(words), F.concat(F.lit("D"), F.col("p_size").cast("string")))
+    maker = F.concat(F.lit("Supplier#"), F.lpad((n % 10 + 1).cast("string"), 9, "0"))
+    asked = F.when(n % 11 == 3, F.lit(None)).when(n % 13 == 4, "#1").when(n % 9 == 2, F.concat_ws(" ", maker, F.get(words, 0))).when(n % 4 == 1, F.concat(name, F.lit(" steel bolt"))).otherwise(name)
     return p.join(F.broadcast(r), F.col("p_partkey") % 5 == F.col("r_regionkey")).select(
         F.col("p_partkey").cast("string").alias("request_id"),
-        F.when(F.col("p_partkey") % 100 == 0, F.col("r_name")).alias("region"),
-        F.when(F.col("p_partkey") % 150 == 0, F.col("p_type")).alias("material_category"),
-        F.when(F.col("p_partkey") % 200 == 0, F.concat(name, F.lit(" steel bolt"))).otherwise(name).alias("material_name"),
-        F.lit(None).cast("string").alias("manufacturer"),
-        F.when(F.col("p_partkey") % 250 == 0, "k").alias("unit"),
-        F.when(F.col("p_partkey") % 350 == 0, F.array(F.lit("brand#1"))).otherwise(F.array().cast("array<string>")).alias("exclude"),
+        F.when(n % 2 == 0, F.col("r_name")).alias("region"),
+        F.when(n % 3 == 0, F.col("p_type")).alias("material_category"),
+        asked.alias("material_name"),
+        F.when((n % 11 == 3) | (n % 6 == 1), maker).alias("manufacturer"),
+        F.when(n % 5 == 0, "k").alias("unit"),
+        F.when(n % 7 == 0, F.array(F.lit("brand#1"))).otherwise(F.array().cast("array<string>")).alias("exclude"),
         F.lit(5).alias("k"),
     )
 
 
 REQUESTS = """requests AS (
-  SELECT p_partkey::VARCHAR AS request_id, CASE WHEN p_partkey % 100 = 0 THEN r_name END AS region,
-         CASE WHEN p_partkey % 150 = 0 THEN p_type END AS material_category,
-         array_to_string(list_reverse(string_split(p_name, ' ')), ' ') || ' D' || p_size || CASE WHEN p_partkey % 200 = 0 THEN ' steel bolt' ELSE '' END AS material_name,
-         CASE WHEN p_partkey % 250 = 0 THEN 'k' END AS unit, CASE WHEN p_partkey % 350 = 0 THEN ['brand#1'] ELSE []::VARCHAR[] END AS exclude, 5 AS k
-  FROM part JOIN region ON p_partkey % 5 = r_regionkey WHERE p_partkey % 50 = 0)"""
+  SELECT p_partkey::VARCHAR AS request_id, CASE WHEN n % 2 = 0 THEN r_name END AS region, CASE WHEN n % 3 = 0 THEN p_type END AS material_category,
+         CASE WHEN n % 11 = 3 THEN NULL WHEN n % 13 = 4 THEN '#1' WHEN n % 9 = 2 THEN maker || ' ' || string_split(p_name, ' ')[1]
+              ELSE array_to_string(list_reverse(string_split(p_name, ' ')), ' ') || ' D' || p_size || CASE WHEN n % 4 = 1 THEN ' steel bolt' ELSE '' END END AS material_name,
+         CASE WHEN n % 11 = 3 OR n % 6 = 1 THEN maker END AS manufacturer,
+         CASE WHEN n % 5 = 0 THEN 'k' END AS unit, CASE WHEN n % 7 = 0 THEN ['brand#1'] ELSE []::VARCHAR[] END AS exclude, 5 AS k
+  FROM (SELECT *, p_partkey // 20 AS n, 'Supplier#' || lpad((p_partkey // 20 % 10 + 1)::VARCHAR, 9, '0') AS maker FROM part) JOIN region ON p_partkey % 5 = r_regionkey WHERE p_partkey % 20 = 0)"""
 
 
 def usage_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,12 +123,12 @@ cells AS (
 
 
 def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "pages").select("page_id", "url", F.regexp_extract("html", "<title>([^<]*)", 1).alias("title"), F.substring("html", 1, 4000).alias("content"))
+    p = table(spark, sf_dir, "pages").select("page_id", "url", F.regexp_extract("html", "<title>([^<]*)", 1).alias("title"), F.col("html").alias("content"))
     first = p.filter("page_id % 3 = 0").withColumn("source_priority", F.lit(0))
     out = first.unionByName(p.withColumn("source_priority", F.lit(1)))
     return out.select((F.col("page_id") % 10).alias("query_id"), "source_priority", F.col("page_id").alias("position"), "url", "title", F.when(F.col("page_id") % 4 > 0, F.col("content")).alias("content"), F.col("title").alias("snippet"))
 
 
-HITS = """p AS (SELECT page_id, url, regexp_extract(html, '<title>([^<]*)', 1) AS title, substr(html, 1, 4000) AS content FROM pages),
+HITS = """p AS (SELECT page_id, url, regexp_extract(html, '<title>([^<]*)', 1) AS title, html AS content FROM pages),
 hits AS (SELECT page_id % 10 AS query_id, pr AS source_priority, page_id AS position, url, title, CASE WHEN page_id % 4 > 0 THEN content END AS content, title AS snippet
   FROM p, (SELECT unnest([0, 1]) AS pr) WHERE pr = 1 OR page_id % 3 = 0)"""
