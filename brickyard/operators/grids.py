@@ -16,7 +16,11 @@ MONEY = r"\d{1,3}(?:[.,]\d{3})+(?:[.,]\d+)?|\d{4,}"
 HEADER_LABELS = ["stt", "tt", "số tt", "tên", "danh mục", "nhóm", "quy cách", "đơn vị", "đvt", "giá", "đơn giá", "tiêu chuẩn", "nhà sản xuất", "xuất xứ", "ghi chú", "vận chuyển", "thành tiền", "khối lượng", "mã hiệu"]
 MAX_LABEL = 60
 # LaTeX commands and what they print.
-LATEX = [(r"\\[pP]hi", "Ø"), (r"\\times", "x"), (r"\\pm", "±"), (r"\\le", "≤"), (r"\\ge", "≥"), (r"\\%", "%"), (r"\\,", " "), (r"\\ ", " ")]
+LATEX = [(r"\\phi", "Ø"), (r"\\Phi", "Ø"), (r"\\times", "x"), (r"\\pm", "±"), (r"\\le", "≤"), (r"\\ge", "≥"), (r"\\%", "%"), (r"\\,", " "), (r"\\ ", " ")]
+
+# Patterns of LaTeX commands with a text, of superscripts, and of a pipe table's separator line.
+LATEX_TEXT, SUPERSCRIPT = r"\\(?:mathrm|mathbf|mathit|text|textbf|rm)\s*\{([^{}]*)\}", r"\^\{?(\d)\}?"
+SEPARATOR = r"^\s*\|?[\s:|-]+\|[\s:|-]*$"
 
 
 def is_ditto(c: Column) -> Column:
@@ -35,17 +39,25 @@ def fill_merged(cells: DataFrame) -> DataFrame:
     return cells.withColumn("resolved", F.when(fill, F.coalesce(F.last(own, ignorenulls=True).over(above), F.lit(""))).otherwise(F.coalesce("raw", F.lit(""))))
 
 
-def expand_ditto(cells: DataFrame) -> DataFrame:
+def expand_ditto(cells: DataFrame, keys: tuple[str, ...] = ("table_no",)) -> DataFrame:
     """Adds resolved: a ditto takes the nearest non-empty, non-ditto value above, or stays."""
-    above = Window.partitionBy("table_no", "col_no").orderBy("row_no").rowsBetween(Window.unboundedPreceding, -1)
+    above = Window.partitionBy(*keys, "col_no").orderBy("row_no").rowsBetween(Window.unboundedPreceding, -1)
     own = F.when(~is_ditto(F.col("raw")) & (F.col("raw") != ""), F.col("raw"))
     return cells.withColumn("resolved", F.when(is_ditto(F.col("raw")), F.coalesce(F.last(own, ignorenulls=True).over(above), F.col("raw"))).otherwise(F.col("raw")))
 
 
-def to_grid(cells: DataFrame, column: str = "resolved") -> DataFrame:
-    """(table_no, grid): the long form as an array of rows."""
-    rows = cells.groupBy("table_no", "row_no").agg(F.transform(F.sort_array(F.collect_list(F.struct("col_no", F.col(column).alias("v")))), lambda x: x["v"]).alias("row"))
-    return rows.groupBy("table_no").agg(F.transform(F.sort_array(F.collect_list(F.struct("row_no", "row"))), lambda x: x["row"]).alias("grid"))
+def to_grid(cells: DataFrame, column: str = "resolved", keys: tuple[str, ...] = ("table_no",)) -> DataFrame:
+    """(keys, grid): the long form as an array of rows."""
+    rows = cells.groupBy(*keys, "row_no").agg(F.transform(F.sort_array(F.collect_list(F.struct("col_no", F.col(column).alias("v")))), lambda x: x["v"]).alias("row"))
+    return rows.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("row_no", "row"))), lambda x: x["row"]).alias("grid"))
+
+
+def resolve_tables(tables: DataFrame) -> DataFrame:
+    """(doc_id, table_no, grid, raw): each grid with its dittos expanded, beside the raw one."""
+    keys = ("doc_id", "table_no")
+    rows = tables.select(*keys, F.posexplode("grid").alias("row_no", "row"))
+    cells = rows.select(*keys, "row_no", F.posexplode("row").alias("col_no", "raw"))
+    return to_grid(expand_ditto(cells, keys), "resolved", keys).join(tables.select(*keys, F.col("grid").alias("raw")), list(keys))
 
 
 def pad_to_modal(tables: DataFrame) -> DataFrame:
@@ -70,10 +82,10 @@ def verify_numbers(cells: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def strip_latex(c: Column) -> Column:
-    out = F.regexp_replace(c, r"\\(?:mathrm|mathbf|mathit|text|textbf|rm)\s*\{([^{}]*)\}", "$1")
+    out = F.regexp_replace(c, LATEX_TEXT, "$1")
     for pattern, to in LATEX:
         out = F.regexp_replace(out, pattern, to)
-    out = F.replace(F.regexp_replace(out, r"\^\{?(\d)\}?", "$1"), F.lit("$"), F.lit(""))
+    out = F.replace(F.regexp_replace(out, SUPERSCRIPT, "$1"), F.lit("$"), F.lit(""))
     return F.when(c.contains("$") | c.contains("\\"), strip(F.regexp_replace(out, r"\s+", " "))).otherwise(c)
 
 
@@ -89,7 +101,7 @@ def md_tables(docs: DataFrame) -> DataFrame:
     order = Window.partitionBy("doc_id").orderBy("pos")
     pipe = F.ltrim("line").startswith("|")
     lines = lines.withColumn("pipe", pipe).withColumn("island", F.sum(F.when(pipe, 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0))).filter("pipe")
-    separator = F.col("line").rlike(r"^\s*\|?[\s:|-]+\|[\s:|-]*$")
+    separator = F.col("line").rlike(SEPARATOR)
     rows = F.sort_array(F.collect_list(F.struct("pos", F.when(~separator, split_md_row(F.col("line"))).alias("row"))))
     found = lines.groupBy("doc_id", "island").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first"), rows.alias("rows"))
     found = found.filter("n >= 3").withColumn("grid", F.transform(F.filter("rows", lambda x: x["row"].isNotNull()), lambda x: x["row"])).filter(F.size("grid") >= 2)

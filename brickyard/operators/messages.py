@@ -77,9 +77,16 @@ def prefill(c: Column) -> Column:
 
 
 def route(messages: DataFrame) -> DataFrame:
-    """Adds route: form, small_talk, intent, agent or retrieval, in that order of precedence."""
-    r = F.when(F.col("form_id").isNotNull(), "form").when(small_talk(F.col("content")).isNotNull(), "small_talk").when(intent(F.col("content")).isNotNull(), "intent").when(F.col("agent_mode"), "agent").otherwise("retrieval")
-    return messages.withColumn("route", r)
+    """Adds route: form, small_talk, intent, guard, agent or retrieval, in that order of precedence.
+
+    A voice turn (via_voice) has no intent route. A turn without a base, project or skill
+    in scope (in_scope false) is for the topic guard, whose verdict is a model's. Without
+    these columns no turn is by voice and every turn is in scope.
+    """
+    of = lambda name, default: F.coalesce(F.col(name), F.lit(default)) if name in messages.columns else F.lit(default)
+    r = F.when(F.col("form_id").isNotNull(), "form").when(small_talk(F.col("content")).isNotNull(), "small_talk")
+    r = r.when(intent(F.col("content")).isNotNull() & ~of("via_voice", False), "intent").when(~of("in_scope", True), "guard")
+    return messages.withColumn("route", r.when(F.col("agent_mode"), "agent").otherwise("retrieval"))
 
 
 def recent(messages: DataFrame, n: int) -> DataFrame:

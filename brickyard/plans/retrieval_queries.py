@@ -16,12 +16,12 @@ def chunks(s, d):
 
 
 def queries(s, d, **extra):
-    e = A.table(s, d, "embeddings").filter("vec_id % 50 = 0")
+    e = A.table(s, d, "embeddings").filter("vec_id % 20 = 0")
     out = e.select(F.col("vec_id").alias("query_id"), "embedding", F.array(F.col("label"), (F.col("label") + 1).cast("int")).alias("kb_ids"))
     return out.withColumns({"k": F.lit(5), "threshold": F.lit(0.05)} | extra)
 
 
-CHUNKS = "ck AS (SELECT vec_id AS chunk_id, embedding::DOUBLE[] AS embedding, label AS kb_id, CASE WHEN vec_id % 4 > 0 THEN 'r' || vec_id % 3 END AS region, CASE WHEN vec_id % 5 = 0 THEN 'table' ELSE 'text' END AS chunk_type, vec_id % 2 AS period FROM embeddings), qs AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q, label FROM embeddings WHERE vec_id % 50 = 0)"
+CHUNKS = "ck AS (SELECT vec_id AS chunk_id, embedding::DOUBLE[] AS embedding, label AS kb_id, CASE WHEN vec_id % 4 > 0 THEN 'r' || vec_id % 3 END AS region, CASE WHEN vec_id % 5 = 0 THEN 'table' ELSE 'text' END AS chunk_type, vec_id % 2 AS period FROM embeddings), qs AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q, label FROM embeddings WHERE vec_id % 20 = 0)"
 
 
 def found_sql(where: str, k: int = 5, threshold: float = 0.05) -> str:

@@ -33,7 +33,7 @@ def read_jobs(spark: SparkSession, path: str, stream: bool = True, per_trigger:
 def route_jobs(jobs: DataFrame, kbs: DataFrame) -> DataFrame:
     """Adds route (standard, price, rejected) and reason. kbs: kb_id, price_extraction."""
     joined = jobs.join(kbs.select("kb_id", "price_extraction"), "kb_id", "left")
-    price = F.coalesce("price_extraction", F.lit(False)) | (F.col("mode") == "price")
+    price = F.coalesce("price_extraction", F.lit(False)) | F.col("mode").isin("price", "price_extraction")
     region = F.try_element_at("config", F.lit("region"))
     reason = F.when(F.col("price_extraction").isNull(), "unknown knowledge base").when(F.col("content").isNull(), "content is not base64").when(F.octet_length("content") > MAX_BYTES, "file over 50 MB").when(price & ~F.coalesce(region.isin(*REGIONS), F.lit(False)), "price job needs a region")
     return joined.withColumn("reason", reason).withColumn("route", F.when(F.col("reason").isNotNull(), "rejected").when(price, "price").otherwise("standard"))

@@ -6,29 +6,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from brickyard.operators import chunking, usage
+from brickyard.operators import chunking, grids, usage
+from brickyard.operators.prices import classify_source, extract_prices, write_shape
 from brickyard.sources.files import decode_text, route_jobs
 
 LATE = "10 minutes"
 
 
-def ingest_batch(jobs: DataFrame, kbs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(chunks, status rows) of a batch of jobs: bad jobs become error rows and stop nothing."""
+def ingest_batch(jobs: DataFrame, kbs: DataFrame) -> dict[str, DataFrame]:
+    """chunks, status, prices and warnings of a batch of jobs: bad jobs become error rows and stop nothing.
+
+    Every accepted job gives chunks; a price job's chunks carry its region, source type
+    and period, and the pipe tables of its text give price rows and warnings.
+    """
     routed = route_jobs(jobs.dropDuplicates(["job_id"]), kbs)
-    good = routed.filter("route <> 'rejected'").select(F.col("job_id").alias("doc_id"), decode_text(F.col("content")).alias("text"), "kb_id", "filename")
-    chunks = chunking.merge_sections(chunking.split_paragraphs(good)).join(good.select("doc_id", "kb_id", "filename"), "doc_id")
+    stamp = F.when(F.col("route") == "price", F.struct(F.try_element_at("config", F.lit("region")).alias("region"), classify_source(F.col("filename")).alias("source_type"), F.coalesce(F.try_element_at("config", F.lit("price_period")), F.lit("")).alias("price_period")))
+    good = routed.filter("route <> 'rejected'").select(F.col("job_id").alias("doc_id"), decode_text(F.col("content")).alias("text"), "kb_id", "filename", "route", stamp.alias("stamp"))
+    marks = F.when(F.col("stamp").isNotNull(), F.create_map(*[x for k in ("region", "source_type", "price_period") for x in (F.lit(k), F.col("stamp")[k])])).alias("metadata")
+    chunks = chunking.merge_sections(chunking.split_paragraphs(good)).join(good.select("doc_id", "kb_id", "filename", marks), "doc_id")
+    priced = good.filter("route = 'price'")
+    rows, warnings = extract_prices(grids.resolve_tables(grids.md_tables(priced)), priced.select("doc_id", "filename", "stamp.region", "stamp.price_period"))
     stages = F.array(F.struct(F.lit(0).alias("stage"), F.lit("pending").alias("status")), F.struct(F.lit(1).alias("stage"), F.lit("processing").alias("status")), F.struct(F.lit(2).alias("stage"), F.when(F.col("route") == "rejected", "error").otherwise("done").alias("status")))
     status = routed.select(F.col("job_id").alias("doc_id"), "reason", F.explode(stages).alias("s")).select("doc_id", "s.stage", "s.status", F.when(F.col("s.stage") == 2, F.col("reason")).alias("message"))
-    return chunks, status
+    return {"chunks": chunks, "status": status, "prices": write_shape(rows), "warnings": warnings}
 
 
 def run_ingest(jobs: DataFrame, kbs: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     """Each batch overwrites its own folder, so a batch that runs again writes the same rows once."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        chunks, status = ingest_batch(batch, kbs)
-        chunks.write.mode("overwrite").parquet(f"{out}/chunks/batch={batch_id}")
-        status.write.mode("overwrite").parquet(f"{out}/status/batch={batch_id}")
+        batch.persist()
+        for name, rows in ingest_batch(batch, kbs).items():
+            rows.write.mode("overwrite").parquet(f"{out}/{name}/batch={batch_id}")
+        batch.unpersist()
 
     return jobs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
