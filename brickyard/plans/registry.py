@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
-MODULES = ("lookup_queries", "chunk_queries", "grid_queries", "price_queries", "estimate_queries", "retrieval_queries", "message_queries", "usage_queries", "store_queries")
+MODULES = ("lookup_queries", "chunk_queries", "grid_queries", "price_queries", "estimate_queries", "retrieval_queries", "message_queries", "usage_queries", "store_queries", "source_queries")
 
 
 def register(name: str, query: Callable[[SparkSession, str], DataFrame], sql: str | None = None) -> None:

@@ -73,5 +73,5 @@ def doc_chunks(s, d):
 
 
 register("gold_contains", lambda s, d: R.gold(doc_chunks(s, d), cases(s, d)), "SELECT item_id AS query_id, doc_id AS chunk_id FROM documents d JOIN benchmark b ON contains(lower(d.text), lower(b.text))")
-register("eval_retrieval", lambda s, d: R.eval_retrieval(queries(s, d), R.search(queries(s, d, threshold=F.lit(-1.0), k=F.lit(10)), chunks(s, d)), queries(s, d).select("query_id").join(chunks(s, d).filter("chunk_id % 7 = 0").select("chunk_id"), F.col("query_id") % 3 == F.col("chunk_id") % 3)).select("n_queries", *[F.round(c, 6).alias(c) for c in ("recall_1", "recall_3", "recall_5", "recall_10", "mrr")]), found_sql("true", 10, -1.0).replace("SELECT query_id, rank, chunk_id, round(score, 6) AS score FROM rk WHERE rank <= 10", ", ft AS (SELECT query_id, min(rank) AS r FROM rk WHERE rank <= 10 AND chunk_id % 7 = 0 AND query_id % 3 = chunk_id % 3 GROUP BY 1) SELECT count(*) AS n_queries, round(avg(CASE WHEN r <= 1 THEN 1.0::DOUBLE ELSE 0 END), 6) AS recall_1, round(avg(CASE WHEN r <= 3 THEN 1.0::DOUBLE ELSE 0 END), 6) AS recall_3, round(avg(CASE WHEN r <= 5 THEN 1.0::DOUBLE ELSE 0 END), 6) AS recall_5, round(avg(CASE WHEN r <= 10 THEN 1.0::DOUBLE ELSE 0 END), 6) AS recall_10, round(avg(coalesce(1.0::DOUBLE / r, 0)), 6) AS mrr FROM qs LEFT JOIN ft USING (query_id)"))
+register("eval_retrieval", lambda s, d: R.eval_retrieval(queries(s, d), R.search(queries(s, d, threshold=F.lit(-1.0), k=F.lit(10)), chunks(s, d)), queries(s, d).select("query_id").join(chunks(s, d).filter("chunk_id % 7 = 0").select("chunk_id"), F.floor(F.col("query_id") / 200) == F.floor(F.col("chunk_id") / 200))).select("n_queries", *[F.round(c, 6).alias(c) for c in ("recall_1", "recall_3", "recall_5", "recall_10", "mrr")]), found_sql("true", 10, -1.0).replace("SELECT query_id, rank, chunk_id, round(score, 6) AS score FROM rk WHERE rank <= 10", ", ft AS (SELECT query_id, min(rank) AS r FROM rk WHERE rank <= 10 AND chunk_id % 7 = 0 AND query_id // 200 = chunk_id // 200 GROUP BY 1) SELECT count(*) AS n_queries, round(avg(CASE WHEN r <= 1 THEN 1.0::DOUBLE ELSE 0 END), 6) AS recall_1, round(avg(CASE WHEN r <= 3 THEN 1.0::DOUBLE ELSE 0 END), 6) AS recall_3, round(avg(CASE WHEN r <= 5 THEN 1.0::DOUBLE ELSE 0 END), 6) AS recall_5, round(avg(CASE WHEN r <= 10 THEN 1.0::DOUBLE ELSE 0 END), 6) AS recall_10, round(avg(coalesce(1.0::DOUBLE / r, 0)), 6) AS mrr FROM qs LEFT JOIN ft USING (query_id)"))
 register("compare_variants", lambda s, d: R.compare_variants(A.table(s, d, "documents").select(F.lit("text").alias("variant"), "text").unionByName(A.table(s, d, "documents").select(F.lit("lines").alias("variant"), F.concat("source", F.lit(": "), "text").alias("text"))), 400), f"WITH v AS (SELECT 'text' AS variant, text FROM documents UNION ALL SELECT 'lines', source || ': ' || text FROM documents), n AS (SELECT variant, {tok('text')} AS n FROM v) SELECT variant, count(*) AS n, sum(n)::BIGINT AS tokens, count(*) FILTER (n > 400) AS over_cap FROM n GROUP BY 1")

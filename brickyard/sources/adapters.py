@@ -126,9 +126,9 @@ def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "pages").select("page_id", "url", F.regexp_extract("html", "<title>([^<]*)", 1).alias("title"), F.col("html").alias("content"))
     first = p.filter("page_id % 3 = 0").withColumn("source_priority", F.lit(0))
     out = first.unionByName(p.withColumn("source_priority", F.lit(1)))
-    return out.select((F.col("page_id") % 10).alias("query_id"), "source_priority", F.col("page_id").alias("position"), "url", "title", F.when(F.col("page_id") % 4 > 0, F.col("content")).alias("content"), F.col("title").alias("snippet"))
+    return out.select(F.floor(F.col("page_id") / 50).alias("query_id"), "source_priority", F.col("page_id").alias("position"), "url", "title", F.when(F.col("page_id") % 4 > 0, F.col("content")).alias("content"), F.col("title").alias("snippet"))
 
 
 HITS = """p AS (SELECT page_id, url, regexp_extract(html, '<title>([^<]*)', 1) AS title, html AS content FROM pages),
-hits AS (SELECT page_id % 10 AS query_id, pr AS source_priority, page_id AS position, url, title, CASE WHEN page_id % 4 > 0 THEN content END AS content, title AS snippet
+hits AS (SELECT page_id // 50 AS query_id, pr AS source_priority, page_id AS position, url, title, CASE WHEN page_id % 4 > 0 THEN content END AS content, title AS snippet
   FROM p, (SELECT unnest([0, 1]) AS pr) WHERE pr = 1 OR page_id % 3 = 0)"""

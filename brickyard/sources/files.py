@@ -43,8 +43,9 @@ def write_chunks(chunks: DataFrame, path: str) -> None:
     chunks.write.mode("append").partitionBy("kb_id").parquet(path)
 
 
-def read_chunk_dump(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("multiLine", "true").schema("type string, content string, above string, below string").json(path)
+def read_chunk_dump(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """A dump as one JSON array a file, or, without ``multi_line``, as a row a line, which can be split."""
+    return spark.read.option("multiLine", multi_line).schema("type string, content string, above string, below string").json(path)
 
 
 def write_json(rows: DataFrame, path: str) -> None:
