@@ -177,21 +177,23 @@ def split_oversized(chunks: DataFrame, max_tokens: int = MAX_EMBED_TOKENS) -> Da
     overhead = F.col("embed_n") - count_tokens(F.col("content"))
     rows = F.regexp_extract_all("content", F.lit("(?s)<tr>.*?</tr>"), 0)
     head = F.get("rows", F.lit(0))
-    start = F.struct(F.array().cast("array<array<string>>").alias("done"), F.array().cast("array<string>").alias("now"), F.col("head_n").alias("n"))
+    # the cap and the header's tokens ride in the fold, so that they are counted once a table
+    start = F.struct(F.array().cast("array<array<string>>").alias("done"), F.array().cast("array<string>").alias("now"), F.col("head_n").alias("n"), F.col("head_n").alias("head_n"), F.col("cap").alias("cap"))
 
-    def step(acc: Column, row: Column) -> Column:
-        n = count_tokens(row)
-        drop = n > F.col("cap") - F.col("head_n")
-        flush = (F.size(acc["now"]) > 0) & (drop | (acc["n"] + n > F.col("cap")))
+    def step(acc: Column, sized_row: Column) -> Column:
+        row, n = sized_row["row"], sized_row["n"]
+        drop = n > acc["cap"] - acc["head_n"]
+        flush = (F.size(acc["now"]) > 0) & (drop | (acc["n"] + n > acc["cap"]))
         done = F.when(flush, F.concat(acc["done"], F.array(acc["now"]))).otherwise(acc["done"])
         kept = F.when(flush, F.array().cast("array<string>")).otherwise(acc["now"])
-        base = F.when(flush, F.col("head_n")).otherwise(acc["n"])
-        return F.struct(done.alias("done"), F.when(drop, kept).otherwise(F.concat(kept, F.array(row))).alias("now"), F.when(drop, base).otherwise(base + n).alias("n"))
+        base = F.when(flush, acc["head_n"]).otherwise(acc["n"])
+        return F.struct(done.alias("done"), F.when(drop, kept).otherwise(F.concat(kept, F.array(row))).alias("now"), F.when(drop, base).otherwise(base + n).alias("n"), acc["head_n"].alias("head_n"), acc["cap"].alias("cap"))
 
-    groups = F.aggregate(F.slice("rows", 2, F.greatest(F.size("rows") - 1, F.lit(0))), start, step, lambda a: F.when(F.size(a["now"]) > 0, F.concat(a["done"], F.array(a["now"]))).otherwise(a["done"]))
+    groups = F.aggregate(F.slice("sized_rows", 2, F.greatest(F.size("rows") - 1, F.lit(0))), start, step, lambda a: F.when(F.size(a["now"]) > 0, F.concat(a["done"], F.array(a["now"]))).otherwise(a["done"]))
     marked = chunks.withColumn("embed_n", embed_tokens()).withColumn("rows", rows)
     big = (F.col("embed_n") > max_tokens) & (F.col("chunk_type") == "table") & (F.size("rows") >= 2)
     sized = marked.filter(big).withColumn("cap", F.greatest(F.lit(max_tokens) - overhead, F.lit(1))).withColumn("head_n", count_tokens(head) + count_tokens(F.lit("<table>\n\n</table>")))
+    sized = sized.withColumn("sized_rows", F.transform("rows", lambda r: F.struct(r.alias("row"), count_tokens(r).alias("n"))))
     parts = sized.withColumn("head", head).withColumn("groups", groups).select(*chunks.columns, "head", F.posexplode("groups").alias("part", "g"))
     html = F.concat(F.lit("<table>\n"), F.array_join(F.concat(F.array(F.col("head")), F.col("g")), "\n"), F.lit("\n</table>"))
     split = parts.withColumn("content", html).drop("head", "g")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from brickyard.functions.dims import DEFAULT_PROJECT, FINISH, FINISHED, coefficients, materials
+from brickyard.functions.dims import DEFAULT_PROJECT, FINISH, FINISHED, PROJECTS, coefficients, materials
 from brickyard.operators.lookup import lookup
 
 MAX_CANDIDATES = 15
@@ -22,7 +22,7 @@ def form_area(area_per_floor: Column, floors: Column) -> Column:
 def demands(projects: DataFrame) -> DataFrame:
     """(project_id, region, slug, qty, error): area times coefficient, finish included; bad areas give an error row."""
     c = coefficients(projects.sparkSession)
-    known = [r.project_type for r in c.select("project_type").distinct().collect()]
+    known = [p[0] for p in PROJECTS]
     p = projects.withColumn("project_type", F.when(F.col("project_type").isin(known), F.col("project_type")).otherwise(DEFAULT_PROJECT))
     factor = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in FINISH.items() for x in kv]), F.col("finish_level")), F.lit(1.0))
     touched = F.col("finish_applies") & F.col("slug").isin(FINISHED)

@@ -9,8 +9,9 @@ from pyspark.sql.window import Window
 
 def duplicate_docs(docs: DataFrame) -> DataFrame:
     """All but the oldest document of each file name."""
-    order = Window.partitionBy("filename").orderBy("created_at", "doc_id")
-    return docs.withColumn("n", F.row_number().over(order)).filter("n > 1").drop("n")
+    oldest = docs.groupBy(F.col("filename").alias("of_file")).agg(F.min(F.struct("created_at", "doc_id")).alias("first"))
+    kept = F.col("filename").eqNullSafe(F.col("of_file")) & F.col("created_at").eqNullSafe(F.col("first.created_at")) & F.col("doc_id").eqNullSafe(F.col("first.doc_id"))
+    return docs.join(oldest, kept, "left_anti")
 
 
 def orphan_docs(docs: DataFrame, files: DataFrame) -> DataFrame:

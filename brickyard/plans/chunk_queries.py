@@ -62,14 +62,36 @@ def items(s, d):
 
 ITEMS = f"{SECTIONS}, items AS (SELECT doc_id, pos % 3 AS page, length(section) % 7 AS y, CASE WHEN pos % 5 = 2 THEN 'table' ELSE 'text' END AS kind, pos AS seq, section AS content FROM secs), placed AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page, y, kind DESC, seq)::INTEGER AS place FROM items)"
 register("reading_order", lambda s, d: C.reading_order(items(s, d)).select("doc_id", "seq", "place"), f"WITH {ITEMS} SELECT doc_id, seq::INTEGER AS seq, place FROM placed")
-register("assemble_items", lambda s, d: C.assemble_items(C.reading_order(items(s, d))), None)
+ASSEMBLE = MERGE.replace(SECTIONS, ITEMS + ", marked AS (SELECT *, coalesce(sum((kind = 'table')::INT) OVER (PARTITION BY doc_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS island FROM placed)")
+ASSEMBLE = ASSEMBLE.replace("o AS (SELECT doc_id, chr(10) || section AS sec, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i, " + tok("chr(10) || section") + " AS t FROM secs)", "o AS (SELECT doc_id * 100000 + island AS doc_id, chr(10) || content AS sec, row_number() OVER (PARTITION BY doc_id, island ORDER BY place) AS i, " + tok("chr(10) || content") + " AS t FROM marked WHERE kind = 'text')")
+ASSEMBLE = ASSEMBLE[: ASSEMBLE.index("SELECT doc_id, (row_number()")] + """, firsts AS (SELECT doc_id * 100000 + island AS k, doc_id, min(place) AS a FROM marked WHERE kind = 'text' GROUP BY ALL),
+every AS (SELECT f.doc_id, a, i AS b, 'text' AS chunk_type, content FROM st JOIN firsts f ON f.k = st.doc_id WHERE content <> '' UNION ALL SELECT doc_id, place, 0, 'table', content FROM marked WHERE kind = 'table')
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY a, b)::INTEGER AS place, chunk_type, content FROM every"""
+register("assemble_items", lambda s, d: C.assemble_items(C.reading_order(items(s, d))), ASSEMBLE)
 
 
 def placed_chunks(s, d):
     return C.reading_order(items(s, d)).select("doc_id", "place", F.col("kind").alias("chunk_type"), "content")
 
 
-register("add_table_context", lambda s, d: C.add_table_context(placed_chunks(s, d)).select("doc_id", "place", "context_above", "context_below"), None)
+CONTEXT = f"""WITH {ITEMS}, pieces AS (SELECT doc_id, place, unnest(string_split(regexp_replace(content, '([。!?？；！\\n]|\\. )', chr(1) || '\\1' || chr(1), 'g'), chr(1))) AS piece,
+    generate_subscripts(string_split(regexp_replace(content, '([。!?？；！\\n]|\\. )', chr(1) || '\\1' || chr(1), 'g'), chr(1)), 1) AS i FROM placed WHERE kind = 'text'),
+sized AS (SELECT *, {tok('piece')} AS n FROM pieces WHERE piece <> ''),
+near AS (SELECT t.doc_id, t.place, p.piece, p.place AS pl, i, p.place < t.place AS above,
+    coalesce(sum(n) OVER (PARTITION BY t.doc_id, t.place, p.place < t.place ORDER BY CASE WHEN p.place < t.place THEN -p.place ELSE p.place END, CASE WHEN p.place < t.place THEN -i ELSE i END ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM placed t JOIN sized p ON p.doc_id = t.doc_id WHERE t.kind = 'table'),
+ctx AS (SELECT doc_id, place, coalesce(string_agg(piece, '' ORDER BY pl, i) FILTER (above), '') AS a, coalesce(string_agg(piece, '' ORDER BY pl, i) FILTER (NOT above), '') AS b FROM near WHERE before < 128 GROUP BY ALL)
+SELECT doc_id, place, coalesce(a, '') AS context_above, coalesce(b, '') AS context_below FROM placed LEFT JOIN ctx USING (doc_id, place)"""
+register("add_table_context", lambda s, d: C.add_table_context(placed_chunks(s, d)).select("doc_id", "place", "context_above", "context_below"), CONTEXT)
+
+
+def headed(s, d):
+    return docs(s, d).select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n## ")).alias("text"))
+
+
+register("split_headings", lambda s, d: C.split_headings(headed(s, d)), r"""WITH p AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos, unnest(string_split(text, chr(10))) AS line FROM documents),
+h AS (SELECT doc_id, pos, regexp_replace(CASE WHEN pos = 0 THEN line ELSE '## ' || line END, '^\s+|\s+$', '', 'g') AS section FROM p) SELECT doc_id, pos::INTEGER AS pos, section FROM h WHERE section <> ''""")
+register("tag_sections", lambda s, d: C.tag_sections(sections(s, d).withColumn("section", F.when(F.col("pos") % 4 == 0, F.concat(F.lit("<!-- chunk_id: c-"), "pos", F.lit(" -->"), "section")).otherwise(F.col("section")))).select("doc_id", "pos", "chunk_id", "section"), f"WITH {SECTIONS} SELECT doc_id, pos::INTEGER AS pos, last_value(CASE WHEN pos % 4 = 0 THEN 'c-' || pos END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos) AS chunk_id, section FROM secs")
 
 
 def with_context(s, d):
@@ -99,7 +121,18 @@ register("grid_to_html", html, f"WITH {HTML} SELECT table_no, html FROM html")
 register("html_tables", lambda s, d: C.html_tables(html(s, d).select(F.col("table_no").alias("doc_id"), F.concat(F.lit("before "), "html", F.lit(" after")).alias("text"))).select("doc_id", "table_no", F.to_json("grid").alias("grid")), f"WITH {GRID} SELECT table_no AS doc_id, 0 AS table_no, to_json(list_concat([['Name', 'Unit', 'Price']], grid))::VARCHAR AS grid FROM grids")
 register("table_to_prose", lambda s, d: html(s, d).select("table_no", C.table_to_prose(F.col("html")).alias("prose")), f"WITH {GRID} SELECT table_no, array_to_string([array_to_string([x for x in ['Name: ' || r[1], CASE WHEN r[2] <> '' THEN 'Unit: ' || r[2] END, 'Price: ' || r[3]] if x IS NOT NULL], ', ') for r in grid], chr(10)) AS prose FROM grids")
 register("table_to_plain", lambda s, d: html(s, d).select("table_no", C.table_to_plain(F.col("html")).alias("plain")), f"WITH {GRID} SELECT table_no, 'Name | Unit | Price' || chr(10) || array_to_string([array_to_string([x for x in r if x <> ''], ' | ') for r in grid], chr(10)) AS plain FROM grids")
-register("split_oversized", lambda s, d: C.split_oversized(html(s, d).select("table_no", F.col("html").alias("content"), F.lit("").alias("context_above"), F.lit("ctx").alias("context_below"), F.lit("table").alias("chunk_type")), 120).select("table_no", "part", "content"), None)
+SPLIT = f"""WITH RECURSIVE {HTML}, b AS (SELECT html.table_no, html, {tok("html || chr(10) || 'ctx'")} AS e, {tok('html')} AS c, '<tr><th>Name</th><th>Unit</th><th>Price</th></tr>' AS head, grid FROM html JOIN grids USING (table_no)),
+big AS (SELECT *, greatest(120 - (e - c), 1) AS cap, {tok('head')} + {tok("('<table>' || chr(10) || chr(10) || '</table>')")} AS head_n FROM b WHERE e > 120),
+rw AS (SELECT table_no, generate_subscripts(grid, 1) AS i, '<tr>' || array_to_string([('<td>' || c || '</td>') for c in unnest(grid)], '') || '</tr>' AS r FROM big),
+sz AS (SELECT rw.table_no, i, r, {tok('r')} AS t, cap, head_n, {tok('r')} > cap - head_n AS gone FROM rw JOIN big USING (table_no)),
+f AS (SELECT table_no, 0::BIGINT AS i, 0::BIGINT AS g, head_n::BIGINT AS n, 0::BIGINT AS held, false AS kept FROM big
+  UNION ALL SELECT f.table_no, f.i + 1, CASE WHEN held > 0 AND (gone OR n + t > cap) THEN g + 1 ELSE g END,
+    CASE WHEN held > 0 AND (gone OR n + t > cap) THEN head_n ELSE n END + CASE WHEN gone THEN 0 ELSE t END,
+    CASE WHEN held > 0 AND (gone OR n + t > cap) THEN 0 ELSE held END + CASE WHEN gone THEN 0 ELSE 1 END, NOT gone
+  FROM f JOIN sz ON sz.table_no = f.table_no AND sz.i = f.i + 1),
+parts AS (SELECT f.table_no, g AS part, '<table>' || chr(10) || any_value(head) || chr(10) || string_agg(r, chr(10) ORDER BY f.i) || chr(10) || '</table>' AS content FROM f JOIN sz ON sz.table_no = f.table_no AND sz.i = f.i JOIN big ON big.table_no = f.table_no WHERE kept GROUP BY ALL)
+SELECT table_no, part::INTEGER AS part, content FROM parts UNION ALL SELECT table_no, 0, html FROM b WHERE e <= 120"""
+register("split_oversized", lambda s, d: C.split_oversized(html(s, d).select("table_no", F.col("html").alias("content"), F.lit("").alias("context_above"), F.lit("ctx").alias("context_below"), F.lit("table").alias("chunk_type")), 120).select("table_no", "part", "content"), SPLIT)
 register("clip_tokens", lambda s, d: docs(s, d).select("doc_id", clip_tokens(F.col("text"), 20).alias("clipped")), r"SELECT doc_id, regexp_extract(text, '^(?:\s*(?:[0-9A-Za-z_]+|[^0-9A-Za-z_\s])){0,20}') AS clipped FROM documents")
 register("tag_chunks", lambda s, d: C.tag_chunks(docs(s, d).withColumn("metadata", F.create_map(F.lit("a"), F.col("lang"), F.lit("region"), F.lit("old"))), F.lit("HN"), F.col("source"), F.lit("2026-06")).select("doc_id", F.col("metadata")["a"].alias("a"), F.col("metadata")["region"].alias("region"), F.col("metadata")["source_type"].alias("source_type"), F.col("metadata")["price_period"].alias("price_period")), "SELECT doc_id, lang AS a, 'HN' AS region, source AS source_type, '2026-06' AS price_period FROM documents")
 

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
+from brickyard.functions.dims import MATERIAL_SCHEMA, MATERIALS
 from brickyard.functions.dims import PROJECTS as DIM_PROJECTS
 from brickyard.operators import estimate as E
 from brickyard.operators import takeoff as T
+from brickyard.plans.lookup_queries import TIERS
 from brickyard.plans.registry import register
 from brickyard.sources import adapters as A
 
 KINDS = ["concrete", "rebar", "masonry_wall", "plaster", "tiling", "paint", "roof"]
+NAME_OF = "('0x' || substr(md5({}), 1, 4))::INTEGER % 7"
 KEYS = "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey)"
 
 
@@ -69,7 +74,7 @@ def projects(s, d):
 def vn_prices(s, d):
     """The price view with product names that the material table asks for."""
     p = A.material_prices(s, d)
-    name = F.element_at(F.array(*map(F.lit, ["bê tông mác", "thép thanh", "thép mạ kẽm", "gạch đặc", "sơn nước", "cát vàng", "đá dăm"])), (F.crc32(F.col("price_id").cast("binary")) % 7 + 1).cast("int"))
+    name = F.element_at(F.array(*map(F.lit, ["bê tông mác", "thép thanh", "thép mạ kẽm", "gạch đặc", "sơn nước", "cát vàng", "đá dăm"])), (F.conv(F.substring(F.md5(F.col("price_id").cast("binary")), 1, 4), 16, 10).cast("int") % 7 + 1))
     return p.withColumn("material_name", F.concat_ws(" ", name, "material_name")).withColumn("price_ex_vat", F.col("price_ex_vat") * 10)
 
 
@@ -102,8 +107,34 @@ def lines(s, d):
     return E.line_items(E.demands(projects(s, d)), fixed_prices(s, d))
 
 
-register("cost_candidates", lambda s, d: E.candidates(E.demands(projects(s, d)), vn_prices(s, d)), None)
-register("cost_pick", picked, None)
+def _row(m) -> str:
+    slug, units, asked, exclude, least, most = m
+    return f"('{slug}', {units}, '{asked}', {exclude}::VARCHAR[], {least}::DOUBLE, {most}::DOUBLE)"
+
+
+def candidates_sql(last: str) -> str:
+    """The relaxed lookup with the demands as requests, in each unit, 15 rows at most."""
+    fields = [x.split()[0] for x in re.split(r", (?![^<]*>)", MATERIAL_SCHEMA)]
+    rows = []
+    for m in MATERIALS:
+        v = dict(zip(fields, m, strict=True))
+        units = [(v["unit"], 1.0)] + [(u[0], u[1]) for u in v["alt_units"]]
+        rows.append(_row((v["slug"], "[" + ", ".join(f"{{'unit': '{u}', 'factor': {f}::DOUBLE}}" for u, f in units) + "]", v["name_query"], str(list(v["exclude"])), v["price_min"], v["price_max"])))
+    name = "['bê tông mác', 'thép thanh', 'thép mạ kẽm', 'gạch đặc', 'sơn nước', 'cát vàng', 'đá dăm'][h + 1]"
+    prices = A.PRICES.replace("prices AS (", "base_prices AS (", 1) + f""",
+prices AS (SELECT * REPLACE ({name} || ' ' || material_name AS material_name, price_ex_vat * 10 AS price_ex_vat) FROM (SELECT *, {NAME_OF.format('price_id')} AS h FROM base_prices))"""
+    asks = f"""specs(slug, units, name_query, exclude, price_min, price_max) AS (VALUES {', '.join(rows)}),
+asks AS (SELECT region, slug, name_query, exclude, price_min, price_max, unnest(units) AS u, generate_subscripts(units, 1) - 1 AS unit_no FROM (SELECT DISTINCT region, slug FROM needs) JOIN specs USING (slug)),
+requests AS (SELECT region || '|' || slug || '|' || unit_no AS request_id, region, NULL::VARCHAR AS material_category, name_query AS material_name, NULL::VARCHAR AS manufacturer, u.unit AS unit, exclude, 15 AS k FROM asks)"""
+    tiers = TIERS.replace(A.PRICES, f"{PROJECTS}, {prices}").replace(A.REQUESTS, asks)
+    head, _, _ = tiers.rpartition("SELECT request_id, rank, tier")
+    return head + f""", cand AS (SELECT asks.region, slug, unit_no, rank, price_id, price_ex_vat * u.factor AS unit_price FROM q JOIN asks ON request_id = asks.region || '|' || slug || '|' || unit_no WHERE rank <= 15 AND price_ex_vat * u.factor BETWEEN price_min AND price_max),
+best AS (SELECT *, min(unit_no) OVER (PARTITION BY region, slug) AS least FROM cand), fit AS (SELECT region, slug, unit_no::INTEGER AS unit_no, rank, price_id, unit_price FROM best WHERE unit_no = least) {last}"""
+
+
+register("cost_candidates", lambda s, d: E.candidates(E.demands(projects(s, d)), vn_prices(s, d)), candidates_sql("SELECT * FROM fit"))
+register("cost_pick", picked, candidates_sql("SELECT region, slug, arg_min(price_id, rank) AS price_id, arg_min(unit_price, rank) AS unit_price FROM fit GROUP BY ALL"))
+register("form_area", lambda s, d: A.table(s, d, "orders").select("o_orderkey", E.form_area(F.floor("o_totalprice"), F.when(F.col("o_custkey") % 4 > 0, F.col("o_custkey") % 4)).cast("double").alias("area")), "SELECT o_orderkey, (floor(o_totalprice) * CASE WHEN o_custkey % 4 > 0 THEN o_custkey % 4 ELSE 1 END)::DOUBLE AS area FROM orders")
 register("cost_lines", lambda s, d: lines(s, d).select("project_id", "slug", "unit_price", F.round("subtotal", -1).alias("subtotal")), f"WITH {PROJECTS}, {FIXED} SELECT project_id, slug, unit_price, round(subtotal, -1) AS subtotal FROM lines")
 register("cost_totals", lambda s, d: E.estimate(lines(s, d)).select("project_id", F.round("total", -2).alias("total"), F.size("missing").alias("n_missing"), F.col("low").isNotNull().alias("whole")), f"WITH {PROJECTS}, {FIXED} SELECT project_id, round(total, -2) AS total, n_missing::INTEGER AS n_missing, n_missing = 0 AS whole FROM est")
 register("cost_budget", lambda s, d: E.area_for_budget(E.estimate(lines(s, d)), projects(s, d)).select("project_id", F.round("budget_area", 0).alias("budget_area")), f"WITH {PROJECTS}, {FIXED} SELECT p.project_id, CASE WHEN n_missing = 0 AND total > 0 AND area > 0 AND budget > 0 THEN round(round_even(budget / (total / area), 1), 0) END AS budget_area FROM projects p JOIN est USING (project_id)")

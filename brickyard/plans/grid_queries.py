@@ -56,3 +56,8 @@ def page_tables(s, d):
 register("carry_header", lambda s, d: G.carry_header(page_tables(s, d)).select("doc_id", "table_no", F.array_join("header", "|").alias("header"), F.size("body").alias("n_body")), f"""WITH {GRID}
 SELECT table_no // 10 AS doc_id, table_no, CASE WHEN max(CASE WHEN table_no % 3 = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY table_no // 10 ORDER BY table_no) = 1 THEN 'Tên|Đơn vị|Giá' END AS header, len(grid)::INTEGER AS n_body FROM grids""")
 register("raw_from_spans", lambda s, d: G.raw_from_spans(A.cells(s, d).withColumn("span_id", F.floor(F.col("row_no") / 2)).withColumnRenamed("raw", "text")).select("table_no", "row_no", "col_no", "raw"), f"WITH {A.CELLS} SELECT table_no, row_no, col_no, CASE WHEN row_no // 2 = lag(row_no // 2) OVER (PARTITION BY table_no, col_no ORDER BY row_no) THEN '' ELSE raw END AS raw FROM cells")
+register("resolve_tables", lambda s, d: G.resolve_tables(grids(s, d).withColumn("doc_id", F.col("table_no") % 7)).select("doc_id", "table_no", F.to_json("grid").alias("grid"), F.to_json("raw").alias("raw")), f"""WITH {GRID},
+e AS (SELECT table_no, row_no, col_no, CASE WHEN raw = '-nt-' THEN coalesce(last_value(CASE WHEN raw NOT IN ('', '-nt-') THEN raw END IGNORE NULLS) OVER (PARTITION BY table_no, col_no ORDER BY row_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), raw) ELSE raw END AS v FROM cells),
+er AS (SELECT table_no, row_no, list(v ORDER BY col_no) AS r FROM e GROUP BY ALL), eg AS (SELECT table_no, list(r ORDER BY row_no) AS g FROM er GROUP BY ALL)
+SELECT table_no % 7 AS doc_id, table_no, to_json(g)::VARCHAR AS grid, to_json(grid)::VARCHAR AS raw FROM eg JOIN grids USING (table_no)""")
+register("strip_latex", lambda s, d: A.table(s, d, "part").select("p_partkey", G.strip_latex(F.concat(F.lit("$\\mathrm{"), "p_name", F.lit("}$  \\phi "), "p_size", F.lit(" \\times m^{2}\\%"))).alias("clean")), "SELECT p_partkey, p_name || ' Ø ' || p_size || ' x m2%' AS clean FROM part")

@@ -83,6 +83,7 @@ m AS (SELECT r.request_id, k, e.tier, p.*, CASE WHEN scored THEN {SCORE} END AS
       FROM e JOIN b ON b.request_id = e.request_id AND b.b.tier = e.tier AND b.b.need = e.need JOIN r ON r.request_id = e.request_id JOIN p ON p.price_id = e.price_id),
 q AS (SELECT *, {RANK} AS rank FROM m) SELECT {COLS} FROM q WHERE rank <= k"""
 register("lookup_tiers", lambda s, d: L.lookup(A.price_requests(s, d), A.material_prices(s, d)), TIERS)
+register("lookup_wordless", lambda s, d: L.lookup(A.price_requests(s, d).filter("material_name IS NULL OR material_name = '#1'"), A.material_prices(s, d)), TIERS.replace("FROM q WHERE rank <= k", "FROM q WHERE rank <= k AND request_id IN (SELECT request_id FROM r WHERE len(words) = 0)"))
 register("lookup_relaxed", lambda s, d: L.lookup(A.price_requests(s, d), A.material_prices(s, d)).groupBy("request_id").agg(F.count(F.lit(1)).alias("n"), F.max("name_score").alias("best")), TIERS.replace(f"SELECT {COLS} FROM q WHERE rank <= k", "SELECT request_id, count(*) AS n, max(name_score) AS best FROM q WHERE rank <= k GROUP BY 1"))
 SUB = f"""WITH {A.PRICES}, {A.REQUESTS}, m AS (SELECT request_id, price_id, p.material_name, row_number() OVER (PARTITION BY request_id ORDER BY price_period DESC NULLS LAST, created_at DESC, price_id)::INTEGER AS rank
   FROM (SELECT request_id, region AS ar, string_split(material_name, ' ')[2] AS asked FROM requests) r JOIN prices p ON contains(lower(p.material_name), lower(asked)) AND (ar IS NULL OR ar = region))"""

@@ -73,3 +73,6 @@ register("extraction_stats", lambda s, d: P.extraction_stats(A.table(s, d, "docu
 register("price_rows_sink_shape", lambda s, d: P.write_shape(A.material_prices(s, d)).select("price_id", "region", "price_ex_vat", "manufacturer"), f"WITH {A.PRICES} SELECT price_id, substr(region, 1, 8) AS region, price_ex_vat::DECIMAL(18,2) AS price_ex_vat, manufacturer FROM prices")
 register("fill_single_unit", lambda s, d: P.fill_unit_column(A.cells(s, d).filter("col_no = 2").select((F.col("table_no") % 97).alias("doc_id"), "table_no", "row_no", F.when(F.col("raw") == "-nt-", "").otherwise(F.col("raw")).alias("unit"), F.lit(False).alias("legend"))).select("table_no", "row_no", "unit"),
          f"WITH {A.CELLS}, c AS (SELECT table_no, row_no, CASE WHEN raw = '-nt-' THEN '' ELSE raw END AS u FROM cells WHERE col_no = 2), n AS (SELECT table_no, count(DISTINCT u) FILTER (u <> '') AS k, max(u) AS one FROM c GROUP BY 1) SELECT table_no, row_no, CASE WHEN u = '' AND k = 1 THEN one ELSE u END AS unit FROM c JOIN n USING (table_no)")
+register("is_legend", lambda s, d: A.table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", P.is_legend(F.array(F.lit("1"), F.lit(""), F.when(F.col("l_linenumber") % 3 == 0, F.lit("[2]")).when(F.col("l_linenumber") % 3 == 1, F.lit("(3)")).otherwise(F.lit("123")))).alias("legend")), "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_linenumber % 3 < 2 AS legend FROM lineitem")
+SINGLE = EXTRACT.replace("l_orderkey // 10 AS doc_id", "l_orderkey AS doc_id").replace("SELECT DISTINCT l_orderkey // 10, l_orderkey, 0", "SELECT DISTINCT l_orderkey, l_orderkey, 0")
+register("extract_single_tables", lambda s, d: P.extract_prices(price_tables(s, d).withColumn("doc_id", F.col("table_no")))[0].select("table_no", "material_category", "material_name", "unit", "price_ex_vat", "manufacturer"), SINGLE + "SELECT table_no, material_category, material_name, unit, price_ex_vat, manufacturer FROM f WHERE is_data AND price_ex_vat IS NOT NULL")
