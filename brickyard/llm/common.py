@@ -2,48 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes up to which a side table is broadcast; beyond it a shuffled join runs.
-BROADCAST_BYTES = 64 << 20
+from brickyard.functions.stored import discard, materialize, scratch, shared_dir
 
+__all__ = ["BROADCAST_BYTES", "discard", "materialize", "scratch", "shared_dir", "small_batches", "small_side", "text_or_empty"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``).
-
-    Only a local session without that setting gets a temporary folder; on a
-    cluster the setting is required, since executors cannot see each other's disks.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    own = "file://" + tempfile.mkdtemp(prefix="brickyard-")
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, which cuts its lineage."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._brickyard_path = path
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Delete the files behind a frame from :func:`materialize`."""
-    path = df._brickyard_path
-    jvm = df.sparkSession._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
+#: Bytes up to which a side table is broadcast; beyond it a shuffled join runs.
+BROADCAST_BYTES = 64 << 20
 
 
 def small_side(df: DataFrame, size: int, limit: int = BROADCAST_BYTES) -> DataFrame:

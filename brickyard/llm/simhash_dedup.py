@@ -3,7 +3,9 @@
 ``fingerprints`` gives every document a 64-bit SimHash of its word shingles.
 ``links`` finds all pairs of fingerprints within a radius: a pair that differs in
 at most ``radius`` bits agrees on at least ``bands - radius`` of the bands, so
-equality on every choice of ``bands - radius`` bands is a complete candidate key.
+equality on every choice of ``bands - radius`` bands is a complete candidate key. The
+number of bands follows from the number of fingerprints: more bands give longer keys,
+so that a key of unrelated fingerprints holds few of them at every size.
 Inside a key's block the fingerprints are stored as 64 vertical bit planes; one
 pass compares each row with the row ``d`` places below it for all rows at once,
 adding the differing planes into carry-save counters, and drops the words of the
@@ -12,12 +14,15 @@ block in which every distance has already passed the radius.
 Skew: equal fingerprints collapse to one node before any comparison, so exact
 copies cost nothing. A key with more than ``block_rows`` nodes is dealt out as
 cells of two chunks each, so no task holds more than ``2 * block_rows`` of its
-nodes. Each cell returns a star per local component, never all of its pairs.
+nodes. Each cell returns a star per local component, never all of its pairs. Rows of a
+fingerprint, and fingerprints of a component, that are more than ``HOT_ROWS`` are joined
+in salted parts, each with its own copy of the one row that they join with.
 
 Defined results: null text counts as empty; empty texts have fingerprint zero and
 link to each other; repeated rows keep their rows; a null doc_id gets the
-component of its fingerprint (null when no document with an id is in it); extra
-columns are ignored.
+component of its fingerprint (null when no document with an id is in it); very long
+texts are hashed whole, block by block; an empty table gives no rows; extra columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -37,10 +42,13 @@ from brickyard.llm.common import discard, materialize, small_side, text_or_empty
 SHINGLE_WORDS = 4
 RADIUS = 4
 SEED = 42
-BANDS = 6
 BLOCK_ROWS = 4096
+#: Unrelated fingerprints that a key may hold on average, and rows of one key that are joined in one part.
+KEY_ROWS, HOT_ROWS = 64, 50_000
 #: Hashes of one document that are counted at a time.
 HASH_BLOCK = 65536
+#: Bytes of a row of a few numbers.
+ROW_BYTES = 40
 
 
 def simhash(text: str, width: int = SHINGLE_WORDS, seed: int = SEED) -> int:
@@ -77,6 +85,14 @@ def fingerprints(docs: DataFrame, width: int = SHINGLE_WORDS, seed: int = SEED)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), fp(text_or_empty()).alias("fp"))
 
 
+def bands_for(n_nodes: int, radius: int = RADIUS) -> int:
+    """The least number of bands whose keys are long enough for so many fingerprints; at most 16."""
+    bands = radius + 2
+    while bands < 16 and n_nodes >> (64 * (bands - radius) // bands) > KEY_ROWS:
+        bands += 1
+    return bands
+
+
 def band_keys(fp: Column, radius: int, bands: int) -> Column:
     """One key for every choice of ``bands - radius`` bands, as an array of longs."""
     cuts = [64 * i // bands for i in range(bands + 1)]
@@ -196,15 +212,30 @@ def _stars(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Record
         yield from emit(kept)
 
 
-def links(nodes: DataFrame, radius: int = RADIUS, bands: int = BANDS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def join_split(left: DataFrame, right: DataFrame, key: str, salt: Column, hot_rows: int) -> DataFrame:
+    """Left join with one row per key on the right; keys of many rows on the left are split by ``salt``."""
+    counted = left.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / F.lit(hot_rows)).cast("int").alias("parts")).filter("parts > 1")
+    hot = materialize(counted, "simhash-hot-keys")
+    n_hot = hot.count()
+    if not n_hot:
+        return left.join(right, key, "left")
+    hot = small_side(hot, n_hot * ROW_BYTES)
+    parts = F.coalesce("parts", F.lit(1))
+    dealt = left.join(hot, key, "left").withColumn("salt", F.pmod(salt, parts).cast("int")).drop("parts")
+    copies = right.join(hot, key, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+    return dealt.join(copies, [key, "salt"], "left").drop("salt")
+
+
+def links(nodes: DataFrame, radius: int = RADIUS, bands: int | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(a, b): edges that connect all fingerprints within ``radius`` bits of each other."""
+    bands = bands_for(nodes.count(), radius) if bands is None else bands
     if bands <= radius:
         raise ValueError("bands must exceed radius")
     keyed = nodes.select("fp", F.explode(band_keys(F.col("fp"), radius, bands)).alias("key"))
     hot = materialize(keyed.groupBy("key").count().filter(F.col("count") > block_rows), "simhash-hot")
     n_hot = hot.count()
     if n_hot:
-        keyed = keyed.join(small_side(hot, n_hot), "key", "left")
+        keyed = keyed.join(small_side(hot, n_hot * ROW_BYTES), "key", "left")
         chunks = F.ceil(F.coalesce(F.col("count"), F.lit(1)) / F.lit(block_rows)).cast("int")
         own = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
         cells = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: F.least(F.col("own"), j) * F.col("chunks").cast("long") + F.greatest(F.col("own"), j))
@@ -242,16 +273,20 @@ def components(edges: DataFrame) -> DataFrame:
     return now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label"))
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, width: int = SHINGLE_WORDS, seed: int = SEED, bands: int = BANDS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, width: int = SHINGLE_WORDS, seed: int = SEED, bands: int | None = None, block_rows: int = BLOCK_ROWS, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of ``docs``."""
     fps = materialize(fingerprints(docs, width, seed), "simhash-fp")
     nodes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "simhash-nodes")
-    found = components(links(nodes, radius, bands, block_rows))
-    labelled = nodes.join(found, F.col("fp") == F.col("node"), "left").select("fp", "least_id", F.coalesce("label", "fp").alias("label"))
-    labelled = materialize(labelled, "simhash-labels")
-    least = labelled.groupBy("label").agg(F.min("least_id").alias("component_id"))
-    by_fp = labelled.join(least, "label").select("fp", "component_id")
-    return fps.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    found = components(links(nodes, radius, bands, block_rows)).withColumnRenamed("node", "fp")
+    found = found.unionByName(found.select(F.col("label").alias("fp"), "label").distinct())
+    labelled = materialize(nodes.join(found, "fp", "left"), "simhash-labels")
+    linked = labelled.filter("label IS NOT NULL")
+    least = linked.groupBy("label").agg(F.min("least_id").alias("component_id"))
+    # a fingerprint without a link is a component by itself and needs no second join
+    of_linked = join_split(linked, least, "label", F.xxhash64("fp"), hot_rows).select("fp", "component_id")
+    of_single = labelled.filter("label IS NULL").select("fp", F.col("least_id").alias("component_id"))
+    by_fp = join_split(fps, of_linked.unionByName(of_single), "fp", F.xxhash64("doc_id"), hot_rows)
+    return by_fp.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
@@ -261,4 +296,4 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     """
     found = near_duplicates(docs.select("doc_id", "text"), **options)
     others = materialize(found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "simhash-others")
-    return docs.join(small_side(others, others.count()), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(small_side(others, others.count() * ROW_BYTES), "doc_id", "left_anti").select(*docs.columns)

@@ -1,10 +1,9 @@
 """Exact top-k inner products by norm-bucketed retrieval.
 
-Vectors become integers, floor(scale * x). Candidates are range-partitioned and
-sorted by length, longest first, so that runs of rows form buckets of similar
-length. Queries go out in blocks of at most ``query_block`` (a bounded
-broadcast); each task keeps every query's best scores so far. For a bucket the
-query's k-th score, divided by both lengths, is its local cosine threshold: above
+Vectors become integers, floor(scale * x). Candidates are dealt into ranges of length
+and sorted in them, longest first, so that runs of rows form buckets of similar
+length. Every range meets every block of at most about ``query_block`` queries in a group of
+its own, which keeps every query's best scores so far. For a bucket the query's k-th score, divided by both lengths, is its local cosine threshold: above
 1 the bucket is skipped; when it is high, coordinate pruning keeps the rows whose
 values at the query's largest coordinates can still reach it; otherwise length
 pruning keeps the prefix of rows that are long enough. Surviving rows are verified
@@ -12,13 +11,12 @@ by their integer products. Local results are ranked once more over all tasks.
 
 Vectors that are null, empty or hold a null or non-finite component take no part,
 nor do null ids; vectors of different dimension are not compared; equal rows count
-once; ties go to the smaller id; extra columns are ignored.
+once; ties go to the smaller id; very long vectors are whole rows; extra columns are
+ignored, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,6 +29,8 @@ SCALE = 1024
 K = 10
 QUERY_BLOCK = 8192
 BUCKET_ROWS = 2048
+#: Most vectors of a range, and those from which a small table is cut into more ranges.
+RANGE_ROWS, LEAST_ROWS = 32_768, 4096
 #: Local cosine threshold from which coordinates prune, and how many of them.
 COORDINATE_COSINE = 0.8
 FOCUS = 3
@@ -98,55 +98,58 @@ class Best:
                     self.offer(i, ids[:n], scores[:, j])
 
 
-def _buckets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    for batch in batches:
-        ids, flat, ends, lengths = batch.column(0).to_numpy(), batch.column(1).flatten().to_numpy(), batch.column(1).offsets.to_numpy(), batch.column(2).to_numpy()
-        ends = ends - ends[0]
-        dims = np.diff(ends)
-        for dim in np.unique(dims):
+def _matrix(block: pa.Table, at: np.ndarray) -> np.ndarray:
+    """The rows ``at``, all of one dimension, of the list column q."""
+    q = block.column("q").combine_chunks()
+    ends = q.offsets.to_numpy()
+    dim = ends[at[0] + 1] - ends[at[0]]
+    return q.values.to_numpy()[ends[at][:, None] + np.arange(dim)]
+
+
+def _search_pair(queries: pa.Table, rows: pa.Table, k: int, size: int) -> pa.Table:
+    """The k best of a range of vectors for each query of a block; buckets come in falling order of length."""
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    if queries.num_rows and rows.num_rows:
+        dims, query_dims = (t.column("q").combine_chunks().value_lengths().to_numpy() for t in (rows, queries))
+        ids, lengths, query_ids = rows.column("vec_id").to_numpy(), rows.column("length").to_numpy(), queries.column("vec_id").to_numpy()
+        for dim in np.intersect1d(dims, query_dims):
+            asked = np.flatnonzero(query_dims == dim)
+            best = Best(query_ids[asked], _matrix(queries, asked), k)
             at = np.flatnonzero(dims == dim)
-            rows = flat[ends[at][:, None] + np.arange(dim)]
+            at = at[np.lexsort((ids[at], -lengths[at]))]
             for i in range(0, len(at), size):
-                fall = i + np.argsort(-lengths[at[i : i + size]], kind="stable")
-                yield ids[at[fall]], rows[fall], lengths[at[fall]]
+                part = at[i : i + size]
+                best.bucket(ids[part], _matrix(rows, part), lengths[part])
+            n = [len(f[0]) for f in best.found]
+            if sum(n):
+                out.append((np.repeat(best.ids, n), np.concatenate([f[0] for f in best.found]), np.concatenate([f[1] for f in best.found])))
+    none = np.zeros(0, np.int64)
+    return pa.table(dict(zip(("query_id", "vec_id", "score"), (np.concatenate([none, *x]) for x in zip(*out)) if out else (none,) * 3, strict=True)))
 
 
-def search(vectors: DataFrame, is_query, k: int = K, scale: int = SCALE, query_block: int = QUERY_BLOCK) -> DataFrame:
+def search(vectors: DataFrame, is_query, k: int = K, scale: int = SCALE, query_block: int = QUERY_BLOCK, range_rows: int = RANGE_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best other vectors of each query.
 
-    ``is_query`` is a condition on vec_id. Work is queries times vectors, less what
-    the buckets prune; memory in a task is one block of queries and one bucket.
+    ``is_query`` is a condition on vec_id. Ranges of vectors and blocks of queries meet in
+    pairs, one group of a single plan for each, so the plan has one shape at every size.
+    Work is queries times vectors, less what the buckets prune; a task holds one block of
+    queries and one range.
     """
     spark = vectors.sparkSession
-    whole = quantize(vectors, scale)
-    rows = materialize(whole.repartitionByRange(F.desc("length"), "vec_id").sortWithinPartitions(F.desc("length"), "vec_id"), "topk-vectors")
+    whole = materialize(quantize(vectors, scale), "topk-whole")
+    total, least = whole.count(), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n_ranges = max(1, -(-total // range_rows), min(least, total // LEAST_ROWS))
+    ranged = whole.repartitionByRange(n_ranges, F.desc("length"), "vec_id").withColumn("range", F.spark_partition_id())
+    rows = materialize(ranged, "topk-vectors")
+    n_ranges = (rows.agg(F.max("range")).first()[0] or 0) + 1
     queries = rows.filter(is_query).select("vec_id", "q")
-    total = queries.count()
-    n_blocks = -(-total // query_block)
-    dealt = queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(max(1, n_blocks))).cast("int"))
-    parts = None
-    for b in range(n_blocks):
-        own = dealt.filter(F.col("block") == b).toArrow()
-        shared = spark.sparkContext.broadcast((own.column("vec_id").to_numpy(), own.column("q").to_pylist()))
-
-        def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            all_ids, all_rows = shared.value
-            by_dim: dict[int, Best] = {}
-            dims = np.array([len(r) for r in all_rows])
-            for dim in np.unique(dims):
-                at = np.flatnonzero(dims == dim)
-                by_dim[int(dim)] = Best(all_ids[at], np.array([all_rows[i] for i in at], np.int64), k)
-            for ids, rows, lengths in _buckets(batches, BUCKET_ROWS):
-                if rows.shape[1] in by_dim:
-                    by_dim[rows.shape[1]].bucket(ids, rows, lengths)
-            for best in by_dim.values():
-                n = [len(f[0]) for f in best.found]
-                if sum(n):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(best.ids, n)), pa.array(np.concatenate([f[0] for f in best.found])), pa.array(np.concatenate([f[1] for f in best.found]))], names=["query_id", "vec_id", "score"])
-
-        found = rows.select("vec_id", "q", "length").mapInArrow(scan, "query_id long, vec_id long, score long")
-        parts = found if parts is None else parts.unionByName(found)
-    if parts is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    n_blocks = max(1, -(-queries.count() // query_block))
+    block = F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).cast("int")
+    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = queries.withColumn("block", block).withColumn("range", numbers(n_ranges))
+    dealt = rows.withColumn("block", numbers(n_blocks))
+    size = BUCKET_ROWS
+    pairs = asked.groupBy("block", "range").cogroup(dealt.groupBy("block", "range"))
+    found = pairs.applyInArrow(lambda q, r: _search_pair(q, r, k, size), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return parts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -316,7 +316,7 @@ def test_topk(spark, spread):
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit("own"))
     for size in (16, 2048):
         topk.BUCKET_ROWS = size
-        got = topk.search(frame, F.col("vec_id") % 100 == 0, query_block=3)
+        got = topk.search(frame, F.col("vec_id") % 100 == 0, query_block=3, range_rows=90)
         rows_of = [r for r in rows if r[0] != 100]
         want = {x for x in brute_topk(rows_of + [rows[100], (100, rows[7][1])]) if x[0] != 100}
         assert {tuple(r) for r in got.collect() if r.query_id != 100} == want
@@ -587,7 +587,7 @@ def test_simhash(spark, block_rows):
         rows.append((5000 + i, " ".join(own)))
     rows += [(6000, None), (6001, ""), (6002, " \n"), (6003, "\u00c4 B c"), (6004, "\u00c4 b C")]
     frame = spark.createDataFrame(rows, "doc_id long, text string").withColumn("fp", F.lit("own"))
-    got = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash_dedup.near_duplicates(frame, block_rows=block_rows).collect()}
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash_dedup.near_duplicates(frame, block_rows=block_rows, hot_rows=50_000 if block_rows > 3 else 2, bands=None if block_rows > 3 else 8).collect()}
     assert got == brute_components(rows)
     kept = {r.doc_id for r in simhash_dedup.keep_one(frame).collect()}
     assert kept == {c for _, c in got.values()}
@@ -621,6 +621,10 @@ def test_stars_find_every_link():
         assert comps(links) == comps(want)
 
 
+def test_bands_follow_the_size():
+    assert [simhash_dedup.bands_for(n) for n in (0, 10**6, 10**9, 10**10, 10**12)] == [6, 6, 7, 8, 9]
+
+
 def test_simhash_edges(spark):
     assert simhash_dedup.near_duplicates(empty_docs(spark)).collect() == []
     got = simhash_dedup.near_duplicates(edge_docs(spark)).collect()
