@@ -219,8 +219,8 @@ def fit(labelled: DataFrame, train_docs: int = TRAIN_DOCS, max_languages: int =
     )
 
 
-def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """``docs`` with lang_pred and score, from the text alone."""
+def _judged(docs: DataFrame, model: LanguageModel) -> tuple[DataFrame, str]:
+    """``docs`` with a struct of lang_pred and score, and the name of that column, which no other has."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -230,8 +230,16 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
         for texts in batches:
             yield pd.DataFrame(list(own.predict(texts.tolist())), columns=["lang_pred", "score"]).astype({"lang_pred": object, "score": float})
 
-    out = docs.withColumn("lang_judged", judge(F.col("text").cast("string")))
-    return out.withColumn("lang_pred", F.col("lang_judged.lang_pred")).withColumn("score", F.col("lang_judged.score")).drop("lang_judged")
+    name = "lang_judged"
+    while name in docs.columns:
+        name += "_"
+    return docs.withColumn(name, judge(F.col("text").cast("string"))), name
+
+
+def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
+    """``docs`` with lang_pred and score, from the text alone."""
+    out, name = _judged(docs, model)
+    return out.withColumn("lang_pred", F.col(f"{name}.lang_pred")).withColumn("score", F.col(f"{name}.score")).drop(name)
 
 
 def fit_open_part(docs: DataFrame, **bounds) -> LanguageModel:
@@ -240,6 +248,6 @@ def fit_open_part(docs: DataFrame, **bounds) -> LanguageModel:
 
 
 def keep_identified(docs: DataFrame, **bounds) -> DataFrame:
-    """The rows whose text has a recognised language, with their own columns."""
-    model = fit_open_part(docs, **bounds)
-    return identify(docs, model).filter(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
+    """The rows whose text has a recognised language, with all their own columns as they were."""
+    out, name = _judged(docs, fit_open_part(docs, **bounds))
+    return out.filter(F.col(f"{name}.lang_pred") != UNKNOWN).drop(name)

@@ -1,6 +1,7 @@
 """The training-data operators against brute force, libraries, round trips and edge cases."""
 
 import hashlib
+import os
 import random
 import re
 import time
@@ -13,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from brickyard.llm import bpe, chat_format, decontam, html_extract, lang_id, line_dedup, queries, simhash_dedup, token_count, topk, url_filter
+from brickyard.llm import bpe, chat_format, common, decontam, html_extract, lang_id, line_dedup, queries, simhash_dedup, token_count, topk, url_filter
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, ids string, n_tokens string, label string"
@@ -636,16 +637,19 @@ def test_simhash_edges(spark):
 
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    extra = spark.createDataFrame([(10**6, None, None, "s", None), (10**6 + 1, "123 456", "en", "s", 7)], docs.schema)
+    extra = spark.createDataFrame([(10**6, None, None, "s", None), (10**6 + 1, "123 456", "en", "s", 7), (10**6 + 2, "", None, None, 0)], docs.schema)
     now = docs.unionByName(extra)
+    texts = {r.doc_id: r.text for r in now.collect()}
     outs = []
     for name, stage in corpus_pipeline.STAGES:
         now = stage(spark, now, SF)
         if name != corpus_pipeline.STAGES[-1][0]:
             assert now.columns == docs.columns
         outs.append(now.toPandas())
-    assert not set(outs[0].doc_id) & {10**6, 10**6 + 1} and len(outs[0]) == docs.count()
-    assert sorted(outs[1].doc_id) == sorted(outs[0].doc_id)
+    assert sorted(map(str, outs[0].itertuples(index=False))) == sorted(map(str, docs.toPandas().itertuples(index=False)))
+    lines = brute_line_dedup(list(outs[0].text))
+    assert dict(zip(outs[1].doc_id, outs[1].text)) == {d: lines[texts[d]] for d in outs[0].doc_id}
+    assert list(outs[1].text.str.len()) == list(outs[1].n_chars)
     want = brute_components(list(zip(outs[1].doc_id, outs[1].text)))
     assert set(outs[2].doc_id) == {c for _, c in want.values()}
     items = [(r["item_id"], r["text"]) for r in raw("benchmark")]
@@ -653,4 +657,17 @@ def test_pipeline(spark):
     tok = tokenizers.Tokenizer.from_file(queries.WORD_BPE)
     texts = dict(zip(outs[3].doc_id, outs[3].text))
     assert all(list(r.ids) == tok.encode(texts[r.doc_id], add_special_tokens=False).ids for r in outs[4].itertuples())
+    folder = common.shared_dir(spark).removeprefix("file://")
+    left = set(os.listdir(folder))
     assert {r.doc_id for r in corpus_pipeline.run(spark, SF).collect()} == set(outs[4].doc_id)
+    assert len(set(os.listdir(folder)) - left) == 1  # its last stage
+
+
+def test_pipeline_edges(spark):
+    clashing = edge_docs(spark).withColumn("lang_pred", F.lit(1)).withColumn("fp", F.lit(2)).withColumn("n_lines", F.lit(3))
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty_docs(spark).select("doc_id", "text", "lang", "source", "n_chars"), SF).count() == 0
+        got = stage(spark, clashing, SF)
+        if name != "bpe_encoding":
+            assert got.columns == clashing.columns and got.count() <= clashing.count()
+            assert got.filter("fp = 2 AND lang_pred = 1 AND n_lines = 3").count() == got.count() > 0
