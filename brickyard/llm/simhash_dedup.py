@@ -14,9 +14,9 @@ block in which every distance has already passed the radius.
 Skew: equal fingerprints collapse to one node before any comparison, so exact
 copies cost nothing. A key with more than ``block_rows`` nodes is dealt out as
 cells of two chunks each, so no task holds more than ``2 * block_rows`` of its
-nodes. Each cell returns a star per local component, never all of its pairs. Rows of a
-fingerprint, and fingerprints of a component, that are more than ``HOT_ROWS`` are joined
-in salted parts, each with its own copy of the one row that they join with.
+nodes. Each cell returns a star per local component, never all of its pairs. The many
+rows of one fingerprint, edges of one hub or fingerprints of one component are joined in
+salted parts, each with its own copy of the one row that they join with.
 
 Defined results: null text counts as empty; empty texts have fingerprint zero and
 link to each other; repeated rows keep their rows; a null doc_id gets the
@@ -43,8 +43,10 @@ SHINGLE_WORDS = 4
 RADIUS = 4
 SEED = 42
 BLOCK_ROWS = 4096
-#: Unrelated fingerprints that a key may hold on average, and rows of one key that are joined in one part.
-KEY_ROWS, HOT_ROWS = 64, 50_000
+#: Unrelated fingerprints that a key may hold on average.
+KEY_ROWS = 64
+#: The share of all rows, as its inverse, and the least rows from which a key is joined in parts.
+HOT_SHARE, LEAST_HOT = 100_000, 256
 #: Hashes of one document that are counted at a time.
 HASH_BLOCK = 65536
 #: Bytes of a row of a few numbers.
@@ -212,15 +214,18 @@ def _stars(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Record
         yield from emit(kept)
 
 
-def join_split(left: DataFrame, right: DataFrame, key: str, salt: Column, hot_rows: int) -> DataFrame:
-    """Left join with one row per key on the right; keys of many rows on the left are split by ``salt``."""
+def join_split(left: DataFrame, right: DataFrame, key: str, salt: Column, total: int, least_hot: int = LEAST_HOT) -> DataFrame:
+    """Left join with one row per key on the right; keys of many of the ``total`` rows on the left are split by ``salt``.
+
+    A key is hot from ``total / HOT_SHARE`` rows on, so there are never more than
+    HOT_SHARE hot keys, and they are broadcast.
+    """
+    hot_rows = max(least_hot, total // HOT_SHARE)
     counted = left.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / F.lit(hot_rows)).cast("int").alias("parts")).filter("parts > 1")
     hot = materialize(counted, "simhash-hot-keys")
-    n_hot = hot.count()
-    if not n_hot:
+    if hot.isEmpty():
         return left.join(right, key, "left")
-    hot = small_side(hot, n_hot * ROW_BYTES)
-    parts = F.coalesce("parts", F.lit(1))
+    hot, parts = F.broadcast(hot), F.coalesce("parts", F.lit(1))
     dealt = left.join(hot, key, "left").withColumn("salt", F.pmod(salt, parts).cast("int")).drop("parts")
     copies = right.join(hot, key, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
     return dealt.join(copies, [key, "salt"], "left").drop("salt")
@@ -246,11 +251,11 @@ def links(nodes: DataFrame, radius: int = RADIUS, bands: int | None = None, bloc
     return dealt.mapInArrow(lambda batches: _stars(batches, radius), "a long, b long").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, least_hot: int = LEAST_HOT) -> DataFrame:
     """(node, label): the smallest node of each node's component, by alternating stars.
 
     Each round is two minimum aggregations and two joins over the edges; the
-    edges of a hub are combined map-side and its join side can be split.
+    edges of a hub are combined map-side, and its side of a join is split.
     """
     pairs = lambda df: df.select("a", "b").union(df.select(F.col("b").alias("a"), F.col("a").alias("b")))
     smaller = lambda df: df.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
@@ -260,32 +265,34 @@ def components(edges: DataFrame) -> DataFrame:
     while state[0]:
         both = pairs(now)
         least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        large = smaller(both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")))
+        large = smaller(join_split(both, least, "a", F.xxhash64("b"), 2 * state[0], least_hot).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")))
+        large = materialize(large, "components-large")
         mins = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(mins, "a")
+        small = join_split(large, mins, "a", F.xxhash64("b"), state[0], least_hot)
         small = smaller(small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b"))))
         after = materialize(small, "components")
         found = mark(after)
         discard(now)
+        discard(large)
         now, state, before = after, found, state
         if state == before:
             break
     return now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label"))
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, width: int = SHINGLE_WORDS, seed: int = SEED, bands: int | None = None, block_rows: int = BLOCK_ROWS, hot_rows: int = HOT_ROWS) -> DataFrame:
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, width: int = SHINGLE_WORDS, seed: int = SEED, bands: int | None = None, block_rows: int = BLOCK_ROWS, least_hot: int = LEAST_HOT) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of ``docs``."""
     fps = materialize(fingerprints(docs, width, seed), "simhash-fp")
     nodes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "simhash-nodes")
-    found = components(links(nodes, radius, bands, block_rows)).withColumnRenamed("node", "fp")
+    found = components(links(nodes, radius, bands, block_rows), least_hot).withColumnRenamed("node", "fp")
     found = found.unionByName(found.select(F.col("label").alias("fp"), "label").distinct())
     labelled = materialize(nodes.join(found, "fp", "left"), "simhash-labels")
     linked = labelled.filter("label IS NOT NULL")
     least = linked.groupBy("label").agg(F.min("least_id").alias("component_id"))
     # a fingerprint without a link is a component by itself and needs no second join
-    of_linked = join_split(linked, least, "label", F.xxhash64("fp"), hot_rows).select("fp", "component_id")
+    of_linked = join_split(linked, least, "label", F.xxhash64("fp"), labelled.count(), least_hot).select("fp", "component_id")
     of_single = labelled.filter("label IS NULL").select("fp", F.col("least_id").alias("component_id"))
-    by_fp = join_split(fps, of_linked.unionByName(of_single), "fp", F.xxhash64("doc_id"), hot_rows)
+    by_fp = join_split(fps, of_linked.unionByName(of_single), "fp", F.xxhash64("doc_id"), fps.count(), least_hot)
     return by_fp.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

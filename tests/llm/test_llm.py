@@ -588,7 +588,7 @@ def test_simhash(spark, block_rows):
         rows.append((5000 + i, " ".join(own)))
     rows += [(6000, None), (6001, ""), (6002, " \n"), (6003, "\u00c4 B c"), (6004, "\u00c4 b C")]
     frame = spark.createDataFrame(rows, "doc_id long, text string").withColumn("fp", F.lit("own"))
-    got = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash_dedup.near_duplicates(frame, block_rows=block_rows, hot_rows=50_000 if block_rows > 3 else 2, bands=None if block_rows > 3 else 8).collect()}
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash_dedup.near_duplicates(frame, block_rows=block_rows, least_hot=256 if block_rows > 3 else 2, bands=None if block_rows > 3 else 8).collect()}
     assert got == brute_components(rows)
     kept = {r.doc_id for r in simhash_dedup.keep_one(frame).collect()}
     assert kept == {c for _, c in got.values()}
