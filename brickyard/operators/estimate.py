@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from brickyard.functions.dims import DEFAULT_PROJECT, FINISH, FINISHED, PROJECTS, coefficients, materials
+from brickyard.functions.joins import small_side
 from brickyard.operators.lookup import lookup
 
 MAX_CANDIDATES = 15
@@ -40,7 +41,7 @@ def candidates(needs: DataFrame, prices: DataFrame, specs: DataFrame | None = No
     """
     spark = needs.sparkSession
     specs = materials(spark) if specs is None else specs
-    wanted = needs.filter("slug IS NOT NULL").select("region", "slug").distinct().join(F.broadcast(specs), "slug")
+    wanted = needs.filter("slug IS NOT NULL").select("region", "slug").distinct().join(small_side(specs, specs.count()), "slug")
     units = F.concat(F.array(F.struct(F.col("unit").alias("unit"), F.lit(1.0).alias("factor"))), "alt_units")
     each = wanted.select("region", "slug", "name_query", "exclude", "price_min", "price_max", F.posexplode(units).alias("unit_no", "u"))
     each = each.withColumn("request_id", F.concat_ws("|", "region", "slug", "unit_no"))
@@ -61,7 +62,7 @@ def pick(found: DataFrame) -> DataFrame:
 def with_fallback(picked: DataFrame, secondary: DataFrame, wanted: DataFrame, specs: DataFrame | None = None) -> DataFrame:
     """(region, slug, price_id, unit_price, from_secondary): a second source where the first has none, inside the same bounds."""
     specs = materials(picked.sparkSession) if specs is None else specs
-    second = secondary.join(F.broadcast(specs.select("slug", "price_min", "price_max")), "slug").filter("unit_price BETWEEN price_min AND price_max").select("region", "slug", F.col("unit_price").alias("second_price"))
+    second = secondary.join(small_side(specs.select("slug", "price_min", "price_max"), specs.count()), "slug").filter("unit_price BETWEEN price_min AND price_max").select("region", "slug", F.col("unit_price").alias("second_price"))
     rows = wanted.select("region", "slug").distinct().join(picked, ["region", "slug"], "left").join(second, ["region", "slug"], "left")
     return rows.select("region", "slug", "price_id", F.coalesce("unit_price", "second_price").alias("unit_price"), (F.col("unit_price").isNull() & F.col("second_price").isNotNull()).alias("from_secondary"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from brickyard.functions.joins import in_blocks
+from brickyard.functions.joins import in_blocks, small_side
 from brickyard.functions.text import count_tokens
 
 DEFAULT_K, DEFAULT_THRESHOLD = 5, 0.5
@@ -50,7 +50,7 @@ def search(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     n_blocks = max(1, -(-q.count() // QUERY_BLOCK))
     parts = None
     for b in range(n_blocks):
-        own = q.filter(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == b)
+        own = q.filter(F.pmod(F.xxhash64("query_id", "kb_id"), F.lit(n_blocks)) == b)
         some = c.join(F.broadcast(own), "kb_id")
         keep = F.lit(True)
         if "region" in chunks.columns:
@@ -85,8 +85,12 @@ def search_regions(queries: DataFrame, chunks: DataFrame) -> DataFrame:
 
 def resolve_scope(requests: DataFrame, kbs: DataFrame, project_kbs: DataFrame) -> DataFrame:
     """(request_id, kb_id, place): all (system bases, then own), a project's bases, or one base."""
-    owners = F.explode(F.array_distinct(F.array(F.lit("system"), "user_id")))
-    every = requests.filter("scope = 'all'").withColumn("owner", owners).join(kbs, "owner").select("request_id", "kb_id", F.when(F.col("owner") == "system", 0).otherwise(1).alias("tier"))
+    # every request has all system bases, so their short list goes to the requests
+    system = kbs.filter("owner = 'system'")
+    wide = requests.filter("scope = 'all'")
+    shared = wide.withColumn("owner", F.lit("system")).join(small_side(system, system.count()), "owner").select("request_id", "kb_id", F.lit(0).alias("tier"))
+    own = wide.filter("user_id <> 'system'").withColumnRenamed("user_id", "owner").join(kbs, "owner").select("request_id", "kb_id", F.lit(1).alias("tier"))
+    every = shared.unionByName(own)
     project = requests.filter("scope = 'project'").join(project_kbs, "project_id").select("request_id", "kb_id", F.lit(0).alias("tier"))
     one = requests.filter("scope = 'kb'").select("request_id", F.col("one_kb").alias("kb_id"), F.lit(0).alias("tier"))
     rows = every.unionByName(project).unionByName(one).groupBy("request_id", "kb_id").agg(F.min("tier").alias("tier"))

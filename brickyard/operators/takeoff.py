@@ -9,6 +9,8 @@ from brickyard.functions.dims import DEFAULT_BRICK, DEFAULT_MIX, bricks, mixes
 
 # Brick reserve, plaster kilograms per square metre and millimetre.
 BRICK_RESERVE, PLASTER_RATE = 1.05, 1.6
+KINDS = ["concrete", "rebar", "masonry_wall", "plaster", "tiling", "paint"]
+NUMBERS = ["volume_m3", "total_length_m", "diameter_mm", "length_m", "height_m", "openings_area_m2", "mortar_joint_m", "thickness_m", "area_m2", "waste_pct", "thickness_mm", "rate", "tile_size_m2", "coats", "coverage_m2_per_liter"]
 
 
 def bar_weight(diameter_mm: Column) -> Column:
@@ -30,10 +32,12 @@ def takeoff(items: DataFrame) -> DataFrame:
     gives one row with the error and nothing else.
     """
     spark = items.sparkSession
-    p = lambda k, default=None: F.coalesce(F.try_element_at("p", F.lit(k)), F.lit(default).cast("double"))
+    p = lambda k, default=None: F.coalesce(F.col(f"p_{k}"), F.lit(default).cast("double"))
     positive = lambda *ks: F.coalesce(F.least(*[p(k) for k in ks], F.lit(1e300)) > 0, F.lit(False)) & F.coalesce(F.greatest(*[F.isnull(p(k)).cast("int") for k in ks], F.lit(0)) == 0, F.lit(False))
     mix, brick = F.broadcast(mixes(spark)), F.broadcast(bricks(spark))
-    t = items.withColumn("mix_grade", F.when(F.col("grade").isin("M200", "M250", "M300"), F.col("grade")).otherwise(DEFAULT_MIX))
+    # numbers become columns once, so that the formulas below stay small
+    t = items.withColumns({f"p_{k}": F.try_element_at("p", F.lit(k)) for k in NUMBERS})
+    t = t.withColumn("mix_grade", F.when(F.col("grade").isin("M200", "M250", "M300"), F.col("grade")).otherwise(DEFAULT_MIX))
     t = t.withColumn("brick", F.when(F.col("brick_type").isin("gach_dat_nung", "gach_ong", "block_aac"), F.col("brick_type")).otherwise(DEFAULT_BRICK))
     t = t.join(mix, "mix_grade").join(brick.withColumnRenamed("brick_type", "brick"), "brick")
     area_net = p("length_m") * p("height_m") - p("openings_area_m2", 0.0)
@@ -54,7 +58,7 @@ def takeoff(items: DataFrame) -> DataFrame:
         .when(kind == "paint", F.array(out("son", F.bround(p("area_m2") * p("coats", 2.0) / p("coverage_m2_per_liter", 10.0), 2), "lít")))
     )
     error = (
-        F.when(rows.isNull(), F.concat(F.lit("unknown work type "), F.coalesce(kind, F.lit(""))))
+        F.when(~F.coalesce(kind.isin(KINDS), F.lit(False)), F.concat(F.lit("unknown work type "), F.coalesce(kind, F.lit(""))))
         .when((kind == "concrete") & ~positive("volume_m3"), "volume_m3 must be above 0")
         .when((kind == "rebar") & ~positive("total_length_m", "diameter_mm"), "total_length_m must be above 0")
         .when((kind == "masonry_wall") & ~positive("length_m", "height_m", "thickness_m"), "wall sizes must be above 0")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from brickyard.functions.dims import DEFAULT_RATE, rates
+from brickyard.functions.joins import small_side
 
 # Latency bucket bounds in seconds.
 BOUNDS = [0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0]
@@ -15,7 +16,7 @@ DAYS, TOP_MODELS = 14, 6
 
 def turn_cost(usage: DataFrame, rate_table: DataFrame | None = None) -> DataFrame:
     """Adds cost_usd; an unknown model has the default rate."""
-    r = F.broadcast(rates(usage.sparkSession) if rate_table is None else rate_table)
+    r = F.broadcast(rates(usage.sparkSession)) if rate_table is None else small_side(rate_table, rate_table.count())
     priced = usage.join(r, "model", "left")
     cost = (F.col("prompt_tokens") * F.coalesce("rate_in", F.lit(DEFAULT_RATE[0])) + F.col("completion_tokens") * F.coalesce("rate_out", F.lit(DEFAULT_RATE[1]))) / 1e6
     return priced.withColumn("cost_usd", cost).drop("rate_in", "rate_out")
