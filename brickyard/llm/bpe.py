@@ -9,7 +9,7 @@ worker cache, so a text costs one split and one join of cached pieces.
 The tokenizer file is read once on the driver and broadcast: its size does not
 depend on the data. Texts are split in blocks, so a long text never becomes one
 list. Null text counts as empty and gives no tokens; repeated rows each give a
-row; extra columns are ignored. Strings of special tokens inside texts become
+row; extra columns are ignored; an empty table gives no rows. Strings of special tokens inside texts become
 those tokens, as in the library's default.
 """
 
