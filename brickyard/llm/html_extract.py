@@ -71,14 +71,20 @@ def name_says(name: str) -> tuple[bool, bool]:
     return own, not boiler and bool(parts & ARTICLE_WORDS)
 
 
-@lru_cache(10_000)
 def naming(attributes: str) -> tuple[bool, bool]:
-    """(boilerplate, article) by the class, id and role among the attributes of a tag."""
+    """(boilerplate, article) by the class, id and role among the attributes of a tag; short ones are remembered."""
+    return _remembered(attributes) if len(attributes) <= 200 else _named(attributes)
+
+
+def _named(attributes: str) -> tuple[bool, bool]:
     names = [n for a in ATTRIBUTE.finditer(attributes) if a[1].lower() in ("class", "id", "role") for n in (a[2] or a[3] or a[4] or "").split()]
     says = [name_says(n) for n in names]
     return any(s[0] for s in says), any(s[1] for s in says)
 
 
+_remembered = lru_cache(10_000)(_named)
+
+
 def tags(html: str) -> Iterator[tuple[str, str, bool, str]]:
     """(text before it, tag name, closing, attributes) of each tag; the last has no name."""
     at, size, last = 0, len(html), html.rfind(">")

@@ -31,6 +31,8 @@ QUERY_BLOCK = 8192
 BUCKET_ROWS = 2048
 #: Most vectors of a range, and those from which a small table is cut into more ranges.
 RANGE_ROWS, LEAST_ROWS = 32_768, 4096
+#: Most components of a range or a query block, so that longer vectors come in smaller groups.
+GROUP_VALUES = 1 << 22
 #: Local cosine threshold from which coordinates prune, and how many of them.
 COORDINATE_COSINE = 0.8
 FOCUS = 3
@@ -137,7 +139,9 @@ def search(vectors: DataFrame, is_query, k: int = K, scale: int = SCALE, query_b
     """
     spark = vectors.sparkSession
     whole = materialize(quantize(vectors, scale), "topk-whole")
-    total, least = whole.count(), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    total, dims = whole.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("q")), F.lit(1))).first()
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    range_rows, query_block = (min(n, max(1, GROUP_VALUES // dims)) for n in (range_rows, query_block))
     n_ranges = max(1, -(-total // range_rows), min(least, total // LEAST_ROWS))
     ranged = whole.repartitionByRange(n_ranges, F.desc("length"), "vec_id").withColumn("range", F.spark_partition_id())
     rows = materialize(ranged, "topk-vectors")
