@@ -40,7 +40,8 @@ def request_plan(requests: DataFrame, prices: DataFrame) -> DataFrame:
     words = lambda c: F.coalesce(F.array_distinct(match_words(F.col(c))), blank)
     own = requests.withColumn("words", words("material_name")).withColumn("maker_words", words("manufacturer"))
     each = own.select("request_id", "region", F.posexplode("words").alias("pos", "word"))
-    known = prices.select("region", F.explode(name_tokens(F.col("material_name"))).alias("word")).join(small_side(each.select("word").distinct(), requests.count()), "word", "left_semi")
+    tokens = F.col("name_tokens") if "name_tokens" in prices.columns else name_tokens(F.col("material_name"))
+    known = prices.select("region", F.explode(tokens).alias("word")).join(small_side(each.select("word").distinct(), requests.count()), "word", "left_semi")
     by_region = known.groupBy("region", "word").agg(F.count(F.lit(1)).alias("n"))
     freq = by_region.unionByName(by_region.groupBy("word").agg(F.sum("n").alias("n")).withColumn("region", F.lit(None).cast("string"))).withColumnRenamed("region", "of_region")
     counted = each.join(freq, (each.word == freq.word) & each.region.eqNullSafe(freq.of_region), "left").select("request_id", each.word, "pos", F.coalesce("n", F.lit(0)).alias("n"))
@@ -52,17 +53,18 @@ def request_plan(requests: DataFrame, prices: DataFrame) -> DataFrame:
     return out.withColumn("anchor", F.coalesce(F.try_element_at("pinned", F.lit(-1)), F.try_element_at("ordered", F.lit(-1))))
 
 
-def _ranked(found: DataFrame, k: Column) -> DataFrame:
-    """The k first of each request; by name only where its words were matched."""
-    name = F.when(F.col("scored"), trigram_similarity(trigrams(F.col("material_name")), trigrams(F.col("asked_name"))))
-    maker = F.when(F.col("asked_maker").isNull() | (F.col("tier") == 2), 0.0).otherwise(trigram_similarity(trigrams(F.col("manufacturer")), trigrams(F.col("asked_maker"))))
-    order = Window.partitionBy("request_id").orderBy(F.desc("name_score"), F.desc("maker_score"), F.desc_nulls_last("price_period"), F.desc("created_at"), "price_id")
+def _ranked(found: DataFrame) -> DataFrame:
+    """The k first of each request in its least tier; by name only where its words were matched."""
+    name = F.when(F.col("scored"), trigram_similarity(trigrams(F.col("material_name")), F.col("asked_grams")))
+    maker = F.when(F.col("asked_maker").isNull() | (F.col("tier") == 2), 0.0).otherwise(trigram_similarity(trigrams(F.col("manufacturer")), F.col("maker_grams")))
+    order = Window.partitionBy("request_id").orderBy("tier", F.desc("name_score"), F.desc("maker_score"), F.desc_nulls_last("price_period"), F.desc("created_at"), "price_id")
     scored = found.withColumn("name_score", name).withColumn("maker_score", maker)
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    first = scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= F.col("k"))
+    return first.withColumn("least", F.min("tier").over(Window.partitionBy("request_id"))).filter("tier = least").select(*OUT)
 
 
 def _asked(plan: DataFrame) -> DataFrame:
-    return plan.select("request_id", F.col("region").alias("asked_region"), match_words(F.coalesce("material_category", F.lit(""))).alias("asked_category"), F.col("material_name").alias("asked_name"), F.col("manufacturer").alias("asked_maker"), F.lower("unit").alias("asked_unit"), "exclude", "k", "words", "maker_words", "pinned", "ordered", "anchor")
+    return plan.select("request_id", F.col("region").alias("asked_region"), match_words(F.coalesce("material_category", F.lit(""))).alias("asked_category"), F.col("material_name").alias("asked_name"), F.col("manufacturer").alias("asked_maker"), F.lower("unit").alias("asked_unit"), trigrams(F.col("material_name")).alias("asked_grams"), trigrams(F.col("manufacturer")).alias("maker_grams"), "exclude", "k", "words", "maker_words", "pinned", "ordered", "anchor")
 
 
 def _in_region() -> Column:
@@ -95,10 +97,7 @@ def lookup_exact(requests: DataFrame, prices: DataFrame) -> DataFrame:
     """The k best rows that hold every word of the request, category words included."""
     found = _candidates(request_plan(requests, prices), indexed(prices), requests.count())
     every = (F.size(F.array_except("words", "name_tokens")) == 0) & (F.size(F.array_except("asked_category", "category_tokens")) == 0)
-    return _ranked(found.filter(every).withColumn("tier", F.lit(0)).withColumn("scored", F.lit(True)), F.col("k")).select(*OUT)
-
-
-BASE = ["request_id", "k", "tier", "need", "scored", "price_id", "material_name", "unit", "price_ex_vat", "price_basis", "source_type", "price_period", "manufacturer", "region", "created_at", "asked_name", "asked_maker"]
+    return _ranked(found.filter(every).withColumn("tier", F.lit(0)).withColumn("scored", F.lit(True)))
 
 
 def _without_words(plan: DataFrame, prices: DataFrame) -> DataFrame | None:
@@ -114,21 +113,21 @@ def _without_words(plan: DataFrame, prices: DataFrame) -> DataFrame | None:
     if not plain.isEmpty():
         needle = plain.drop("anchor").withColumn("needle", F.lower("asked_name"))
         rows = rows.drop("anchor").unionByName(contains_join(prices, F.lower("material_name"), needle, "needle", "request_id").drop("needle").filter(_passes()))
-    return rows.withColumn("need", F.lit(0)).withColumn("scored", F.lit(False))
+    return rows.withColumn("scored", F.lit(False))
 
 
-def _by_raw_text(plan: DataFrame, prices: DataFrame, named: DataFrame) -> DataFrame | None:
+def _by_raw_text(plan: DataFrame, prices: DataFrame, answered: DataFrame) -> DataFrame | None:
     """The last resort of requests that no tier answered: every word of the maker, else the name, in the raw row."""
     term = F.coalesce(F.nullif("manufacturer", F.lit("")), "material_name")
     words = F.coalesce(F.array_distinct(match_words(term)), F.array().cast("array<string>"))
-    left = plan.withColumn("words", words).filter(F.size("words") >= RAW_MIN_WORDS).join(named.select("request_id").distinct(), "request_id", "left_anti")
+    left = plan.withColumn("words", words).filter(F.size("words") >= RAW_MIN_WORDS).join(answered, "request_id", "left_anti")
     left = materialize(left, "lookup-raw")
     if left.isEmpty():
         return None
     asked = small_side(_asked(left.withColumn("anchor", _longest(F.col("words")))), left.count())
     texts = prices.withColumn("raw_tokens", name_tokens(F.col("raw_row_text"))).withColumn("anchor", F.explode("raw_tokens"))
     rows = texts.join(asked, "anchor").filter(_in_region()).filter(F.size(F.array_except("words", "raw_tokens")) == 0)
-    return rows.withColumn("tier", F.lit(2)).withColumn("need", F.lit(0)).withColumn("scored", F.lit(False))
+    return rows.withColumn("tier", F.lit(2)).withColumn("scored", F.lit(False))
 
 
 def lookup(requests: DataFrame, prices: DataFrame) -> DataFrame:
@@ -139,25 +138,26 @@ def lookup(requests: DataFrame, prices: DataFrame) -> DataFrame:
     takes the manufacturer, else the name, needs three words, ignores unit and
     exclusions, and gives the newest rows first. Tiers that no request needs are not run.
     """
-    plan = materialize(request_plan(requests, prices), "lookup-plan")
-    stored = indexed(prices)
-    found = _candidates(plan, stored, plan.count()).filter(F.size(F.array_except("pinned", "name_tokens")) == 0)
+    # the index is read once a tier, so it is stored; the plan counts words in it
+    stored = materialize(indexed(prices), "lookup-index")
+    plan = materialize(request_plan(requests, stored), "lookup-plan")
+    n = plan.count()
+    found = _candidates(plan, stored, n).filter(F.size(F.array_except("pinned", "name_tokens")) == 0)
     need = F.array_max(F.concat(F.array(F.lit(0)), F.transform("ordered", lambda w, i: F.when(F.array_contains("name_tokens", w), 0).otherwise(i + 1))))
-    found = found.withColumn("need", need).withColumn("scored", F.lit(True)).filter((F.col("need") == 0) | ((F.size("words") >= MIN_KEPT) & (F.size("words") - F.col("need") >= MIN_KEPT)))
+    found = found.withColumn("need", need).filter((F.col("need") == 0) | ((F.size("words") >= MIN_KEPT) & (F.size("words") - F.col("need") >= MIN_KEPT)))
     in_category = F.size(F.array_except("asked_category", "category_tokens")) == 0
     tier = F.when((F.size("asked_category") > 0) & in_category, 0).otherwise(1)
-    every = found.withColumn("tier", tier).select(*BASE)
+    found = found.withColumn("tier", tier)
+    # the best level of each request first; only the rows at it are scored, so no candidate is stored
+    best = materialize(found.groupBy("request_id").agg(F.min(F.struct("tier", "need")).alias("best")), "lookup-best")
+    at_best = found.join(small_side(best, n), "request_id").filter((F.col("tier") == F.col("best.tier")) & (F.col("need") == F.col("best.need")))
+    out, answered = _ranked(at_best.withColumn("scored", F.lit(True))), best.select("request_id")
     bare = _without_words(plan, stored)
     if bare is not None:
-        every = every.unionByName(bare.withColumn("tier", tier).select(*BASE))
-    every = materialize(every, "lookup-found")
-    raw = _by_raw_text(plan, stored, every)
-    if raw is not None:
-        every = every.unionByName(raw.select(*BASE))
-    # a row of tier 0 also counts in tier 1 at its own level
-    best = every.groupBy("request_id", "tier").agg(F.min("need").alias("level"))
-    best = best.groupBy("request_id").agg(F.min(F.struct("tier", "level")).alias("b")).select("request_id", F.col("b.tier").alias("tier"), F.col("b.level").alias("need"))
-    return _ranked(every.join(best, ["request_id", "tier", "need"]), F.col("k")).select(*OUT)
+        bare = materialize(_ranked(bare.withColumn("tier", tier)), "lookup-bare-found")
+        out, answered = out.unionByName(bare), answered.unionByName(bare.select("request_id").distinct())
+    raw = _by_raw_text(plan, stored, answered)
+    return out if raw is None else out.unionByName(_ranked(raw))
 
 
 def lookup_substring(requests: DataFrame, prices: DataFrame, k: int = 1) -> DataFrame:
