@@ -148,4 +148,4 @@ def boxes(s, d):
 
 register("range_anti_join", lambda s, d: C.drop_text_in_tables(blocks(s, d), boxes(s, d)).select("doc_id", "page", "l_partkey", "l_suppkey"), """SELECT l_orderkey AS doc_id, (l_linenumber % 2)::INTEGER AS page, l_partkey, l_suppkey FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM orders
  WHERE o_orderkey = l_orderkey AND o_custkey % 2 = l_linenumber % 2 AND l_quantity + 2.5 BETWEEN o_custkey % 40 - 2 AND o_custkey % 40 + 17 AND l_discount * 100 + 1 BETWEEN -2 AND o_custkey % 9 + 2)""")
-register("hash_embed", lambda s, d: C.hash_embed(docs(s, d).withColumnRenamed("text", "content"), 64).select("doc_id", F.size("embedding").alias("size"), F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")), 3).alias("norm")), None)
+register("hash_embed", lambda s, d: C.hash_embed(docs(s, d).withColumnRenamed("text", "content"), 64).select("doc_id", F.size("embedding").alias("size"), F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")), 3).alias("norm")), "SELECT doc_id, 64 AS size, CASE WHEN regexp_matches(lower(text), '[0-9a-z_]') THEN 1.0::DOUBLE ELSE 0.0 END AS norm FROM documents")
