@@ -40,14 +40,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def discard(df: DataFrame) -> None:
     """Delete the files behind a frame from :func:`materialize`."""
-    _delete(df.sparkSession, df._brickyard_path)
+    delete(df.sparkSession, df._brickyard_path)
 
 
 @contextmanager
@@ -60,4 +60,4 @@ def scratch(keep: list[DataFrame]) -> Iterator[None]:
         kept = {df._brickyard_path for df in keep}
         for spark, path in _scratch.pop():
             if path not in kept:
-                _delete(spark, path)
+                delete(spark, path)

@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from brickyard.functions.text import norm, norm_ws, parse_price, strip
 from brickyard.operators.grids import is_unit_ditto
+from brickyard.sources import commits
 
 # Phrases that name each column of a price table.
 KEYWORDS = {
@@ -221,5 +222,9 @@ def write_shape(rows: DataFrame) -> DataFrame:
     return out.withColumn("price_ex_vat", F.col("price_ex_vat").cast("decimal(18,2)"))
 
 
-def write_prices(rows: DataFrame, path: str) -> None:
-    write_shape(rows).write.mode("append").partitionBy("region").parquet(path)
+def write_prices(rows: DataFrame, path: str, documents: DataFrame | None = None) -> None:
+    """Appends by region; with ``documents``, replaces all rows of these keys, for ``commits.read``."""
+    if documents is not None:
+        commits.write(rows.sparkSession, path, {"prices": write_shape(rows)}, documents)
+    else:
+        write_shape(rows).write.mode("append").partitionBy("region").parquet(path)

@@ -8,11 +8,14 @@ from pyspark.sql import functions as F
 
 from brickyard.functions.stored import shared_dir
 from brickyard.functions.text import register_sql
+from brickyard.operators import prices as P
 from brickyard.plans.lookup_queries import FOLDED
 from brickyard.plans.registry import register
 from brickyard.sources import adapters as A
+from brickyard.sources import commits
 from brickyard.sources import files as S
 from brickyard.streaming import jobs as J
+from brickyard.streaming import transitions as T
 
 
 def folder(spark, name):
@@ -60,16 +63,85 @@ register("ingest_warnings", lambda s, d: J.ingest_batch(jobs(s, d), bases(s))["w
 register("ingest_chunks", lambda s, d: J.ingest_batch(jobs(s, d), bases(s))["chunks"].select("doc_id", "kb_id", F.col("metadata")["region"].alias("region"), F.length("content").alias("n_chars")), f"SELECT doc_id::VARCHAR AS doc_id, CASE WHEN doc_id % 2 = 1 THEN 'p' ELSE 'k' END AS kb_id, CASE WHEN doc_id % 2 = 1 THEN 'HN' END AS region, length(source || chr(10) || '| Tên vật liệu | Đơn vị | Giá bán |' || chr(10) || '|---|---|---|' || chr(10) || '| part ' || doc_id || ' | kg | ' || replace(format('{{:,}}', (doc_id + 1) * 1000), ',', '.') || ' |' || chr(10) || '| part x | -nt- | liên hệ |')::INTEGER AS n_chars FROM documents WHERE {REASON} IS NULL")
 
 
+def deliver(s, source, out, checkpoint, per_trigger):
+    J.run_ingest(S.read_jobs(s, source, per_trigger=per_trigger), bases(s), out, checkpoint).awaitTermination()
+
+
 def streamed(s, d):
-    """The jobs as a stream: the same batch delivered twice gives its rows once."""
+    """The jobs as a stream: what another query had written before, with other batches, is replaced."""
     source, out = folder(s, "job-stream"), folder(s, "job-out")
     job_rows(s, d).write.json(source)
     for _ in range(2):
-        J.run_ingest(S.read_jobs(s, source, per_trigger=1000), bases(s), out, f"{out}-checkpoint-{uuid.uuid4().hex}").awaitTermination()
-    return s.read.parquet(f"{out}/status").groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+        deliver(s, source, out, f"{out}-checkpoint-{uuid.uuid4().hex}", 1000)
+    return commits.read(s, out, "status").groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
+STATUS_ROWS = f"SELECT doc_id, stage, ['pending', 'processing', CASE WHEN {REASON} IS NULL THEN 'done' ELSE 'error' END][stage + 1] AS status FROM documents, (SELECT unnest([0, 1, 2]) AS stage)"
+register("job_stream", streamed, f"SELECT status, count(*) AS n FROM ({STATUS_ROWS}) GROUP BY 1")
+
+
+def redelivered(s, d):
+    """Every job in two or three files, each file a batch, twice with one checkpoint and once more with another."""
+    source, out = folder(s, "job-files"), folder(s, "job-once")
+    jobs_once = job_rows(s, d)
+    for part in range(3):
+        jobs_once.filter(F.col("job_id").cast("long") % 5 != part).coalesce(1).write.mode("append").json(source)
+    for checkpoint in ("a", "a", "b"):
+        deliver(s, source, out, f"{out}-checkpoint-{checkpoint}", 1)
+    n = lambda name: commits.read(s, out, name).groupBy("doc_id").agg(F.count(F.lit(1)).alias(f"n_{name}"))
+    rows = n("status")
+    for name in ("chunks", "prices", "warnings"):
+        rows = rows.join(n(name), "doc_id", "left")
+    return rows.select("doc_id", "n_status", *[F.coalesce(f"n_{name}", F.lit(0)).alias(f"n_{name}") for name in ("chunks", "prices", "warnings")])
+
+
+register("job_redelivery", redelivered, f"SELECT doc_id::VARCHAR AS doc_id, 3::BIGINT AS n_status, CASE WHEN {REASON} IS NULL THEN 1 ELSE 0 END::BIGINT AS n_chunks, CASE WHEN {REASON} IS NULL AND doc_id % 2 = 1 THEN 1 ELSE 0 END::BIGINT AS n_prices, CASE WHEN {REASON} IS NULL AND doc_id % 2 = 1 THEN 1 ELSE 0 END::BIGINT AS n_warnings FROM documents")
+
+
+def status_events(s, d):
+    """Three minutes a document: some start again, end twice, or stay in a stage."""
+    doc = F.col("doc_id")
+    steps = [(0, "pending", 0, doc >= 0), (1, "processing", 5, doc % 4 > 0), (2, "done", 8 + 28 * (doc % 2), doc % 4 > 0), (0, "pending", 6, doc % 5 == 0), (2, "error", 51, doc % 7 == 0), (0, "pending", 0, doc % 6 == 0)]
+    each = [F.when(cond, F.struct(F.lit(stage).alias("stage"), F.lit(status).alias("status"), (doc * 3 + minute).alias("minute"))) for stage, status, minute, cond in steps]
+    rows = A.table(s, d, "documents").select("doc_id", F.explode(F.array_compact(F.array(*each))).alias("e")).select("doc_id", "e.*")
+    at = F.timestamp_seconds(F.lit(1704067200) + F.col("minute") * 60)
+    return rows.select(doc.cast("string").alias("doc_id"), "stage", "status", at.alias("at"), "minute")
+
+
+def status_stream(s, d):
+    """The events in files that they reach up to nine minutes out of order."""
+    source, out = folder(s, "status-events"), folder(s, "status-history")
+    rows = status_events(s, d).withColumn("arrives", F.col("minute") + F.pmod(F.xxhash64("doc_id", "stage", "status"), F.lit(9)))
+    most = rows.agg(F.max("arrives").alias("m")).first().m
+    for part in range(3):
+        own = F.col("arrives").between(part * (most // 3 + 1), (part + 1) * (most // 3 + 1) - 1)
+        rows.filter(own).select("doc_id", "stage", "status", "at").coalesce(1).write.mode("append").parquet(source)
+    events = s.readStream.schema("doc_id string, stage int, status string, at timestamp").option("maxFilesPerTrigger", 1).parquet(source)
+    T.live_history(events).writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return s.read.schema(T.OUT).parquet(out)
+
 
+STATUS_HISTORY = """WITH e AS (
+  SELECT doc_id, 0 AS stage, 'pending' AS status, doc_id * 3 AS m FROM documents
+  UNION ALL SELECT doc_id, 1, 'processing', doc_id * 3 + 5 FROM documents WHERE doc_id % 4 > 0
+  UNION ALL SELECT doc_id, 2, 'done', doc_id * 3 + 8 + 28 * (doc_id % 2) FROM documents WHERE doc_id % 4 > 0
+  UNION ALL SELECT doc_id, 0, 'pending', doc_id * 3 + 6 FROM documents WHERE doc_id % 5 = 0
+  UNION ALL SELECT doc_id, 2, 'error', doc_id * 3 + 51 FROM documents WHERE doc_id % 7 = 0
+  UNION ALL SELECT doc_id, 0, 'pending', doc_id * 3 FROM documents WHERE doc_id % 6 = 0),
+u AS (SELECT max(m) - 10 AS until FROM e),
+k AS (SELECT *, coalesce(max(stage) OVER w, -1) AS high, first_value(status) OVER (PARTITION BY doc_id, stage ORDER BY m, status) AS said FROM e, u WHERE m <= until WINDOW w AS (PARTITION BY doc_id ORDER BY m, stage, status ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+j AS (SELECT *, CASE WHEN stage > high THEN 'applied' WHEN stage < high THEN 'backward' WHEN status = said THEN 'repeat' ELSE 'conflict' END AS kind FROM k),
+a AS (SELECT *, lead(m) OVER (PARTITION BY doc_id ORDER BY m, stage) AS following FROM j WHERE kind = 'applied'),
+r AS (SELECT doc_id, stage, status, m, kind FROM j UNION ALL SELECT doc_id, stage, status, m + 30, 'stuck' FROM a WHERE stage < 2 AND m + 30 <= until AND coalesce(following > m + 30, true))
+SELECT doc_id::VARCHAR AS doc_id, stage, status, kind, m AS minute FROM r"""
 
-register("job_stream", streamed, f"SELECT status, count(*) AS n FROM (SELECT unnest(['pending', 'processing', CASE WHEN {REASON} IS NULL THEN 'done' ELSE 'error' END]) AS status FROM documents) GROUP BY 1")
+
+def in_minutes(rows):
+    return rows.select("doc_id", "stage", "status", "kind", ((F.unix_seconds("at") - 1704067200) / 60).cast("long").alias("minute"))
+
+
+register("status_history", lambda s, d: in_minutes(T.history(status_events(s, d))), STATUS_HISTORY)
+register("status_stream", lambda s, d: in_minutes(status_stream(s, d)), STATUS_HISTORY)
 
 
 def stored_chunks(s, d):
@@ -82,6 +154,32 @@ def stored_chunks(s, d):
 register("write_chunks", stored_chunks, "SELECT label::BIGINT AS kb_id, count(*) AS n, sum(vec_id)::BIGINT AS ids FROM embeddings GROUP BY 1")
 
 
+def rewritten_chunks(s, d):
+    """Every chunk once; then the documents of every third label again, with half their chunks."""
+    path, rows = folder(s, "chunks-again"), A.table(s, d, "embeddings").select("vec_id", "embedding", F.col("label").cast("string").alias("doc_id"))
+    S.write_chunks(rows, path, rows.select("doc_id"))
+    again = rows.filter(F.col("doc_id").cast("int") % 3 == 0)
+    for _ in range(2):
+        S.write_chunks(again.filter("vec_id % 2 = 0"), path, again.select("doc_id"))
+    return commits.read(s, path, "chunks").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum("vec_id").alias("ids"))
+
+
+register("rewrite_chunks", rewritten_chunks, "SELECT label::VARCHAR AS doc_id, count(*) AS n, sum(vec_id)::BIGINT AS ids FROM embeddings WHERE label % 3 > 0 OR vec_id % 2 = 0 GROUP BY 1")
+
+
+def rewritten_prices(s, d):
+    """All prices; then those of every fourth document again, at half the price; then as one commit."""
+    path, rows = folder(s, "prices-again"), A.material_prices(s, d)
+    P.write_prices(rows, path, rows.select("document_id"))
+    again = rows.filter("document_id % 4 = 0")
+    P.write_prices(again.withColumn("price_ex_vat", F.col("price_ex_vat") / 2), path, again.select("document_id"))
+    commits.compact(s, path, ["prices"], "document_id")
+    return commits.read(s, path, "prices", "document_id").select("price_id", "document_id", "price_ex_vat")
+
+
+register("rewrite_prices", rewritten_prices, f"WITH {A.PRICES} SELECT price_id, document_id, (CASE WHEN document_id % 4 = 0 THEN price_ex_vat::DOUBLE / 2 ELSE price_ex_vat END)::DECIMAL(18,2) AS price_ex_vat FROM prices")
+
+
 def dumped(s, d):
     path = folder(s, "dump")
     S.write_json(A.table(s, d, "documents").select(F.col("lang").alias("type"), F.col("text").alias("content"), F.col("source").alias("above"), F.lit("").alias("below")), path)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brickyard.sources import commits
+
 TEXT_TYPES = ("txt", "md", "markdown", "html")
 JOB_SCHEMA = "job_id string, kb_id string, user_id string, filename string, content_b64 string, mode string, config map<string,string>"
 REGIONS, MAX_BYTES = ("HN", "DN", "HCM"), 50 * 1024 * 1024
@@ -39,8 +41,12 @@ def route_jobs(jobs: DataFrame, kbs: DataFrame) -> DataFrame:
     return joined.withColumn("reason", reason).withColumn("route", F.when(F.col("reason").isNotNull(), "rejected").when(price, "price").otherwise("standard"))
 
 
-def write_chunks(chunks: DataFrame, path: str) -> None:
-    chunks.write.mode("append").partitionBy("kb_id").parquet(path)
+def write_chunks(chunks: DataFrame, path: str, documents: DataFrame | None = None) -> None:
+    """Appends by knowledge base; with ``documents``, replaces all rows of these keys, for ``commits.read``."""
+    if documents is not None:
+        commits.write(chunks.sparkSession, path, {"chunks": chunks}, documents)
+    else:
+        chunks.write.mode("append").partitionBy("kb_id").parquet(path)
 
 
 def read_chunk_dump(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:

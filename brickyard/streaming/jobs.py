@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from brickyard.operators import chunking, grids, usage
 from brickyard.operators.prices import classify_source, extract_prices, write_shape
+from brickyard.sources import commits
 from brickyard.sources.files import decode_text, route_jobs
 
 LATE = "10 minutes"
@@ -32,15 +33,27 @@ def ingest_batch(jobs: DataFrame, kbs: DataFrame) -> dict[str, DataFrame]:
 
 
 def run_ingest(jobs: DataFrame, kbs: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Each batch overwrites its own folder, so a batch that runs again writes the same rows once."""
+    """Each job's rows once, however often it is delivered.
+
+    The query's state is a ledger of the job_ids that it has seen, so a job that comes
+    again in a later batch is dropped. A batch is one commit of :mod:`commits`, named
+    by the query and its number: a batch that died between two tables is not seen and
+    runs again, one that had finished is skipped, and a job that another query had
+    written (one without this ledger) replaces its rows. Read the tables by
+    ``commits.read``.
+    """
+    spark = jobs.sparkSession
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        # the query's id lasts as long as its checkpoint
+        query = spark.read.schema("id string").json(f"{checkpoint}/metadata").first().id
         batch.persist()
-        for name, rows in ingest_batch(batch, kbs).items():
-            rows.write.mode("overwrite").parquet(f"{out}/{name}/batch={batch_id}")
-        batch.unpersist()
+        try:
+            commits.write(spark, out, ingest_batch(batch, kbs), batch.select(F.col("job_id").alias("doc_id")), f"{query}-{batch_id}")
+        finally:
+            batch.unpersist()
 
-    return jobs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return jobs.dropDuplicates(["job_id"]).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def new_transitions(status: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from brickyard.functions.text import clip_tokens, count_tokens, fold, match_words, parse_price, register_sql
 from brickyard.operators import chunking, estimate, grids, hygiene, lookup, messages, prices, retrieval, takeoff, usage
-from brickyard.sources import files
+from brickyard.sources import commits, files
 from brickyard.streaming import jobs
 
 
@@ -208,15 +208,16 @@ def test_job_stream(spark, tmp_path):
     (tmp_path / "in" / "1.json").write_text("\n".join([job("a", "k", "One.\n\nTwo."), job("a", "k", "One.\n\nTwo."), job("b", "p", "x"), job("c", "p", "y\n\n| Tên vật liệu | Đơn vị | Giá bán |\n|---|---|---|\n| Cát vàng | m3 | 250.000 |\n| Đá | -nt- | liên hệ |", config={"region": "HN", "price_period": "2026-06"}), job("d", "k", ""), job("e", "zz", "q")]))
     kbs = spark.createDataFrame([("k", False), ("p", True)], "kb_id string, price_extraction boolean")
     jobs.run_ingest(files.read_jobs(spark, str(tmp_path / "in")), kbs, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
-    status = spark.read.parquet(str(tmp_path / "out" / "status"))
+    read = lambda name: commits.read(spark, str(tmp_path / "out"), name)
+    status = read("status")
     last = {r.doc_id: r.status for r in status.groupBy("doc_id").agg(F.max_by("status", "stage").alias("status")).collect()}
     assert last == {"a": "done", "b": "error", "c": "done", "d": "error", "e": "error"}
     assert status.filter("doc_id = 'a'").count() == 3
-    chunks = {r.doc_id: r.metadata for r in spark.read.parquet(str(tmp_path / "out" / "chunks")).collect()}
+    chunks = {r.doc_id: r.metadata for r in read("chunks").collect()}
     assert chunks == {"a": None, "c": {"region": "HN", "source_type": "vendor_quote", "price_period": "2026-06"}}
-    prices = spark.read.parquet(str(tmp_path / "out" / "prices")).collect()
+    prices = read("prices").collect()
     assert [(r.doc_id, r.material_name, r.unit, int(r.price_ex_vat), r.region, r.price_period) for r in prices] == [("c", "Cát vàng", "m3", 250000, "HN", "2026-06")]
-    assert [r.doc_id for r in spark.read.parquet(str(tmp_path / "out" / "warnings")).collect()] == ["c"]
+    assert [r.doc_id for r in read("warnings").collect()] == ["c"]
 
 
 def test_stream_equals_batch(spark, tmp_path):
