@@ -2,9 +2,14 @@
 
 A request's words all have to occur as whole words in a product name. When no row
 has them all, the most frequent words without a digit are dropped one at a time,
-keeping at least two words. Every request joins on one word that is never dropped
-(its anchor), so the work is an equi-join on an inverted index, not requests
-times prices; the other words are tested on what the join returns.
+keeping at least two words.
+
+Words are matched on an index of the distinct products (name, category, manufacturer,
+region, unit) with their folded tokens, not on price rows, which repeat a product by
+period and document. Every request joins on one word that is never dropped (its
+anchor), so the work is an equi-join on inverted words, not requests times products; the
+other words that are never dropped are tested next, and only then the filters and the
+drop level. Prices are read once, for the products at the best level of a request.
 """
 
 from __future__ import annotations
@@ -22,9 +27,14 @@ MIN_KEPT = 2
 RAW_MIN_WORDS = 3
 
 
-def indexed(prices: DataFrame) -> DataFrame:
-    """``prices`` with the folded tokens that lookups test; store them to look up often."""
-    return prices.withColumn("name_tokens", name_tokens(F.col("material_name"))).withColumn("category_tokens", name_tokens(F.col("material_category"))).withColumn("maker_tokens", name_tokens(F.col("manufacturer")))
+PRODUCT = ["material_name", "material_category", "manufacturer", "region", "unit"]
+
+
+def index(prices: DataFrame) -> DataFrame:
+    """The distinct products: their columns, tokens, ``product_id`` and number of rows; store it to look up often."""
+    rows = prices.groupBy(*PRODUCT).agg(F.count(F.lit(1)).alias("n_rows"))
+    tokens = {f"{name}_tokens": name_tokens(F.col(c)) for name, c in (("name", "material_name"), ("category", "material_category"), ("maker", "manufacturer"))}
+    return rows.withColumns(tokens | {"product_id": F.xxhash64(*PRODUCT)})
 
 
 def word_frequency(prices: DataFrame) -> DataFrame:
@@ -34,15 +44,15 @@ def word_frequency(prices: DataFrame) -> DataFrame:
     return by_region.unionByName(by_region.groupBy("word").agg(F.sum("n").alias("n")).withColumn("region", F.lit(None).cast("string")))
 
 
-def request_plan(requests: DataFrame, prices: DataFrame) -> DataFrame:
-    """``requests`` with words, maker_words, pinned, ordered (first dropped first) and anchor."""
+def request_plan(requests: DataFrame, products: DataFrame) -> DataFrame:
+    """``requests`` with words, maker_words, pinned, ordered (first dropped first), anchor and required."""
     blank = F.array().cast("array<string>")
     words = lambda c: F.coalesce(F.array_distinct(match_words(F.col(c))), blank)
     own = requests.withColumn("words", words("material_name")).withColumn("maker_words", words("manufacturer"))
     each = own.select("request_id", "region", F.posexplode("words").alias("pos", "word"))
-    tokens = F.col("name_tokens") if "name_tokens" in prices.columns else name_tokens(F.col("material_name"))
-    known = prices.select("region", F.explode(tokens).alias("word")).join(small_side(each.select("word").distinct(), requests.count()), "word", "left_semi")
-    by_region = known.groupBy("region", "word").agg(F.count(F.lit(1)).alias("n"))
+    asked = small_side(each.select("word").distinct(), requests.count())
+    known = products.select("region", "n_rows", F.explode("name_tokens").alias("word")).join(asked, "word", "left_semi")
+    by_region = known.groupBy("region", "word").agg(F.sum("n_rows").alias("n"))
     freq = by_region.unionByName(by_region.groupBy("word").agg(F.sum("n").alias("n")).withColumn("region", F.lit(None).cast("string"))).withColumnRenamed("region", "of_region")
     counted = each.join(freq, (each.word == freq.word) & each.region.eqNullSafe(freq.of_region), "left").select("request_id", each.word, "pos", F.coalesce("n", F.lit(0)).alias("n"))
     items = F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("f"), (-F.length("word")).alias("l"), "pos", "word")))
@@ -50,39 +60,40 @@ def request_plan(requests: DataFrame, prices: DataFrame) -> DataFrame:
     names = lambda cond: F.transform(F.filter("items", cond), lambda x: x["word"])
     plan = plan.select("request_id", names(lambda x: x["word"].rlike("[0-9]")).alias("pinned"), names(lambda x: ~x["word"].rlike("[0-9]")).alias("ordered"))
     out = own.join(plan, "request_id", "left").withColumns({c: F.coalesce(c, blank) for c in ("pinned", "ordered")})
+    # the last words of the drop order stay until MIN_KEPT words are left
+    stay = F.greatest(F.lit(MIN_KEPT) - F.size("pinned"), F.lit(0))
+    out = out.withColumn("required", F.concat("pinned", F.when(F.size("words") >= MIN_KEPT, F.slice("ordered", F.greatest(F.size("ordered") - stay + 1, F.lit(1)), stay)).otherwise(F.col("ordered"))))
     return out.withColumn("anchor", F.coalesce(F.try_element_at("pinned", F.lit(-1)), F.try_element_at("ordered", F.lit(-1))))
 
 
-def _ranked(found: DataFrame) -> DataFrame:
-    """The k first of each request in its least tier; by name only where its words were matched."""
-    name = F.when(F.col("scored"), trigram_similarity(trigrams(F.col("material_name")), F.col("asked_grams")))
-    maker = F.when(F.col("asked_maker").isNull() | (F.col("tier") == 2), 0.0).otherwise(trigram_similarity(trigrams(F.col("manufacturer")), F.col("maker_grams")))
-    order = Window.partitionBy("request_id").orderBy("tier", F.desc("name_score"), F.desc("maker_score"), F.desc_nulls_last("price_period"), F.desc("created_at"), "price_id")
-    scored = found.withColumn("name_score", name).withColumn("maker_score", maker)
-    first = scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= F.col("k"))
-    return first.withColumn("least", F.min("tier").over(Window.partitionBy("request_id"))).filter("tier = least").select(*OUT)
+OUT = ["request_id", "rank", "tier", "price_id", "material_name", "unit", "price_ex_vat", "price_basis", "source_type", "price_period", "manufacturer", "region", "name_score"]
 
 
 def _asked(plan: DataFrame) -> DataFrame:
-    return plan.select("request_id", F.col("region").alias("asked_region"), match_words(F.coalesce("material_category", F.lit(""))).alias("asked_category"), F.col("material_name").alias("asked_name"), F.col("manufacturer").alias("asked_maker"), F.lower("unit").alias("asked_unit"), trigrams(F.col("material_name")).alias("asked_grams"), trigrams(F.col("manufacturer")).alias("maker_grams"), "exclude", "k", "words", "maker_words", "pinned", "ordered", "anchor")
+    return plan.select("request_id", F.col("region").alias("asked_region"), F.array_distinct(match_words(F.coalesce("material_category", F.lit("")))).alias("asked_category"), F.col("material_name").alias("asked_name"), F.col("manufacturer").alias("asked_maker"), F.lower("unit").alias("asked_unit"), "exclude", "words", "maker_words", "ordered", "required", "anchor")
 
 
 def _in_region() -> Column:
     return F.col("asked_region").isNull() | (F.col("asked_region") == F.col("region"))
 
 
+def _all_in(words: str, tokens: str) -> Column:
+    return F.forall(words, lambda w: F.array_contains(tokens, w))
+
+
 def _passes() -> Column:
     """Region, unit, exclusion and maker filters."""
     lower = F.lower("material_name")
     keep = _in_region() & (F.col("asked_unit").isNull() | F.contains(F.lower("unit"), F.col("asked_unit")))
     keep = keep & ~F.exists(F.coalesce("exclude", F.array().cast("array<string>")), lambda x: F.contains(lower, F.lower(x)))
-    return keep & (F.size(F.array_except("maker_words", "maker_tokens")) == 0)
+    return keep & _all_in("maker_words", "maker_tokens")
 
 
-def _candidates(plan: DataFrame, prices: DataFrame, n_requests: int) -> DataFrame:
-    """Rows that hold the anchor and pass the filters; few requests are broadcast, so prices stay where they are."""
+def _matches(plan: DataFrame, products: DataFrame, n_requests: int) -> DataFrame:
+    """Products that hold the words of a request that are never dropped and pass its filters; few requests are broadcast."""
     asked = small_side(_asked(plan), n_requests)
-    return prices.withColumn("anchor", F.explode("name_tokens")).join(asked, "anchor").filter(_passes())
+    found = products.withColumn("anchor", F.explode("name_tokens")).join(asked, "anchor")
+    return found.filter(_all_in("required", "name_tokens")).filter(_passes()).withColumn("scored", F.lit(True))
 
 
 def _longest(words: Column) -> Column:
@@ -90,17 +101,43 @@ def _longest(words: Column) -> Column:
     return F.array_max(F.transform(words, lambda w, i: F.struct(F.length(w).alias("n"), (-i).alias("i"), w.alias("w"))))["w"]
 
 
-OUT = ["request_id", "rank", "tier", "price_id", "material_name", "unit", "price_ex_vat", "price_basis", "source_type", "price_period", "manufacturer", "region", "name_score"]
+def _stored_matches(found: DataFrame) -> DataFrame:
+    return materialize(found.select("request_id", "product_id", *PRODUCT, "tier", "need", "scored"), "lookup-matches")
+
+
+def _first(rows: DataFrame) -> DataFrame:
+    """The k first of each request, at its least tier and drop level only."""
+    order = Window.partitionBy("request_id").orderBy("tier", "need", F.desc("name_score"), F.desc("maker_score"), F.desc_nulls_last("price_period"), F.desc("created_at"), "price_id")
+    first = rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= F.col("k"))
+    least = F.min(F.struct("tier", "need")).over(Window.partitionBy("request_id"))
+    return first.withColumn("least", least).filter((F.col("tier") == F.col("least.tier")) & (F.col("need") == F.col("least.need"))).select(*OUT)
+
+
+def _answers(found: DataFrame, plan: DataFrame, prices: DataFrame) -> DataFrame:
+    """Price rows of the products at the best level, scored by product: by name only where its words were matched."""
+    best = found.groupBy("request_id").agg(F.min(F.struct("tier", "need")).alias("best"))
+    grams = plan.select("request_id", "k", trigrams(F.col("material_name")).alias("asked_grams"), F.col("manufacturer").alias("asked_maker"), trigrams(F.col("manufacturer")).alias("maker_grams"))
+    at_best = found.join(best.join(grams, "request_id"), "request_id").filter((F.col("tier") == F.col("best.tier")) & (F.col("need") == F.col("best.need")))
+    name = F.when(F.col("scored"), trigram_similarity(trigrams(F.col("material_name")), F.col("asked_grams")))
+    maker = F.when(F.col("asked_maker").isNull(), 0.0).otherwise(trigram_similarity(trigrams(F.col("manufacturer")), F.col("maker_grams")))
+    mine = [F.col(c).alias(f"of_{c}") for c in PRODUCT]
+    scored = materialize(at_best.select("request_id", "k", "product_id", "tier", "need", name.alias("name_score"), maker.alias("maker_score"), *mine), "lookup-scored")
+    same = F.lit(True)
+    for c in PRODUCT:
+        same = same & F.col(c).eqNullSafe(F.col(f"of_{c}"))
+    return _first(prices.withColumn("product_id", F.xxhash64(*PRODUCT)).join(small_side(scored, scored.count()), "product_id").filter(same))
 
 
-def lookup_exact(requests: DataFrame, prices: DataFrame) -> DataFrame:
-    """The k best rows that hold every word of the request, category words included."""
-    found = _candidates(request_plan(requests, prices), indexed(prices), requests.count())
-    every = (F.size(F.array_except("words", "name_tokens")) == 0) & (F.size(F.array_except("asked_category", "category_tokens")) == 0)
-    return _ranked(found.filter(every).withColumn("tier", F.lit(0)).withColumn("scored", F.lit(True)))
+def lookup_exact(requests: DataFrame, prices: DataFrame, products: DataFrame | None = None) -> DataFrame:
+    """The k best rows that hold every word of the request, category words included. products: a stored :func:`index`."""
+    products = materialize(index(prices), "lookup-index") if products is None else products
+    plan = materialize(request_plan(requests, products), "lookup-plan")
+    found = _matches(plan, products, plan.count())
+    every = _all_in("words", "name_tokens") & _all_in("asked_category", "category_tokens")
+    return _answers(_stored_matches(found.filter(every).withColumns({"tier": F.lit(0), "need": F.lit(0)})), plan, prices)
 
 
-def _without_words(plan: DataFrame, prices: DataFrame) -> DataFrame | None:
+def _without_words(plan: DataFrame, products: DataFrame) -> DataFrame | None:
     """Requests without a usable name word: by the maker's words, by substring of the name, or both."""
     bare = materialize(plan.filter(F.size("words") == 0), "lookup-bare")
     if bare.isEmpty():
@@ -108,11 +145,11 @@ def _without_words(plan: DataFrame, prices: DataFrame) -> DataFrame | None:
     named = F.coalesce(F.col("asked_name"), F.lit("")) != ""
     inside = ~named | F.contains(F.lower("material_name"), F.lower("asked_name"))
     made = _asked(bare).filter(F.size("maker_words") > 0).withColumn("anchor", _longest(F.col("maker_words")))
-    rows = prices.withColumn("anchor", F.explode("maker_tokens")).join(small_side(made, made.count()), "anchor").filter(inside & _passes())
+    rows = products.withColumn("anchor", F.explode("maker_tokens")).join(small_side(made, made.count()), "anchor").filter(inside & _passes())
     plain = _asked(bare).filter((F.size("maker_words") == 0) & named)
     if not plain.isEmpty():
         needle = plain.drop("anchor").withColumn("needle", F.lower("asked_name"))
-        rows = rows.drop("anchor").unionByName(contains_join(prices, F.lower("material_name"), needle, "needle", "request_id").drop("needle").filter(_passes()))
+        rows = rows.drop("anchor").unionByName(contains_join(products, F.lower("material_name"), needle, "needle", "request_id").drop("needle").filter(_passes()))
     return rows.withColumn("scored", F.lit(False))
 
 
@@ -121,49 +158,47 @@ def _by_raw_text(plan: DataFrame, prices: DataFrame, answered: DataFrame) -> Dat
     term = F.coalesce(F.nullif("manufacturer", F.lit("")), "material_name")
     words = F.coalesce(F.array_distinct(match_words(term)), F.array().cast("array<string>"))
     left = plan.withColumn("words", words).filter(F.size("words") >= RAW_MIN_WORDS).join(answered, "request_id", "left_anti")
-    left = materialize(left, "lookup-raw")
-    if left.isEmpty():
+    left = materialize(left.select("request_id", F.col("region").alias("asked_region"), "k", "words", _longest(F.col("words")).alias("anchor")), "lookup-raw")
+    n = left.count()
+    if not n:
         return None
-    asked = small_side(_asked(left.withColumn("anchor", _longest(F.col("words")))), left.count())
     texts = prices.withColumn("raw_tokens", name_tokens(F.col("raw_row_text"))).withColumn("anchor", F.explode("raw_tokens"))
-    rows = texts.join(asked, "anchor").filter(_in_region()).filter(F.size(F.array_except("words", "raw_tokens")) == 0)
-    return rows.withColumn("tier", F.lit(2)).withColumn("scored", F.lit(False))
+    rows = texts.join(small_side(left, n), "anchor").filter(_in_region()).filter(_all_in("words", "raw_tokens"))
+    return rows.withColumns({"tier": F.lit(2), "need": F.lit(0), "name_score": F.lit(None).cast("double"), "maker_score": F.lit(0.0)})
 
 
-def lookup(requests: DataFrame, prices: DataFrame) -> DataFrame:
+def lookup(requests: DataFrame, prices: DataFrame, products: DataFrame | None = None) -> DataFrame:
     """The k best rows of the best tier: with the category, without it, then by raw row text.
 
     Inside a tier only rows at its first successful drop level count. A request without
     usable words matches by its maker and by substring of the name. The raw-text tier
     takes the manufacturer, else the name, needs three words, ignores unit and
     exclusions, and gives the newest rows first. Tiers that no request needs are not run.
+    products: a stored :func:`index` of ``prices``; without it, one is made.
     """
-    # the index is read once a tier, so it is stored; the plan counts words in it
-    stored = materialize(indexed(prices), "lookup-index")
-    plan = materialize(request_plan(requests, stored), "lookup-plan")
-    n = plan.count()
-    found = _candidates(plan, stored, n).filter(F.size(F.array_except("pinned", "name_tokens")) == 0)
+    products = materialize(index(prices), "lookup-index") if products is None else products
+    plan = materialize(request_plan(requests, products), "lookup-plan")
+    found = _matches(plan, products, plan.count())
     need = F.array_max(F.concat(F.array(F.lit(0)), F.transform("ordered", lambda w, i: F.when(F.array_contains("name_tokens", w), 0).otherwise(i + 1))))
-    found = found.withColumn("need", need).filter((F.col("need") == 0) | ((F.size("words") >= MIN_KEPT) & (F.size("words") - F.col("need") >= MIN_KEPT)))
-    in_category = F.size(F.array_except("asked_category", "category_tokens")) == 0
-    tier = F.when((F.size("asked_category") > 0) & in_category, 0).otherwise(1)
-    found = found.withColumn("tier", tier)
-    # the best level of each request first; only the rows at it are scored, so no candidate is stored
-    best = materialize(found.groupBy("request_id").agg(F.min(F.struct("tier", "need")).alias("best")), "lookup-best")
-    at_best = found.join(small_side(best, n), "request_id").filter((F.col("tier") == F.col("best.tier")) & (F.col("need") == F.col("best.need")))
-    out, answered = _ranked(at_best.withColumn("scored", F.lit(True))), best.select("request_id")
-    bare = _without_words(plan, stored)
+    tier = F.when((F.size("asked_category") > 0) & _all_in("asked_category", "category_tokens"), 0).otherwise(1)
+    found = found.withColumns({"need": need, "tier": tier})
+    bare = _without_words(plan, products)
     if bare is not None:
-        bare = materialize(_ranked(bare.withColumn("tier", tier)), "lookup-bare-found")
-        out, answered = out.unionByName(bare), answered.unionByName(bare.select("request_id").distinct())
-    raw = _by_raw_text(plan, stored, answered)
-    return out if raw is None else out.unionByName(_ranked(raw))
+        both = bare.withColumns({"need": F.lit(0), "tier": tier})
+        columns = ["request_id", "product_id", *PRODUCT, "tier", "need", "scored"]
+        found = found.select(*columns).unionByName(both.select(*columns))
+    found = _stored_matches(found)
+    out = _answers(found, plan, prices)
+    raw = _by_raw_text(plan, prices, found.select("request_id").distinct())
+    return out if raw is None else out.unionByName(_first(raw))
 
 
 def lookup_substring(requests: DataFrame, prices: DataFrame, k: int = 1) -> DataFrame:
     """The older lookup: the whole name as a substring, newest first."""
     asked = requests.select("request_id", F.col("region").alias("asked_region"), F.lower("material_name").alias("asked"))
-    found = contains_join(prices, F.lower("material_name"), asked, "asked", "request_id").filter(_in_region())
+    # names repeat; each is searched once
+    named = materialize(contains_join(prices.select(F.col("material_name").alias("name")).distinct(), F.lower("name"), asked, "asked", "request_id").select("name", "request_id", "asked_region"), "lookup-names")
+    found = prices.join(small_side(named, named.count()), F.col("material_name") == F.col("name")).filter(_in_region())
     order = Window.partitionBy("request_id").orderBy(F.desc_nulls_last("price_period"), F.desc("created_at"), "price_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("request_id", "rank", "price_id", "material_name")
 
@@ -199,8 +234,9 @@ def price_quality(prices: DataFrame) -> DataFrame:
 
 def price_spread(prices: DataFrame, phrases: DataFrame) -> DataFrame:
     """(phrase, n, least, most) over names that contain the phrase."""
-    found = contains_join(prices, F.lower("material_name"), phrases.select(F.col("phrase").alias("found"), F.lower("phrase").alias("needle")), "needle", "found")
-    spread = found.groupBy("found").agg(F.count("price_id").alias("n"), F.min("price_ex_vat").alias("least"), F.max("price_ex_vat").alias("most"))
+    names = prices.groupBy("material_name").agg(F.count("price_id").alias("n"), F.min("price_ex_vat").alias("least"), F.max("price_ex_vat").alias("most"))
+    found = contains_join(names, F.lower("material_name"), phrases.select(F.col("phrase").alias("found"), F.lower("phrase").alias("needle")), "needle", "found")
+    spread = found.groupBy("found").agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most"))
     return phrases.join(spread, F.col("phrase") == F.col("found"), "left").select("phrase", F.coalesce("n", F.lit(0)).alias("n"), "least", "most")
 
 

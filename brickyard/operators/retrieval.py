@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from brickyard.functions.joins import in_blocks, small_side
+from brickyard.functions.joins import contains_join, small_side
 from brickyard.functions.text import count_tokens
 
 DEFAULT_K, DEFAULT_THRESHOLD = 5, 0.5
@@ -110,8 +110,9 @@ def drop_documents(chunks: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def gold(chunks: DataFrame, cases: DataFrame) -> DataFrame:
-    """(query_id, chunk_id): chunks that contain the case's target."""
-    return in_blocks(chunks.select("chunk_id", "content"), cases, "query_id", F.contains(F.lower("content"), F.lower("target"))).select("query_id", "chunk_id")
+    """(query_id, chunk_id): chunks that contain the case's target, found by its rarest run of words."""
+    asked = cases.select("query_id", F.lower("target").alias("needle"))
+    return contains_join(chunks.select("chunk_id", "content"), F.lower("content"), asked, "needle", "query_id").select("query_id", "chunk_id")
 
 
 def eval_retrieval(queries: DataFrame, ranked: DataFrame, gold_pairs: DataFrame) -> DataFrame:
