@@ -47,6 +47,7 @@ def contains_join(rows: DataFrame, text: Column, asked: DataFrame, needle: str,
     sized = asked.withColumn("kind__", kind)
     kinds = {r.kind__: r for r in sized.groupBy("kind__").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(needle).cast("long")).alias("n_bytes")).collect()}
     out = None
+    # outer explodes: else a filter on the runs is put before them, which computes them again
     for one in ("triples", "words", "letters"):
         if one not in kinds:
             continue
@@ -55,11 +56,11 @@ def contains_join(rows: DataFrame, text: Column, asked: DataFrame, needle: str,
         runs = own.select(F.col(needle).alias("needle__")).distinct().withColumn("run__", F.explode(_runs(F.col("needle__"), one, INNER_WORDS)))
         known = runs.select("run__").distinct()
         known = F.broadcast(known) if 16 * kinds[one].n_bytes <= BROADCAST_BYTES else known
-        seen = rows.select(F.explode(_runs(F.col("text__"), one)).alias("run__")).join(known, "run__", "left_semi").groupBy("run__").agg(F.count(F.lit(1)).alias("n_rows"))
+        seen = rows.select(F.explode_outer(_runs(F.col("text__"), one)).alias("run__")).join(known, "run__", "left_semi").groupBy("run__").agg(F.count(F.lit(1)).alias("n_rows"))
         rarest = runs.join(seen, "run__", "left").groupBy("needle__").agg(F.min(F.struct(F.coalesce("n_rows", F.lit(0)).alias("n"), "run__")).alias("r")).filter("r.n > 0")
         picked = materialize(own.join(rarest, F.col(needle) == F.col("needle__")).withColumn("run__", F.col("r.run__")).drop("kind__", "needle__", "r"), "contains-needles")
         bytes_out = kinds[one].n_bytes + ROW_BYTES * kinds[one].n
-        hits = rows.withColumn("run__", F.explode(_runs(F.col("text__"), one))).join(F.broadcast(picked) if bytes_out <= BROADCAST_BYTES else picked, "run__")
+        hits = rows.withColumn("run__", F.explode_outer(_runs(F.col("text__"), one))).join(F.broadcast(picked) if bytes_out <= BROADCAST_BYTES else picked, "run__")
         hits = hits.filter(F.contains("text__", F.col(needle))).drop("run__", "text__")
         out = hits if out is None else out.unionByName(hits)
     if "short" in kinds:

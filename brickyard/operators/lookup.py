@@ -4,12 +4,14 @@ A request's words all have to occur as whole words in a product name. When no ro
 has them all, the most frequent words without a digit are dropped one at a time,
 keeping at least two words.
 
-Words are matched on an index of the distinct products (name, category, manufacturer,
-region, unit) with their folded tokens, not on price rows, which repeat a product by
+Words are matched on an index of the distinct products (name, category, unit, region)
+with their folded tokens, not on price rows, which repeat a product by manufacturer,
 period and document. Every request joins on one word that is never dropped (its
 anchor), so the work is an equi-join on inverted words, not requests times products; the
 other words that are never dropped are tested next, and only then the filters and the
-drop level. Prices are read once, for the products at the best level of a request.
+drop level. A request's manufacturers are found among the distinct ones. Of the products
+at a request's best level, all of which have a row, those with the k best name scores
+are joined with the prices.
 """
 
 from __future__ import annotations
@@ -27,14 +29,13 @@ MIN_KEPT = 2
 RAW_MIN_WORDS = 3
 
 
-PRODUCT = ["material_name", "material_category", "manufacturer", "region", "unit"]
+PRODUCT = ["material_name", "material_category", "region", "unit"]
 
 
 def index(prices: DataFrame) -> DataFrame:
-    """The distinct products: their columns, tokens, ``product_id`` and number of rows; store it to look up often."""
-    rows = prices.groupBy(*PRODUCT).agg(F.count(F.lit(1)).alias("n_rows"))
-    tokens = {f"{name}_tokens": name_tokens(F.col(c)) for name, c in (("name", "material_name"), ("category", "material_category"), ("maker", "manufacturer"))}
-    return rows.withColumns(tokens | {"product_id": F.xxhash64(*PRODUCT)})
+    """The distinct products: their columns, tokens, ``product_id``, number of rows and newest time; store it to look up often."""
+    rows = prices.groupBy(*PRODUCT).agg(F.count(F.lit(1)).alias("n_rows"), F.max(F.struct("price_period", "created_at")).alias("newest"))
+    return rows.withColumns({"name_tokens": name_tokens(F.col("material_name")), "category_tokens": name_tokens(F.col("material_category")), "product_id": F.xxhash64(*PRODUCT)})
 
 
 def word_frequency(prices: DataFrame) -> DataFrame:
@@ -82,11 +83,10 @@ def _all_in(words: str, tokens: str) -> Column:
 
 
 def _passes() -> Column:
-    """Region, unit, exclusion and maker filters."""
+    """Region, unit and exclusion filters."""
     lower = F.lower("material_name")
     keep = _in_region() & (F.col("asked_unit").isNull() | F.contains(F.lower("unit"), F.col("asked_unit")))
-    keep = keep & ~F.exists(F.coalesce("exclude", F.array().cast("array<string>")), lambda x: F.contains(lower, F.lower(x)))
-    return keep & _all_in("maker_words", "maker_tokens")
+    return keep & ~F.exists(F.coalesce("exclude", F.array().cast("array<string>")), lambda x: F.contains(lower, F.lower(x)))
 
 
 def _matches(plan: DataFrame, products: DataFrame, n_requests: int) -> DataFrame:
@@ -101,8 +101,40 @@ def _longest(words: Column) -> Column:
     return F.array_max(F.transform(words, lambda w, i: F.struct(F.length(w).alias("n"), (-i).alias("i"), w.alias("w"))))["w"]
 
 
-def _stored_matches(found: DataFrame) -> DataFrame:
-    return materialize(found.select("request_id", "product_id", *PRODUCT, "tier", "need", "scored"), "lookup-matches")
+MATCH = ["request_id", "product_id", *PRODUCT, "newest", "tier", "need", "scored"]
+
+
+def _same_product(other: str) -> Column:
+    """The prices' product is that of the columns with the prefix ``other``."""
+    same = F.xxhash64(*PRODUCT) == F.col("product_id")
+    for c in PRODUCT:
+        same = same & F.col(c).eqNullSafe(F.col(other + c))
+    return same
+
+
+def _makers(plan: DataFrame, prices: DataFrame) -> DataFrame | None:
+    """(request_id, only_maker, own_score): the manufacturers that hold all words of a request's; None if none asks for one."""
+    made = plan.filter(F.size("maker_words") > 0).select("request_id", "maker_words", _longest(F.col("maker_words")).alias("anchor"), trigrams(F.col("manufacturer")).alias("maker_grams"))
+    n = made.count()
+    if not n:
+        return None
+    makers = prices.select("manufacturer").distinct().withColumn("maker_tokens", name_tokens(F.col("manufacturer"))).withColumn("anchor", F.explode("maker_tokens"))
+    found = makers.join(small_side(made, n), "anchor").filter(_all_in("maker_words", "maker_tokens"))
+    return materialize(found.select("request_id", F.col("manufacturer").alias("only_maker"), trigram_similarity(trigrams(F.col("manufacturer")), F.col("maker_grams")).alias("own_score")), "lookup-makers")
+
+
+def _matched(found: DataFrame, plan: DataFrame, prices: DataFrame, makers: DataFrame | None) -> DataFrame:
+    """Stored matches; where a request names a maker, one for each maker that has a row of the product."""
+    free = found.select(*MATCH)
+    none = {"only_maker": F.lit(None).cast("string"), "own_score": F.lit(None).cast("double")}
+    if makers is None:
+        return materialize(free.withColumns(none), "lookup-matches")
+    made = plan.filter(F.size("maker_words") > 0).select("request_id")
+    free = free.join(small_side(made, plan.count()), "request_id", "left_anti").withColumns(none)
+    bound = found.join(small_side(makers, makers.count()), "request_id").select(*[c for c in MATCH if c not in PRODUCT], *[F.col(c).alias(f"of_{c}") for c in PRODUCT], "only_maker", "own_score")
+    bound = materialize(bound, "lookup-made")
+    rows = prices.select(*PRODUCT, "manufacturer").join(small_side(bound, bound.count()), _same_product("of_") & (F.col("manufacturer") == F.col("only_maker")))
+    return materialize(free.unionByName(rows.select(*free.columns).distinct()), "lookup-matches")
 
 
 def _first(rows: DataFrame) -> DataFrame:
@@ -117,15 +149,17 @@ def _answers(found: DataFrame, plan: DataFrame, prices: DataFrame) -> DataFrame:
     """Price rows of the products at the best level, scored by product: by name only where its words were matched."""
     best = found.groupBy("request_id").agg(F.min(F.struct("tier", "need")).alias("best"))
     grams = plan.select("request_id", "k", trigrams(F.col("material_name")).alias("asked_grams"), F.col("manufacturer").alias("asked_maker"), trigrams(F.col("manufacturer")).alias("maker_grams"))
-    at_best = found.join(best.join(grams, "request_id"), "request_id").filter((F.col("tier") == F.col("best.tier")) & (F.col("need") == F.col("best.need")))
+    at_best = found.join(small_side(best.join(grams, "request_id"), plan.count()), "request_id").filter((F.col("tier") == F.col("best.tier")) & (F.col("need") == F.col("best.need")))
     name = F.when(F.col("scored"), trigram_similarity(trigrams(F.col("material_name")), F.col("asked_grams")))
-    maker = F.when(F.col("asked_maker").isNull(), 0.0).otherwise(trigram_similarity(trigrams(F.col("manufacturer")), F.col("maker_grams")))
-    mine = [F.col(c).alias(f"of_{c}") for c in PRODUCT]
-    scored = materialize(at_best.select("request_id", "k", "product_id", "tier", "need", name.alias("name_score"), maker.alias("maker_score"), *mine), "lookup-scored")
-    same = F.lit(True)
-    for c in PRODUCT:
-        same = same & F.col(c).eqNullSafe(F.col(f"of_{c}"))
-    return _first(prices.withColumn("product_id", F.xxhash64(*PRODUCT)).join(small_side(scored, scored.count()), "product_id").filter(same))
+    # every match has a row, so those behind the k best by name and newest row, ties included, cannot count
+    newest = F.when(F.col("asked_maker").isNull(), F.col("newest"))
+    order = Window.partitionBy("request_id").orderBy(F.desc("name_score"), F.desc(newest))
+    by_name = at_best.withColumn("name_score", name).withColumn("before", F.rank().over(order)).filter(F.col("before") <= F.col("k"))
+    scored = by_name.select("request_id", "k", "product_id", "tier", "need", "name_score", "only_maker", "own_score", "asked_maker", "maker_grams", *[F.col(c).alias(f"of_{c}") for c in PRODUCT])
+    scored = materialize(scored, "lookup-scored")
+    rows = prices.join(small_side(scored, scored.count()), _same_product("of_")).filter(F.col("only_maker").isNull() | (F.col("manufacturer") == F.col("only_maker")))
+    maker = F.when(F.col("asked_maker").isNull(), 0.0).when(F.col("only_maker").isNotNull(), F.col("own_score")).otherwise(trigram_similarity(trigrams(F.col("manufacturer")), F.col("maker_grams")))
+    return _first(rows.withColumn("maker_score", maker))
 
 
 def lookup_exact(requests: DataFrame, prices: DataFrame, products: DataFrame | None = None) -> DataFrame:
@@ -134,22 +168,26 @@ def lookup_exact(requests: DataFrame, prices: DataFrame, products: DataFrame | N
     plan = materialize(request_plan(requests, products), "lookup-plan")
     found = _matches(plan, products, plan.count())
     every = _all_in("words", "name_tokens") & _all_in("asked_category", "category_tokens")
-    return _answers(_stored_matches(found.filter(every).withColumns({"tier": F.lit(0), "need": F.lit(0)})), plan, prices)
+    return _answers(_matched(found.filter(every).withColumns({"tier": F.lit(0), "need": F.lit(0)}), plan, prices, _makers(plan, prices)), plan, prices)
 
 
-def _without_words(plan: DataFrame, products: DataFrame) -> DataFrame | None:
-    """Requests without a usable name word: by the maker's words, by substring of the name, or both."""
+def _without_words(plan: DataFrame, products: DataFrame, prices: DataFrame, makers: DataFrame | None) -> DataFrame | None:
+    """Products of requests without a usable name word: by the maker's words, by substring of the name, or both."""
     bare = materialize(plan.filter(F.size("words") == 0), "lookup-bare")
     if bare.isEmpty():
         return None
     named = F.coalesce(F.col("asked_name"), F.lit("")) != ""
     inside = ~named | F.contains(F.lower("material_name"), F.lower("asked_name"))
-    made = _asked(bare).filter(F.size("maker_words") > 0).withColumn("anchor", _longest(F.col("maker_words")))
-    rows = products.withColumn("anchor", F.explode("maker_tokens")).join(small_side(made, made.count()), "anchor").filter(inside & _passes())
     plain = _asked(bare).filter((F.size("maker_words") == 0) & named)
-    if not plain.isEmpty():
-        needle = plain.drop("anchor").withColumn("needle", F.lower("asked_name"))
-        rows = rows.drop("anchor").unionByName(contains_join(products, F.lower("material_name"), needle, "needle", "request_id").drop("needle").filter(_passes()))
+    needle = plain.drop("anchor").withColumn("needle", F.lower("asked_name"))
+    rows = contains_join(products, F.lower("material_name"), needle, "needle", "request_id").drop("needle").filter(_passes())
+    if makers is not None:
+        # asked products of a maker: the products of its rows
+        asked = _asked(bare).join(makers, "request_id")
+        sold = prices.select(*PRODUCT, "manufacturer").join(small_side(asked, plan.count()), F.col("manufacturer") == F.col("only_maker")).filter(inside & _passes())
+        sold = sold.select("request_id", *PRODUCT, "asked_category").distinct().withColumn("product_id", F.xxhash64(*PRODUCT)).withColumns({"category_tokens": name_tokens(F.col("material_category")), "newest": F.lit(None).cast(products.schema["newest"].dataType)})
+        columns = ["request_id", "product_id", *PRODUCT, "newest", "asked_category", "category_tokens"]
+        rows = rows.select(*columns).unionByName(sold.select(*columns))
     return rows.withColumn("scored", F.lit(False))
 
 
@@ -162,7 +200,8 @@ def _by_raw_text(plan: DataFrame, prices: DataFrame, answered: DataFrame) -> Dat
     n = left.count()
     if not n:
         return None
-    texts = prices.withColumn("raw_tokens", name_tokens(F.col("raw_row_text"))).withColumn("anchor", F.explode("raw_tokens"))
+    # an outer explode: else a filter on the tokens is put before it, which computes them again
+    texts = prices.withColumn("raw_tokens", name_tokens(F.col("raw_row_text"))).withColumn("anchor", F.explode_outer("raw_tokens"))
     rows = texts.join(small_side(left, n), "anchor").filter(_in_region()).filter(_all_in("words", "raw_tokens"))
     return rows.withColumns({"tier": F.lit(2), "need": F.lit(0), "name_score": F.lit(None).cast("double"), "maker_score": F.lit(0.0)})
 
@@ -182,12 +221,11 @@ def lookup(requests: DataFrame, prices: DataFrame, products: DataFrame | None =
     need = F.array_max(F.concat(F.array(F.lit(0)), F.transform("ordered", lambda w, i: F.when(F.array_contains("name_tokens", w), 0).otherwise(i + 1))))
     tier = F.when((F.size("asked_category") > 0) & _all_in("asked_category", "category_tokens"), 0).otherwise(1)
     found = found.withColumns({"need": need, "tier": tier})
-    bare = _without_words(plan, products)
+    makers = _makers(plan, prices)
+    bare = _without_words(plan, products, prices, makers)
     if bare is not None:
-        both = bare.withColumns({"need": F.lit(0), "tier": tier})
-        columns = ["request_id", "product_id", *PRODUCT, "tier", "need", "scored"]
-        found = found.select(*columns).unionByName(both.select(*columns))
-    found = _stored_matches(found)
+        found = found.select(*MATCH).unionByName(bare.withColumns({"need": F.lit(0), "tier": tier}).select(*MATCH))
+    found = _matched(found, plan, prices, makers)
     out = _answers(found, plan, prices)
     raw = _by_raw_text(plan, prices, found.select("request_id").distinct())
     return out if raw is None else out.unionByName(_first(raw))
