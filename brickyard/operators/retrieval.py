@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from brickyard.functions.joins import contains_join, small_side
+from brickyard.functions.stored import materialize
 from brickyard.functions.text import count_tokens
 
 DEFAULT_K, DEFAULT_THRESHOLD = 5, 0.5
 REGION_K, REGION_THRESHOLD = 4, 0.4
-#: Queries that are broadcast at a time.
-QUERY_BLOCK = 4096
+#: Parts of a knowledge base, and multiples of k rows that are scored before a query's other parts.
+MOST_PARTS, NEAR_ROWS = 64, 8
+#: What rounding may take from a bound.
+SLACK = 1e-6
 
 
 def norm(v: Column) -> Column:
@@ -33,37 +36,99 @@ def with_norm(df: DataFrame) -> DataFrame:
     return df.withColumn("norm", norm(F.col("embedding")))
 
 
-def search(queries: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(query_id, rank, chunk_id, score): the k best chunks of a query's knowledge bases above its threshold.
+def partitioned(chunks: DataFrame, most: int = MOST_PARTS) -> DataFrame:
+    """``chunks`` with norm, part and angle: each goes to the nearest of its knowledge base's pivots; store it to search often.
 
-    queries: query_id, embedding, kb_ids, and optional regions (a chunk matches by
-    region or by having none), chunk_types, filters (map that metadata must hold), k,
-    threshold. Queries go out in bounded blocks and join on the knowledge base;
-    filters come before the ranking, and ranking keeps k rows a task before it shuffles.
+    Pivots are chunks by a hash of their id, about the square root of the base's size and
+    ``most`` at most; they decide what can be skipped, never what is found. ``center`` is
+    the pivot, and ``angle`` the chunk's distance from it.
     """
+    rows = (chunks if "norm" in chunks.columns else with_norm(chunks)).filter("norm > 0")
+    unit = F.transform("embedding", lambda x: x.cast("double") / F.col("norm"))
+    order = Window.partitionBy("kb_id").orderBy(F.xxhash64("chunk_id"))
+    first = rows.withColumn("number", F.row_number().over(order)).filter(F.col("number") <= most).select("kb_id", "number", unit.alias("center"))
+    n_rows = rows.groupBy("kb_id").agg(F.count(F.lit(1)).alias("n_rows"), F.max(F.size("embedding")).alias("size"))
+    wanted = (F.col("number") <= F.greatest(F.sqrt("n_rows"), F.lit(1))) & (F.size("center") == F.col("size"))
+    pivots = first.join(n_rows, "kb_id").filter(wanted).groupBy("kb_id").agg(F.sort_array(F.collect_list(F.struct("number", "center"))).alias("pivots"))
+    pivots = materialize(pivots, "search-pivots")
+    joined = rows.join(small_side(pivots, pivots.count() * most * 4), "kb_id", "left")
+    near = F.array_max(F.transform("pivots", lambda p: F.struct((dot(F.col("embedding"), p["center"]) / F.col("norm")).alias("cos"), (-p["number"]).alias("number"))))
+    placed = joined.withColumn("near", near).withColumn("part", F.coalesce(-F.col("near.number"), F.lit(0)))
+    angle = F.acos(F.least(F.greatest(F.coalesce("near.cos", F.lit(-1.0)), F.lit(-1.0)), F.lit(1.0)))
+    center = F.when(F.col("part") > 0, F.element_at("pivots", F.greatest(F.col("part"), F.lit(1)))["center"])
+    return placed.withColumns({"angle": angle, "center": center}).drop("pivots", "near")
+
+
+def _kept(columns: list[str]) -> Column:
+    """Region, type and metadata filters, as far as the chunks have the columns."""
+    keep = F.lit(True)
+    if "region" in columns:
+        keep = keep & ((F.size("regions") == 0) | F.col("region").isNull() | (F.col("region") == "") | F.array_contains("regions", F.col("region")))
+    if "chunk_type" in columns:
+        keep = keep & ((F.size("chunk_types") == 0) | F.array_contains("chunk_types", F.col("chunk_type")))
+    if "metadata" in columns:
+        keep = keep & F.forall(F.map_entries("filters"), lambda e: F.coalesce(F.try_element_at("metadata", e["key"]) == e["value"], F.lit(False)))
+    return keep
+
+
+def _asked(queries: DataFrame) -> DataFrame:
     q = queries
     for name, default in (("regions", F.array().cast("array<string>")), ("chunk_types", F.array().cast("array<string>")), ("filters", F.create_map().cast("map<string,string>")), ("k", F.lit(DEFAULT_K)), ("threshold", F.lit(DEFAULT_THRESHOLD))):
         if name not in q.columns:
             q = q.withColumn(name, default)
-    q = q.select("query_id", F.col("embedding").alias("q"), norm(F.col("embedding")).alias("qn"), F.explode(F.array_distinct("kb_ids")).alias("kb_id"), "regions", "chunk_types", "filters", "k", "threshold")
-    c = chunks if "norm" in chunks.columns else with_norm(chunks)
-    n_blocks = max(1, -(-q.count() // QUERY_BLOCK))
-    parts = None
-    for b in range(n_blocks):
-        own = q.filter(F.pmod(F.xxhash64("query_id", "kb_id"), F.lit(n_blocks)) == b)
-        some = c.join(F.broadcast(own), "kb_id")
-        keep = F.lit(True)
-        if "region" in chunks.columns:
-            keep = keep & ((F.size("regions") == 0) | F.col("region").isNull() | (F.col("region") == "") | F.array_contains("regions", F.col("region")))
-        if "chunk_type" in chunks.columns:
-            keep = keep & ((F.size("chunk_types") == 0) | F.array_contains("chunk_types", F.col("chunk_type")))
-        if "metadata" in chunks.columns:
-            keep = keep & F.forall(F.map_entries("filters"), lambda e: F.coalesce(F.try_element_at("metadata", e["key"]) == e["value"], F.lit(False)))
-        scored = some.filter(keep).withColumn("score", F.when(F.col("norm") * F.col("qn") > 0, dot(F.col("embedding"), F.col("q")) / (F.col("norm") * F.col("qn")))).filter("score >= threshold")
-        scored = scored.select("query_id", "chunk_id", "score", "k")
-        parts = scored if parts is None else parts.unionByName(scored)
+    return q.select("query_id", F.col("embedding").alias("q"), norm(F.col("embedding")).alias("qn"), F.explode(F.array_distinct("kb_ids")).alias("kb_id"), "regions", "chunk_types", "filters", "k", "threshold").filter("qn > 0")
+
+
+def ranges(queries: DataFrame, index: DataFrame) -> DataFrame:
+    """(query_id, kb_id, part, k, n_rows, bound, ahead): the parts that can hold a hit above the threshold.
+
+    ``bound`` is the best score that the triangle inequality on angles leaves to any
+    chunk of the part; ``ahead`` counts the rows of the query's parts with higher bounds.
+    """
+    parts = index.groupBy("kb_id", "part").agg(F.max("angle").alias("radius"), F.first("center").alias("center"), F.count(F.lit(1)).alias("n_rows"))
+    pairs = _asked(queries).join(parts, "kb_id")
+    cos = F.least(F.greatest(dot(F.col("q"), F.col("center")) / F.col("qn"), F.lit(-1.0)), F.lit(1.0))
+    bound = F.coalesce(F.cos(F.greatest(F.acos(cos) - F.col("radius"), F.lit(0.0))) + SLACK, F.lit(1.0 + SLACK))
+    inside = pairs.withColumn("bound", bound).filter("bound >= threshold").select("query_id", "kb_id", "part", "k", "n_rows", "bound")
+    order = Window.partitionBy("query_id").orderBy(F.desc("bound"), "kb_id", "part")
+    return inside.withColumn("ahead", F.sum("n_rows").over(order) - F.col("n_rows"))
+
+
+def _hits(asked: DataFrame, size: int, pairs: DataFrame, index: DataFrame) -> DataFrame:
+    own = asked.join(pairs.select("query_id", "kb_id", "part"), ["query_id", "kb_id"])
+    found = index.join(small_side(own, size), ["kb_id", "part"]).filter(_kept(index.columns))
+    scored = found.withColumn("score", dot(F.col("embedding"), F.col("q")) / (F.col("norm") * F.col("qn"))).filter("score >= threshold")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-    return parts.withColumn("rank", F.row_number().over(order)).filter("rank <= k").select("query_id", "rank", "chunk_id", "score")
+    return scored.select("query_id", "chunk_id", "score", "k").withColumn("rank", F.row_number().over(order)).filter("rank <= k")
+
+
+def search(queries: DataFrame, chunks: DataFrame, index: DataFrame | None = None) -> DataFrame:
+    """(query_id, rank, chunk_id, score): the k best chunks of a query's knowledge bases above its threshold.
+
+    queries: query_id, embedding, kb_ids, and optional regions (a chunk matches by
+    region or by having none), chunk_types, filters (map that metadata must hold), k,
+    threshold. A query joins the parts of ``index`` (a stored :func:`partitioned`, made
+    here without one): first those with the highest bounds, which hold a few times k
+    rows, then only those whose bound reaches the k-th score of the first. Filters come
+    before the ranking. It is one plan for any number of queries.
+    """
+    index = materialize(partitioned(chunks), "search-index") if index is None else index
+    asked = _asked(queries)
+    n = asked.count() * MOST_PARTS
+    pairs = ranges(queries, index)
+    first = F.col("ahead") < NEAR_ROWS * F.col("k")
+    near = _hits(asked, n, pairs.filter(first), index)
+    reached = near.filter("rank = k").select("query_id", F.col("score").alias("least"))
+    far = pairs.filter(~first).join(reached, "query_id", "left").filter(F.col("least").isNull() | (F.col("bound") >= F.col("least")))
+    every = near.drop("rank").unionByName(_hits(asked, n, far, index).drop("rank"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
+    return every.withColumn("rank", F.row_number().over(order)).filter("rank <= k").select("query_id", "rank", "chunk_id", "score")
+
+
+def rows_scored(queries: DataFrame, index: DataFrame) -> DataFrame:
+    """(n_scored, n_rows): rows that a search scores at most, after thresholds, and rows of the queries' bases."""
+    every = _asked(queries).select("query_id", "kb_id").join(index.groupBy("kb_id").agg(F.count(F.lit(1)).alias("n_rows")), "kb_id").agg(F.sum("n_rows").alias("n_rows"))
+    return ranges(queries, index).agg(F.coalesce(F.sum("n_rows"), F.lit(0)).alias("n_scored")).join(F.broadcast(every))
 
 
 def search_regions(queries: DataFrame, chunks: DataFrame) -> DataFrame:
