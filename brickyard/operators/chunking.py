@@ -1,17 +1,23 @@
 """Sections, token-bounded chunks, table rendering and chunk context.
 
-Folds run over one document's run of sections, held as an array in one row; runs
-end at tables and headings, so an array is as long as a run, never a corpus.
+Merging streams through a document's sections in order. The other folds run over the
+parts of one table or text, held as an array in one row.
 """
 
 from __future__ import annotations
 
+import math
+import re
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from brickyard.functions.text import count_tokens, strip
+from brickyard.functions.text import TOKEN, count_tokens, strip
 
 CHUNK_TOKENS, OVERLAP_PERCENT, CONTEXT_TOKENS, MAX_EMBED_TOKENS = 512, 15, 128, 8000
 # The marker that names a section's chunk.
@@ -50,44 +56,75 @@ def section_runs(sections: DataFrame, key: str = "chunk_id") -> DataFrame:
     return sections.withColumn("changed", changed).withColumn("run", F.sum("changed").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("changed")
 
 
-def merged(sections: Column, budget: int = CHUNK_TOKENS, overlap_percent: int = OVERLAP_PERCENT) -> Column:
-    """Greedy merge of an array of sections: array<struct<text, origin>>.
+#: The token and white-space rules of ``functions.text`` for Python.
+_TOKEN = re.compile(TOKEN, re.ASCII)
+_ENDS = re.compile("^[ \\t\\n\\x0b\\f\\r]+|[ \\t\\n\\x0b\\f\\r]+(?=[\\x85\\u2028\\u2029]?\\Z)")
 
-    A chunk closes once its running count is above the budget less the overlap; the
-    next starts with the last part of its characters. Blank chunks are dropped.
-    """
-    limit = budget * (100 - overlap_percent) / 100.0
-    keep = (100 - overlap_percent) / 100.0
-    start = F.struct(F.array().cast("array<struct<text:string,origin:int>>").alias("done"), F.lit("").alias("text"), F.lit(0).alias("n"), F.lit(0).alias("origin"), F.lit(0).alias("i"))
-
-    def step(acc: Column, sec: Column) -> Column:
-        piece = F.concat(F.lit("\n"), sec)
-        fresh = (acc["text"] == "") | (acc["n"] > limit)
-        tail = F.substr(acc["text"], F.floor(F.length(acc["text"]) * keep).cast("int") + 1)
-        opened = F.concat(tail, piece)
-        return F.struct(
-            F.when(fresh & (acc["text"] != ""), F.concat(acc["done"], F.array(F.struct(acc["text"].alias("text"), acc["origin"].alias("origin"))))).otherwise(acc["done"]).alias("done"),
-            F.when(fresh, opened).otherwise(F.concat(acc["text"], piece)).alias("text"),
-            F.when(fresh, count_tokens(opened)).otherwise(acc["n"] + count_tokens(piece)).alias("n"),
-            F.when(fresh, acc["i"]).otherwise(acc["origin"]).alias("origin"),
-            (acc["i"] + 1).alias("i"),
-        )
-
-    def close(acc: Column) -> Column:
-        every = F.concat(acc["done"], F.array(F.struct(acc["text"].alias("text"), acc["origin"].alias("origin"))))
-        clean = F.transform(every, lambda c: F.struct(strip(c["text"]).alias("text"), c["origin"].alias("origin")))
-        return F.filter(clean, lambda c: c["text"] != "")
-
-    return F.aggregate(sections, start, step, close)
+
+class _Merge:
+    """The open chunk of one run of sections."""
+
+    def __init__(self, budget: int, overlap_percent: int) -> None:
+        self.limit, self.keep = budget * (100 - overlap_percent) / 100.0, (100 - overlap_percent) / 100.0
+        self.parts, self.n, self.origin, self.seen, self.closed = [], 0, 0, 0, 0
+
+    def add(self, section: str) -> tuple[int, str, int] | None:
+        """The chunk that ``section`` closes, if it does and is not blank."""
+        piece, done = "\n" + section, None
+        if not self.parts or self.n > self.limit:
+            text = "".join(self.parts)
+            done = self.close() if text else None
+            opened = text[math.floor(len(text) * self.keep) :] + piece
+            self.parts, self.n, self.origin = [opened], len(_TOKEN.findall(opened)), self.seen
+        else:
+            self.parts.append(piece)
+            self.n += len(_TOKEN.findall(piece))
+        self.seen += 1
+        return done
+
+    def close(self) -> tuple[int, str, int] | None:
+        text = _ENDS.sub("", "".join(self.parts))
+        if not text:
+            return None
+        self.closed += 1
+        return self.closed - 1, text, self.origin
 
 
 def merge_sections(sections: DataFrame, budget: int = CHUNK_TOKENS, overlap_percent: int = OVERLAP_PERCENT, run: str | None = None) -> DataFrame:
-    """(doc_id[, run], chunk_no, content, origin, token_count) over each document, or each of its runs."""
+    """(doc_id[, run], chunk_no, content, origin, token_count) over each document, or each of its runs.
+
+    A chunk closes once its running count is above the budget less the overlap; the
+    next starts with the last part of its characters. Blank chunks are dropped. Each
+    chunk depends on the one before it, so a document's sections stream in order
+    through one task, which holds the open chunk only, not the document.
+    """
     keys = ["doc_id"] + ([run] if run else [])
-    ordered = F.transform(F.sort_array(F.collect_list(F.struct("pos", "section"))), lambda x: x["section"])
-    grouped = sections.groupBy(*keys).agg(ordered.alias("sections"))
-    chunks = grouped.select(*keys, F.posexplode(merged(F.col("sections"), budget, overlap_percent)).alias("chunk_no", "c"))
-    return chunks.select(*keys, "chunk_no", F.col("c.text").alias("content"), F.col("c.origin").alias("origin"), count_tokens(F.col("c.text")).alias("token_count"))
+    kinds = [T.StructField(k, sections.schema[k].dataType) for k in keys]
+    schema = T.StructType([*kinds, T.StructField("chunk_no", T.IntegerType()), T.StructField("text", T.StringType()), T.StructField("origin", T.IntegerType())])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, fold, types = None, None, None
+        for batch in batches:
+            types = [batch.schema.field(k).type for k in keys] + [pa.int32(), pa.string(), pa.int32()]
+            out = []
+            for *own, section in zip(*[batch[c].to_pylist() for c in (*keys, "section")], strict=True):
+                if fold is None or own != key:
+                    last = fold.close() if fold else None
+                    if last:
+                        out.append((*key, *last))
+                    key, fold = own, _Merge(budget, overlap_percent)
+                done = fold.add(section or "")
+                if done:
+                    out.append((*key, *done))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=schema.names)
+        last = fold.close() if fold else None
+        if last:
+            yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip((*key, *last), types, strict=True)], names=schema.names)
+
+    order = [*keys, "pos", "section"]
+    chunks = sections.select(*order).repartition(*keys).sortWithinPartitions(*order).mapInArrow(merge, schema)
+    return chunks.select(*keys, "chunk_no", F.col("text").alias("content"), "origin", count_tokens(F.col("text")).alias("token_count"))
 
 
 def reading_order(items: DataFrame) -> DataFrame:

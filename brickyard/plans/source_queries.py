@@ -34,6 +34,22 @@ register("read_documents", text_files, "SELECT 'txt' AS ext, sum(length(text) +
 register("decode_text", lambda s, d: A.table(s, d, "documents").select("doc_id", S.decode_text(F.concat(F.col("text").cast("binary"), F.unhex(F.lit("FF")), F.lit(" end").cast("binary"))).alias("text")), "SELECT doc_id, text || chr(65533) || ' end' AS text FROM documents")
 
 
+def mixed_files(s, d):
+    """Documents by id in a text, a Markdown, an HTML and an unknown file, and all of them in one that is too long."""
+    path, docs = folder(s, "mixed-files"), A.table(s, d, "documents").select("doc_id", F.translate("text", "\r\n", "  ").alias("value"))
+    for part, ext in enumerate(("txt", "md", "html", "bin", "txt")):
+        own = docs if part == 4 else docs.filter(F.col("doc_id") % 4 == part)
+        own.select("value").coalesce(1).write.text(f"{path}/{part}")
+        S.rename_files(s, f"{path}/{part}", ext)
+    limit = docs.agg(F.sum(F.octet_length("value"))).first()[0] // 2
+    read, rejects = S.read_documents(s, path, limit)
+    rows = read.groupBy("ext").agg(F.lit("read").alias("what"), F.count(F.lit(1)).alias("n_files"), F.sum(F.length("text")).alias("n_chars"))
+    return rows.unionByName(rejects.groupBy("ext", F.regexp_replace("reason", "[0-9]+", "n").alias("what")).agg(F.count(F.lit(1)).alias("n_files"), F.sum(F.lit(0)).cast("long").alias("n_chars")))
+
+
+register("read_rejects", mixed_files, "SELECT ['txt', 'md', 'html', 'bin'][doc_id % 4 + 1] AS ext, CASE WHEN doc_id % 4 = 3 THEN 'unsupported extension: bin' ELSE 'read' END AS what, 1::BIGINT AS n_files, CASE WHEN doc_id % 4 = 3 THEN 0 ELSE sum(length(text) + 1)::BIGINT END AS n_chars FROM documents GROUP BY doc_id % 4 UNION ALL SELECT 'txt', 'file over n bytes', 1, 0")
+
+
 def job_rows(s, d):
     """A job per document: odd ones go to a price base, every tenth has a broken body, every third a region."""
     docs = A.table(s, d, "documents")

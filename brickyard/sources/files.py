@@ -17,13 +17,26 @@ def decode_text(content: Column) -> Column:
     return F.make_valid_utf8(content.cast("string"))
 
 
-def read_documents(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(documents, rejects): files of a known extension decoded, the others with a reason."""
+def read_documents(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES) -> tuple[DataFrame, DataFrame]:
+    """(documents, rejects): files of a known extension and size decoded, the others with a reason.
+
+    The length is a filter of the reader, so what is too long is never read.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     named = files.withColumn("filename", F.element_at(F.split("path", "/"), -1)).withColumn("ext", F.lower(F.regexp_extract("filename", r"\.([^.]+)$", 1)))
-    known = F.col("ext").isin(*TEXT_TYPES)
-    docs = named.filter(known).select(F.md5(F.col("path").cast("binary")).alias("doc_id"), "filename", "ext", decode_text(F.col("content")).alias("text"))
-    return docs, named.filter(~known).select("filename", "ext", F.concat(F.lit("unsupported extension: "), "ext").alias("reason"))
+    known, fits = F.col("ext").isin(*TEXT_TYPES), F.col("length") <= max_bytes
+    docs = named.filter(fits).filter(known).select(F.md5(F.col("path").cast("binary")).alias("doc_id"), "filename", "ext", decode_text(F.col("content")).alias("text"))
+    reason = F.when(~known, F.concat(F.lit("unsupported extension: "), "ext")).when(~fits, F.lit(f"file over {max_bytes} bytes"))
+    return docs, named.drop("content").withColumn("reason", reason).filter("reason IS NOT NULL").select("filename", "ext", "reason")
+
+
+def rename_files(spark: SparkSession, path: str, ext: str) -> None:
+    """Gives the part files of a folder another extension."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    for name in [s.getPath().getName() for s in fs.listStatus(folder)]:
+        if name.startswith("part-"):
+            fs.rename(spark._jvm.org.apache.hadoop.fs.Path(folder, name), spark._jvm.org.apache.hadoop.fs.Path(folder, f"{name.split('.')[0]}.{ext}"))
 
 
 def read_jobs(spark: SparkSession, path: str, stream: bool = True, per_trigger: int = 4) -> DataFrame:

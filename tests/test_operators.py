@@ -2,6 +2,7 @@
 
 import base64
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -41,6 +42,28 @@ def test_merge_sections_overlap(spark):
     assert got[1].content.startswith(tail.strip()) or tail in got[1].content
 
 
+def test_merge_streams_through_runs(spark):
+    rows = [(d, r, p, text) for d in (1, 2, None) for r in (0, 1) for p, text in enumerate(["one two", " ", None, "three four five", "six"])] + [(3, 0, 0, " ")]
+    got = chunking.merge_sections(spark.createDataFrame(rows, "doc_id long, run int, pos int, section string"), 4, 50, run="run")
+    by = {}
+    for r in got.orderBy("chunk_no").collect():
+        by.setdefault((r.doc_id, r.run), []).append((r.chunk_no, r.content, r.origin, r.token_count))
+    # above 2 tokens a chunk closes; the next starts with the last half of its characters
+    want = [(0, "one two\n \n\nthree four five", 0, 5), (1, "hree four five\nsix", 4, 4)]
+    assert by == {(d, r): want for d in (1, 2, None) for r in (0, 1)}
+
+
+def test_merge_is_linear():
+    took = {}
+    for n in (10_000, 40_000):
+        began = time.process_time()
+        fold = chunking._Merge(8, 0)
+        closed = [c for c in (fold.add("some words in a section of nine words here") for _ in range(n)) if c]
+        took[n] = time.process_time() - began
+        assert len(closed) == n - 1 and [c[2] for c in closed] == list(range(n - 1))
+    assert took[40_000] < 10 * took[10_000]
+
+
 def test_markdown_sections(spark):
     text = "intro\n# One\n<!-- chunk_id: a -->\nbody\n## Two\nmore\n# Three\n<!-- chunk_id: b -->\nend"
     tagged = chunking.section_runs(chunking.tag_sections(chunking.split_headings(spark.createDataFrame([(1, text)], "doc_id long, text string"))))
@@ -194,6 +217,11 @@ def test_sources(spark, tmp_path):
     (tmp_path / "in" / "b.bin").write_bytes(b"x")
     docs, rejects = files.read_documents(spark, str(tmp_path / "in"))
     assert docs.first().text == b"ok \xff end".decode(errors="replace") and rejects.first().filename == "b.bin"
+    (tmp_path / "in" / "long.html").write_bytes(b"x" * 100)
+    docs, rejects = files.read_documents(spark, str(tmp_path / "in"), 50)
+    assert [r.filename for r in docs.collect()] == ["a.md"]
+    assert {r.filename: r.reason for r in rejects.collect()} == {"b.bin": "unsupported extension: bin", "long.html": "file over 50 bytes"}
+    assert "LessThanOrEqual(length,50)" in docs._jdf.queryExecution().executedPlan().toString()
     dump = tmp_path / "dump.json"
     dump.write_text(json.dumps([{"type": "text", "content": "c", "above": "", "below": ""}]))
     assert files.read_chunk_dump(spark, str(dump)).first().content == "c"
