@@ -43,7 +43,7 @@ def test_imports_without_llm(tmp_path, files):
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PYTHONPATH": str(tmp_path), "PATH": "/usr/bin:/bin"})
 
 
-@pytest.mark.parametrize("name", ["lookup_tiers", "lookup_wordless", "lookup_substring", "add_table_context", "assemble_items", "split_oversized", "ingest_prices", "job_stream", "cost_pick", "resolve_tables", "route_messages", "duplicate_docs", "merge_sections", "extract_prices", "search_topk", "takeoff_concrete", "cost_totals", "usage_daily", "pack_sources", "fill_merged", "eval_retrieval"])
+@pytest.mark.parametrize("name", ["lookup_tiers", "lookup_wordless", "lookup_substring", "add_table_context", "assemble_items", "split_oversized", "ingest_prices", "job_stream", "job_redelivery", "status_stream", "status_history", "rewrite_chunks", "rewrite_prices", "read_rejects", "gold_contains", "search_regions", "cost_pick", "resolve_tables", "route_messages", "duplicate_docs", "merge_sections", "extract_prices", "search_topk", "takeoff_concrete", "cost_totals", "usage_daily", "pack_sources", "fill_merged", "eval_retrieval"])
 def test_oracle(spark, duck, name):
     df = entry.queries()[name](spark, SF)
     cols = sorted(df.columns)
