@@ -11,6 +11,8 @@ from brickyard.functions.joins import small_side
 
 # Latency bucket bounds in seconds.
 BOUNDS = [0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0]
+#: Items that a sketch keeps a level, and the error of its ranks.
+SKETCH_SIZE, RANK_ERROR = 200, 0.0165
 DAYS, TOP_MODELS = 14, 6
 
 
@@ -88,6 +90,23 @@ def histogram_quantile(buckets: DataFrame, keys: list[str], q: float) -> DataFra
     return hit.select(*keys, F.when(F.col("le") == float("inf"), F.col("lo")).otherwise(F.coalesce(inside, F.col("lo"))).alias("quantile"))
 
 
+def quantile_sketches(df: DataFrame, keys: list[str], value: str = "seconds") -> DataFrame:
+    """(keys, sketch): a mergeable KLL sketch of the values, of bounded size whatever their number.
+
+    A rank read from it is off by RANK_ERROR of all values at most, but for about one in
+    a hundred; sketches are drawn at random, so two of the same values may differ by that.
+    """
+    return df.groupBy(*keys).agg(F.kll_sketch_agg_double(F.col(value).cast("double"), SKETCH_SIZE).alias("sketch"))
+
+
+def sketch_quantiles(sketches: DataFrame, keys: list[str], qs: list[float]) -> DataFrame:
+    """(keys, q, n, quantile) of all sketches of a key merged."""
+    one = sketches.filter(F.col("sketch").isNotNull()).groupBy(*keys).agg(F.kll_merge_agg_double("sketch").alias("sketch"))
+    read = [F.struct(F.lit(q).alias("q"), F.kll_sketch_get_quantile_double("sketch", F.lit(q)).alias("quantile")) for q in qs]
+    each = one.withColumn("n", F.kll_sketch_get_n_double("sketch")).filter("n > 0").withColumn("r", F.explode_outer(F.array(*read)))
+    return each.select(*keys, "r.q", "n", "r.quantile")
+
+
 def rate_per_minute(df: DataFrame, keys: list[str], width: str = "1 minute") -> DataFrame:
     """(keys, start, n): events per tumbling window; works on a stream with a watermark."""
     counted = df.groupBy(F.window("ts", width).alias("w"), *keys).agg(F.count(F.lit(1)).alias("n"))

@@ -35,6 +35,18 @@ HIST = "bd AS (SELECT unnest([0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0, 'inf'::
 register("histogram", lambda s, d: U.histogram(latencies(s, d), ["event_type"]).withColumn("le", F.col("le").cast("string")), f"WITH {HIST} SELECT event_type, CASE WHEN isinf(le) THEN 'Infinity' ELSE le::VARCHAR END AS le, n FROM hg")
 register("histogram_quantile", lambda s, d: U.histogram_quantile(U.histogram(latencies(s, d), ["event_type"]), ["event_type"], 0.95).withColumn("quantile", F.round("quantile", 6)), f"""WITH {HIST}, b AS (SELECT *, coalesce(lag(n) OVER w, 0) AS below, coalesce(lag(le) OVER w, 0) AS lo, max(n) OVER (PARTITION BY event_type) * 0.95::DOUBLE AS target FROM hg WINDOW w AS (PARTITION BY event_type ORDER BY le))
 SELECT event_type, round(CASE WHEN isinf(le) THEN lo ELSE lo + (le - lo) * (target - below) / (n - below) END, 6) AS quantile FROM b WHERE n >= target QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY le) = 1""")
+
+
+def sketched(s, d):
+    """Quantiles of sketches merged over the hours, and whether their true rank is within three times the stated error."""
+    seen = latencies(s, d).withColumn("hour", F.date_trunc("hour", "ts"))
+    found = U.sketch_quantiles(U.quantile_sketches(seen, ["event_type", "hour"]), ["event_type"], [0.5, 0.95, 0.99])
+    below = seen.join(F.broadcast(found), "event_type").groupBy("event_type", "q", "n").agg(F.avg((F.col("seconds") < F.col("quantile")).cast("int")).alias("low"), F.avg((F.col("seconds") <= F.col("quantile")).cast("int")).alias("high"))
+    error = 3 * U.RANK_ERROR
+    return below.select("event_type", "q", "n", ((F.col("low") <= F.col("q") + error) & (F.col("high") >= F.col("q") - error)).alias("within"))
+
+
+register("quantile_sketches", sketched, "SELECT event_type, q::DOUBLE AS q, count(*) AS n, true AS within FROM events, (SELECT unnest([0.5, 0.95, 0.99]) AS q) GROUP BY ALL")
 register("rate_per_minute", lambda s, d: U.rate_per_minute(A.table(s, d, "events"), ["event_type"]).withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm")), "SELECT event_type, strftime(date_trunc('minute', ts), '%Y-%m-%d %H:%M') AS start, count(*) AS n FROM events GROUP BY ALL")
 register("latency_percentile", lambda s, d: latencies(s, d).groupBy("event_type").agg(F.round(F.percentile("seconds", F.lit(0.95)), 6).alias("p95")), "SELECT event_type, round(quantile_cont(value / 10, 0.95), 6) AS p95 FROM events GROUP BY 1")
 register("ingest_stats", lambda s, d: U.ingest_stats(A.table(s, d, "documents").select((F.col("doc_id") % 9).alias("chunk_count"), (F.col("n_chars") % 60).alias("seconds"))), "SELECT sum(doc_id % 9)::BIGINT AS chunks, count(*) AS docs, sum(n_chars % 60)::BIGINT AS seconds FROM documents")

@@ -76,3 +76,9 @@ def live_buckets(events: DataFrame, keys: list[str], width: str = "5 minutes", s
     wide = _timed(events).groupBy(F.window("ts", width, slide).alias("w"), *keys).agg(*counts, F.count("seconds").alias("every"))
     rows = F.array(*[F.struct(F.lit(b).alias("le"), F.col(f"b{i}").alias("n")) for i, b in enumerate(bounds)], F.struct(F.lit(float("inf")).alias("le"), F.col("every").alias("n")))
     return wide.select(*keys, F.col("w.start").alias("start"), F.explode(rows).alias("r")).select(*keys, "start", "r.*")
+
+
+def live_sketches(events: DataFrame, keys: list[str], width: str = "5 minutes", slide: str = "1 minute") -> DataFrame:
+    """Quantile sketches over sliding windows: (keys, start, sketch), for ``usage.sketch_quantiles``."""
+    found = usage.quantile_sketches(_timed(events).withColumn("w", F.window("ts", width, slide)), [*keys, "w"])
+    return found.select(*keys, F.col("w.start").alias("start"), "sketch")

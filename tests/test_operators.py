@@ -257,6 +257,18 @@ def test_stream_equals_batch(spark, tmp_path):
         assert sorted(map(str, spark.table(name).collect())) == sorted(map(str, batch.collect()))
 
 
+def test_sketches_of_a_stream(spark, tmp_path):
+    events = spark.range(60_000).select(F.lit("a").alias("kind"), F.pmod(F.xxhash64("id"), F.lit(10_000)).cast("double").alias("seconds"), F.timestamp_seconds(1704067200 + F.col("id") / 20).alias("ts"))
+    events.coalesce(2).write.parquet(str(tmp_path / "events"))
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "events"))
+    live = jobs.live_sketches(stream, ["kind"], "10 minutes", "10 minutes")
+    live.writeStream.format("memory").queryName("sketches").outputMode("complete").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    assert spark.table("sketches").count() == 5
+    for sketches in (spark.table("sketches"), usage.quantile_sketches(events, ["kind"])):
+        got = {r.q: (r.n, r.quantile) for r in usage.sketch_quantiles(sketches, ["kind"], [0.5, 0.99]).collect()}
+        assert all(n == 60_000 and abs(v / 10_000 - q) < 3 * usage.RANK_ERROR for q, (n, v) in got.items()) and len(got) == 2
+
+
 def test_status_stream_drops_repeats(spark, tmp_path):
     rows = spark.sql("SELECT 'd' AS doc_id, 0 AS stage, 'pending' AS status, timestamp'2024-01-01' AS at UNION ALL SELECT 'd', 0, 'pending', timestamp'2024-01-01'")
     rows.write.parquet(str(tmp_path / "s"))
