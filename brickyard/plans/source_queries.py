@@ -97,13 +97,13 @@ register("job_stream", streamed, f"SELECT status, count(*) AS n FROM ({STATUS_RO
 
 
 def redelivered(s, d):
-    """Every job in two or three files, each file a batch, twice with one checkpoint and once more with another."""
+    """Every job in two or three files, each file a batch, twice with one checkpoint and once more, in one batch, with another."""
     source, out = folder(s, "job-files"), folder(s, "job-once")
     jobs_once = job_rows(s, d)
     for part in range(3):
         jobs_once.filter(F.col("job_id").cast("long") % 5 != part).coalesce(1).write.mode("append").json(source)
-    for checkpoint in ("a", "a", "b"):
-        deliver(s, source, out, f"{out}-checkpoint-{checkpoint}", 1)
+    for checkpoint, per_trigger in (("a", 1), ("a", 1), ("b", 3)):
+        deliver(s, source, out, f"{out}-checkpoint-{checkpoint}", per_trigger)
     n = lambda name: commits.read(s, out, name).groupBy("doc_id").agg(F.count(F.lit(1)).alias(f"n_{name}"))
     rows = n("status")
     for name in ("chunks", "prices", "warnings"):
