@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from brickyard.functions.stored import materialize
 from brickyard.functions.text import TOKEN, count_tokens, strip
 
 CHUNK_TOKENS, OVERLAP_PERCENT, CONTEXT_TOKENS, MAX_EMBED_TOKENS = 512, 15, 128, 8000
@@ -183,18 +184,32 @@ def add_table_context(chunks: DataFrame, budget: int = CONTEXT_TOKENS) -> DataFr
 
     A text is wanted while the texts between it and the table have less than ``budget``
     tokens, so each side is a range of the document's running token count, however
-    many chunks lie in it. At most ``budget`` texts with a token are in a range.
+    many chunks lie in it. Tables join the texts of their ranges by document and by
+    steps of ``budget`` tokens, of which a range touches two at most; only they hold
+    arrays, of at most ``budget`` texts with a token each. The chunks are stored once,
+    as texts, tables and result each read them.
     """
-    own = Window.partitionBy("doc_id")
-    is_text, table = F.col("chunk_type") == "text", F.col("chunk_type") == "table"
+    chunks = materialize(chunks, "context-chunks")
+    reach = max(budget, 1)
+    is_text, is_table = F.col("chunk_type") == "text", F.col("chunk_type") == "table"
     n = F.when(is_text, count_tokens(F.col("content"))).otherwise(0)
-    text = F.when(is_text & F.col("content").isNotNull(), F.struct(F.col("place"), F.col("content")))
-    out = chunks.withColumn("n", n).withColumn("last", F.sum("n").over(own.orderBy("place"))).withColumn("first", F.col("last") - F.col("n"))
-    out = out.withColumn("a", F.collect_list(text).over(own.orderBy("last").rangeBetween(min(1 - budget, 0), 0)))
-    out = out.withColumn("b", F.collect_list(text).over(own.orderBy("first").rangeBetween(0, max(budget - 1, 0))))
-    nearby = lambda c, wanted: F.transform(F.array_sort(F.filter(c, wanted)), lambda x: x["content"])
-    out = out.withColumn("a", nearby("a", lambda x: x["place"] < F.col("place"))).withColumn("b", nearby("b", lambda x: x["place"] > F.col("place"))).drop("n", "last", "first")
-    return out.withColumn("context_above", F.when(table, _take(F.reverse("a"), budget, True)).otherwise("")).withColumn("context_below", F.when(table, _take(F.col("b"), budget, False)).otherwise("")).drop("a", "b")
+    order = Window.partitionBy("doc_id").orderBy("place")
+    sized = chunks.select("doc_id", "place", "chunk_type", "content", n.alias("n")).withColumn("upto", F.sum("n").over(order))
+    step = lambda c: F.floor(c / reach)
+    ends = F.array(F.struct(F.lit(True).alias("above"), F.col("upto").alias("end")), F.struct(F.lit(False).alias("above"), (F.col("upto") - F.col("n")).alias("end")))
+    texts = sized.filter(is_text & (F.col("content") != "")).select("doc_id", F.col("place").alias("at"), "content", F.inline(ends)).withColumn("step", step(F.col("end")))
+    sides = F.array(*[F.struct(F.lit(above).alias("above"), (F.col("upto") + low).alias("low"), (F.col("upto") + low + reach - 1).alias("high")) for above, low in ((True, 1 - reach), (False, 0))])
+    tables = sized.filter(is_table).select("doc_id", "place", "upto").distinct().select("doc_id", "place", F.inline(sides))
+    tables = tables.withColumn("step", F.explode(F.array_distinct(F.array(step(F.col("low")), step(F.col("high"))))))
+    nearer = F.when(F.col("t.above"), F.col("x.at") < F.col("t.place")).otherwise(F.col("x.at") > F.col("t.place"))
+    same = F.col("t.doc_id").eqNullSafe(F.col("x.doc_id")) & (F.col("t.above") == F.col("x.above")) & (F.col("t.step") == F.col("x.step"))
+    near = tables.alias("t").join(texts.alias("x"), same & F.col("x.end").between(F.col("t.low"), F.col("t.high")) & nearer)
+    text = F.struct(F.col("x.at"), F.col("x.content"))
+    lists = [F.array_sort(F.collect_list(F.when(c, text))).alias(name) for name, c in (("a", F.col("t.above")), ("b", ~F.col("t.above")))]
+    held = near.groupBy(F.col("t.doc_id").alias("of_doc"), F.col("t.place").alias("of_place")).agg(*lists)
+    context = held.select("of_doc", "of_place", _take(F.reverse(F.col("a.content")), budget, True).alias("above"), _take(F.col("b.content"), budget, False).alias("below"))
+    out = chunks.drop("context_above", "context_below").alias("c").join(context.alias("k"), F.col("c.doc_id").eqNullSafe(F.col("k.of_doc")) & (F.col("c.place") == F.col("k.of_place")) & (F.col("c.chunk_type") == "table"), "left")
+    return out.select("c.*", F.coalesce("k.above", F.lit("")).alias("context_above"), F.coalesce("k.below", F.lit("")).alias("context_below"))
 
 
 def full_content() -> Column:
