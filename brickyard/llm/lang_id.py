@@ -10,11 +10,11 @@ floor, which is all that an unseen one has, is the same in every language, so a
 with little training text gains nothing from what it has never held, and ``SHRINK`` keeps
 its few words from weighing more than the words of a large one.
 
-The model is fitted on a bounded sample of labelled rows: the ``max_languages`` most
-frequent labels, and of each an equal part of ``train_docs`` distinct texts, about,
-by a hash threshold on the text, so that null or repeated ids and copies do not
-swell it. All words and n-grams of the sample are kept; what is broadcast grows with
-the sample only. Every text is judged whole.
+The model is fitted on a bounded sample of labelled rows: of every label an equal part of
+``train_docs`` distinct texts and of ``train_chars`` characters, about, by a hash threshold
+on the text, so that null or repeated ids and copies do not swell it, and at least one
+text. All words and n-grams of the sample are kept; what is broadcast grows with the
+sample, so with these two parameters and the number of labels. Every text is judged whole.
 
 Null texts and texts without a letter are ``und`` with score 0; so is every text when
 nothing was learned. Ties go to the first language by name. An empty table gives no
@@ -35,15 +35,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brickyard.llm.common import discard, materialize, small_batches
+from brickyard.llm.common import discard, materialize, small_batches, small_side
 
-TRAIN_DOCS = 12_000
-MAX_LANGUAGES = 200
+TRAIN_DOCS, TRAIN_CHARS = 12_000, 128_000_000
 ORDERS = (4, 3, 2, 1)
 UNKNOWN = "und"
 SHRINK, FLOOR = 1000.0, 1e-7
 CACHE_WORDS = 150_000
-GROUP_CHARS = 1_000_000
+#: Most characters of the texts judged at once, and cells of their table of sums by language.
+GROUP_CHARS, GROUP_CELLS = 1_000_000, 4_000_000
 
 runs_of = re.compile(r"[^\W\d_]+").findall
 
@@ -136,7 +136,7 @@ class Judge:
         for t in texts:
             group.append(words_of(t) if t is not None else [])
             chars += len(t or "")
-            if chars > GROUP_CHARS:
+            if chars > GROUP_CHARS or len(group) * len(self.model.languages) > GROUP_CELLS:
                 yield from self.judge(group)
                 group, chars = [], 0
         yield from self.judge(group)
@@ -166,21 +166,21 @@ def _grams(word: Column, n: int) -> Column:
     return F.transform(starts, lambda i: F.substring(word, i, F.lit(n)))
 
 
-def sample_of(labelled: DataFrame, train_docs: int = TRAIN_DOCS, max_languages: int = MAX_LANGUAGES) -> tuple[DataFrame, dict[str, int]]:
-    """The training sample, (lang, text), and the number of labelled rows of each of its languages."""
+def sample_of(labelled: DataFrame, train_docs: int = TRAIN_DOCS, train_chars: int = TRAIN_CHARS) -> tuple[DataFrame, dict[str, int]]:
+    """The training sample, (lang, text), and the number of labelled rows of each language."""
     usable = labelled.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).filter("text is not null and lang is not null")
-    counted = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()
-    per_lang = {r.lang: r.n for r in sorted(counted, key=lambda r: r.lang)}
     slots = 1 << 40
-    part = train_docs // max(1, len(per_lang)) + 1
-    kept = F.create_map(*chain.from_iterable((F.lit(x), F.lit(min(slots, slots * part // n + 1))) for x, n in per_lang.items())) if per_lang else None
-    chosen = usable.filter(F.pmod(F.xxhash64("text"), F.lit(slots)) < F.coalesce(kept[F.col("lang")], F.lit(0))) if per_lang else usable.limit(0)
-    return chosen.distinct(), per_lang
+    place = F.pmod(F.xxhash64("text"), F.lit(slots))
+    counted = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"), F.min(place).alias("least")).orderBy("lang").collect()
+    part, part_chars = train_docs // max(1, len(counted)) + 1, train_chars // max(1, len(counted)) + 1
+    kept = [(r.lang, max(r.least + 1, min(slots, slots * part // r.n + 1, slots * part_chars // max(1, r.chars) + 1))) for r in counted]
+    limits = small_side(labelled.sparkSession.createDataFrame(kept, "lang string, kept long"), sum(40 + len(lang) for lang, _ in kept))
+    return usable.join(limits, "lang").filter(place < F.col("kept")).select("text", "lang").distinct(), {r.lang: r.n for r in counted}
 
 
-def fit(labelled: DataFrame, train_docs: int = TRAIN_DOCS, max_languages: int = MAX_LANGUAGES) -> LanguageModel:
+def fit(labelled: DataFrame, train_docs: int = TRAIN_DOCS, train_chars: int = TRAIN_CHARS) -> LanguageModel:
     """Learn from the columns text and lang; rows where one is null teach nothing."""
-    sample, per_lang = sample_of(labelled, train_docs, max_languages)
+    sample, per_lang = sample_of(labelled, train_docs, train_chars)
     languages = list(per_lang)
 
     def counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -214,7 +214,7 @@ def fit(labelled: DataFrame, train_docs: int = TRAIN_DOCS, max_languages: int =
         of_word,
         {g: i + len(of_word) for g, i in of_gram.items()},
         np.concatenate([word_ends, gram_ends + entries]).astype(np.int64),
-        np.concatenate([word_rows[0], gram_rows[0]]).astype(np.int16),
+        np.concatenate([word_rows[0], gram_rows[0]]).astype(np.int32),
         np.concatenate([word_rows[1], gram_rows[1]]).astype(np.float32),
     )
 

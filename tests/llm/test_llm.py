@@ -212,6 +212,18 @@ def test_line_dedup_edges(spark):
     assert line_dedup.drop_recurring(empty_docs(spark)).collect() == []
 
 
+def test_line_dedup_is_linear(spark):
+    took = []
+    for n in (20_000, 20_000, 80_000):
+        lines = [f"this line of all the texts has number {chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676 % 26)}{chr(97 + i // 17576)}" for i in range(n)]
+        docs = spark.createDataFrame([(i, f"{chr(97 + i) * 9} own line\n" + "\n".join(lines)) for i in range(6)], "doc_id long, text string")
+        began = time.time()
+        got = line_dedup.drop_recurring(docs).collect()
+        took.append(time.time() - began)
+        assert all(r.n_dropped == n and r.text == f"{chr(97 + r.doc_id) * 9} own line" for r in got)
+    assert took[2] < 8 * took[1]
+
+
 def test_line_stage(spark):
     texts = [r["text"] for r in raw("documents")]
     docs = spark.createDataFrame([(i, t, "en", "s", -1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
@@ -457,9 +469,22 @@ def test_language_of_unequal_parts(spark):
 
 def test_language_sample_is_bounded(spark):
     rows = [(None, "the very same text", "en")] * 900 + [(None, f"text of a number {chr(97 + i % 26)}{i}", "en") for i in range(3000)] + [(i, f"label {i}", f"x{i:04}") for i in range(300)]
-    sample, langs = lang_id.sample_of(spark.createDataFrame(rows, "doc_id long, text string, lang string"), train_docs=1000, max_languages=10)
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sample, langs = lang_id.sample_of(frame, train_docs=30_100)
     n = {r.lang: r["count"] for r in sample.groupBy("lang").count().collect()}
-    assert len(langs) == 10 and n["en"] <= 140 and all(v == 1 for k, v in n.items() if k != "en")
+    assert len(langs) == 301 and len(n) == 301 and 60 <= n["en"] <= 140 and all(v == 1 for k, v in n.items() if k != "en")
+    few = {r.lang: r["count"] for r in lang_id.sample_of(frame, train_docs=10**9, train_chars=301 * 500)[0].groupBy("lang").count().collect()}
+    assert len(few) == 301 and few["en"] <= 60
+
+
+def test_language_has_no_most_languages(spark, monkeypatch):
+    rnd = random.Random(2)
+    own = {f"l{i:03}": ["".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(6)] for i in range(210)}
+    rows = [(i, " ".join(rnd.choices(w, k=8)), lang) for lang, w in own.items() for i in range(4)]
+    model = lang_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    monkeypatch.setattr(lang_id, "GROUP_CELLS", 2100)
+    assert len(model.languages) == 210
+    assert [x for x, _ in lang_id.Judge(model).predict([t for _, t, _ in rows])] == [lang for _, _, lang in rows]
 
 
 # --- 8 URLs
@@ -505,13 +530,13 @@ def brute_contained(docs, items, t=0.8):
     def grams(w, k):
         return {" ".join(w[i : i + k]) for i in range(len(w) - k + 1)}
 
-    for i, item in items:
-        w = words(item)
-        if w:
-            own = grams(w, k := min(5, len(w)))
-            for d, text in docs:
-                if len(own & grams(words(text), k)) >= t * len(own) - 1e-9:
-                    yield d, i
+    worded = [(d, words(text)) for d, text in docs]
+    for k in range(1, 6):  # by rows of items and documents, whose ids no two of them share
+        held = [(d, grams(w, k)) for d, w in worded]
+        for i, item in items:
+            if (w := words(item)) and min(5, len(w)) == k:
+                own = grams(w, k)
+                yield from ((d, i) for d, g in held if len(own & g) >= t * len(own) - 1e-9)
 
 
 def test_decontamination(spark):
@@ -536,6 +561,33 @@ def test_decontamination_joins_rows_of_an_id(spark):
     assert {(r.doc_id, r.n_shared, r.n_shingles) for r in got.collect()} == {(1, 36, 36), (None, 36, 36)}
 
 
+def test_decontamination_of_a_shared_sentence(spark, monkeypatch):
+    rnd = random.Random(5)
+
+    def own(n):
+        return " ".join("".join(rnd.choices("abcdefghij", k=6)) for _ in range(n))
+
+    sentence = own(14)
+    items = [(i, f"{own(4 + i % 30)} {sentence} {own(4)}") for i in range(400)]
+    docs = [(i, f"{own(20)} {sentence} {own(20)}") for i in range(400)] + [(1000 + i, f"{own(9)} {items[i][1]} {own(9)}") for i in range(20)]
+    stored = {}
+    monkeypatch.setattr(decontam, "materialize", lambda df, name: stored.setdefault(name, common.materialize(df, name)))
+    got = decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == set(brute_contained(docs, items)) == {(1000 + i, i) for i in range(20)}
+    assert stored["decontam-candidates"].count() < 1000
+
+
+def test_decontamination_of_very_long_texts_without_broadcasts(spark, monkeypatch):
+    rnd = random.Random(6)
+    words = ["".join(rnd.choices("abcdefghijklmnop", k=5)) for _ in range(3000)]
+    items = [(i, " ".join(rnd.choices(words, k=4 + i))) for i in range(40)] + [(None, "one two three")]
+    long = rnd.choices(words, k=60_000)
+    docs = [(1, " ".join(long + items[30][1].split() + long[:1000])), (2, items[12][1] + " one two three"), (2, items[20][1]), (None, items[3][1]), (3, None)]
+    monkeypatch.setattr(decontam, "small_side", lambda df, size: df)
+    got = decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == set(brute_contained(docs, items)) >= {(1, 30), (2, 12), (2, 20), (None, 3), (2, None)}
+
+
 def test_bit_set_prunes(spark):
     hashes = spark.range(2000).select(F.xxhash64("id").alias("hash"))
     bits = decontam.BitSet(hashes, 2000)
