@@ -561,22 +561,6 @@ def test_decontamination_joins_rows_of_an_id(spark):
     assert {(r.doc_id, r.n_shared, r.n_shingles) for r in got.collect()} == {(1, 36, 36), (None, 36, 36)}
 
 
-def test_decontamination_of_a_shared_sentence(spark, monkeypatch):
-    rnd = random.Random(5)
-
-    def own(n):
-        return " ".join("".join(rnd.choices("abcdefghij", k=6)) for _ in range(n))
-
-    sentence = own(14)
-    items = [(i, f"{own(4 + i % 30)} {sentence} {own(4)}") for i in range(400)]
-    docs = [(i, f"{own(20)} {sentence} {own(20)}") for i in range(400)] + [(1000 + i, f"{own(9)} {items[i][1]} {own(9)}") for i in range(20)]
-    stored = {}
-    monkeypatch.setattr(decontam, "materialize", lambda df, name: stored.setdefault(name, common.materialize(df, name)))
-    got = decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
-    assert {(r.doc_id, r.item_id) for r in got.collect()} == set(brute_contained(docs, items)) == {(1000 + i, i) for i in range(20)}
-    assert stored["decontam-candidates"].count() < 1000
-
-
 def test_decontamination_of_very_long_texts_without_broadcasts(spark, monkeypatch):
     rnd = random.Random(6)
     words = ["".join(rnd.choices("abcdefghijklmnop", k=5)) for _ in range(3000)]
