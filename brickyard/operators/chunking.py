@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from brickyard.functions.stored import materialize
 from brickyard.functions.text import TOKEN, count_tokens, strip
 
 CHUNK_TOKENS, OVERLAP_PERCENT, CONTEXT_TOKENS, MAX_EMBED_TOKENS = 512, 15, 128, 8000
@@ -186,10 +185,9 @@ def add_table_context(chunks: DataFrame, budget: int = CONTEXT_TOKENS) -> DataFr
     tokens, so each side is a range of the document's running token count, however
     many chunks lie in it. Tables join the texts of their ranges by document and by
     steps of ``budget`` tokens, of which a range touches two at most; only they hold
-    arrays, of at most ``budget`` texts with a token each. The chunks are stored once,
-    as texts, tables and result each read them.
+    arrays, of at most ``budget`` texts with a token each. Texts, tables and
+    result each read ``chunks``, so a caller whose chunks are costly stores them first.
     """
-    chunks = materialize(chunks, "context-chunks")
     reach = max(budget, 1)
     is_text, is_table = F.col("chunk_type") == "text", F.col("chunk_type") == "table"
     n = F.when(is_text, count_tokens(F.col("content"))).otherwise(0)
