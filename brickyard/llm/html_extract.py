@@ -3,9 +3,15 @@
 A page is cut into flat text blocks at block-level tags. A block's features are its
 word count and link density, those of the blocks before and after it, and where it
 stands: in a boilerplate element, a form, a container named as boilerplate, an
-article, a heading. A decision tree trained on the labelled table of
-:mod:`brickyard.llm.html_labelled` keeps or drops it. A name is a weak feature: it
-counts only if all of its words say so (``cookie-notice``, not ``share-of-wealth``).
+article, a heading; how many plain words are still to come, which tells a list of
+contents from the related links at the end; whether the block is a phrase of
+boilerplate; and whether it stands behind a heading of reader comments. A decision
+tree trained on the labelled table of :mod:`brickyard.llm.html_labelled` keeps or
+drops it. A name is a weak feature: it counts only if all of its words say so
+(``cookie-notice``, not ``share-of-wealth``). Half of the labelled pages with an
+article are learned a second time without their tags, so that a page of ``div``
+elements is judged by its words and links. The phrases are English ones and signs;
+what no tag, name, phrase or link density marks cannot be told from main text.
 
 The scan is linear in the page: a tag ends at ``>``, and a ``<`` that meets another
 ``<`` first is text; a quote matters only after ``=``; closing tags pop what they
@@ -51,14 +57,25 @@ INLINE_TAGS = frozenset("a b i em strong u s small big sub sup font code".split(
 BOILER_WORDS = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promos promoted nav navbar navigation menu menus header masthead footer sidebar aside banner cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe comment comments commentlist disqus reply replies respond share sharing social related recommended breadcrumb breadcrumbs pagination pager login signup search toolbar copyright complementary contentinfo".split())
 ARTICLE_WORDS = frozenset("article post entry story content body main text".split())
 GLUE_WORDS = frozenset("site page top bottom left right upper lower primary secondary global inner outer wrapper wrap container box block area section slot unit bar list item items row column col group panel widget widgets link links button buttons icon icons form title the of in for by".split())
+#: Short blocks that say they are boilerplate, by the most words they have.
+PHRASES = [
+    (25, re.compile(r"(?:©|\(c\) ?\d{4}|copyright (?:©|\(c\)|\d{4}))|.*\ball rights reserved\b", re.IGNORECASE)),
+    (12, re.compile(r"(?:posted|filed|tagged) (?:by|in|on|under|with)\b", re.IGNORECASE)),
+    (12, re.compile(r"(?=.*(?:share|tweet|follow us|facebook|twitter|linkedin|whatsapp|reddit|pinterest))(?:(?:share|tweet|pin|print|email|like|follow|facebook|twitter|linkedin|whatsapp|reddit|pinterest|this|us|on|via|it)\b\W*+)++$", re.IGNORECASE)),
+    (40, re.compile(r"(?:we (?:and our partners )?use|(?:this|our) (?:web)?site uses|by (?:continuing|using|browsing)\b|accept\b).*\bcookies\b", re.IGNORECASE)),
+    (6, re.compile(r"(?:advertisements?|sponsored(?: content| by .*)?|skip to (?:main )?content|related (?:posts|articles|stories)|read (?:more|next)|you (?:may|might) also like)\W*$", re.IGNORECASE)),
+]
+#: Headings of reader comments, and the plain words that must stand before one.
+COMMENTS = re.compile(r"(?:comments|reader comments|(?:\d+|no|one) (?:comments?|responses?|reply|replies)|(?:comments|responses|replies) ?\(\d+\)|\d+ thoughts? on .*|(?:leave|post|write|add) a (?:reply|comment)|join the (?:conversation|discussion))(?: to .*)?\W*$", re.IGNORECASE)
+COMMENTS_WORDS, TEXT_BEFORE = 12, 10
 NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 TAG_NAME = re.compile(r"</?+([a-zA-Z][^\s/><]*+)")
 #: The rest of a tag: quotes bind only after an equals sign.
 TAG_REST = re.compile(r"""[^<>"'=]*+(?:(?:=\s*+(?:"[^"]*+"|'[^']*+')?+|["'])[^<>"'=]*+)*+""")
 ATTRIBUTE = re.compile(r"""([^\s=/"'<>]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]*+)))?+""")
 NAMING = re.compile(r"class|id|role", re.IGNORECASE)
-FEATURES = ("words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "boiler", "control", "named", "article", "heading")
-DEPTH, LEAST = 9, 2
+FEATURES = ("words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "boiler", "control", "named", "article", "heading", "still", "phrase", "comments")
+DEPTH, LEAST = 10, 2
 
 
 def name_says(name: str) -> tuple[bool, bool]:
@@ -71,6 +88,10 @@ def name_says(name: str) -> tuple[bool, bool]:
     return own, not boiler and bool(parts & ARTICLE_WORDS)
 
 
+def is_phrase(text: str, words: int) -> bool:
+    return any(words <= most and pattern.match(text) for most, pattern in PHRASES)
+
+
 def naming(attributes: str) -> tuple[bool, bool]:
     """(boilerplate, article) by the class, id and role among the attributes of a tag; short ones are remembered."""
     return _remembered(attributes) if len(attributes) <= 200 else _named(attributes)
@@ -124,20 +145,29 @@ def tags(html: str) -> Iterator[tuple[str, str, bool, str]]:
 
 
 def blocks(html: str) -> list[tuple]:
-    """(text, words, linked words, boiler, control, named, article, entry, heading) of every flat block."""
+    """(text, words, linked words, boiler, control, named, article, entry, heading, phrase, comments) of every flat block."""
     out: list[tuple] = []
     open_: list[tuple] = []  # name, boiler, control, named, article, entry, hidden
     names: Counter = Counter()
     depth = [0] * 6
     text: list[str] = []
     links: list[str] = []
-    in_link = heading = False
+    in_link = heading = title = comments = False
+    plain = 0
 
     def flush() -> None:
+        nonlocal comments, plain
         if text:
             words = " ".join(unescape("".join(text)).split())
             if words:
-                out.append((words, words.count(" ") + 1, len("".join(links).split()), *(d > 0 for d in depth[:5]), heading))
+                n, linked = words.count(" ") + 1, len("".join(links).split())
+                if title:
+                    comments = False
+                elif n <= COMMENTS_WORDS and not linked and plain >= TEXT_BEFORE and COMMENTS.match(words):
+                    comments = True
+                if not heading:
+                    plain += n - linked
+                out.append((words, n, linked, *(d > 0 for d in depth[:5]), heading, is_phrase(words, n), comments))
             text.clear()
             links.clear()
 
@@ -163,6 +193,7 @@ def blocks(html: str) -> list[tuple]:
         elif name in BLOCK_TAGS or name in FORM_TAGS:
             flush()
             heading = not closing and name in HEADINGS
+            title = not closing and name == "h1"
         if closing:
             if names[name]:
                 while open_[-1][0] != name:
@@ -203,24 +234,41 @@ def features(found: list[tuple]) -> np.ndarray:
     """A row of FEATURES for each block of one page.
 
     ``article`` is 1 inside article or main, -1 outside on a page that has one; on a
-    page without, a half inside a container named as an article and else 0.
+    page without, a half inside a container named as an article and else 0. ``still``
+    counts the unlinked words of later blocks that nothing marks as boilerplate. What
+    an article says is its text: phrases and headings of comments count outside only.
     """
     table = np.array([b[1:] for b in found], float)
     words, density = table[:, 0], table[:, 1] / table[:, 0]
     w, d = np.pad(words, 1), np.pad(density, 1)
     inside, entry = table[:, 5], table[:, 6]
     article = np.where(inside > 0, 1.0, -1.0) if inside.any() else entry / 2
-    return np.column_stack([words, density, w[:-2], d[:-2], w[2:], d[2:], table[:, 2:5], article, table[:, 7]])
-
-
-def labelled(pages: str = PAGES) -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels (true for main text) of the labelled table."""
-    rows, labels = [], []
-    for line in pages.strip().split("\n"):
-        items = [re.fullmatch(r"([mb])(\d+)(?:/(\d+))?([nfcaoeh]*)", item) for item in line.split()]
-        rows.append(features([("", int(m[2]), int(m[3] or 0), "n" in m[4], "f" in m[4], "c" in m[4], "a" in m[4], "e" in m[4], "h" in m[4]) for m in items]))
-        labels += [m[1] == "m" for m in items]
-    return np.vstack(rows), np.array(labels)
+    outside = (inside == 0) & inside.any()
+    says = table[:, 8:10] * (inside == 0)[:, None]
+    marked = table[:, 2:5].any(axis=1) | says.any(axis=1) | outside | (density > 0.5)
+    plain = np.where(marked, 0, words - table[:, 1])
+    still = plain[::-1].cumsum()[::-1] - plain
+    return np.column_stack([words, density, w[:-2], d[:-2], w[2:], d[2:], table[:, 2:5], article, table[:, 7], still, says])
+
+
+def without_tags(items: list[str]) -> list[str]:
+    """The items of a labelled page as ``div`` elements would show them: footers without links keep a phrase."""
+    return [re.sub("[ao]", "", item.replace("n", "" if "/" in item else "p")) for item in items]
+
+
+def labelled(pages: str = PAGES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features, labels (true for main text) and page numbers of the labelled table; every other page with an article comes twice."""
+    rows, labels, of_page = [], [], []
+    for number, line in enumerate(pages.strip().split("\n")):
+        items, bare = line.split(), []
+        if number % 2 == 0 and any("a" in item for item in items):
+            bare = [without_tags(items)]
+        for page in [items, *bare]:
+            found = [re.fullmatch(r"([mb])(\d+)(?:/(\d+))?([a-z]*)", item) for item in page]
+            rows.append(features([("", int(m[2]), int(m[3] or 0), *(mark in m[4] for mark in "nfcaehpr")) for m in found]))
+            labels += [m[1] == "m" for m in found]
+            of_page += [number] * len(found)
+    return np.vstack(rows), np.array(labels), np.array(of_page)
 
 
 def train(rows: np.ndarray, labels: np.ndarray, depth: int = DEPTH, least: int = LEAST) -> tuple:
@@ -259,7 +307,7 @@ def judge(tree: tuple, rows: np.ndarray) -> np.ndarray:
 
 @lru_cache
 def trained() -> tuple:
-    return train(*labelled())
+    return train(*labelled()[:2])
 
 
 def main_texts(htmls: list[str | None], tree: tuple) -> list[str]:

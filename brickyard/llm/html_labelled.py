@@ -11,6 +11,8 @@ links, and the marks of its place:
     o  outside, on a page that has article or main
     e  in a container whose class or id names an article, on a page without one
     h  a heading
+    p  a phrase of boilerplate, outside an article
+    r  behind a heading of reader comments, itself included, outside an article
 """
 
 from __future__ import annotations
@@ -111,4 +113,58 @@ b2n b8n m4h m20 m2 m16 b10n b3n
 b1/1 b1/1 b1/1 m3h m13 m2h m17 m3h m12 b1/1 b2
 m6h m4 m5 m47 m5 m4 m58 b3 b4/4 b3/3 b5/5
 b5 b4 b1/1 m8h m3 m27 m2 m41 b4 b2 b6/6
+m1ah m4/4a m2/2a m14a
+m1ah m5/5a m3/3a m4/4a m22a m40a
+m1ah m14a m1ah m3/3a m14a
+m1ah m13a m1ah m4/4a m15a
+m4ah m12a m30a m1ah m4/4a m6/6a m25a m18a
+m2ah m20a m1ah m5/5a m3/3a m2ah m33a
+b1/1no m3ah m6/6a m15a b9no
+m5ah m13a m4/4a m12a b3o
+m2ah m35a m3/3a m6a
+m4ah m40a m5/5a m4a
+m1ah m3/3a m4a
+m2ah m4/4a m5/5a m5a m6a
+m1ah m16a m4/4a m9a
+m3ah m11a m2ah m6/6a m7/7a m8a
+m5h m40 m33 b2hr b1r b14r b1r b20r
+m4h m28 m16 b2r b1r b9r b2r b31r b3r
+m3h m20 m31 b5p b2r b1r b11r b6p
+m2h m14 m16 b2r b1r b7r b5p b8p
+b5p m4h m33 m21 b6p
+b14p m6h m50 m40 b8p
+m3h m30 b2p m25 b3p
+m7h m22 m18 b12p
+m4h m14 b5p b7p b11p
+b12p m5h m31 b2/2 b9p
+b1/1 b3 m9h m40 m55 b17p
+b1/1 b1/1 b8p m11h m50 m70 b15p
+b3/3 b1/1 m30 m44 m12 b10p
+m5ah m80a m30a m6/6a m90a m60a
+m1ah m24a m1ah m5/5a m110a m95a
+m4ah m12a m60a m4/4a m5/5a m70a m200a m30a
+m2ah m45a m2ah m4/4a m2/2a m6/6a m50a m140a
+m7ah m9a m3/3a m88a m5a m5/5a m120a
+m3ah m6a m4/4a m30a m80a m6a
+m5h m40 m33 m4
+m6h m52 m38 m61 m3
+m3h m20 m18 m6
+m4h m70 m55 m10
+m5h m40 m44 m5 b9p
+m3h m28 m60 m4 b12p
+m5h m40 m22 m6 b3/3
+b1/1 b2/2 m5h m60 m44 m5 b14p
+b1/1 b2/2 b1/1 m8h m35 m7 m2 b10p
+b2/2 b1/1 m4h m12 m3 m9 b12p
+b1/1 b1/1 b9c m5h m25 m31 m3 b11p
+b1/1 b3/3 m6h m4 m7 m90 m5
+m4h m30 m5 m8 b5/5 b1/1
+m5ah m44a m5a m30a b4po
+m1ah m40a m2a m3/3a m110a m2a
+m6ah m60a m31a m3a b12po
+m4ah m30a m2a
+m1ah m42a m3a m5/5a m120a m2a b2o
+m7ah m84a m120a m1a b9no
+m5ah m33a m4/4a m48a m3a
+b5po m5ah m44a m30a b4po
 """
