@@ -52,3 +52,10 @@ def test_counts_are_those_of_the_rows(spark):
     ask = spark.createDataFrame([("1", None, None, "ring", None, None, [], 99), ("2", None, None, "ring D1", "maker 11", None, [], 99), ("3", "HN", None, "ring D2", None, None, [], 7), ("4", None, None, "none", None, None, [], 7), ("5", "HN", None, "ring D2", None, None, [], 7)], REQUESTS)
     rows = {r.request_id: r.n for r in lookup.lookup_exact(ask, table).groupBy("request_id").agg(F.count(F.lit(1)).alias("n")).collect()}
     assert {r.request_id: r.n for r in lookup.count_exact(ask, table).collect()} == rows == {"1": 60, "2": 5, "3": 7, "5": 7}
+
+
+def test_substring_lookup_stores_each_needle_once(spark, stored_rows):
+    table = spark.createDataFrame([price(f"{i:03d}", f"large ring D{i}") for i in range(300)], PRICES)
+    got = lookup.lookup_substring(many(spark, 200, "Ring", None), table).collect()
+    assert len(got) == 200 and {r.price_id for r in got} == {"000"}
+    assert max(stored_rows.values()) <= 300
