@@ -59,3 +59,18 @@ def test_substring_lookup_stores_each_needle_once(spark, stored_rows):
     got = lookup.lookup_substring(many(spark, 200, "Ring", None), table).collect()
     assert len(got) == 200 and {r.price_id for r in got} == {"000"}
     assert max(stored_rows.values()) <= 300
+
+
+@pytest.mark.parametrize("most_bytes", [1 << 20, 0])
+def test_scopes_are_placed_once_a_list(spark, monkeypatch, most_bytes):
+    monkeypatch.setattr(retrieval, "BROADCAST_BYTES", most_bytes)
+    kbs = spark.createDataFrame([(i, "system" if i % 2 else "u1") for i in range(10)] + [(1, "u1")], "kb_id long, owner string")
+    projects = spark.createDataFrame([(7, 4), (7, 2), (7, 4), (None, 5)], "project_id int, kb_id long")
+    users = ["u1", "u2", "system", None]
+    asked = spark.createDataFrame([(i, users[i % 4], "all", None, None) for i in range(8)] + [(8, "u1", "project", 7, None), (9, "u1", "project", None, None), (10, "u1", "kb", None, 3)], "request_id long, user_id string, scope string, project_id int, one_kb long")
+    shared, own = [1, 3, 5, 7, 9], [0, 2, 4, 6, 8]
+    want = {(i, kb, n + 1) for i in range(8) for n, kb in enumerate(shared + (own if i % 4 == 0 else []))} | {(8, 2, 1), (8, 4, 2), (10, 3, 1)}
+    df = retrieval.resolve_scope(asked, kbs, projects)
+    rows = [tuple(r) for r in df.collect()]
+    assert set(rows) == want and len(rows) == len(want)
+    assert "Window" not in df._jdf.queryExecution().optimizedPlan().toString()
