@@ -74,3 +74,9 @@ def test_scopes_are_placed_once_a_list(spark, monkeypatch, most_bytes):
     rows = [tuple(r) for r in df.collect()]
     assert set(rows) == want and len(rows) == len(want)
     assert "Window" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_equal_costs_tie_whatever_their_order(spark):
+    rows = [("u", "b", 0.1), ("u", "b", 0.2), ("u", "a", 0.3)]
+    got = usage.model_mix(spark.createDataFrame(rows, "user_id string, model string, cost_usd double"), 1).collect()
+    assert [(r.model, r.share) for r in got] == [("a", 50.0)]
