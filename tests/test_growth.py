@@ -80,3 +80,17 @@ def test_equal_costs_tie_whatever_their_order(spark):
     rows = [("u", "b", 0.1), ("u", "b", 0.2), ("u", "a", 0.3)]
     got = usage.model_mix(spark.createDataFrame(rows, "user_id string, model string, cost_usd double"), 1).collect()
     assert [(r.model, r.share) for r in got] == [("a", 50.0)]
+
+
+@pytest.mark.parametrize("cell_rows", [7, 4096])
+def test_search_scores_in_bounded_cells(spark, monkeypatch, cell_rows):
+    monkeypatch.setattr(retrieval, "CELL_ROWS", cell_rows)
+    rows = [(i, [1.0, i % 5 / 10, i % 3 / 10], "a") for i in range(90)]
+    chunks = spark.createDataFrame(rows, "chunk_id long, embedding array<double>, kb_id string")
+    queries = chunks.filter("chunk_id < 9").select(F.col("chunk_id").alias("query_id"), "embedding", F.array("kb_id").alias("kb_ids"), F.lit(7).alias("k"))
+    found = retrieval.search(queries, chunks)
+    got = {}
+    for r in found.orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.chunk_id)
+    assert all(ids[:6] == [q % 15 + 15 * n for n in range(6)] and len(ids) == 7 for q, ids in got.items()) and len(got) == 9
+    assert "FlatMapCoGroupsInPandas" in found._jdf.queryExecution().optimizedPlan().toString()
