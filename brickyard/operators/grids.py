@@ -15,6 +15,7 @@ MONEY = r"\d{1,3}(?:[.,]\d{3})+(?:[.,]\d+)?|\d{4,}"
 # Labels of which a header row has at least one.
 HEADER_LABELS = ["stt", "tt", "số tt", "tên", "danh mục", "nhóm", "quy cách", "đơn vị", "đvt", "giá", "đơn giá", "tiêu chuẩn", "nhà sản xuất", "xuất xứ", "ghi chú", "vận chuyển", "thành tiền", "khối lượng", "mã hiệu"]
 MAX_LABEL = 60
+BLOCK = 256
 # LaTeX commands and what they print.
 LATEX = [(r"\\phi", "Ø"), (r"\\Phi", "Ø"), (r"\\times", "x"), (r"\\pm", "±"), (r"\\le", "≤"), (r"\\ge", "≥"), (r"\\%", "%"), (r"\\,", " "), (r"\\ ", " ")]
 
@@ -52,12 +53,36 @@ def to_grid(cells: DataFrame, column: str = "resolved", keys: tuple[str, ...] =
     return rows.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("row_no", "row"))), lambda x: x["row"]).alias("grid"))
 
 
+def expand_grid(grid: Column) -> Column:
+    """:func:`expand_ditto` of a grid in place: one pass over its rows, with the last own value of each column.
+
+    The rows go in blocks, so that the output is put together block by block.
+    """
+
+    def carried(above: Column, row: Column) -> Column:
+        own = lambda j: F.when(~is_ditto(F.get(row, j)) & (F.get(row, j) != ""), F.get(row, j))
+        return F.transform(F.sequence(F.lit(0), F.greatest(F.size(above), F.size(row), F.lit(1)) - 1), lambda j: F.coalesce(own(j), F.get(above, j)))
+
+    def step(acc: Column, row: Column) -> Column:
+        filled = F.transform(row, lambda c, j: F.when(is_ditto(c), F.coalesce(F.get(acc["above"], j), c)).otherwise(c))
+        return F.struct(F.coalesce(carried(acc["above"], row), acc["above"]).alias("above"), F.concat(acc["rows"], F.array(filled)).alias("rows"))
+
+    none, no_rows = F.array().cast("array<string>").alias("above"), F.array().cast("array<array<string>>").alias("rows")
+    no_blocks = F.array().cast("array<array<array<string>>>").alias("blocks")
+    starts = F.sequence(F.lit(1), F.greatest(F.size(grid), F.lit(1)), F.lit(BLOCK))
+
+    def block(acc: Column, start: Column) -> Column:
+        done = F.aggregate(F.slice(grid, start, F.lit(BLOCK)), F.struct(acc["above"].alias("above"), no_rows), step)
+        # through an array of one, so that the block is folded once
+        return F.get(F.transform(F.array(done), lambda x: F.struct(x["above"].alias("above"), F.concat(acc["blocks"], F.array(x["rows"])).alias("blocks"))), F.lit(0))
+
+    folded = F.aggregate(starts, F.struct(none, no_blocks), block, lambda acc: F.flatten(acc["blocks"]))
+    return F.when(F.exists(grid, lambda row: F.coalesce(F.exists(row, is_ditto), F.lit(False))), folded).otherwise(grid)
+
+
 def resolve_tables(tables: DataFrame) -> DataFrame:
     """(doc_id, table_no, grid, raw): each grid with its dittos expanded, beside the raw one."""
-    keys = ("doc_id", "table_no")
-    rows = tables.select(*keys, F.posexplode("grid").alias("row_no", "row"))
-    cells = rows.select(*keys, "row_no", F.posexplode("row").alias("col_no", "raw"))
-    return to_grid(expand_ditto(cells, keys), "resolved", keys).join(tables.select(*keys, F.col("grid").alias("raw")), list(keys))
+    return tables.select("doc_id", "table_no", expand_grid(F.col("grid")).alias("grid"), F.col("grid").alias("raw"))
 
 
 def pad_to_modal(tables: DataFrame) -> DataFrame:

@@ -3,7 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from brickyard.operators import lookup, retrieval, usage
+from brickyard.functions import joins
+from brickyard.operators import grids, lookup, prices, retrieval, usage
 
 PRICES = "price_id string, document_id long, region string, material_category string, material_name string, unit string, price_ex_vat double, price_basis string, source_type string, price_period string, manufacturer string, raw_row_text string, created_at timestamp"
 REQUESTS = "request_id string, region string, material_category string, material_name string, manufacturer string, unit string, exclude array<string>, k int"
@@ -94,3 +95,31 @@ def test_search_scores_in_bounded_cells(spark, monkeypatch, cell_rows):
         got.setdefault(r.query_id, []).append(r.chunk_id)
     assert all(ids[:6] == [q % 15 + 15 * n for n in range(6)] and len(ids) == 7 for q, ids in got.items()) and len(got) == 9
     assert "FlatMapCoGroupsInPandas" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_document_is_sorted_once(spark):
+    head = ["Tên vật liệu", "Đơn vị", "Giá bán"]
+    rows = [(d, n, ([head] if n == 1 else []) + [[f"part {n}", "kg", "1.000" if n % 2 else "liên hệ"]]) for d in range(3) for n in range(4)]
+    tables = spark.createDataFrame(rows, "doc_id long, table_no int, grid array<array<string>>")
+    found, warnings = prices.extract_prices(tables)
+    for df in (found, warnings):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Sort [") == plan.count("Exchange hashpartitioning") == 1
+    assert sorted((r.doc_id, r.table_no) for r in found.collect()) == [(d, n) for d in range(3) for n in (1, 3)]
+    said = sorted((r.doc_id, r.table_no, r.warning[:8]) for r in warnings.collect())
+    assert said == [(d, n, w) for d in range(3) for n, w in ((0, "no heade"), (2, "no price"))]
+
+
+@pytest.mark.parametrize("block", [2, 256])
+def test_grids_are_resolved_in_place(spark, monkeypatch, block):
+    monkeypatch.setattr(grids, "BLOCK", block)
+    rows = [(1, 0, [["a", "u"], ["-nt-", ""], ["nt", "nt"], ["b", None], ["''", "v", "nt"], ["x", "nt", "nt"], ["x"], ["nt", "nt"]]), (1, 1, [["nt"]]), (2, 0, [])]
+    got = grids.resolve_tables(spark.createDataFrame(rows, "doc_id long, table_no int, grid array<array<string>>"))
+    want = {(1, 0): [["a", "u"], ["a", ""], ["a", "u"], ["b", None], ["b", "v", "nt"], ["x", "v", "nt"], ["x"], ["x", "v"]], (1, 1): [["nt"]], (2, 0): []}
+    assert {(r.doc_id, r.table_no): r.grid for r in got.collect()} == want
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tasks_grow_with_the_rows(spark):
+    df = spark.range(10)
+    assert joins.by_key(df, 100 * joins.TASK_ROWS, "id").rdd.getNumPartitions() == 100
