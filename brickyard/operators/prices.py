@@ -29,7 +29,7 @@ KEYWORDS = {
 COLUMNS = list(KEYWORDS)
 # Header window and label length; index cells; organisations; file names.
 HEADER_ROWS, MAX_LABEL = 6, 60
-LEGEND = r"^[\[\(]?\d{1,2}[\]\)]?$"
+LEGEND = r"^\s*[\[\(]?\d{1,2}[\]\)]?\s*$"
 ORGANISATION = r"(?iU)c[ôo]ng\s*ty|\bcty\b|\btnhh\b|\bcp\b|\bcổ\s*phần\b|t[ậa]p\s*đo[àa]n|nh[àa]\s*m[áa]y|doanh\s*nghi[ệe]p|c[ơo]\s*s[ởo]\s|chi\s*nh[áa]nh|h[ợo]p\s*t[áa]c\s*x[ãa]|\bdntn\b"
 ANNEX = r"(?i)phu[_\s]?luc|^pl[_\s]?\d|^00_pl"
 ANNOUNCEMENT = r"(?i)^\d|^00_\d|cbgvl|tb-sxd|sxd-qlcl|sxd-ktvlxd"
@@ -44,10 +44,13 @@ def classify_source(filename: Column) -> Column:
     return F.when(stem.rlike(ANNEX), "official_annex").when(stem.rlike(ANNOUNCEMENT) & ~vendor, "official_announcement").otherwise("vendor_quote")
 
 
+def _filled(cell: Column) -> Column:
+    return F.coalesce(cell.rlike(r"\S"), F.lit(False))
+
+
 def is_legend(row: Column) -> Column:
     """A row of column numbers only."""
-    filled = F.filter(F.transform(row, strip), lambda c: c != "")
-    return (F.size(filled) > 0) & F.forall(filled, lambda c: c.rlike(LEGEND))
+    return F.exists(row, _filled) & F.forall(row, lambda c: ~_filled(c) | c.rlike(LEGEND))
 
 
 def find_col(cells: Column, keywords: list[str]) -> Column:
@@ -93,36 +96,57 @@ def detect_header(grid: Column) -> Column:
         )
         return F.when(ok, F.struct((acc["end"] + legends).alias("end"), *[acc[k].alias(k) for k in COLUMNS]))
 
-    return F.aggregate(rows, start, step, finish)
+    # most tables hold no keyword in these rows, which one pattern over all of them tells
+    text = norm(F.array_join(F.flatten(F.filter(F.slice(grid, 1, HEADER_ROWS), lambda r: r.isNotNull())), " "))
+    return F.when(text.rlike(any_word), F.aggregate(rows, start, step, finish))
+
+
+def _headed(tables: DataFrame) -> DataFrame:
+    """Adds own (the table's header), width and skip."""
+    t = tables.withColumn("own", detect_header(F.col("grid"))).withColumn("width", F.array_max(F.transform(F.slice("grid", 1, 3), F.size)))
+    return t.withColumn("skip", F.when(F.col("own").isNotNull(), F.col("own.end") + 1).otherwise(F.when(is_legend(F.get("grid", F.lit(0))), 1).otherwise(0)))
+
+
+def _carried(t: DataFrame, *order: str) -> DataFrame:
+    """Adds mapping, the own or the carried header, to rows in this order of a document."""
+    upto = Window.partitionBy("doc_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    t = t.withColumn("prev", F.last(F.when(F.col("own").isNotNull(), F.struct("own", "width")), ignorenulls=True).over(upto))
+    return t.withColumn("mapping", F.coalesce("own", F.when(F.col("prev.width") == F.col("width"), F.col("prev.own")))).drop("prev", "own", "width")
 
 
 def carry_mapping(tables: DataFrame) -> DataFrame:
     """Adds mapping and skip: own header, or the last one if the table has its width; null mapping otherwise."""
-    w = Window.partitionBy("doc_id").orderBy("table_no").rowsBetween(Window.unboundedPreceding, -1)
-    t = tables.filter(F.size("grid") > 0).withColumn("own", detect_header(F.col("grid")))
-    t = t.withColumn("width", F.array_max(F.transform(F.slice("grid", 1, 3), F.size)))
-    t = t.withColumn("prev", F.last(F.when(F.col("own").isNotNull(), F.struct("own", "width")), ignorenulls=True).over(w))
-    carried = F.when(F.col("prev.width") == F.col("width"), F.col("prev.own"))
-    legend = F.when(is_legend(F.get("grid", F.lit(0))), 1).otherwise(0)
-    skip = F.when(F.col("own").isNotNull(), F.col("own.end") + 1).otherwise(legend)
-    return t.withColumn("mapping", F.coalesce("own", carried)).withColumn("skip", skip).drop("prev", "own", "width")
+    return _carried(_headed(tables.filter(F.size("grid") > 0)), "table_no")
 
 
 def _at(row: Column, col: Column) -> Column:
     return F.when(col.isNotNull(), F.get(row, col))
 
 
-def numbered_rows(tables: DataFrame, fill_single_unit: bool = False) -> DataFrame:
-    """One row per data row of a mapped table: cells, raw_cells, mapping, in document order."""
-    raw = F.col("raw") if "raw" in tables.columns else F.col("grid")
-    t = carry_mapping(tables.withColumn("raw", raw)).filter("mapping IS NOT NULL")
-    rows = t.select("doc_id", "table_no", "mapping", "skip", F.posexplode(F.arrays_zip(F.col("grid").alias("cells"), F.col("raw").alias("raw_cells"))).alias("row_no", "r"))
-    rows = rows.filter(F.col("row_no") >= F.col("skip")).select("doc_id", "table_no", "row_no", "mapping", F.transform("r.cells", lambda c: F.coalesce(c, F.lit(""))).alias("cells"), F.transform(F.coalesce("r.raw_cells", "r.cells"), lambda c: F.coalesce(c, F.lit(""))).alias("raw_cells"))
-    legend = is_legend(F.col("cells"))
-    rows = rows.withColumn("unit", strip(F.coalesce(_at(F.col("cells"), F.col("mapping.unit")), F.lit("")))).withColumn("legend", legend)
+def numbered_rows(tables: DataFrame, fill_single_unit: bool = False, unmapped: bool = False) -> DataFrame:
+    """One row per data row of a mapped table: cells, raw_cells, mapping, in document order.
+
+    With ``unmapped``, also one row without cells for each table without a mapping, which
+    no later step takes for data. Headers are carried from row to row, in the order in
+    which all later steps go, so that a document is sorted once.
+    """
+    whole = lambda c: F.transform(c, lambda r: F.transform(r, lambda x: F.coalesce(x, F.lit(""))))
+    raw = [whole(F.col("raw")).alias("raw_cells")] if "raw" in tables.columns else []
+    t = _headed(tables).select("doc_id", "table_no", "own", "width", "skip", F.posexplode(F.arrays_zip(whole(F.col("grid")).alias("cells"), *raw)).alias("row_no", "r"))
+    rows = _carried(t, "table_no", "row_no")
+    mapped = F.col("mapping").isNotNull()
+    kept = mapped & (F.col("row_no") >= F.col("skip"))
+    rows = rows.filter(kept | (~mapped & (F.col("row_no") == 0)) if unmapped else kept)
+    cells, raw_cells = F.col("r.cells"), F.coalesce("r.raw_cells", "r.cells") if raw else F.col("r.cells")
+    if unmapped:
+        none = F.array().cast("array<string>")
+        cells, raw_cells = F.when(mapped, cells).otherwise(none), F.when(mapped, raw_cells).otherwise(none)
+    rows = rows.select("doc_id", "table_no", "row_no", "mapping", cells.alias("cells"), raw_cells.alias("raw_cells"))
+    rows = rows.withColumn("unit", strip(F.coalesce(_at(F.col("cells"), F.col("mapping.unit")), F.lit("")))).withColumn("legend", is_legend(F.col("cells")))
     if fill_single_unit:
         rows = fill_unit_column(rows)
-    return rows.filter(~F.col("legend") & (F.size("cells") > F.greatest("mapping.name", "mapping.unit"))).drop("legend")
+    data = ~F.col("legend") & (F.size("cells") > F.greatest("mapping.name", "mapping.unit"))
+    return rows.filter(data | ~mapped if unmapped else data).drop("legend")
 
 
 def fill_unit_column(rows: DataFrame) -> DataFrame:
@@ -141,12 +165,12 @@ def fill_unit(rows: DataFrame) -> DataFrame:
 
 def heading_label(raw: Column, mapping: Column) -> Column:
     """The label of a group heading row, or null: no unit, no price, at most two filled cells."""
-    filled = F.filter(raw, lambda c: strip(c) != "")
     own = lambda k: strip(F.coalesce(_at(raw, mapping[k]), F.lit("")))
     priced = F.coalesce(parse_price(_at(raw, mapping["source"])), parse_price(_at(raw, mapping["site"])), parse_price(_at(raw, mapping["generic"])))
-    textual = F.get(F.filter(filled, lambda c: (F.length(strip(c)) >= 4) & ~F.replace(strip(c), F.lit("."), F.lit("")).rlike(r"^\d+$")), F.lit(0))
+    textual = F.get(F.filter(raw, lambda c: (F.length(strip(c)) >= 4) & ~F.replace(strip(c), F.lit("."), F.lit("")).rlike(r"^\d+$")), F.lit(0))
     label = F.coalesce(F.nullif(own("category"), F.lit("")), F.nullif(own("name"), F.lit("")), textual)
-    return F.when((own("unit") == "") & priced.isNull() & (F.size(filled) <= 2), label)
+    # the cheap conditions first
+    return F.when(F.size(F.filter(raw, _filled)) <= 2, F.when((own("unit") == "") & priced.isNull(), label))
 
 
 def fill_groups(rows: DataFrame) -> DataFrame:
@@ -155,36 +179,45 @@ def fill_groups(rows: DataFrame) -> DataFrame:
     The heading's label holds until the numbering restarts a second time after it;
     such a restart also clears the manufacturer.
     """
-    order = Window.partitionBy("doc_id").orderBy("table_no", "row_no")
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    upto = Window.partitionBy("doc_id").orderBy("table_no", "row_no").rowsBetween(Window.unboundedPreceding, 0)
     name = strip(F.coalesce(_at(F.col("cells"), F.col("mapping.name")), F.lit("")))
     first = F.get(F.filter(F.transform(F.slice("raw_cells", 1, 2), strip), lambda c: c != ""), F.lit(0))
     maker_raw = norm_ws(F.coalesce(_at(F.col("raw_cells"), F.col("mapping.maker")), F.lit("")))
     maker_own = norm_ws(F.coalesce(_at(F.col("cells"), F.col("mapping.maker")), F.lit("")))
     r = rows.withColumn("heading", heading_label(F.col("raw_cells"), F.col("mapping"))).withColumn("name", name)
     r = r.withColumn("is_data", F.col("heading").isNull() & (F.col("name") != "") & (F.col("unit") != ""))
-    r = r.withColumn("restart", F.col("is_data") & F.coalesce(first.rlike(r"^\d{1,3}$") & (first.cast("int") == 1), F.lit(False)))
-    r = r.withColumn("h", F.count("heading").over(upto))
-    in_group = Window.partitionBy("doc_id", "h").orderBy("table_no", "row_no").rowsBetween(Window.unboundedPreceding, 0)
-    r = r.withColumn("k", F.sum(F.when(F.col("restart"), 1).otherwise(0)).over(in_group)).withColumn("label", F.last("heading", ignorenulls=True).over(upto))
-    r = r.withColumn("running", F.when((F.col("h") > 0) & (F.col("k") <= 1), F.col("label")).otherwise(""))
-    r = r.withColumn("segment", F.sum(F.when(F.col("restart") & ((F.col("h") == 0) | (F.col("k") >= 2)), 1).otherwise(0)).over(upto))
+    r = r.withColumn("restart", F.col("is_data") & F.coalesce(first.rlike(r"^0{0,2}1$"), F.lit(False)))
+    # restarts before the last heading and after it, and the segments, count along one order: a document is sorted once
+    r = r.withColumn("n", F.sum(F.when(F.col("restart"), 1).otherwise(0)).over(upto))
+    r = r.withColumn("last", F.last(F.when(F.col("heading").isNotNull(), F.struct("heading", "n")), ignorenulls=True).over(upto))
+    headed, k = F.col("last").isNotNull(), F.col("n") - F.coalesce("last.n", F.lit(0))
+    r = r.withColumn("running", F.when(headed & (k <= 1), F.col("last.heading")).otherwise(""))
+    r = r.withColumn("segment", F.sum(F.when(F.col("restart") & (~headed | (k >= 2)), 1).otherwise(0)).over(upto))
     source = F.when(F.col("heading").isNotNull(), maker_raw).when(F.col("is_data"), maker_own)
-    org = F.when(source.rlike(ORGANISATION), source)
-    in_segment = Window.partitionBy("doc_id", "segment").orderBy("table_no", "row_no").rowsBetween(Window.unboundedPreceding, 0)
-    r = r.withColumn("manufacturer", F.last(org, ignorenulls=True).over(in_segment))
+    r = r.withColumn("source", source)
+    org = F.when(F.col("source").rlike(ORGANISATION), F.struct(F.col("source").alias("org"), "segment"))
+    r = r.withColumn("org", F.last(org, ignorenulls=True).over(upto))
+    r = r.withColumn("manufacturer", F.when(F.col("org.segment") == F.col("segment"), F.col("org.org")))
     own = strip(F.coalesce(_at(F.col("cells"), F.col("mapping.category")), F.lit("")))
     category = norm_ws(F.coalesce(F.nullif(own, F.lit("")), F.nullif("running", F.lit("")), F.lit(NO_CATEGORY)))
-    return r.withColumn("category", category).drop("h", "k", "label", "running", "segment", "restart")
+    return r.withColumn("category", category).drop("n", "last", "running", "segment", "restart", "source", "org")
 
 
-def price_rows(grouped: DataFrame) -> DataFrame:
-    """One row per price of a data row: source, site, then generic column."""
+def _prices() -> Column:
+    """The prices of a row: source, site, then generic column."""
     bases = (("source", "tai_mo"), ("site", "tai_chan_cong_trinh"), ("generic", "khong_ro"))
     prices = F.array(*[F.struct(F.lit(b).alias("price_basis"), parse_price(_at(F.col("cells"), F.col(f"mapping.{k}"))).alias("price_ex_vat")) for k, b in bases])
-    text = F.array_join(F.filter(F.transform("cells", strip), lambda c: c != ""), " | ")
+    return F.filter(prices, lambda p: p["price_ex_vat"].isNotNull())
+
+
+def _row_text() -> Column:
+    return F.array_join(F.filter(F.transform("cells", strip), lambda c: c != ""), " | ")
+
+
+def price_rows(grouped: DataFrame) -> DataFrame:
+    """One row per price of a data row: source, site, then generic column."""
     spec = F.nullif(norm_ws(_at(F.col("cells"), F.col("mapping.spec"))), F.lit(""))
-    kept = grouped.filter("is_data").select("doc_id", "table_no", "row_no", F.col("category").alias("material_category"), norm_ws(F.col("name")).alias("material_name"), spec.alias("spec"), "unit", "manufacturer", text.alias("raw_row_text"), F.filter(prices, lambda p: p["price_ex_vat"].isNotNull()).alias("p"))
+    kept = grouped.filter("is_data").select("doc_id", "table_no", "row_no", F.col("category").alias("material_category"), norm_ws(F.col("name")).alias("material_name"), spec.alias("spec"), "unit", "manufacturer", _row_text().alias("raw_row_text"), _prices().alias("p"))
     return kept.select("*", F.explode_outer("p").alias("one")).select("doc_id", "table_no", "row_no", "material_category", "material_name", "spec", "unit", "one.price_ex_vat", "one.price_basis", "manufacturer", "raw_row_text")
 
 
@@ -193,14 +226,16 @@ def extract_prices(tables: DataFrame, docs: DataFrame | None = None, fill_single
 
     ``docs`` (doc_id, region, filename, price_period) stamps region, source type and period.
     """
-    every = price_rows(fill_groups(fill_unit(numbered_rows(tables, fill_single_unit))))
-    rows = every.filter("price_ex_vat IS NOT NULL")
-    no_price = every.filter("price_ex_vat IS NULL").select("doc_id", "table_no", F.concat(F.lit("no price read: "), F.substring("raw_row_text", 1, 120)).alias("warning"))
-    no_header = carry_mapping(tables).filter("mapping IS NULL").select("doc_id", "table_no", F.lit(NO_HEADER).alias("warning"))
+    rows = price_rows(fill_groups(fill_unit(numbered_rows(tables, fill_single_unit)))).filter("price_ex_vat IS NOT NULL")
+    every = fill_groups(fill_unit(numbered_rows(tables, fill_single_unit, unmapped=True)))
+    unread = F.when(F.size(_prices()) == 0, F.concat(F.lit("no price read: "), F.substring(_row_text(), 1, 120)))
+    warning = F.when(F.col("mapping").isNull(), NO_HEADER).when(F.col("is_data"), unread)
+    # a list is exploded, not filtered: a filter would compute the warning a second time
+    warnings = every.select("doc_id", "table_no", F.explode(F.array_compact(F.array(warning))).alias("warning"))
     if docs is not None:
         stamp = docs.select("doc_id", "region", classify_source(F.col("filename")).alias("source_type"), "price_period")
         rows = rows.join(stamp, "doc_id", "left")
-    return rows, no_price.unionByName(no_header)
+    return rows, warnings
 
 
 def extraction_stats(docs: DataFrame, rows: DataFrame, warnings: DataFrame) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from brickyard.functions.text import norm_ws
 from brickyard.operators import prices as P
@@ -14,24 +13,21 @@ HEAD = ["TT", "Tên vật liệu", "Đơn vị", "Giá bán", "Nhà sản xuất
 LINES = "li AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS rn FROM lineitem)"
 
 
-def price_tables(s, d):
+def price_tables(s, d, orders=10):
     """One table per order, ten orders a document. Every third table has a header; orders that end in 7 have a heading row."""
-    li = A.table(s, d, "lineitem")
-    rn = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
-    unit = F.when(F.col("l_linenumber") % 3 == 0, "").when(F.col("l_linenumber") % 5 == 0, "-").otherwise(F.concat(F.lit("u"), (F.col("l_partkey") % 4).cast("string")))
-    price = F.when(F.col("l_linenumber") == 6, "liên hệ").otherwise(F.translate(F.format_number("l_extendedprice", 2), ",.", ".,"))
-    maker = F.when(F.col("l_suppkey") % 3 == 0, F.concat(F.lit("Công ty "), F.col("l_suppkey").cast("string"))).otherwise("")
-    row = F.array(F.col("rn").cast("string"), F.concat(F.lit("part  "), F.col("l_partkey").cast("string")), unit, price, maker)
-    rows = li.withColumn("rn", rn).select("l_orderkey", "rn", row.alias("row"))
-    head = F.array(F.array(*map(F.lit, HEAD)))
-    heading = F.array(F.array(F.lit(""), F.concat(F.lit("Nhóm "), F.col("l_orderkey").cast("string")), F.lit(""), F.lit(""), F.lit("")))
-    grid = F.when(F.col("l_orderkey") % 10 == 7, F.concat(heading, "grid")).otherwise(F.col("grid"))
-    return _tables(rows, grid, head)
 
+    def row(x, i):
+        unit = F.when(x["l_linenumber"] % 3 == 0, "").when(x["l_linenumber"] % 5 == 0, "-").otherwise(F.concat(F.lit("u"), (x["l_partkey"] % 4).cast("string")))
+        price = F.when(x["l_linenumber"] == 6, "liên hệ").otherwise(F.translate(F.format_number(x["l_extendedprice"], 2), ",.", ".,"))
+        maker = F.when(x["l_suppkey"] % 3 == 0, F.concat(F.lit("Công ty "), x["l_suppkey"].cast("string"))).otherwise("")
+        return F.array((i + 1).cast("string"), F.concat(F.lit("part  "), x["l_partkey"].cast("string")), unit, price, maker)
 
-def _tables(rows, grid, head):
-    base = rows.groupBy("l_orderkey").agg(F.transform(F.sort_array(F.collect_list(F.struct("rn", "row"))), lambda x: x["row"]).alias("grid")).withColumn("grid", grid)
-    return base.select((F.col("l_orderkey") / 10).cast("long").alias("doc_id"), F.col("l_orderkey").alias("table_no"), F.when(F.col("l_orderkey") % 3 == 1, F.concat(head, "grid")).otherwise(F.col("grid")).alias("grid"))
+    base = A.order_lines(s, d, F.floor(F.col("l_orderkey") / orders).cast("long")).select("doc_id", "l_orderkey", F.transform("lines", row).alias("grid"))
+    head = F.array(F.array(*map(F.lit, HEAD)))
+    heading = F.array(F.array(F.lit(""), F.concat(F.lit("Nhóm "), F.col("l_orderkey").cast("string")), F.lit(""), F.lit(""), F.lit("")))
+    none = F.array().cast("array<array<string>>")
+    grid = F.concat(F.when(F.col("l_orderkey") % 3 == 1, head).otherwise(none), F.when(F.col("l_orderkey") % 10 == 7, heading).otherwise(none), "grid")
+    return base.select("doc_id", F.col("l_orderkey").alias("table_no"), grid.alias("grid"))
 
 
 EXTRACT = f"""WITH {LINES},
@@ -75,4 +71,4 @@ register("fill_single_unit", lambda s, d: P.fill_unit_column(A.cells(s, d).filte
          f"WITH {A.CELLS}, c AS (SELECT table_no, row_no, CASE WHEN raw = '-nt-' THEN '' ELSE raw END AS u FROM cells WHERE col_no = 2), n AS (SELECT table_no, count(DISTINCT u) FILTER (u <> '') AS k, max(u) AS one FROM c GROUP BY 1) SELECT table_no, row_no, CASE WHEN u = '' AND k = 1 THEN one ELSE u END AS unit FROM c JOIN n USING (table_no)")
 register("is_legend", lambda s, d: A.table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", P.is_legend(F.array(F.lit("1"), F.lit(""), F.when(F.col("l_linenumber") % 3 == 0, F.lit("[2]")).when(F.col("l_linenumber") % 3 == 1, F.lit("(3)")).otherwise(F.lit("123")))).alias("legend")), "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_linenumber % 3 < 2 AS legend FROM lineitem")
 SINGLE = EXTRACT.replace("l_orderkey // 10 AS doc_id", "l_orderkey AS doc_id").replace("SELECT DISTINCT l_orderkey // 10, l_orderkey, 0", "SELECT DISTINCT l_orderkey, l_orderkey, 0")
-register("extract_single_tables", lambda s, d: P.extract_prices(price_tables(s, d).withColumn("doc_id", F.col("table_no")))[0].select("table_no", "material_category", "material_name", "unit", "price_ex_vat", "manufacturer"), SINGLE + "SELECT table_no, material_category, material_name, unit, price_ex_vat, manufacturer FROM f WHERE is_data AND price_ex_vat IS NOT NULL")
+register("extract_single_tables", lambda s, d: P.extract_prices(price_tables(s, d, 1))[0].select("table_no", "material_category", "material_name", "unit", "price_ex_vat", "manufacturer"), SINGLE + "SELECT table_no, material_category, material_name, unit, price_ex_vat, manufacturer FROM f WHERE is_data AND price_ex_vat IS NOT NULL")
