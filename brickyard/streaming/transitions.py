@@ -56,22 +56,36 @@ class Machine(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getListState("open", "stage int, status string, at long")
-        self.now = handle.getValueState("now", "stage int, status string, due long")
+        self.state = handle.getValueState("state", "stage int, status string, due long, timer long, stages array<int>, statuses array<string>, times array<long>")
+
+    def _load(self) -> tuple:
+        """(stage, status, due, timer, events): one call for all of a document's state, since each goes to the JVM."""
+        if (got := self.state.get()) is None:
+            return -1, None, None, None, []
+        stage, status, due, timer, *events = got
+        return stage, status, due, timer, list(zip(*events, strict=True))
+
+    def _save(self, stage: int, status: Any, due: Any, timer: Any, events: list) -> None:
+        """Keeps one timer, the first moment at which there is something to judge."""
+        first = min([e[2] for e in events] + ([due] if due is not None else []), default=None)
+        if first is not None and (timer is None or first < timer):
+            self.handle.registerTimer(first)
+            timer = first
+        self.state.update((stage, status, due, timer, *([e[i] for e in events] for i in range(3))))
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        *now, events = self._load()
         for batch in rows:
-            ms = batch["ms"].tolist()
-            self.open.appendList([(int(s), None if pd.isna(t) else str(t), int(m)) for s, t, m in zip(batch["stage"], batch["status"], ms, strict=True)])
-            for m in set(ms):
-                self.handle.registerTimer(int(m))
+            events += [(int(s), None if pd.isna(t) else str(t), int(m)) for s, t, m in zip(batch["stage"].tolist(), batch["status"].tolist(), batch["ms"].tolist(), strict=True)]
+        self._save(*now, events)
         yield from ()
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         until = timerValues.getCurrentWatermarkInMs()
-        events = sorted((tuple(e) for e in self.open.get()), key=lambda e: (e[2], e[0], e[1] is not None, e[1] or ""))
+        stage, status, due, timer, events = self._load()
+        events.sort(key=lambda e: (e[2], e[0], e[1] is not None, e[1] or ""))
         due_now, later = [e for e in events if e[2] <= until], [e for e in events if e[2] > until]
-        stage, status, due = tuple(self.now.get()) if self.now.exists() else (-1, None, None)
+        timer = None if timer is None or timer <= until else timer
         out = []
         for s, t, at in due_now:
             if s > stage:
@@ -85,12 +99,7 @@ class Machine(StatefulProcessor):
         if due is not None and due <= until:
             out.append((stage, status, due, "stuck"))
             due = None
-        elif due is not None and due_now:
-            self.handle.registerTimer(due)
-        if due_now:
-            self.open.put(later) if later else self.open.clear()
-        if stage >= 0:
-            self.now.update((stage, status, due))
+        self._save(stage, status, due, timer, later)
         if out:
             yield pd.DataFrame({"doc_id": key[0], "stage": [o[0] for o in out], "status": [o[1] for o in out], "at": pd.to_datetime([o[2] for o in out], unit="ms"), "kind": [o[3] for o in out]}).astype({"stage": "int32"})
 

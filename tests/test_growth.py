@@ -1,10 +1,13 @@
 """Work that must not grow with requests times rows, and sums that must not depend on their order."""
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from brickyard.functions import joins
 from brickyard.operators import grids, lookup, prices, retrieval, usage
+from brickyard.sources import commits
+from brickyard.streaming import transitions
 
 PRICES = "price_id string, document_id long, region string, material_category string, material_name string, unit string, price_ex_vat double, price_basis string, source_type string, price_period string, manufacturer string, raw_row_text string, created_at timestamp"
 REQUESTS = "request_id string, region string, material_category string, material_name string, manufacturer string, unit string, exclude array<string>, k int"
@@ -123,3 +126,55 @@ def test_grids_are_resolved_in_place(spark, monkeypatch, block):
 def test_tasks_grow_with_the_rows(spark):
     df = spark.range(10)
     assert joins.by_key(df, 100 * joins.TASK_ROWS, "id").rdd.getNumPartitions() == 100
+
+
+class Calls:
+    """A state handle that counts what goes to it."""
+
+    def __init__(self):
+        self.value, self.n, self.timers = None, 0, []
+
+    def getValueState(self, name, schema):
+        return self
+
+    def get(self):
+        self.n += 1
+        return self.value
+
+    def update(self, value):
+        self.n, self.value = self.n + 1, value
+
+    def registerTimer(self, ms):
+        self.n += 1
+        self.timers.append(ms)
+
+    def getCurrentWatermarkInMs(self):
+        return 99
+
+
+def test_a_documents_events_take_three_calls_to_the_state():
+    calls, machine = Calls(), transitions.Machine(1000)
+    machine.init(calls)
+    rows = pd.DataFrame({"stage": [0, 1, 2, 0, 1], "status": list("abcde"), "ms": [10, 20, 130, 15, 140]})
+    assert list(machine.handleInputRows(("d",), iter([rows]), calls)) == []
+    assert calls.n == 3 and calls.timers == [10]
+    (out,) = machine.handleExpiredTimer(("d",), calls, None)
+    assert out[["stage", "kind"]].values.tolist() == [[0, "applied"], [0, "conflict"], [1, "applied"]]
+    assert calls.n == 6 and calls.timers == [10, 130]
+
+
+def test_written_rows_are_computed_once_and_one_commit_is_scanned(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(x):
+        seen.add(1)
+        return x
+
+    rows = spark.range(6).select((F.col("id") % 3).alias("doc_id"), F.udf(counted, "long")("id").alias("v"))
+    path = str(tmp_path / "once")
+    commits.write(spark, path, {"rows": rows}, "doc_id")
+    assert seen.value == 6
+    got = commits.read(spark, path, "rows")
+    assert "Aggregate" not in got._jdf.queryExecution().optimizedPlan().toString() and got.count() == 6
+    commits.write(spark, path, {"rows": spark.createDataFrame([(1, 9)], "doc_id long, v long")}, "doc_id")
+    assert sorted(map(tuple, commits.read(spark, path, "rows").collect())) == [(0, 0), (0, 3), (1, 9), (2, 2), (2, 5)]
