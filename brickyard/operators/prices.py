@@ -257,8 +257,8 @@ def write_shape(rows: DataFrame) -> DataFrame:
     return out.withColumn("price_ex_vat", F.col("price_ex_vat").cast("decimal(18,2)"))
 
 
-def write_prices(rows: DataFrame, path: str, documents: DataFrame | None = None) -> None:
-    """Appends by region; with ``documents``, replaces all rows of these keys, for ``commits.read``."""
+def write_prices(rows: DataFrame, path: str, documents: DataFrame | str | None = None) -> None:
+    """Appends by region; with ``documents``, replaces all rows of these keys (or of the rows' own, by a column's name), for ``commits.read``."""
     if documents is not None:
         commits.write(rows.sparkSession, path, {"prices": write_shape(rows)}, documents)
     else:

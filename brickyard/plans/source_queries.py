@@ -186,9 +186,9 @@ register("rewrite_chunks", rewritten_chunks, "SELECT label::VARCHAR AS doc_id, c
 def rewritten_prices(s, d):
     """All prices; then those of every fourth document again, at half the price; then as one commit."""
     path, rows = folder(s, "prices-again"), A.material_prices(s, d)
-    P.write_prices(rows, path, rows.select("document_id"))
+    P.write_prices(rows, path, "document_id")
     again = rows.filter("document_id % 4 = 0")
-    P.write_prices(again.withColumn("price_ex_vat", F.col("price_ex_vat") / 2), path, again.select("document_id"))
+    P.write_prices(again.withColumn("price_ex_vat", F.col("price_ex_vat") / 2), path, "document_id")
     commits.compact(s, path, ["prices"], "document_id")
     return commits.read(s, path, "prices", "document_id").select("price_id", "document_id", "price_ex_vat")
 

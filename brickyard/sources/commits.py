@@ -14,6 +14,7 @@ without such costs a plain scan.
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,14 +35,21 @@ def committed(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(DONE).json(f"{path}/done") if _exists(spark, f"{path}/done") else spark.createDataFrame([], DONE)
 
 
-def write(spark: SparkSession, path: str, tables: dict[str, DataFrame], documents: DataFrame, commit: str | None = None) -> bool:
-    """Replace the rows of ``documents`` (one column, the key) by those of ``tables``; False if ``commit`` was done before."""
+def write(spark: SparkSession, path: str, tables: dict[str, DataFrame], documents: DataFrame | str, commit: str | None = None) -> bool:
+    """Replace the rows of ``documents`` (one column, the key) by those of ``tables``; False if ``commit`` was done before.
+
+    The name of a column stands for the documents that the tables have rows of, which
+    are read from what was written, so that the tables are not computed a second time.
+    """
     commit = f"c-{commit or uuid.uuid4().hex}"  # never taken for a number
     before = committed(spark, path).agg(F.max("place").alias("place"), F.coalesce(F.bool_or(F.col("commit") == commit), F.lit(False)).alias("done")).first()
     if before.done:
         return False
     for name, rows in tables.items():
         rows.write.mode("overwrite").parquet(f"{path}/rows/{name}/commit={commit}")
+    if isinstance(documents, str):
+        keys = [spark.read.parquet(f"{path}/rows/{name}/commit={commit}").select(documents) for name in tables]
+        documents = reduce(DataFrame.unionByName, keys)
     documents.distinct().write.mode("overwrite").parquet(f"{path}/documents/commit={commit}")
     record = spark.createDataFrame([(commit, 0 if before.place is None else before.place + 1)], DONE)
     record.coalesce(1).write.mode("append").json(f"{path}/done")
@@ -58,6 +66,8 @@ def _replaced(spark: SparkSession, path: str, done: DataFrame, key: str) -> Data
 def read(spark: SparkSession, path: str, name: str, key: str = "doc_id") -> DataFrame:
     """The rows of a table as the finished writes left them."""
     done = committed(spark, path)
+    if done.count() == 1:  # it replaces nothing
+        return spark.read.parquet(f"{path}/rows/{name}").join(F.broadcast(done.select("commit")), "commit").drop("commit")
     replaced = _replaced(spark, path, done, key)
     rows = spark.read.parquet(f"{path}/rows/{name}").join(F.broadcast(done.select("commit")), "commit")
     n = replaced.count()
