@@ -35,15 +35,18 @@ register("decode_text", lambda s, d: A.table(s, d, "documents").select("doc_id",
 
 
 def mixed_files(s, d):
-    """Documents by id in a text, a Markdown, an HTML and an unknown file, and all of them in one that is too long."""
+    """Documents by id in a text, a Markdown, an HTML and an unknown file, and all of them in one that is too long.
+
+    Each is a folder of parts of a thousand lines, so that no task writes or reads one alone.
+    """
     path, docs = folder(s, "mixed-files"), A.table(s, d, "documents").select("doc_id", F.translate("text", "\r\n", "  ").alias("value"))
     for part, ext in enumerate(("txt", "md", "html", "bin", "txt")):
         own = docs if part == 4 else docs.filter(F.col("doc_id") % 4 == part)
-        own.select("value").coalesce(1).write.text(f"{path}/{part}")
-        S.rename_files(s, f"{path}/{part}", ext)
+        own.select("value").write.option("maxRecordsPerFile", 1000).text(f"{path}/{part}.{ext}")
+        S.rename_files(s, f"{path}/{part}.{ext}", ext)
     limit = docs.agg(F.sum(F.octet_length("value"))).first()[0] // 2
     read, rejects = S.read_documents(s, path, limit)
-    rows = read.groupBy("ext").agg(F.lit("read").alias("what"), F.count(F.lit(1)).alias("n_files"), F.sum(F.length("text")).alias("n_chars"))
+    rows = read.groupBy("ext").agg(F.lit("read").alias("what"), F.count_distinct("doc_id").alias("n_files"), F.sum(F.length("text")).alias("n_chars"))
     return rows.unionByName(rejects.groupBy("ext", F.regexp_replace("reason", "[0-9]+", "n").alias("what")).agg(F.count(F.lit(1)).alias("n_files"), F.sum(F.lit(0)).cast("long").alias("n_chars")))
 
 

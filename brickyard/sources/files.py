@@ -10,6 +10,8 @@ from brickyard.sources import commits
 TEXT_TYPES = ("txt", "md", "markdown", "html")
 JOB_SCHEMA = "job_id string, kb_id string, user_id string, filename string, content_b64 string, mode string, config map<string,string>"
 REGIONS, MAX_BYTES = ("HN", "DN", "HCM"), 50 * 1024 * 1024
+#: A part file and, as first group, the folder of its extension that is the document.
+PART = r"(?i)(/[^/]+\.([^./]+))/part-[^/]*\.\2$"
 
 
 def decode_text(content: Column) -> Column:
@@ -20,14 +22,27 @@ def decode_text(content: Column) -> Column:
 def read_documents(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES) -> tuple[DataFrame, DataFrame]:
     """(documents, rejects): files of a known extension and size decoded, the others with a reason.
 
-    The length is a filter of the reader, so what is too long is never read.
+    A folder that has an extension and ``part-`` files of the same one, as Spark writes it, is one
+    document: its size is that of all parts, and it gives a row a part, named in ``part``. Parts
+    follow each other by name and are decoded one by one, so they have to end between characters.
+
+    Lengths and names come from the file listing, so what is too long or unknown is never read.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    named = files.withColumn("filename", F.element_at(F.split("path", "/"), -1)).withColumn("ext", F.lower(F.regexp_extract("filename", r"\.([^.]+)$", 1)))
-    known, fits = F.col("ext").isin(*TEXT_TYPES), F.col("length") <= max_bytes
-    docs = named.filter(fits).filter(known).select(F.md5(F.col("path").cast("binary")).alias("doc_id"), "filename", "ext", decode_text(F.col("content")).alias("text"))
-    reason = F.when(~known, F.concat(F.lit("unsupported extension: "), "ext")).when(~fits, F.lit(f"file over {max_bytes} bytes"))
-    return docs, named.drop("content").withColumn("reason", reason).filter("reason IS NOT NULL").select("filename", "ext", "reason")
+    listed, whole = F.col("_metadata.file_path"), lambda name: F.regexp_replace(name, PART, "$1")
+    ext = lambda name: F.lower(F.regexp_extract(name, r"\.([^./]+)$", 1))
+    last = lambda name: F.element_at(F.split(name, "/"), -1)
+    known, fits = ext("document").isin(*TEXT_TYPES), F.col("n_bytes") <= max_bytes
+    sizes = files.groupBy(whole("path").alias("document"), whole(listed).alias("listed")).agg(F.sum("length").alias("n_bytes"), F.count(F.lit(1)).alias("n_parts"))
+    # parts that fit by themselves are left out by their folder; its name is of the listing that the driver holds
+    too_long = [r.listed for r in sizes.filter(known & ~fits & (F.col("n_parts") > 1)).select("listed").collect()]
+    read = files.filter(F.col("length") <= max_bytes).filter(ext(listed).isin(*TEXT_TYPES))
+    if too_long:
+        read = read.filter(~whole(listed).isin(too_long))
+    named = read.withColumn("document", whole("path")).withColumn("part", F.when(F.col("document") != F.col("path"), last("path")))
+    docs = named.select(F.md5(F.col("document").cast("binary")).alias("doc_id"), last("document").alias("filename"), ext("document").alias("ext"), "part", decode_text(F.col("content")).alias("text"))
+    reason = F.when(~known, F.concat(F.lit("unsupported extension: "), ext("document"))).when(~fits, F.lit(f"file over {max_bytes} bytes"))
+    return docs, sizes.withColumn("reason", reason).filter("reason IS NOT NULL").select(last("document").alias("filename"), ext("document").alias("ext"), "reason")
 
 
 def rename_files(spark: SparkSession, path: str, ext: str) -> None:
@@ -35,8 +50,9 @@ def rename_files(spark: SparkSession, path: str, ext: str) -> None:
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
     for name in [s.getPath().getName() for s in fs.listStatus(folder)]:
-        if name.startswith("part-"):
-            fs.rename(spark._jvm.org.apache.hadoop.fs.Path(folder, name), spark._jvm.org.apache.hadoop.fs.Path(folder, f"{name.split('.')[0]}.{ext}"))
+        to = f"{name.split('.')[0]}.{ext}"
+        if name.startswith("part-") and name != to:
+            fs.rename(spark._jvm.org.apache.hadoop.fs.Path(folder, name), spark._jvm.org.apache.hadoop.fs.Path(folder, to))
 
 
 def read_jobs(spark: SparkSession, path: str, stream: bool = True, per_trigger: int = 4) -> DataFrame:

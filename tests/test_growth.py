@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from brickyard.functions import joins
 from brickyard.operators import grids, lookup, prices, retrieval, usage
+from brickyard.plans import source_queries
 from brickyard.sources import commits
+from brickyard.sources import files as sources
 from brickyard.streaming import transitions
 
 PRICES = "price_id string, document_id long, region string, material_category string, material_name string, unit string, price_ex_vat double, price_basis string, source_type string, price_period string, manufacturer string, raw_row_text string, created_at timestamp"
@@ -178,3 +180,29 @@ def test_written_rows_are_computed_once_and_one_commit_is_scanned(spark, tmp_pat
     assert "Aggregate" not in got._jdf.queryExecution().optimizedPlan().toString() and got.count() == 6
     commits.write(spark, path, {"rows": spark.createDataFrame([(1, 9)], "doc_id long, v long")}, "doc_id")
     assert sorted(map(tuple, commits.read(spark, path, "rows").collect())) == [(0, 0), (0, 3), (1, 9), (2, 2), (2, 5)]
+
+
+def test_a_folder_of_part_files_is_one_document(spark, tmp_path):
+    for folder, ext, sizes in (("a b.md", "md", (20, 25)), ("even.TXT", "txt", (25, 25)), ("long.txt", "txt", (30, 30, 30)), ("c.bin", "bin", (20, 20)), ("v1.2", "txt", (40, 40)), ("huge.md", "md", (60,))):
+        (tmp_path / folder).mkdir()
+        for n, size in enumerate(sizes):
+            (tmp_path / folder / f"part-{n}.{ext}").write_text(str(n) * size)
+    (tmp_path / "d.html").write_text("d")
+    docs, rejects = sources.read_documents(spark, str(tmp_path), 50)
+    rows = docs.collect()
+    got = sorted((r.filename, r.ext, r.part or "", len(r.text)) for r in rows)
+    assert got == [("a b.md", "md", "part-0.md", 20), ("a b.md", "md", "part-1.md", 25), ("d.html", "html", "", 1), ("even.TXT", "txt", "part-0.txt", 25), ("even.TXT", "txt", "part-1.txt", 25), ("part-0.txt", "txt", "", 40), ("part-1.txt", "txt", "", 40)]
+    assert len({r.doc_id for r in rows}) == 5
+    said = sorted((r.filename, r.ext, r.reason) for r in rejects.collect())
+    assert said == [("c.bin", "bin", "unsupported extension: bin"), ("huge.md", "md", "file over 50 bytes"), ("long.txt", "txt", "file over 50 bytes")]
+    # the listing drops the parts of c.bin and long.txt; the length filter drops huge.md
+    assert docs._jdf.queryExecution().executedPlan().collectLeaves().head().metrics().apply("numFiles").value() == 8
+
+
+def test_no_task_writes_or_reads_a_document_alone(spark, tmp_path, monkeypatch):
+    spark.range(6000).select(F.col("id").alias("doc_id"), F.lit("ab\ncd").alias("text")).repartition(2).write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(source_queries, "folder", lambda spark, name: f"file://{tmp_path}/{name}")
+    rows = {tuple(r) for r in source_queries.mixed_files(spark, str(tmp_path)).collect()}
+    assert rows == {("txt", "read", 1, 9000), ("md", "read", 1, 9000), ("html", "read", 1, 9000), ("bin", "unsupported extension: bin", 1, 0), ("txt", "file over n bytes", 1, 0)}
+    lines = [len(part.read_text().splitlines()) for part in (tmp_path / "mixed-files").glob("*/part-*")]
+    assert sum(lines) == 12000 and max(lines) <= 1000
