@@ -295,6 +295,14 @@ def test_search_and_eval(spark):
     assert list(vectors.first().embedding) == [2.0]
 
 
+def test_context_names_region_period_and_source(spark):
+    chunks = spark.createDataFrame([(1, "a", "HN", "2026-06", "bg.md"), (2, "b", "QN", "", ""), (3, "c", None, None, None), (4, None, "", "2025-01", None)], "chunk_id long, content string, region string, price_period string, source string")
+    hits = spark.createDataFrame([(7, 3, 1), (7, 9, 2), (7, 1, 3), (7, 4, 4), (7, 2, 10)], "query_id long, chunk_id long, rank int")
+    want = "[1]: c\n\n[2] (khu vực: Hà Nội, kỳ công bố: 2026-06, nguồn: bg.md): a\n\n[3] (kỳ công bố: 2025-01): \n\n[4] (khu vực: QN): b"
+    assert [tuple(r) for r in retrieval.format_context(hits, chunks).collect()] == [(7, want)]
+    assert retrieval.format_context(hits.filter("rank = 3"), chunks.drop("price_period")).first().context == "[1] (khu vực: Hà Nội, nguồn: bg.md): a"
+
+
 def test_chunk_and_price_sinks(spark, tmp_path):
     files.write_chunks(spark.createDataFrame([("c", "k")], "content string, kb_id string"), str(tmp_path / "chunks"))
     assert (tmp_path / "chunks" / "kb_id=k").is_dir()
