@@ -53,6 +53,20 @@ def test_lookup_compares_makers_of_no_words(spark):
         assert got == [("1", 1, "old"), ("1", 2, "older"), ("2", 1, "new"), ("2", 2, "old")]
 
 
+def test_raw_texts_are_met_by_their_words(spark, stored_rows):
+    """Equal word sets give their newest rows only, however many texts and requests share them."""
+    table = spark.createDataFrame([price(f"{i:03d}", f"large ring D1 x{i}", period=f"2026-{i % 9 + 1:02d}") for i in range(300)] + [price("z", "large ring D2")], PRICES)
+    asked = [(str(i), None if i % 2 else "HN", None, f"large ring D{i % 3 + 1}", None, "m3", [], 2) for i in range(60)]
+    asked += [("both", None, None, "ring D1 D2", None, "m3", [], 2), ("none", None, None, "ring steel D1", None, "m3", [], 2), ("far", "DN", None, "large ring D1", None, "m3", [], 2)]
+    got = {}
+    for r in lookup.lookup(spark.createDataFrame(asked, REQUESTS), table).orderBy("request_id", "rank").collect():
+        assert r.tier == 2
+        got.setdefault(r.request_id, []).append(r.price_id)
+    assert got == {str(i): [["008", "017"], ["z"]][i % 3] for i in range(60) if i % 3 < 2}
+    # two rows of D1's set and one of D2's, not 300 texts
+    assert stored_rows["lookup-texts"] == 3 and stored_rows["lookup-sets"] <= 4
+
+
 def test_counts_are_those_of_the_rows(spark):
     table = spark.createDataFrame([price(f"{i}", f"ring D{i % 3}", f"Maker {i % 4 + 10}") for i in range(60)], PRICES)
     ask = spark.createDataFrame([("1", None, None, "ring", None, None, [], 99), ("2", None, None, "ring D1", "maker 11", None, [], 99), ("3", "HN", None, "ring D2", None, None, [], 7), ("4", None, None, "none", None, None, [], 7), ("5", "HN", None, "ring D2", None, None, [], 7)], REQUESTS)
