@@ -8,7 +8,8 @@ now has none. A write that dies on its way is not seen, and overwrites its own f
 when it runs again; one that has its record is not run twice. One writer at a time.
 
 Reading joins nothing but the documents that were written more than once, so a table
-without such costs a plain scan.
+without such costs a plain scan. Where those are too many to broadcast, only their own old rows,
+and few others, are shuffled.
 """
 
 from __future__ import annotations
@@ -19,10 +20,12 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brickyard.functions.joins import small_side
-from brickyard.functions.stored import delete
+from brickyard.functions.joins import BROADCAST_BYTES, ROW_BYTES
+from brickyard.functions.stored import delete, materialize
 
 DONE = "commit string, place long"
+#: Bits for each replaced document, and bits of a part of them.
+KEY_BITS, PART_BITS = 16, 1 << 20
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -71,7 +74,30 @@ def read(spark: SparkSession, path: str, name: str, key: str = "doc_id") -> Data
     replaced = _replaced(spark, path, done, key)
     rows = spark.read.parquet(f"{path}/rows/{name}").join(F.broadcast(done.select("commit")), "commit")
     n = replaced.count()
-    return (rows.join(small_side(replaced, n), [key, "commit"], "left_anti") if n else rows).drop("commit")
+    if n * ROW_BYTES <= BROADCAST_BYTES:
+        return (rows.join(F.broadcast(replaced), [key, "commit"], "left_anti") if n else rows).drop("commit")
+    return _without(rows, materialize(replaced, "commits-replaced"), n, key).drop("commit")
+
+
+def _without(rows: DataFrame, replaced: DataFrame, n: int, key: str) -> DataFrame:
+    """``rows`` less the ``n`` pairs of ``replaced``, shuffling only rows that bits of the pairs' hashes do not tell from them.
+
+    The bits are dealt to parts, which are broadcast: ``KEY_BITS`` a pair, fewer beyond the broadcast bound.
+    """
+    parts = max(1, min(n * KEY_BITS, 8 * BROADCAST_BYTES) // PART_BITS)
+    h = F.xxhash64(key, "commit")
+    part, at = F.pmod(h, F.lit(parts)).alias("part"), F.shiftrightunsigned(h, 32).bitwiseAND(F.lit(PART_BITS - 1))
+    word = F.shiftright(at, 6).cast("int")
+    ones = replaced.select(part, word.alias("word"), at.alias("at")).select("part", "word", F.expr("shiftleft(1L, CAST(at & 63 AS INT))").alias("set"))
+    zeros = replaced.sparkSession.range(parts * (PART_BITS // 64)).select(F.pmod("id", F.lit(parts)).alias("part"), F.floor(F.col("id") / parts).cast("int").alias("word"), F.lit(0).cast("long").alias("set"))
+    sets = ones.unionByName(zeros).groupBy("part", "word").agg(F.bit_or("set").alias("set"))
+    bits = materialize(sets.groupBy("part").agg(F.transform(F.sort_array(F.collect_list(F.struct("word", "set"))), lambda x: x["set"]).alias("bits")), "commits-bits")
+    maybe = F.getbit(F.get("bits", word), at.bitwiseAND(F.lit(63)).cast("int")) == 1
+    marked = rows.withColumn("part", part).join(F.broadcast(bits), "part")
+    rest = lambda cond: marked.filter(cond).select(*rows.columns)
+    # an outer join: an anti join would be put before the filter, and shuffle all rows
+    kept = rest(maybe).join(replaced.withColumn("gone", F.lit(True)), [key, "commit"], "left").filter("gone IS NULL")
+    return rest(~maybe).unionByName(kept.select(*rows.columns))
 
 
 def compact(spark: SparkSession, path: str, names: list[str], key: str = "doc_id") -> None:

@@ -212,6 +212,27 @@ def test_written_rows_are_computed_once_and_one_commit_is_scanned(spark, tmp_pat
     assert sorted(map(tuple, commits.read(spark, path, "rows").collect())) == [(0, 0), (0, 3), (1, 9), (2, 2), (2, 5)]
 
 
+def test_only_rows_that_may_be_replaced_are_shuffled(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(commits, "BROADCAST_BYTES", 1 << 20)
+    path, rows = str(tmp_path / "many"), spark.range(40_000).select(F.concat(F.lit("d"), (F.col("id") % 20_000).cast("string")).alias("doc_id"), F.col("id").alias("v"))
+    commits.write(spark, path, {"rows": rows}, "doc_id")
+    commits.write(spark, path, {"rows": rows.filter("v % 5 = 0 AND v < 20000").withColumn("v", F.col("v") + 50_000)}, rows.filter("v % 5 = 0").select("doc_id"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = commits.read(spark, path, "rows")
+        assert sorted(r.v for r in got.collect()) == sorted([v for v in range(40_000) if v % 5] + [v + 50_000 for v in range(0, 20_000, 5)])
+        nodes, shuffled = [got._jdf.queryExecution().executedPlan()], []
+        for node in nodes:
+            nodes += [node.children().apply(i) for i in range(node.children().size())]
+            shuffled += [node.metrics().apply("shuffleRecordsWritten").value()] if node.nodeName() == "Exchange" else []
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # the 8,000 rows and 4,000 documents that are replaced, and few others of the 44,000
+    assert 12_000 <= sum(shuffled) < 16_000
+
+
 def test_a_folder_of_part_files_is_one_document(spark, tmp_path):
     for folder, ext, sizes in (("a b.md", "md", (20, 25)), ("even.TXT", "txt", (25, 25)), ("long.txt", "txt", (30, 30, 30)), ("c.bin", "bin", (20, 20)), ("v1.2", "txt", (40, 40)), ("huge.md", "md", (60,))):
         (tmp_path / folder).mkdir()
